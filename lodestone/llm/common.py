@@ -7,6 +7,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -25,7 +26,7 @@ def slices(batches: Iterator[pa.RecordBatch], column: str = "text", limit: int =
         if not batch.num_rows:
             continue
         col = batch.column(batch.schema.get_field_index(column))
-        size = pa.compute.binary_length(col).fill_null(0).to_numpy(zero_copy_only=False)
+        size = pc.binary_length(col).fill_null(0).to_numpy(zero_copy_only=False)
         ends = np.cumsum(size, dtype=np.int64)
         at = 0
         while at < batch.num_rows:
