@@ -8,13 +8,17 @@ from pyspark.sql import DataFrame, SparkSession
 
 import public_tokenizers
 
-from lodestone.llm import media, mixing, packing, secrets, simhash
+from lodestone.llm import media, mixing, packing, phrases, secrets, simhash
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def op1_phrase_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.edited_neighbours(_documents(spark, sf_dir))
+
+
 def op2_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.media_columns(_documents(spark, sf_dir), keep_media=False)
 
@@ -36,7 +40,7 @@ def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_media_columns, op3_packing, op6_secret_scans, op7_simhash, op8_mixing)}
+    return {f.__name__: f for f in (op1_phrase_fingerprints, op2_media_columns, op3_packing, op6_secret_scans, op7_simhash, op8_mixing)}
 
 
 def oracle_sql() -> dict[str, str]:
