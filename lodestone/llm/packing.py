@@ -34,55 +34,60 @@ PARTS = 4
 _TAIL = "!\"#$%&()*+,-./:;=?@[\\]^_`{|}~"
 
 
-class WordIds:
+def _byte_letters() -> list[str]:
+    """The letter that stands for each byte in byte-level vocabularies: itself where visible, else one from 256 on, in order."""
+    seen = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or b >= 174]
+    hidden = iter(range(256, 512))
+    return [chr(b) if b in seen else chr(next(hidden)) for b in range(256)]
+
+
+class WordIds(dict):
     """Ids of texts by a tokenizer that drops white space, word by word through a bounded cache.
 
     White space parts tokens in this tokenizer, so a text's ids are its words' ids in order. A word of plain letters
-    with closing punctuation is looked up in two parts. The cache is emptied when it holds ``limit`` words.
+    with closing punctuation is looked up in two parts, which go to the tokenizer's model directly; any other word goes
+    through the whole tokenizer. The cache (little-endian 32-bit ids by word) is emptied when it holds ``limit`` words.
     """
 
-    def __init__(self, path: str, limit: int = 400_000) -> None:
+    def __init__(self, path: str, limit: int = 800_000) -> None:
         from tokenizers import Tokenizer
 
+        super().__init__()
         self.tokenizer = Tokenizer.from_file(path)
         self.limit = limit
-        self.cache: dict[str, bytes] = {}
-
-    def _encode(self, words: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
-
-    def _learn(self, words: set[str]) -> None:
-        cache, parts, need = self.cache, {}, set()
-        for w in words:
-            core = w.rstrip(_TAIL)
-            plain = core.isalpha() and max(core) < "԰"
-            key, tail = (core.lower() if core.isascii() else core, w[len(core) :]) if plain else (w, "")
-            parts[w] = key, tail
-            if key not in cache:
-                need.add(key)
-            if tail and tail not in cache:
-                need.add(tail)
-        new = list(need)
-        cache.update(zip(new, self._encode(new), strict=True))
-        for w, (key, tail) in parts.items():
-            if w != key:
-                cache[w] = cache[key] + cache[tail] if tail else cache[key]
+        self._model = self.tokenizer.model
+        self._letters = _byte_letters()
+
+    def _encode(self, text: str) -> bytes:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+
+    def _token(self, piece: str) -> bytes:
+        """Ids of one lower-case pre-token."""
+        if not piece.isascii():
+            piece = "".join([self._letters[b] for b in piece.encode()])
+        return b"".join([t.id.to_bytes(4, "little") for t in self._model.tokenize(piece)])
+
+    def __missing__(self, word: str) -> bytes:
+        core = word.rstrip(_TAIL)
+        if not core.isalpha() or not (core.isascii() or max(core) <= "ÿ"):
+            ids = self._encode(word)
+        elif (low := core.lower()) == word:
+            ids = self._token(word)
+        else:
+            ids = self[low] + self[word[len(core) :]] if len(core) < len(word) else self[low]
+        self[word] = ids
+        return ids
 
     def ids(self, texts: list[str]) -> list[bytes]:
         """Little-endian 32-bit ids of each text."""
-        out, cache = [], self.cache
+        if len(self) > self.limit:
+            self.clear()
+        get, out = self.__getitem__, []
         for text in texts:
-            words = text.split()
-            if any(c in text for c in "\x1c\x1d\x1e\x1f"):  # Python splits there, the tokenizer doesn't
-                out.append(self._encode([text])[0])
-                continue
-            try:
-                out.append(b"".join(map(cache.__getitem__, words)))
-            except KeyError:
-                if len(cache) > self.limit:
-                    cache.clear()
-                self._learn(set(words).difference(cache))
-                out.append(b"".join(map(cache.__getitem__, words)))
+            if "\x1c" in text or "\x1d" in text or "\x1e" in text or "\x1f" in text:  # Python splits there, the tokenizer doesn't
+                out.append(self._encode(text))
+            else:
+                out.append(b"".join(map(get, text.split())))
         return out
 
 
