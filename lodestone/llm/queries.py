@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 import public_tokenizers
 
-from lodestone.llm import media, mixing, packing, phrases, secrets, simhash
+from lodestone.llm import media, mixing, packing, phrases, pii, quality, secrets, simhash
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -27,6 +27,10 @@ def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(_documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"), keep_ids=False)
 
 
+def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.personal_data(_documents(spark, sf_dir))
+
+
 def op6_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.secret_scan(_documents(spark, sf_dir))
 
@@ -39,8 +43,12 @@ def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_sources(_documents(spark, sf_dir))[0].drop("source")
 
 
+def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.score_documents(_documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_phrase_fingerprints, op2_media_columns, op3_packing, op6_secret_scans, op7_simhash, op8_mixing)}
+    return {f.__name__: f for f in (op1_phrase_fingerprints, op2_media_columns, op3_packing, op5_pii, op6_secret_scans, op7_simhash, op8_mixing, op10_quality)}
 
 
 def oracle_sql() -> dict[str, str]:
