@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -49,15 +50,27 @@ def utf8(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw, (off - off[0]) if len(texts) else np.zeros(1, np.int64)
 
 
-def settle(df: DataFrame, eager: bool = True) -> DataFrame:
-    """Cut the lineage with checkpoint(), in the shared folder that the session names; a folder of our own only where none is set."""
-    spark = df.sparkSession
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that the cluster shares, from ``spark.checkpoint.dir``; one of our own only where none is set, as in tests."""
     sc = spark.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
         sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-"))
+    return sc._jsc.sc().getCheckpointDir().get()
+
+
+def settle(df: DataFrame, eager: bool = True) -> DataFrame:
+    """Cut the lineage with checkpoint(), in the shared folder."""
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager)
 
 
+def settle_table(df: DataFrame) -> DataFrame:
+    """Cut the lineage with a Parquet table in the shared folder, for what is large: columns are compressed and pruned when read."""
+    path = f"{shared_folder(df.sparkSession)}/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 import public_tokenizers
 
-from lodestone.llm import media, mixing, packing, phrases, pii, quality, secrets, simhash
+from lodestone.llm import media, mixing, packing, phrases, pii, quality, secrets, simhash, suffixes
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -27,6 +27,10 @@ def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(_documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"), keep_ids=False)
 
 
+def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixes.remove_repeats(_documents(spark, sf_dir))
+
+
 def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.personal_data(_documents(spark, sf_dir))
 
@@ -48,7 +52,7 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_phrase_fingerprints, op2_media_columns, op3_packing, op5_pii, op6_secret_scans, op7_simhash, op8_mixing, op10_quality)}
+    return {f.__name__: f for f in (op1_phrase_fingerprints, op2_media_columns, op3_packing, op4_suffix_dedup, op5_pii, op6_secret_scans, op7_simhash, op8_mixing, op10_quality)}
 
 
 def oracle_sql() -> dict[str, str]:
