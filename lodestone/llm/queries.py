@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 import public_tokenizers
 
-from lodestone.llm import media, mixing, packing, phrases, pii, quality, secrets, simhash, suffixes
+from lodestone.llm import media, mixing, packing, phrases, pii, quality, secrets, simhash, suffixes, treeweights
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -47,12 +47,16 @@ def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_sources(_documents(spark, sf_dir))[0].drop("source")
 
 
+def op9_tree_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return treeweights.score_documents(_documents(spark, sf_dir))
+
+
 def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score_documents(_documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_phrase_fingerprints, op2_media_columns, op3_packing, op4_suffix_dedup, op5_pii, op6_secret_scans, op7_simhash, op8_mixing, op10_quality)}
+    return {f.__name__: f for f in (op1_phrase_fingerprints, op2_media_columns, op3_packing, op4_suffix_dedup, op5_pii, op6_secret_scans, op7_simhash, op8_mixing, op9_tree_weights, op10_quality)}
 
 
 def oracle_sql() -> dict[str, str]:
