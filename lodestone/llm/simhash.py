@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import column, keyed_text, settle, slices
+from lodestone.llm.common import RollingHash, U, column, keyed_text, mix, settle, settle_table, slices
 
 SEED = 42
 RADIUS = 2
@@ -188,3 +188,101 @@ def near_duplicates(docs: DataFrame, width: int = 3, radius: int = RADIUS, segme
     least = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
     classes = rooted.join(least, "root").select("fp", "component_id")
     return rows.join(classes, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+#: Passages end at about one word in so many, chosen by the word and its successor.
+PASSAGE_WORDS = 16
+#: Part of the longer text's words that two texts must share in equal passages to be compared.
+SHARED_PART = 0.3
+
+
+def passages(raws: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Content-defined passages of texts (lower-cased words joined by single spaces): text's number, name, words."""
+    raw = np.frombuffer(b"\n".join(raws) + b"\n", np.uint8)
+    edge = np.diff(((raw != 32) & (raw != 10)).astype(np.int8), prepend=np.int8(0), append=np.int8(0))
+    begin, end = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
+    hashes = RollingHash(raw)
+    word = hashes.ranges(begin, end)
+    doc = np.searchsorted(np.cumsum([len(x) + 1 for x in raws]), begin, side="right")
+    last = np.append(doc[1:] != doc[:-1], True)[: len(doc)]
+    stop = last | (mix(word + mix(np.append(word[1:], U(0)))) % U(PASSAGE_WORDS) == 0) if len(word) else last
+    close = np.flatnonzero(stop)
+    first = np.append(0, close[:-1] + 1)[: len(close)]
+    return doc[close], hashes.ranges(begin[first], end[close]), close - first + 1
+
+
+PROFILE = "doc_id long, tag long, fp long, words long, passages array<struct<name:long,size:int>>"
+
+
+def _profiles(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
+    for batch in slices(batches):
+        texts = column(batch, "text").to_pylist()
+        fps = np.array([fingerprint(t, width) for t in texts], np.uint64).view(np.int64)
+        doc, name, size = passages([b" ".join(t.encode().lower().split()) for t in texts])
+        offsets = np.searchsorted(doc, np.arange(len(texts) + 1)).astype(np.int32)
+        items = pa.StructArray.from_arrays([pa.array(name.view(np.int64)), pa.array(size.astype(np.int32))], ["name", "size"])
+        words = np.bincount(doc, weights=size, minlength=len(texts)).astype(np.int64)
+        yield pa.RecordBatch.from_arrays([column(batch, "doc_id"), column(batch, "tag"), pa.array(fps), pa.array(words), pa.ListArray.from_arrays(pa.array(offsets), items)], [x.split()[0] for x in PROFILE.split(", ", 4)])
+
+
+def shingle_set(text: str, width: int) -> set[int]:
+    words = text.encode().lower().split()
+    digest = xxhash.xxh64_intdigest
+    return {digest(b" ".join(words[i : i + width]), SEED) for i in range(max(1, len(words) - width + 1))} if words else set()
+
+
+def _verified(batches: Iterator[pa.RecordBatch], width: int, similarity: float) -> Iterator[pa.RecordBatch]:
+    known: tuple[int | None, set[int]] = (None, set())
+    for batch in slices(slices(batches, "text"), "central_text"):
+        keep = []
+        for other, text, central in zip(*(column(batch, c).to_pylist() for c in ("b", "text", "central_text")), strict=True):
+            if known[0] != other:
+                known = other, shingle_set(central, width)
+            mine = shingle_set(text, width)
+            both = len(mine & known[1])
+            keep.append(both >= similarity * (len(mine) + len(known[1]) - both))
+        yield pa.RecordBatch.from_arrays([column(batch, "a"), column(batch, "b")], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+
+def similar_groups(docs: DataFrame, width: int = 5, similarity: float = 0.8, radius: int = RADIUS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, tag, n, keep): distinct rows by id and text, how often each occurs, and whether it stays for its group.
+
+    Texts within ``radius`` bits of each other by their SimHash form a group. Groups meet further where SimHash is too
+    coarse for the similarity asked for: equal content-defined passages propose, for each representative, the texts
+    with the largest part of shared passages among those that have one of its passages (one proposal per passage, so
+    proposals are linear in the text), and exact Jaccard similarity of the word shingles decides. One row of each group stays: the
+    least id (null ids last), then the least tag. Null and wordless texts are one group.
+    """
+    rows = keyed_text(docs, id_col, text_col).select("doc_id", F.xxhash64("text").alias("tag"), "text")
+    profile = settle_table(rows.mapInArrow(lambda it: _profiles(it, width), PROFILE))
+    near = components(link_values(settle(profile.select("fp").distinct()), radius))
+    small = profile.groupBy("doc_id", "tag").agg(F.count(F.lit(1)).alias("n"), F.first("fp").alias("fp"), F.first("words").alias("words"))
+    rank = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "tag")
+    small = settle_table(small.join(near, small.fp == near.node, "left").select("doc_id", "tag", "n", "words", F.coalesce("root", "fp").alias("root")))
+    heads = settle_table(small.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "tag", "words")).alias("h")).select("root", "h.doc_id", "h.tag", "h.words"))
+    same = lambda a, b: a["doc_id"].eqNullSafe(b["doc_id"]) & (a["tag"] == b["tag"])
+    # Passages of the representatives; how much of each text is shared makes originals central among their copies.
+    own = profile.select("doc_id", "tag", "passages").dropDuplicates(["doc_id", "tag"])
+    own = own.join(heads, same(own, heads)).select(heads["root"].alias("a"), heads["words"], "passages").select("a", "words", F.explode("passages").alias("p")).groupBy("a", "words", F.col("p.name").alias("name")).agg(F.sum("p.size").alias("size"))
+    shared = settle_table(own.join(own.groupBy("name").agg(F.count(F.lit(1)).alias("n")).where("n > 1").drop("n"), "name"))
+    central = shared.groupBy("a").agg((F.sum("size") / F.max("words")).alias("centrality"))
+    shared = shared.join(central, "a")
+    centre = shared.groupBy("name").agg(F.max(F.struct("centrality", (-F.col("a")).alias("order"), F.col("a").alias("b"), F.col("words").alias("b_words"))).alias("c"))
+    pairs = shared.join(centre.select("name", "c.b", "c.b_words"), "name").where("a <> b").groupBy("a", "b").agg(F.sum("size").alias("size"), F.max(F.greatest("words", "b_words")).alias("longest"))
+    pairs = settle_table(pairs.where(F.col("size") >= SHARED_PART * F.col("longest")).select("a", "b"))
+    needed = pairs.select("a").union(pairs.select("b")).distinct().join(heads.withColumnRenamed("root", "a"), "a")
+    texts = settle_table(rows.dropDuplicates(["doc_id", "tag"]).join(needed, rows["doc_id"].eqNullSafe(needed["doc_id"]) & (rows["tag"] == needed["tag"])).select("a", "text"))
+    compared = pairs.join(texts, "a").join(texts.withColumnsRenamed({"a": "b", "text": "central_text"}), "b").select("a", "b", "text", "central_text")
+    joined = components(compared.mapInArrow(lambda it: _verified(it, width, similarity), "a long, b long"))
+    groups = small.join(joined.select(F.col("node").alias("root"), F.col("root").alias("whole")), "root", "left").withColumn("whole", F.coalesce("whole", "root"))
+    stays = groups.groupBy("whole").agg(F.min(rank).alias("stay"))
+    return groups.join(stays, "whole").select("doc_id", "tag", "n", (F.col("doc_id").eqNullSafe(F.col("stay.doc_id")) & (F.col("tag") == F.col("stay.tag"))).alias("keep"))
+
+
+def keep_one(docs: DataFrame, width: int = 5, similarity: float = 0.8, radius: int = RADIUS) -> DataFrame:
+    """The table without near-duplicates: of each group of ``similar_groups`` one row stays, whole and unchanged."""
+    stays = similar_groups(docs, width, similarity, radius).where("keep").select(F.col("doc_id").alias("__id"), F.col("tag").alias("__tag"), F.col("n").alias("__n"))
+    tag = F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit("")))
+    kept = docs.withColumn("__tag_", tag).join(stays, F.col("doc_id").cast("long").eqNullSafe(F.col("__id")) & (F.col("__tag_") == F.col("__tag")))
+    once, more = kept.where("__n = 1"), kept.where("__n > 1").dropDuplicates(["__id", "__tag"])
+    return once.unionByName(more).select(*docs.columns)
