@@ -10,10 +10,12 @@ small whatever the keys' frequencies: a token that fills several buckets is spli
 that fill several are spread over them. A bucket sorts its suffixes by multikey quicksort and compares neighbours; what
 its first and last groups hold goes to the driver (a few rows per bucket), where groups that cross boundaries are compared.
 
-Suffixes with an equal second token repeat as a whole. Those that share only the first token differ somewhere around the
-point, so their windows become suffixes of their own and pass through the same sort. Names have 2 x 64 bits.
+Suffixes with an equal second token repeat as a whole. Of those that share only the first token, one stretch of text for
+each distinct second token meets the others by the first token, and their windows are compared there. A first token that
+has more than MOST_STRETCHES of them, or lies at a boundary, isn't gathered: its windows become suffixes of their own and
+pass through the same sort. Names have 2 x 64 bits.
 
-Texts are shuffled once; what waits for the second sort are only the texts that have such windows.
+Texts are shuffled once; only the texts that have such stretches wait for the second comparison.
 """
 
 from __future__ import annotations
@@ -32,6 +34,9 @@ WIDTH = 200
 NAME = 64
 BUCKET_ROWS = 150_000
 SAMPLE = 32
+#: Stretches with one first token that are compared together, and bytes of stretches in a group of tokens.
+MOST_STRETCHES = 2000
+GROUP_BYTES = 2 << 20
 #: Stands for a null id in keys; tags tell such rows from rows that have this id.
 NO_ID = -(2**63)
 _PLACE = 30  # bits for a place in one slice of text
@@ -120,10 +125,10 @@ def _points(batches: Iterator[pa.RecordBatch], splitters: np.ndarray | None) ->
 _POINTS = ["bucket", "first", "second", "doc_id", "tag", "start", "count"]
 POINTS = "bucket int, first long, second long, doc_id long, tag long, start int, count int"
 #: kind 0: a suffix that repeats, may repeat or shares its first token; 1: a first token at a boundary with its least and greatest second; 2: a whole suffix at a boundary and its count.
-COMPARED = "kind int, first long, second long, other long, doc_id long, tag long, start int, count int, whole boolean, partly boolean, lead boolean"
+COMPARED = "kind int, first long, second long, other long, doc_id long, tag long, start int, count int, whole boolean, partly boolean, lead boolean, hot boolean"
 
 
-def compare_bucket(table: dict[str, np.ndarray], splitters: np.ndarray) -> dict[str, np.ndarray]:
+def compare_bucket(table: dict[str, np.ndarray], splitters: np.ndarray, most: int) -> dict[str, np.ndarray]:
     """Sort one bucket and mark whole repeats, shared first tokens and each distinct suffix's first row."""
     first, second = table["first"].view(np.uint64), table["second"].view(np.uint64)
     order = multikey_order(first, second)
@@ -139,7 +144,7 @@ def compare_bucket(table: dict[str, np.ndarray], splitters: np.ndarray) -> dict[
     edge_f, edge_s = np.isin(key >> 32, edges >> 32), np.isin(key, edges)
     whole, partly = counts[suffix] > 1, distinct[group] > 1
     kept = np.flatnonzero(whole | partly | edge_f)
-    rows = {"kind": np.zeros(len(kept), np.int32), "first": f[kept], "second": s[kept], "other": np.zeros(len(kept), np.uint64), "whole": whole[kept], "partly": partly[kept], "lead": new_s[kept]}
+    rows = {"kind": np.zeros(len(kept), np.int32), "first": f[kept], "second": s[kept], "other": np.zeros(len(kept), np.uint64), "whole": whole[kept], "partly": partly[kept], "lead": new_s[kept], "hot": (edge_f | (distinct[group] > most))[kept]}
     rows |= {c: table[c][order][kept] for c in ("doc_id", "tag", "start", "count")}
     begin = np.flatnonzero(new_f)
     last = np.append(begin[1:], len(f)) - 1
@@ -147,13 +152,13 @@ def compare_bucket(table: dict[str, np.ndarray], splitters: np.ndarray) -> dict[
     p = np.flatnonzero(new_s & edge_s)
     notes = {"kind": np.repeat(np.array([1, 2], np.int32), [len(g), len(p)]), "first": np.concatenate([f[begin[g]], f[p]]), "second": np.concatenate([s[begin[g]], s[p]]), "other": np.concatenate([s[last[g]], counts[suffix[p]].astype(np.uint64)])}
     n = len(g) + len(p)
-    notes |= {c: np.zeros(n, rows[c].dtype) for c in ("doc_id", "tag", "start", "count", "whole", "partly", "lead")}
+    notes |= {c: np.zeros(n, rows[c].dtype) for c in ("doc_id", "tag", "start", "count", "whole", "partly", "lead", "hot")}
     return {c: np.concatenate([rows[c], notes[c]]) for c in rows}
 
 
-def _compared(splitters: np.ndarray):
+def _compared(splitters: np.ndarray, most: int):
     def one(table: pa.Table) -> pa.Table:
-        got = compare_bucket({c: np.asarray(table.column(c)) for c in table.column_names}, splitters)
+        got = compare_bucket({c: np.asarray(table.column(c)) for c in table.column_names}, splitters, most)
         names = [x.split()[0] for x in COMPARED.split(", ")]
         return pa.table([pa.array(got[c].view(np.int64) if got[c].dtype == np.uint64 else got[c]) for c in names], names)
 
@@ -171,10 +176,10 @@ def choose_splitters(sample: DataFrame, scale: int) -> np.ndarray:
 
 
 def mark_repeats(points: DataFrame, splitters: np.ndarray) -> DataFrame:
-    """Of suffixes that lie in buckets, those that repeat: first, second, doc_id, tag, start, count, whole, partly, lead."""
+    """Of suffixes that lie in buckets, those that repeat: first, second, doc_id, tag, start, count, whole, partly, lead, hot."""
     spark = points.sparkSession
     parts = max(shuffle_partitions(spark), -(-(len(splitters) + 1) // 2))
-    found = settle_table(points.repartition(parts, "bucket").groupBy("bucket").applyInArrow(_compared(splitters), COMPARED))
+    found = settle_table(points.repartition(parts, "bucket").groupBy("bucket").applyInArrow(_compared(splitters, MOST_STRETCHES), COMPARED))
     rows = found.where("kind = 0").drop("kind", "other")
     notes = found.where("kind > 0").select("kind", "first", "second", "other").collect()  # a few for each bucket
     least: dict[int, set[int]] = {}
@@ -210,42 +215,76 @@ def digest(text: bytes, starts: np.ndarray, ends: np.ndarray) -> tuple[int, int,
 
 
 def _resolve(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
-    """Finished documents (kind 0), documents that wait (1), and the windows they wait for (2)."""
+    """Finished documents (kind 0), documents that wait (1), and the stretches (2) and windows (3) they wait for."""
     names = [x.split()[0] for x in RESOLVED.split(", ")]
     for batch in slices(batches, limit=1 << 20):
         out: dict[str, list] = {c: [] for c in names}
-        windows: list[tuple[int | None, int, np.ndarray, np.ndarray, np.ndarray]] = []
+        stretches: list[tuple[int, int, bytes, int, int]] = []
+        windows: list[tuple[int, int, np.ndarray, np.ndarray, np.ndarray]] = []
         for doc_id, tag, text, found in zip(column(batch, "doc_id").to_pylist(), column(batch, "tag").to_pylist(), column(batch, "text").cast(pa.binary()).to_pylist(), column(batch, "found"), strict=True):
             runs = np.zeros((0, 2), np.int64)
             waits = False
+            key = NO_ID if doc_id is None else doc_id
             if found.is_valid:
-                f = found.values.flatten()
-                start, count, whole, open_ = (np.asarray(x.to_numpy(zero_copy_only=False)) for x in f)
+                start, count, first, whole, open_, hot = (np.asarray(x.to_numpy(zero_copy_only=False)) for x in found.values.flatten())
                 runs = np.column_stack([start, start + count - 1 + width])[whole].astype(np.int64)
-                if waits := bool(open_.any()):
-                    at = np.concatenate([np.arange(a, a + n) for a, n in zip(start[open_].tolist(), count[open_].tolist(), strict=True)])
+                waits = bool(open_.any())
+                cold = open_ & ~hot
+                stretches += [(key, tag, text[a : a + n - 1 + width], f, a) for a, n, f in zip(start[cold].tolist(), count[cold].tolist(), first[cold].tolist(), strict=True)]
+                if (open_ & hot).any():
+                    at = np.concatenate([np.arange(a, a + n) for a, n in zip(start[open_ & hot].tolist(), count[open_ & hot].tolist(), strict=True)])
                     raw = np.frombuffer(text, np.uint8)
                     pair = [RollingHash(raw, k).ranges(at, at + width).view(np.int64) for k in (0, 1)]
-                    windows.append((NO_ID if doc_id is None else doc_id, tag, at.astype(np.int32), *pair))
+                    windows.append((key, tag, at.astype(np.int32), *pair))
             row = (1, doc_id, tag, *[None] * 4, text, runs.tobytes()) if waits else (0, doc_id, tag, *digest(text, runs[:, 0], runs[:, 1])[:4], None, None)
             for c, x in zip(names, (*row, None, None, None), strict=True):
                 out[c].append(x)
         kinds = [pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary(), pa.binary(), pa.int64(), pa.int64(), pa.int32()]
         yield pa.RecordBatch.from_arrays([pa.array(out[c], k) for c, k in zip(names, kinds, strict=True)], names)
+        if stretches:
+            n = len(stretches)
+            key, tag, text, first, start = zip(*stretches, strict=True)
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(n, 2, np.int32)), pa.array(key, pa.int64()), pa.array(tag, pa.int64()), *(pa.nulls(n, k) for k in kinds[3:7]), pa.array(text, pa.binary()), pa.nulls(n, pa.binary()), pa.array(first, pa.int64()), pa.nulls(n, pa.int64()), pa.array(start, pa.int32())], names)
         if windows:
             n = sum(len(w[2]) for w in windows)
-            each = [pa.array(np.full(n, 2, np.int32)), *(pa.array([w[i] for w in windows], pa.int64()).take(pa.array(np.repeat(np.arange(len(windows)), [len(w[2]) for w in windows]))) for i in (0, 1))]
+            each = [pa.array(np.full(n, 3, np.int32)), *(pa.array([w[i] for w in windows], pa.int64()).take(pa.array(np.repeat(np.arange(len(windows)), [len(w[2]) for w in windows]))) for i in (0, 1))]
             last = [pa.array(np.concatenate([w[i] for w in windows])) for i in (3, 4, 2)]
             yield pa.RecordBatch.from_arrays([*each, *(pa.nulls(n, k) for k in kinds[3:9]), *last], names)
 
 
+RUNS = "doc_id long, tag long, start int, count int"
+
+
+def _compare_stretches(table: pa.Table, width: int) -> pa.Table:
+    """Runs of windows of stretches that are equal to another window of the group."""
+    raw, offsets = utf8(table.column("text").combine_chunks())
+    lengths = np.diff(offsets) - width + 1
+    begin = np.cumsum(lengths) - lengths
+    at = np.arange(int(lengths.sum())) + np.repeat(offsets[:-1] - begin, lengths)
+    one, two = (RollingHash(raw, k).ranges(at, at + width) for k in (0, 1))
+    order = multikey_order(one, two)
+    same = (one[order][1:] == one[order][:-1]) & (two[order][1:] == two[order][:-1])
+    again = np.zeros(len(at), bool)
+    again[order[1:]] = same
+    again[order[:-1]] |= same
+    flag = again.astype(np.int8)
+    heads = np.append(True, flag[1:] != flag[:-1])
+    heads[begin] = True
+    first = np.flatnonzero(heads)
+    count = np.diff(first, append=len(at))[again[first]]
+    first = first[again[first]]
+    row = np.searchsorted(begin, first, side="right") - 1
+    start = np.asarray(table.column("start"))[row] + first - begin[row]
+    return pa.table([table.column("doc_id").take(pa.array(row)), table.column("tag").take(pa.array(row)), pa.array(start.astype(np.int32)), pa.array(count.astype(np.int32))], [x.split()[0] for x in RUNS.split(", ")])
+
+
 def _finish(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
     for batch in slices(batches, limit=1 << 20):
         out = []
         for text, runs, at in zip(column(batch, "text").to_pylist(), column(batch, "runs").to_pylist(), column(batch, "at"), strict=True):
-            start = np.asarray(at.values.to_numpy(zero_copy_only=False), np.int64) if at.is_valid else np.zeros(0, np.int64)
+            start, count = (np.asarray(x.to_numpy(zero_copy_only=False), np.int64) for x in at.values.flatten()) if at.is_valid else np.zeros((2, 0), np.int64)
             known = np.frombuffer(runs, np.int64).reshape(-1, 2)
-            out.append(digest(text, np.concatenate([known[:, 0], start]), np.concatenate([known[:, 1], start + width]))[:4])
+            out.append(digest(text, np.concatenate([known[:, 0], start]), np.concatenate([known[:, 1], start + count - 1 + width]))[:4])
         kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string())
         yield pa.RecordBatch.from_arrays([column(batch, "doc_id"), *(pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True))], ["doc_id", *(x.split()[0] for x in DIGEST.split(", "))])
 
@@ -265,6 +304,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """
     if width <= NAME:
         raise ValueError(f"strings must be longer than {NAME} bytes")
+    spark = docs.sparkSession
     # Rows that agree in id and text get the same answer, so the pair serves as their key.
     rows = keyed_text(docs, id_col, text_col).select("doc_id", F.xxhash64(F.lit(3), "doc_id", "text").alias("tag"), "text")
     key = F.coalesce("doc_id", F.lit(NO_ID))
@@ -274,15 +314,20 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     splitters = choose_splitters(sampled, SAMPLE)
     points = long_.mapInArrow(lambda it: _points(it, splitters), POINTS)
     marked = mark_repeats(points, splitters)
-    found = marked.groupBy("doc_id", "tag").agg(F.collect_list(F.struct("start", "count", "whole", (F.col("partly") & F.col("lead")).alias("open"))).alias("found"))
+    found = marked.groupBy("doc_id", "tag").agg(F.collect_list(F.struct("start", "count", "first", "whole", (F.col("partly") & F.col("lead")).alias("open"), "hot")).alias("found"))
     found = found.withColumnsRenamed({"doc_id": "its_id", "tag": "its_tag"})
     joined = rows.join(found, same, "left").select("doc_id", "tag", "text", "found")
     resolved = settle_table(joined.mapInArrow(lambda it: _resolve(it, width), RESOLVED))
     digests = ["doc_id", *(x.split()[0] for x in DIGEST.split(", "))]
-    windows = resolved.where("kind = 2")
+    stretches = resolved.where("kind = 2").select("doc_id", "tag", "text", "first", "start")
+    groups = max(shuffle_partitions(spark), -(-(stretches.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]) // GROUP_BYTES))
+    grouped = stretches.groupBy(F.pmod(F.xxhash64("first"), F.lit(groups)).alias("group"))
+    near = grouped.applyInArrow(lambda t: _compare_stretches(t, width), RUNS)
+    windows = resolved.where("kind = 3")
     keys = windows.where(F.pmod(F.xxhash64(F.lit(5), "tag", "start"), F.lit(SAMPLE)) == 0).mapInArrow(lambda it: (pa.RecordBatch.from_arrays([pa.array(leading(*(column(b, c).to_numpy().view(np.uint64) for c in ("first", "second"))))], ["key"]) for b in it), "key long")
     second_splitters = choose_splitters(settle_table(keys), SAMPLE)
     again = mark_repeats(windows.select("first", "second", "doc_id", "tag", "start").mapInArrow(lambda it: _bucketed(it, second_splitters), POINTS), second_splitters).where("whole")
-    at = again.groupBy("doc_id", "tag").agg(F.collect_list("start").alias("at")).withColumnsRenamed({"doc_id": "its_id", "tag": "its_tag"})
+    runs = near.unionByName(again.select("doc_id", "tag", "start", "count"))
+    at = runs.groupBy("doc_id", "tag").agg(F.collect_list(F.struct("start", "count")).alias("at")).withColumnsRenamed({"doc_id": "its_id", "tag": "its_tag"})
     waiting = resolved.where("kind = 1").select("doc_id", "tag", "text", "runs").join(at, same, "left").select("doc_id", "text", "runs", "at")
     return resolved.where("kind = 0").select(digests).unionByName(waiting.mapInArrow(lambda it: _finish(it, width), f"doc_id long, {DIGEST}"))

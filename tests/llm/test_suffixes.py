@@ -41,8 +41,9 @@ def corpus(seed):
     return [*out, near, near[:300] + "!" + near[300:], out[-2], out[-2], out[-3] + "x"]
 
 
-@pytest.mark.parametrize(("seed", "bucket_rows"), [(1, 150_000), (2, 40), (3, 7), (4, 1)])
-def test_removes_what_brute_force_removes(spark, monkeypatch, seed, bucket_rows):
+@pytest.mark.parametrize(("seed", "bucket_rows", "most"), [(1, 150_000, 2000), (2, 40, 2000), (3, 7, 3), (4, 1, 0)])
+def test_removes_what_brute_force_removes(spark, monkeypatch, seed, bucket_rows, most):
+    monkeypatch.setattr(suffixes, "MOST_STRETCHES", most)
     monkeypatch.setattr(suffixes, "BUCKET_ROWS", bucket_rows)
     monkeypatch.setattr(suffixes, "SAMPLE", 2)
     texts = corpus(seed)
