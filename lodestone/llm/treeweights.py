@@ -28,7 +28,8 @@ from lodestone.llm.common import RollingHash, U, column, keyed_text, settle_tabl
 
 DEPTH = 5
 HELD_OUT = 10
-BLOCK_BYTES = 16 << 20
+BLOCK_BYTES = 8 << 20
+SLICE_BYTES = 1 << 20
 BLOCKS_PER_SALT = 64
 WORD_BITS = 9
 GRAMS, WORDS = 0, 1
@@ -80,7 +81,7 @@ class Slice:
         size = np.array([len(x) + 1 for x in lines], np.int64)
         self.size = size
         starts = np.cumsum(size + DEPTH) - size
-        self.doc = np.repeat(np.arange(len(lines)), size)
+        self.doc = np.repeat(np.arange(len(lines), dtype=np.int32), size)
         at = np.arange(int(size.sum())) + np.repeat(starts - (np.cumsum(size) - size), size)
         wide = raw.astype(np.uint64)
         keys = np.zeros(len(raw), np.uint64)
@@ -99,7 +100,7 @@ def blocks(batches: Iterator[pa.RecordBatch], block_bytes: int) -> Iterator[tupl
     """(block, slice, whether the block ends): the same for every pass over the same table."""
     context = TaskContext.get()
     block, size, before = (context.partitionId() if context else 0) << 24, 0, None
-    for batch in slices(batches):
+    for batch in slices(batches, limit=SLICE_BYTES):
         if before is not None:
             yield block, before, size >= block_bytes
             if size >= block_bytes:
@@ -330,7 +331,7 @@ def _score_block(docs: pa.Table, replies: pa.Table, tokens: int, distinct: int,
         got[spaces[i]].append(unsqueeze(blobs[i], np.float32 if spaces[i] == GRAMS else np.float64))
     values = {s: np.concatenate(v) for s, v in got.items()}
     parts = []
-    for batch in slices(docs.select(["doc_id", "text"]).combine_chunks().to_batches()):
+    for batch in slices(docs.select(["doc_id", "text"]).combine_chunks().to_batches(), limit=SLICE_BYTES):
         part = Slice(column(batch, "text").to_pylist())
         pair = np.sort((part.keys << U(16)) | part.doc.astype(np.uint64))
         head = np.flatnonzero(np.append(True, pair[1:] != pair[:-1]))
