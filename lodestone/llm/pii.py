@@ -36,6 +36,7 @@ BASE = {
 LOOSE = {
     "masked_email": rf"(?:(?<![{_WORD}])|\G)[{_WORD}]++ ?[\[(]at[\])] ?[A-Za-z0-9-]++(?: ?(?:\.|[\[(]dot[\])]) ?[A-Za-z0-9-]++)++",
     "local_phone": r"(?<![0-9+(.-])\(?[0-9]{3}\)?[\x20.-][0-9]{3}[\x20.-][0-9]{4}(?![0-9])",
+    "plain_card": r"(?<![0-9])[0-9]{13,19}(?![0-9])",
     "person": r"(?:Mrs?|Ms|Dr|Prof)\. [A-Z][a-z]+(?: [A-Z][a-z]+)?",
 }
 KINDS = (*BASE, *LOOSE)
@@ -95,7 +96,7 @@ def _voted(items: DataFrame) -> DataFrame:
     digits = F.regexp_replace("match", "[^0-9]", "")
     is_ = lambda *names: F.col("kind").isin([KINDS.index(n) for n in names])
     rows = items.withColumns({"end": F.sum(F.col("gap") + size).over(running), "digits": digits, "n_digits": F.length(digits)})
-    rows = rows.withColumn("start", F.col("end") - size).withColumn("luhn", F.when(is_("card") & F.col("n_digits").between(12, 19), luhn(F.col("digits"))).otherwise(False))
+    rows = rows.withColumn("start", F.col("end") - size).withColumn("luhn", F.when(is_("card", "plain_card") & F.col("n_digits").between(12, 19), luhn(F.col("digits"))).otherwise(False))
     rows = rows.withColumn(
         "base",
         F.when(is_("email"), True).when(is_("ip"), F.col("match").rlike(OCTETS)).when(is_("card"), F.col("luhn")).when(is_("phone"), F.col("n_digits").between(9, 15)).otherwise(False),
@@ -106,8 +107,8 @@ def _voted(items: DataFrame) -> DataFrame:
     edge = r"[A-Za-z0-9]"
     return rows.withColumns({
         "v_format": F.when(F.col("base"), yes).when(is_(*LOOSE), none).otherwise(no),
-        "v_checksum": F.when(is_("card"), vote(F.col("luhn"))).when(is_("ip"), vote(F.col("base") & ~m.startswith("0"))).when(is_("email"), vote(m.rlike(r"\.[A-Za-z]{2,6}$"))).when(is_("phone", "local_phone"), vote(m.rlike(r"[0-9]{3}\)?[\x20.-][0-9]{3}[\x20.-][0-9]{4}$"), none)).otherwise(none),
-        "v_gazetteer": F.when(is_("card"), vote(F.col("digits").rlike(ISSUERS))).when(is_("ip"), F.when(m.rlike(r"^(10|127|192\.168|0)\."), no).otherwise(none)).when(is_("email", "masked_email"), vote(m.rlike(TLDS), none)).when(is_("phone"), vote(m.rlike(CODES), none)).when(is_("person"), vote(m.rlike(NAMES), none)).otherwise(none),
+        "v_checksum": F.when(is_("card", "plain_card"), vote(F.col("luhn"))).when(is_("ip"), vote(F.col("base") & ~m.startswith("0"))).when(is_("email"), vote(m.rlike(r"\.[A-Za-z]{2,6}$"))).when(is_("phone", "local_phone"), vote(m.rlike(r"[0-9]{3}\)?[\x20.-][0-9]{3}[\x20.-][0-9]{4}$"), none)).otherwise(none),
+        "v_gazetteer": F.when(is_("card", "plain_card"), vote(F.col("digits").rlike(ISSUERS))).when(is_("ip"), F.when(m.rlike(r"^(10|127|192\.168|0)\."), no).otherwise(none)).when(is_("email", "masked_email"), vote(m.rlike(TLDS), none)).when(is_("phone"), vote(m.rlike(CODES), none)).when(is_("person"), vote(m.rlike(NAMES), none)).otherwise(none),
         "v_context": F.when(F.col("before").rlike(AGAINST), no).otherwise(vote(F.col("before").rlike(FOR), none)),
         "v_boundary": F.when(F.right(F.col("before"), F.lit(1)).rlike(edge) | F.col("after").rlike(edge), no).otherwise(yes),
         "size_class": F.least(F.lit(3), F.floor(size / 12)).cast("int"),

@@ -49,7 +49,9 @@ def test_method_adds_spans_and_keeps_plain_numbers_out(spark):
     data = [(i, f"word {i} mail: u{i}@mail.example.com and call +1 (212) 555-01{i % 90 + 10} now", None, None, 0, None, None) for i in range(80)]
     data += [(100 + i, f"contact (212) 555-01{i + 10} today", None, None, 0, None, None) for i in range(30)]
     data += [(200 + i, f"serial {1234567890120 + i * 10 + 7}x and version 1.2.3.{300 + i}", None, None, 0, None, None) for i in range(40)]
+    data += [(300 + i, f"card: 4111111111111111 411111111111{i:04d} end", None, None, 0, None, None) for i in range(40)]
     got = {r.doc_id: r.spans for r in pii.personal_data(frame(spark, data)).collect()}
+    assert all("plain_card:6:22" in got[300 + i] for i in range(40))
     assert all("local_phone:8:22" in got[100 + i] for i in range(30))
     assert not any("ip:" in got[200 + i] for i in range(40))
 
