@@ -1,15 +1,18 @@
 """The inverted index as ordinary tables.
 
-One narrow pass tokenises every search column; one shuffle by (field, term, doc_id) counts and collects places. Postings
-carry the document's length, so ranking needs no join with a length table, however large the corpus is. Counts are
-combined before each shuffle, and the key holds the document, so frequent terms don't gather in one task.
+One narrow pass tokenises every search column and groups each document's own terms; since a document is one row, counting
+its terms needs no shuffle at all. Only the term table is a shuffle, of counts that are combined first. Postings carry the
+document's length, so ranking needs no join with a length table, however large the corpus is.
 """
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from collections.abc import Iterator
+from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -33,13 +36,21 @@ class Index:
     terms: DataFrame
     doc_len: DataFrame
     stats: DataFrame
+    _stats: dict[str, Row] = field(default_factory=dict)
 
     def persist(self) -> Index:
-        self.postings.persist()
-        self.terms.persist()
-        self.stats.persist()
+        """Keep the tables; rows are sorted by term within partitions, so cached batches without a query's terms are skipped."""
+        self.postings = self.postings.sortWithinPartitions("field", "term", "doc_id").persist()
+        self.terms = term_table(self.postings).sortWithinPartitions("field", "term").persist()
+        self.stats = self.stats.persist()
         return self
 
+    def statistics(self) -> dict[str, Row]:
+        """n_docs and avg_dl by field: one row for each indexed column, read once."""
+        if not self._stats:
+            self._stats = {r.field: r for r in self.stats.collect()}
+        return self._stats
+
 
 def search_columns(df: DataFrame, names: list[str]) -> list[str]:
     """The table's own spelling of the columns asked for, in the order asked for, ignoring case."""
@@ -63,14 +74,31 @@ def spread(df: DataFrame) -> DataFrame:
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
 
 
-def occurrences(rows: DataFrame) -> DataFrame:
-    """(field, term, doc_id, dl, pos) of every term occurrence."""
-    return rows.select("field", "doc_id", "dl", F.posexplode("terms").alias("pos", "term"))
+POSTINGS = "field string, term string, doc_id long, tf int, dl int, positions array<int>"
+
+
+def _group_terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Each row's terms with their places, in order of place within a term."""
+    for batch in batches:
+        lists = batch.column("terms")
+        values = lists.flatten().dictionary_encode()
+        codes = values.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+        size = np.asarray(batch.column("dl"), np.int64)
+        row = np.repeat(np.arange(batch.num_rows), size)
+        place = np.arange(len(codes)) - np.repeat(np.cumsum(size) - size, size)
+        key = row << 32 | codes
+        order = np.argsort(key, kind="stable")
+        key = key[order]
+        head = np.flatnonzero(np.append(True, key[1:] != key[:-1])[: len(key)])
+        of, which = pa.array(key[head] >> 32), pa.array(key[head] & (2**32 - 1))
+        positions = pa.ListArray.from_arrays(pa.array(np.append(head, len(key)).astype(np.int32)), pa.array(place[order].astype(np.int32)))
+        tf = np.diff(head, append=len(key)).astype(np.int32)
+        yield pa.RecordBatch.from_arrays([batch.column("field").take(of), values.dictionary.take(which), batch.column("doc_id").take(of), pa.array(tf), batch.column("dl").take(of), positions], [x.split()[0] for x in POSTINGS.split(", ")])
 
 
-def postings(occ: DataFrame) -> DataFrame:
-    grouped = occ.groupBy("field", "term", "doc_id").agg(F.count(F.lit(1)).cast("int").alias("tf"), F.first("dl").alias("dl"), F.sort_array(F.collect_list("pos")).alias("positions"))
-    return grouped
+def postings(rows: DataFrame) -> DataFrame:
+    """(field, term, doc_id, tf, dl, positions) of rows (field, doc_id, dl, terms), in the rows' own partitions."""
+    return rows.select("field", "doc_id", "dl", "terms").mapInArrow(_group_terms, POSTINGS)
 
 
 def term_table(post: DataFrame) -> DataFrame:
@@ -87,7 +115,7 @@ def build(df: DataFrame, fields: list[str], id_col: str) -> Index:
     fields = search_columns(df, fields)
     (id_col,) = search_columns(df, [id_col])
     rows = field_tokens(spread(df.select(id_col, *[f for f in fields if f != id_col])), id_col, fields)
-    post = postings(occurrences(rows))
+    post = postings(rows)
     lengths = rows.select("field", "doc_id", "dl")
     return Index(df, id_col, fields, post, term_table(post), lengths, field_stats(lengths))
 

@@ -1,12 +1,13 @@
 """Ranked retrieval: disjunctive, conjunctive, phrase-boosted and batched, as one plan each.
 
 A query becomes literal terms on the driver (at most 64 a field), so that ``field = ... and term in (...)`` reaches the
-Parquet scan; their weights are a few rows, broadcast. What is left is one partial and one final sum by document, then a
-limit that each task applies before the last merge. Rows are fetched for the k results only.
+Parquet scan; their weights, looked up once, are literals of the plan too. What is left is one partial and one final sum by
+document, then a limit that each task applies before the last merge: no join at all. Rows are fetched for the k results only.
 """
 
 from __future__ import annotations
 
+import math
 from collections import Counter
 from dataclasses import dataclass
 from functools import reduce
@@ -64,51 +65,65 @@ def check_k(k: int) -> int:
     return k
 
 
-def matching(index: Index, query: Query) -> DataFrame:
-    """The postings of a query's terms, by literals that push down to the scan."""
-    if not query.weights:
-        return index.postings.where(F.lit(False))
+def term_filter(query: Query) -> Column:
+    """The query's terms as literals, which push down to the scan."""
     clauses = [(F.col("field") == f) & F.col("term").isin(sorted(t for g, t in query.weights if g == f)) for f in query.fields]
-    return index.postings.where(reduce(Column.__or__, clauses))
+    return reduce(Column.__or__, clauses) if clauses else F.lit(False)
 
 
-def query_rows(index: Index, query: Query) -> DataFrame:
-    """(field, term, times, weight, avg_dl): idf and boost of each term that the vocabulary has; at most 64 rows a field."""
-    spark = index.postings.sparkSession
-    rows = spark.createDataFrame([(f, t, n, b) for (f, t), (n, b) in query.weights.items()], "field string, term string, times int, boost double")
-    if query.weights:
-        clauses = [(F.col("field") == f) & F.col("term").isin(sorted(t for g, t in query.weights if g == f)) for f in query.fields]
-        terms = index.terms.where(reduce(Column.__or__, clauses))
-    else:
-        terms = index.terms.where(F.lit(False))
-    rows = terms.join(F.broadcast(rows), ["field", "term"]).join(F.broadcast(index.stats), "field")  # one row per field
-    return rows.select("field", "term", "times", (scoring.idf(F.col("n_docs"), F.col("df")) * F.col("boost")).alias("weight"), "avg_dl")
-
-
-def term_scores(hits: DataFrame, how: str) -> Column:
-    """The contribution of one posting; ``auto`` is tf-idf where the query has a single known term, else BM25."""
-    full = scoring.bm25(F.col("tf"), F.col("dl"), F.col("avg_dl"), F.col("weight"))
-    short = scoring.tfidf(F.col("tf"), F.col("weight"))
-    if how == "bm25":
-        return F.col("times") * full
-    if how == "tfidf":
-        return F.col("times") * short
-    if how == "auto":
-        return F.when(F.col("iterators") == 1, short).otherwise(F.col("times") * full)
-    raise ValueError("scoring is bm25, tfidf or auto")
+def matching(index: Index, query: Query) -> DataFrame:
+    return index.postings.where(term_filter(query))
+
+
+@dataclass
+class Weights:
+    """What the index knows of a query's terms: (times, idf times boost) by field and term, at most 64 a field."""
+
+    terms: dict[tuple[str, str], tuple[int, float]]
+    avg_dl: dict[str, float]
+
+    @property
+    def iterators(self) -> int:
+        return sum(n for n, _ in self.terms.values())
+
+    def column(self, of) -> Column:
+        """A literal of each posting's term, by nested conditions that stay inside generated code."""
+        chain = None
+        for (f, t), value in self.terms.items():
+            test = (F.col("field") == f) & (F.col("term") == t)
+            chain = F.when(test, of(f, value)) if chain is None else chain.when(test, of(f, value))
+        return F.lit(0.0) if chain is None else chain
+
+
+def query_weights(index: Index, query: Query) -> Weights:
+    """Look a query's terms up in the vocabulary: one job over the row groups that may hold them, a bounded result."""
+    if not query.weights:
+        return Weights({}, {})
+    stats = index.statistics()
+    found = index.terms.where(term_filter(query)).select("field", "term", "df").collect()
+    out = {}
+    for r in sorted(found):
+        times, boost = query.weights[r.field, r.term]
+        out[r.field, r.term] = times, boost * (1 + math.log2(stats[r.field].n_docs / r.df))
+    return Weights(out, {f: s.avg_dl for f, s in stats.items()})
 
 
 def scores(index: Index, query: Query, mode: str = "or", how: str = "bm25", phrases: bool = False, first_place: bool = False) -> DataFrame:
-    """(doc_id, score) of every matching document with a positive score."""
+    """(doc_id, score) of every matching document with a positive score; ``auto`` is tf-idf for a single known term, else BM25."""
     if mode not in ("or", "and"):
         raise ValueError("mode is or, or and")
-    rows = query_rows(index, query)
+    if how not in ("bm25", "tfidf", "auto"):
+        raise ValueError("scoring is bm25, tfidf or auto")
+    weights = query_weights(index, query)
     if how == "auto":
-        rows = rows.crossJoin(F.broadcast(rows.agg(F.sum("times").alias("iterators"))))  # one row
-    hits = matching(index, query).join(F.broadcast(rows), ["field", "term"])
-    score = term_scores(hits, how)
+        how = "tfidf" if weights.iterators == 1 else "bm25"
+    hits = matching(index, query)
+    weight = weights.column(lambda f, v: F.lit(v[0] * v[1]))
+    average = reduce(lambda c, f: c.when(F.col("field") == f, F.lit(weights.avg_dl[f])), sorted(weights.avg_dl), F.when(F.lit(False), F.lit(0.0)))
+    score = scoring.bm25(F.col("tf"), F.col("dl"), average, weight) if how == "bm25" else scoring.tfidf(F.col("tf"), weight)
     if first_place:
-        score = score + F.when(F.array_contains("positions", 0), F.lit(scoring.FIRST_PLACE_BONUS) * F.col("times")).otherwise(0.0)
+        times = weights.column(lambda f, v: F.lit(v[0]))
+        score = score + F.when(F.array_contains("positions", 0), F.lit(scoring.FIRST_PLACE_BONUS) * times).otherwise(0.0)
     out = hits.groupBy("doc_id").agg(F.sum(score).alias("score"), F.count(F.lit(1)).alias("matched"))
     if mode == "and":
         out = out.where(F.col("matched") == len(query.weights))
@@ -158,6 +173,7 @@ def batch(index: Index, queries: DataFrame, k: int = 10) -> DataFrame:
     known = index.terms.join(F.broadcast(index.stats), "field")
     asked = asked.join(known, ["field", "term"]).select("query_id", "field", "term", "times", scoring.idf(F.col("n_docs"), F.col("df")).alias("weight"), "avg_dl")
     hits = index.postings.select("field", "term", "doc_id", "tf", "dl").join(asked, ["field", "term"])
-    scored = hits.groupBy("query_id", "doc_id").agg(F.sum(term_scores(hits, "bm25")).alias("score")).where("score > 0")
+    each = F.col("times") * scoring.bm25(F.col("tf"), F.col("dl"), F.col("avg_dl"), F.col("weight"))
+    scored = hits.groupBy("query_id", "doc_id").agg(F.sum(each).alias("score")).where("score > 0")
     ranked = Window.partitionBy("query_id").orderBy(F.desc("score"), "doc_id")
     return scored.withColumn("score", scoring.rounded(F.col("score"))).withColumn("rank", F.row_number().over(ranked)).where(F.col("rank") <= k).select("query_id", "doc_id", "rank", "score")
