@@ -67,9 +67,10 @@ def line_shapes(raw: np.ndarray, offsets: np.ndarray) -> Lines:
     hashes = RollingHash(raw)
     names = hashes.ranges(starts, ends)
     inside = ~_SPACE[raw]
-    edge = np.diff(inside.astype(np.int8), prepend=np.int8(0), append=np.int8(0))
-    begun = np.flatnonzero(edge == 1)
-    word = hashes.ranges(begun, np.flatnonzero(edge == -1))
+    before, after = np.append(False, inside[:-1]), np.append(inside[1:], False)
+    before[starts], after[ends - 1] = False, False  # texts follow each other without a space
+    begun = np.flatnonzero(inside & ~before)
+    word = hashes.ranges(begun, np.flatnonzero(inside & ~after) + 1)
     line = np.searchsorted(starts, begun, side="right") - 1
     stutter = np.bincount(line[1:][(word[1:] == word[:-1]) & (line[1:] == line[:-1])], minlength=len(starts)) / words
     doc = np.searchsorted(offsets, starts, side="right") - 1
