@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Code units of text that one numpy pass holds at a time (a longer single text is a slice of its own).
-SLICE = 4 << 20
+SLICE = 1 << 20
 
 
 def keyed_text(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
