@@ -12,7 +12,7 @@ its first and last groups hold goes to the driver (a few rows per bucket), where
 
 Suffixes with an equal second token repeat as a whole. Of those that share only the first token, one stretch of text for
 each distinct second token meets the others by the first token, and their windows are compared there. A first token that
-has more than MOST_STRETCHES of them, or lies at a boundary, isn't gathered: its windows become suffixes of their own and
+has more than MOST_STRETCHES of them isn't gathered: its windows become suffixes of their own and
 pass through the same sort. Names have 2 x 64 bits.
 
 Texts are shuffled once; only the texts that have such stretches wait for the second comparison.
@@ -35,7 +35,7 @@ NAME = 64
 BUCKET_ROWS = 150_000
 SAMPLE = 32
 #: Stretches with one first token that are compared together, and bytes of stretches in a group of tokens.
-MOST_STRETCHES = 2000
+MOST_STRETCHES = 16_384
 GROUP_BYTES = 2 << 20
 #: Stands for a null id in keys; tags tell such rows from rows that have this id.
 NO_ID = -(2**63)
@@ -124,7 +124,7 @@ def _points(batches: Iterator[pa.RecordBatch], splitters: np.ndarray | None) ->
 
 _POINTS = ["bucket", "first", "second", "doc_id", "tag", "start", "count"]
 POINTS = "bucket int, first long, second long, doc_id long, tag long, start int, count int"
-#: kind 0: a suffix that repeats, may repeat or shares its first token; 1: a first token at a boundary with its least and greatest second; 2: a whole suffix at a boundary and its count.
+#: kind 0: a suffix that repeats, may repeat or shares its first token; 1: a first token at a boundary with its least and greatest second and how many; 2: a whole suffix at a boundary and its count.
 COMPARED = "kind int, first long, second long, other long, doc_id long, tag long, start int, count int, whole boolean, partly boolean, lead boolean, hot boolean"
 
 
@@ -153,6 +153,7 @@ def compare_bucket(table: dict[str, np.ndarray], splitters: np.ndarray, most: in
     notes = {"kind": np.repeat(np.array([1, 2], np.int32), [len(g), len(p)]), "first": np.concatenate([f[begin[g]], f[p]]), "second": np.concatenate([s[begin[g]], s[p]]), "other": np.concatenate([s[last[g]], counts[suffix[p]].astype(np.uint64)])}
     n = len(g) + len(p)
     notes |= {c: np.zeros(n, rows[c].dtype) for c in ("doc_id", "tag", "start", "count", "whole", "partly", "lead", "hot")}
+    notes["count"][: len(g)] = distinct[g]
     return {c: np.concatenate([rows[c], notes[c]]) for c in rows}
 
 
@@ -181,18 +182,20 @@ def mark_repeats(points: DataFrame, splitters: np.ndarray) -> DataFrame:
     parts = max(shuffle_partitions(spark), -(-(len(splitters) + 1) // 2))
     found = settle_table(points.repartition(parts, "bucket").groupBy("bucket").applyInArrow(_compared(splitters, MOST_STRETCHES), COMPARED))
     rows = found.where("kind = 0").drop("kind", "other")
-    notes = found.where("kind > 0").select("kind", "first", "second", "other").collect()  # a few for each bucket
+    notes = found.where("kind > 0").select("kind", "first", "second", "other", "count").collect()  # a few for each bucket
     least: dict[int, set[int]] = {}
     total: dict[tuple[int, int], int] = {}
-    for kind, first, second, other in notes:
+    sizes: dict[int, int] = {}
+    for kind, first, second, other, count in notes:
         if kind == 1:
+            sizes[first] = sizes.get(first, 0) + count
             least.setdefault(first, set()).update((second, other))
         else:
             total[first, second] = total.get((first, second), 0) + other
-    shared = [(f, True) for f, s in least.items() if len(s) > 1]
+    shared = [(f, len(s) > 1, sizes[f] > MOST_STRETCHES) for f, s in least.items()]
     again = [(*p, True) for p, n in total.items() if n > 1]
     if shared:
-        rows = rows.join(F.broadcast(spark.createDataFrame(shared, "first long, shared boolean")), "first", "left").withColumn("partly", F.col("partly") | F.coalesce("shared", F.lit(False))).drop("shared")
+        rows = rows.join(F.broadcast(spark.createDataFrame(shared, "first long, shared boolean, many boolean")), "first", "left").withColumns({"partly": F.col("partly") | F.coalesce("shared", F.lit(False)), "hot": F.coalesce("many", "hot")}).drop("shared", "many")
     if again:
         rows = rows.join(F.broadcast(spark.createDataFrame(again, "first long, second long, again boolean")), ["first", "second"], "left").withColumn("whole", F.col("whole") | F.coalesce("again", F.lit(False))).drop("again")
     return rows.where("whole or partly")
