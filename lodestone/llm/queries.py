@@ -61,4 +61,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 def oracle_sql() -> dict[str, str]:
     """SQL can't name tokenizers, fitted models and 64-bit hashes; tests hold the other queries against brute force instead."""
-    return {"op8_mixing": mixing.ORACLE_SQL}
+    return {"op4_suffix_dedup": suffixes.ORACLE_SQL, "op8_mixing": mixing.ORACLE_SQL}

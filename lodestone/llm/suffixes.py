@@ -334,3 +334,15 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     at = runs.groupBy("doc_id", "tag").agg(F.collect_list(F.struct("start", "count")).alias("at")).withColumnsRenamed({"doc_id": "its_id", "tag": "its_tag"})
     waiting = resolved.where("kind = 1").select("doc_id", "tag", "text", "runs").join(at, same, "left").select("doc_id", "text", "runs", "at")
     return resolved.where("kind = 0").select(digests).unionByName(waiting.mapInArrow(lambda it: _finish(it, width), f"doc_id long, {DIGEST}"))
+
+
+#: What ``remove_repeats`` returns, by counting every window; for small tables (the windows are cut from pieces of 1,000 bytes).
+ORACLE_SQL = r"""WITH texts AS (SELECT row_number() OVER () AS r, doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+parts AS (SELECT r, b, substr(h, CAST(b * 2000 + 1 AS BIGINT), 2398) AS piece, len(h) // 2 AS n FROM texts, unnest(range(0, greatest(0, len(h) // 2 - 199), 1000)) u(x), LATERAL (SELECT x // 1000 AS b)),
+windows AS (SELECT r, b * 1000 + i AS pos, md5(substr(piece, CAST(2 * i + 1 AS BIGINT), 400)) AS name FROM parts, unnest(range(0, least(1000, n - 199 - b * 1000))) u(i)),
+again AS (SELECT r, pos FROM windows QUALIFY count(*) OVER (PARTITION BY name) > 1),
+heads AS (SELECT r, pos, CASE WHEN pos - lag(pos) OVER (PARTITION BY r ORDER BY pos) <= 200 THEN 0 ELSE 1 END AS head FROM again),
+runs AS (SELECT r, min(pos) AS a, max(pos) + 200 AS z FROM (SELECT r, pos, sum(head) OVER (PARTITION BY r ORDER BY pos) AS run FROM heads) GROUP BY r, run),
+gaps AS (SELECT r, a, z, coalesce(lag(z) OVER (PARTITION BY r ORDER BY a), 0) AS open FROM runs),
+kept AS (SELECT t.r, string_agg(substr(h, CAST(2 * open + 1 AS BIGINT), CAST(2 * (a - open) AS BIGINT)), '' ORDER BY a) || substr(any_value(h), CAST(2 * max(z) + 1 AS BIGINT)) AS k, CAST(sum(z - a) AS BIGINT) AS n_removed, count(*) AS n_spans FROM texts t JOIN gaps USING (r) GROUP BY t.r)
+SELECT doc_id, len(h) // 2 AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans, sha256(unhex(coalesce(k, h))) AS kept_sha256 FROM texts LEFT JOIN kept USING (r)"""
