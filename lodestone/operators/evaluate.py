@@ -34,7 +34,7 @@ def metrics(run: DataFrame, qrels: DataFrame, k: int) -> DataFrame:
 def nearest_ranks(df: DataFrame, column: str, parts: int = 100) -> DataFrame:
     """(p, value) for p of 0 to parts-1: the value at place p * floor(n / parts) in order; nothing for fewer rows than parts.
 
-    Values are counted first and only distinct ones are ordered, by ranges; the running count needs a row per range.
+    Values are counted first, so what one task orders is the distinct values; meant for columns of bounded variety, like lengths.
     """
     counts = df.where(F.col(column).isNotNull()).groupBy(F.col(column).alias("value")).agg(F.count(F.lit(1)).alias("n"))
     upto = counts.withColumn("upto", F.sum("n").over(Window.orderBy("value")))

@@ -120,11 +120,16 @@ def build(df: DataFrame, fields: list[str], id_col: str) -> Index:
     return Index(df, id_col, fields, post, term_table(post), lengths, field_stats(lengths))
 
 
-def block_maxima(post: DataFrame, block: int = BLOCK) -> DataFrame:
-    """(field, term, block, max_tf, max_doc_id, max_tf_dl): bounds for each run of ``block`` postings of a term.
+def block_maxima(post: DataFrame, block: int = BLOCK, span: int = 1 << 16) -> DataFrame:
+    """(field, term, block, max_tf, max_doc_id, max_tf_dl): bounds for each run of ``block`` postings of a term, in order of id.
 
-    Spark sorts a term's postings within its task (spilling, not gathering them); retrieval doesn't depend on this table.
+    Postings are numbered within spans of ids and spans by running counts, so the commonest term is spread over as many
+    tasks as there are spans; what one window orders is a span's postings, or a term's spans.
     """
-    w = Window.partitionBy("field", "term").orderBy("doc_id")
-    numbered = post.withColumn("block", F.floor((F.row_number().over(w) - 1) / block).cast("int"))
-    return numbered.groupBy("field", "term", "block").agg(F.max("tf").alias("max_tf"), F.max("doc_id").alias("max_doc_id"), F.min(F.struct((-F.col("tf")).alias("t"), "dl")).getField("dl").alias("max_tf_dl"))
+    post = post.withColumn("span", F.floor(F.col("doc_id") / span))
+    terms = Window.partitionBy("field", "term").orderBy("span").rowsBetween(Window.unboundedPreceding, -1)
+    before = post.groupBy("field", "term", "span").agg(F.count(F.lit(1)).alias("n")).withColumn("before", F.coalesce(F.sum("n").over(terms), F.lit(0))).drop("n")
+    within = Window.partitionBy("field", "term", "span").orderBy("doc_id")
+    placed = post.withColumn("place", F.row_number().over(within) - 1).join(before, ["field", "term", "span"])
+    blocks = placed.withColumn("block", F.floor((F.col("before") + F.col("place")) / block).cast("int"))
+    return blocks.groupBy("field", "term", "block").agg(F.max("tf").alias("max_tf"), F.max("doc_id").alias("max_doc_id"), F.min(F.struct((-F.col("tf")).alias("t"), "dl")).getField("dl").alias("max_tf_dl"))

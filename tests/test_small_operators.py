@@ -79,8 +79,9 @@ def test_nearest_ranks(spark):
 
 def test_block_maxima(spark):
     index = build(spark.createDataFrame([(i, "x " * (i % 7 + 1)) for i in range(130)], "id long, t string"), ["t"], "id")
-    got = sorted((r.block, r.max_tf, r.max_doc_id) for r in block_maxima(index.postings).collect())
-    assert got == [(0, 7, 63), (1, 7, 127), (2, 4, 129)]
+    for span in (1 << 16, 10, 1):
+        got = sorted((r.block, r.max_tf, r.max_doc_id) for r in block_maxima(index.postings, span=span).collect())
+        assert got == [(0, 7, 63), (1, 7, 127), (2, 4, 129)]
 
 
 @pytest.fixture(scope="module")
@@ -103,6 +104,15 @@ def test_facade(index, spark, tmp_path):
         SearchIndex(spark).query({"a": "b"})
 
 
+def test_files(spark, tmp_path):
+    (tmp_path / "x.csv").write_text('title,artist\n"Under My Skin","Frank, S."\nSkin,\n')
+    index = SearchIndex.from_file(spark, str(tmp_path / "x.csv"), ["Title"])
+    assert [(d["DOC_ID"], d["ARTIST"]) for d in index.query_dicts({"TITLE": "my skin"})] == [("0", "Frank, S."), ("1", "")]
+    (tmp_path / "x.json").write_text('{"title": "Under My Skin", "n": 4}\n{"title": "Night", "n": null}\n')
+    index = SearchIndex.from_file(spark, str(tmp_path / "x.json"), ["title", "n"])
+    assert [d["TITLE"] for d in index.query_dicts({"n": "4"})] == ["Under My Skin"]
+
+
 def test_result_views(index):
     rows = index.query({"title": "under"})
     assert search_first(index.index, rows).columns[:2] == ["TITLE", "ARTIST"]
