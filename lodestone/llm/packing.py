@@ -91,6 +91,7 @@ class WordIds(dict):
         return out
 
 
+#: One for each tokenizer in a worker process, so that its cache serves all tasks of the process.
 _ENCODERS: dict[str, WordIds] = {}
 
 
@@ -214,7 +215,9 @@ def _block(docs: list[tuple[int | None, bytes]], first: int, keep_ids: bool) ->
 
 
 def _rows(batches: Iterator[pa.RecordBatch], tokenizer: str, block_tokens: int, keep_ids: bool) -> Iterator[pa.RecordBatch]:
-    encoder = _ENCODERS.setdefault(tokenizer, None) or _ENCODERS.__setitem__(tokenizer, WordIds(tokenizer)) or _ENCODERS[tokenizer]
+    encoder = _ENCODERS.get(tokenizer)
+    if encoder is None:
+        encoder = _ENCODERS[tokenizer] = WordIds(tokenizer)
     end = np.array([END_ID], "<u4").tobytes()
     context = TaskContext.get()
     first = (context.partitionId() if context else 0) << 32

@@ -121,8 +121,8 @@ def _bucket_links(batches: Iterator[pa.RecordBatch], radius: int, segments: int)
 
 def link_values(values: DataFrame, radius: int = RADIUS, segments: int = SEGMENTS, max_bucket: int = MAX_BUCKET) -> DataFrame:
     """Links (a, b) among the distinct values of column ``fp``, enough to connect all that are within ``radius`` bits."""
-    if 64 % segments or radius > 2:
-        raise ValueError("segments must divide 64, and the exact way for large buckets serves a radius of at most 2")
+    if 64 % segments or radius not in (1, 2):
+        raise ValueError("segments must divide 64, and the exact way for large buckets serves a radius of 1 or 2")
     width, chain = 64 // segments, chain_key_length(radius, segments)
     ring = F.concat(F.lpad(F.conv(F.hex("fp"), 16, 2), 64, "0"), F.lpad(F.conv(F.hex("fp"), 16, 2), 64, "0"))
     keyed = values.withColumn("bits", ring).select("fp", F.posexplode(F.array([F.expr(f"cast(conv(substring(bits, {1 + width * s}, {width * chain}), 2, 10) as long)") for s in range(segments)])).alias("start", "key"))
@@ -130,12 +130,12 @@ def link_values(values: DataFrame, radius: int = RADIUS, segments: int = SEGMENT
     members = settle(keyed.join(sizes, ["start", "key"]))
     small = members.where(F.col("n") <= max_bucket).groupBy("start", "key").agg(F.collect_list("fp").alias("fps")).select("start", "fps")
     links = small.mapInArrow(lambda it: _bucket_links(it, radius, segments), "a long, b long")
-    ball = F.expr("concat(array(fp), transform(sequence(0, 63), i -> fp ^ shiftleft(cast(1 as bigint), i)))" if radius == 2 else "array(fp)")
-    large = members.where(F.col("n") > max_bucket).select("fp").distinct().select("fp", F.explode(ball).alias("key"))
+    large = members.where(F.col("n") > max_bucket).select("fp").distinct()
+    flips = "transform(sequence(0, 63), i -> fp ^ shiftleft(cast(1 as bigint), i))"
     if radius == 1:  # a value links to its neighbours themselves
-        large = members.where(F.col("n") > max_bucket).select("fp").distinct()
-        near = large.select("fp", F.explode(F.expr("transform(sequence(0, 63), i -> fp ^ shiftleft(cast(1 as bigint), i))")).alias("b"))
+        near = large.select("fp", F.explode(F.expr(flips)).alias("b"))
         return links.union(near.join(large.select(F.col("fp").alias("b")), "b", "left_semi").select(F.col("fp").alias("a"), "b"))
+    large = large.select("fp", F.explode(F.expr(f"concat(array(fp), {flips})")).alias("key"))
     least = large.groupBy("key").agg(F.min("fp").alias("b"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
     return links.union(large.join(least, "key").where("fp <> b").select(F.col("fp").alias("a"), "b").distinct())
 
