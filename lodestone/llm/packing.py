@@ -41,6 +41,14 @@ def _byte_letters() -> list[str]:
     return [chr(b) if b in seen else chr(next(hidden)) for b in range(256)]
 
 
+@functools.cache
+def _tokenizer(path: str):
+    """Loaded once in a worker process; caches of words belong to a task and go with it."""
+    from tokenizers import Tokenizer
+
+    return Tokenizer.from_file(path)
+
+
 class WordIds(dict):
     """Ids of texts by a tokenizer that drops white space, word by word through a bounded cache.
 
@@ -49,11 +57,9 @@ class WordIds(dict):
     through the whole tokenizer. The cache (little-endian 32-bit ids by word) is emptied when it holds ``limit`` words.
     """
 
-    def __init__(self, path: str, limit: int = 800_000) -> None:
-        from tokenizers import Tokenizer
-
+    def __init__(self, path: str, limit: int = 400_000) -> None:
         super().__init__()
-        self.tokenizer = Tokenizer.from_file(path)
+        self.tokenizer = _tokenizer(path)
         self.limit = limit
         self._model = self.tokenizer.model
         self._letters = _byte_letters()
@@ -91,10 +97,6 @@ class WordIds(dict):
         return out
 
 
-#: One for each tokenizer in a worker process, so that its cache serves all tasks of the process.
-_ENCODERS: dict[str, WordIds] = {}
-
-
 @functools.cache
 def combinations(bins: int = BINS, parts: int = PARTS) -> np.ndarray:
     """Columns: how often each bin (of 1 to ``bins`` units) occurs in a combination of at most ``parts`` that fills the window."""
@@ -215,9 +217,7 @@ def _block(docs: list[tuple[int | None, bytes]], first: int, keep_ids: bool) ->
 
 
 def _rows(batches: Iterator[pa.RecordBatch], tokenizer: str, block_tokens: int, keep_ids: bool) -> Iterator[pa.RecordBatch]:
-    encoder = _ENCODERS.get(tokenizer)
-    if encoder is None:
-        encoder = _ENCODERS[tokenizer] = WordIds(tokenizer)
+    encoder = WordIds(tokenizer)
     end = np.array([END_ID], "<u4").tobytes()
     context = TaskContext.get()
     first = (context.partitionId() if context else 0) << 32
