@@ -13,6 +13,7 @@ are the same. Both ways are exact.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -20,8 +21,9 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from lodestone.llm.common import RollingHash, U, column, keyed_text, mix, settle, settle_table, slices
+from lodestone.llm.common import U, column, keyed_text, settle, settle_table, slices
 
 SEED = 42
 RADIUS = 2
@@ -190,91 +192,149 @@ def near_duplicates(docs: DataFrame, width: int = 3, radius: int = RADIUS, segme
     return rows.join(classes, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-#: Passages end at about one word in so many, chosen by the word and its successor.
-PASSAGE_WORDS = 16
-#: Part of the longer text's words that two texts must share in equal passages to be compared.
-SHARED_PART = 0.3
+#: Long words of a shingle set's sketch, each bit the parity of the shingles that fall on it.
+SKETCH_WORDS = 16
+#: Shingles are counted in one of so many sets; the most frequent ones of at least so many come last in prefixes.
+SAMPLE, SAMPLE_LEAST, MAX_COMMON = 16, 4, 1 << 15
 
 
-def passages(raws: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Content-defined passages of texts (lower-cased words joined by single spaces): text's number, name, words."""
-    raw = np.frombuffer(b"\n".join(raws) + b"\n", np.uint8)
-    edge = np.diff(((raw != 32) & (raw != 10)).astype(np.int8), prepend=np.int8(0), append=np.int8(0))
-    begin, end = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
-    hashes = RollingHash(raw)
-    word = hashes.ranges(begin, end)
-    doc = np.searchsorted(np.cumsum([len(x) + 1 for x in raws]), begin, side="right")
-    last = np.append(doc[1:] != doc[:-1], True)[: len(doc)]
-    stop = last | (mix(word + mix(np.append(word[1:], U(0)))) % U(PASSAGE_WORDS) == 0) if len(word) else last
-    close = np.flatnonzero(stop)
-    first = np.append(0, close[:-1] + 1)[: len(close)]
-    return doc[close], hashes.ranges(begin[first], end[close]), close - first + 1
+def shingle_set(text: str, width: int) -> set[int]:
+    words = text.encode().lower().split()
+    digest = xxhash.xxh64_intdigest
+    return {digest(b" ".join(words[i : i + width]), SEED) for i in range(max(1, len(words) - width + 1))} if words else set()
+
+
+def shingle_array(text: str, width: int) -> np.ndarray:
+    """The distinct shingles in ascending order."""
+    found = shingle_set(text, width)
+    return np.sort(np.fromiter(found, np.uint64, len(found)))
 
 
-PROFILE = "doc_id long, tag long, fp long, words long, passages array<struct<name:long,size:int>>"
+PROFILE = "doc_id long, tag long, set long, fp long, n long, sketch array<long>, text string"
 
 
 def _profiles(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
     for batch in slices(batches):
         texts = column(batch, "text").to_pylist()
         fps = np.array([fingerprint(t, width) for t in texts], np.uint64).view(np.int64)
-        doc, name, size = passages([b" ".join(t.encode().lower().split()) for t in texts])
-        offsets = np.searchsorted(doc, np.arange(len(texts) + 1)).astype(np.int32)
-        items = pa.StructArray.from_arrays([pa.array(name.view(np.int64)), pa.array(size.astype(np.int32))], ["name", "size"])
-        words = np.bincount(doc, weights=size, minlength=len(texts)).astype(np.int64)
-        yield pa.RecordBatch.from_arrays([column(batch, "doc_id"), column(batch, "tag"), pa.array(fps), pa.array(words), pa.ListArray.from_arrays(pa.array(offsets), items)], [x.split()[0] for x in PROFILE.split(", ", 4)])
+        names, sizes, sketches = [], [], np.zeros((len(texts), SKETCH_WORDS), np.int64)
+        for i, text in enumerate(texts):
+            own = shingle_array(text, width)
+            names.append(xxhash.xxh64_intdigest(own.tobytes(), SEED))
+            sizes.append(len(own))
+            odd = np.bincount((own % U(64 * SKETCH_WORDS)).astype(np.int64), minlength=64 * SKETCH_WORDS) & 1
+            sketches[i] = np.packbits(odd.astype(bool), bitorder="little").view(np.int64)
+        offsets = pa.array(np.arange(len(texts) + 1, dtype=np.int32) * SKETCH_WORDS)
+        values = [column(batch, "doc_id"), column(batch, "tag"), pa.array(np.array(names, np.uint64).view(np.int64)), pa.array(fps), pa.array(sizes, pa.int64()), pa.ListArray.from_arrays(offsets, pa.array(sketches.ravel())), column(batch, "text")]
+        yield pa.RecordBatch.from_arrays(values, [x.split()[0] for x in PROFILE.split(", ")])
+
+
+def _shingles(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
+    for batch in slices(batches):
+        own = np.concatenate([shingle_array(t, width) for t in column(batch, "text").to_pylist()])
+        yield pa.RecordBatch.from_arrays([pa.array(own.view(np.int64))], ["shingle"])
 
 
-def shingle_set(text: str, width: int) -> set[int]:
-    words = text.encode().lower().split()
-    digest = xxhash.xxh64_intdigest
-    return {digest(b" ".join(words[i : i + width]), SEED) for i in range(max(1, len(words) - width + 1))} if words else set()
+def common_shingles(sets: DataFrame, width: int) -> np.ndarray:
+    """The most frequent shingles of a sample, rarest first. They only order prefixes: results don't depend on the choice."""
+    sampled = sets.where(F.pmod("set", F.lit(SAMPLE)) == 0).select("text").mapInArrow(lambda it: _shingles(it, width), "shingle long")
+    counts = sampled.groupBy("shingle").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= SAMPLE_LEAST)
+    top = counts.orderBy(F.desc("n"), "shingle").limit(MAX_COMMON).collect()
+    return np.array([r.shingle for r in reversed(top)], np.int64).view(np.uint64)
+
+
+PREFIX = "key long, set long, n long, place long"
+
+
+def prefix_length(n: int, similarity: float) -> int:
+    """How many of a set's first shingles hold one of every set that is similar enough."""
+    return n - math.ceil(similarity * n - 1e-9) + 1
+
+
+def _prefixes(batches: Iterator[pa.RecordBatch], width: int, similarity: float, common: np.ndarray) -> Iterator[pa.RecordBatch]:
+    rank = np.argsort(common)
+    known = common[rank]
+    for batch in slices(batches):
+        keys, sets, sizes, places = [], [], [], []
+        for name, text in zip(column(batch, "set").to_pylist(), column(batch, "text").to_pylist(), strict=True):
+            own = shingle_array(text, width)
+            if not len(own):
+                continue
+            if len(known):
+                at = np.minimum(np.searchsorted(known, own), len(known) - 1)
+                own = own[np.argsort(np.where(known[at] == own, rank[at] + 1, 0), kind="stable")]
+            head = own[: prefix_length(len(own), similarity)]
+            keys.append(head)
+            sets.append(np.full(len(head), name, np.int64))
+            sizes.append(np.full(len(head), len(own), np.int64))
+            places.append(np.arange(len(head), dtype=np.int64))
+        if keys:
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).view(np.int64)), *(pa.array(np.concatenate(c)) for c in (sets, sizes, places))], ["key", "set", "n", "place"])
 
 
 def _verified(batches: Iterator[pa.RecordBatch], width: int, similarity: float) -> Iterator[pa.RecordBatch]:
     known: tuple[int | None, set[int]] = (None, set())
-    for batch in slices(slices(batches, "text"), "central_text"):
+    for batch in slices(slices(batches, "text"), "other_text"):
         keep = []
-        for other, text, central in zip(*(column(batch, c).to_pylist() for c in ("b", "text", "central_text")), strict=True):
+        for other, text, other_text in zip(*(column(batch, c).to_pylist() for c in ("b", "text", "other_text")), strict=True):
             if known[0] != other:
-                known = other, shingle_set(central, width)
+                known = other, shingle_set(other_text, width)
             mine = shingle_set(text, width)
             both = len(mine & known[1])
-            keep.append(both >= similarity * (len(mine) + len(known[1]) - both))
+            keep.append(both >= similarity * (len(mine) + len(known[1]) - both) - 1e-9)
         yield pa.RecordBatch.from_arrays([column(batch, "a"), column(batch, "b")], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
 
+def similar_pairs(pairs: DataFrame, sets: DataFrame, width: int, similarity: float) -> DataFrame:
+    """Those of the pairs (a, b) of sets whose exact Jaccard similarity is high enough.
+
+    Sketches differ in at most as many bits as sets in shingles, so they spare most texts the way without losing a pair.
+    """
+    small = sets.select("set", "n", "sketch")
+    near = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a <> b").distinct()
+    near = near.join(small.toDF("a", "n", "sketch"), "a").join(small.toDF("b", "b_n", "b_sketch"), "b")
+    apart = F.aggregate(F.zip_with("sketch", "b_sketch", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda x, y: x + y)
+    both = F.col("n") + F.col("b_n")
+    near = settle_table(near.where((F.least("n", "b_n") >= similarity * F.greatest("n", "b_n") - 1e-6) & (apart <= (1 - similarity) / (1 + similarity) * both + 1e-6)).select("a", "b"))
+    texts = sets.select("set", "text")
+    compared = near.join(texts.toDF("a", "text"), "a").join(texts.toDF("b", "other_text"), "b").select("a", "b", "text", "other_text")
+    return settle_table(compared.mapInArrow(lambda it: _verified(it, width, similarity), "a long, b long"))
+
+
 def similar_groups(docs: DataFrame, width: int = 5, similarity: float = 0.8, radius: int = RADIUS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, tag, n, keep): distinct rows by id and text, how often each occurs, and whether it stays for its group.
 
-    Texts within ``radius`` bits of each other by their SimHash form a group. Groups meet further where SimHash is too
-    coarse for the similarity asked for: equal content-defined passages propose, for each representative, the texts
-    with the largest part of shared passages among those that have one of its passages (one proposal per passage, so
-    proposals are linear in the text), and exact Jaccard similarity of the word shingles decides. One row of each group stays: the
+    Groups are the components of all pairs of texts whose sets of word shingles have at least that Jaccard similarity;
+    every link is verified, and no pair is missed. Two similar sets have a shingle in common among the first
+    ``prefix_length`` of each, in any one order of all shingles; the common ones come last. A first round compares the sets
+    within ``radius`` bits of each other by their SimHash, and each set with one other for every such shingle; a second
+    one all that share a shingle and aren't in one group yet. One row of each group stays: the
     least id (null ids last), then the least tag. Null and wordless texts are one group.
     """
     rows = keyed_text(docs, id_col, text_col).select("doc_id", F.xxhash64("text").alias("tag"), "text")
     profile = settle_table(rows.mapInArrow(lambda it: _profiles(it, width), PROFILE))
-    near = components(link_values(settle(profile.select("fp").distinct()), radius))
-    small = profile.groupBy("doc_id", "tag").agg(F.count(F.lit(1)).alias("n"), F.first("fp").alias("fp"), F.first("words").alias("words"))
+    sets = settle_table(profile.select("set", "fp", "n", "sketch", "text").dropDuplicates(["set"]))
+    heads = settle(sets.groupBy("fp").agg(F.min("set").alias("head")))
+    links = link_values(heads.select("fp"), radius)
+    alike = sets.select("set", "fp").join(heads, "fp").select(F.col("set").alias("a"), F.col("head").alias("b"))
+    alike = alike.union(links.join(heads.toDF("a", "head_a"), "a").join(heads.toDF("b", "head_b"), "b").select("head_a", "head_b"))
+    common = common_shingles(sets, width)
+    prefixes = sets.select("set", "text").mapInArrow(lambda it: _prefixes(it, width, similarity, common), PREFIX)
+    by_key = Window.partitionBy("key")
+    shared = prefixes.withColumns({"least": F.min("set").over(by_key), "most": F.max("set").over(by_key)}).where("least <> most")
+    shared = settle_table(shared.select("key", "set", "n", "place", "least"))
+    close = similar_pairs(alike.union(shared.select("set", "least")), sets, width, similarity)
+    grouped = shared.drop("least").join(components(close).withColumnsRenamed({"node": "set", "root": "whole"}), "set", "left").withColumn("whole", F.coalesce("whole", "set"))
+    grouped = grouped.withColumns({"least": F.min("whole").over(by_key), "most": F.max("whole").over(by_key)}).where("least <> most")
+    grouped = settle_table(grouped.select("key", "set", "n", "place", "whole"))
+    a, b = grouped.alias("a"), grouped.alias("b")
+    both, ahead = F.col("a.n") + F.col("b.n"), F.least(F.col("a.n") - F.col("a.place"), F.col("b.n") - F.col("b.place"))
+    further = a.join(b, (F.col("a.key") == F.col("b.key")) & (F.col("a.set") < F.col("b.set")) & (F.col("a.whole") != F.col("b.whole")) & (ahead >= similarity / (1 + similarity) * both - 1e-6))
+    further = similar_pairs(further.select(F.col("a.set").alias("a"), F.col("b.set").alias("b")), sets, width, similarity)
+    joined = components(close.union(further))
+    small = profile.groupBy("doc_id", "tag").agg(F.count(F.lit(1)).alias("n"), F.first("set").alias("set"))
+    groups = settle_table(small.join(joined.select(F.col("node").alias("set"), F.col("root").alias("whole")), "set", "left").withColumn("whole", F.coalesce("whole", "set")))
     rank = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "tag")
-    small = settle_table(small.join(near, small.fp == near.node, "left").select("doc_id", "tag", "n", "words", F.coalesce("root", "fp").alias("root")))
-    heads = settle_table(small.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "tag", "words")).alias("h")).select("root", "h.doc_id", "h.tag", "h.words"))
-    same = lambda a, b: a["doc_id"].eqNullSafe(b["doc_id"]) & (a["tag"] == b["tag"])
-    # Passages of the representatives; how much of each text is shared makes originals central among their copies.
-    own = profile.select("doc_id", "tag", "passages").dropDuplicates(["doc_id", "tag"])
-    own = own.join(heads, same(own, heads)).select(heads["root"].alias("a"), heads["words"], "passages").select("a", "words", F.explode("passages").alias("p")).groupBy("a", "words", F.col("p.name").alias("name")).agg(F.sum("p.size").alias("size"))
-    shared = settle_table(own.join(own.groupBy("name").agg(F.count(F.lit(1)).alias("n")).where("n > 1").drop("n"), "name"))
-    central = shared.groupBy("a").agg((F.sum("size") / F.max("words")).alias("centrality"))
-    shared = shared.join(central, "a")
-    centre = shared.groupBy("name").agg(F.max(F.struct("centrality", (-F.col("a")).alias("order"), F.col("a").alias("b"), F.col("words").alias("b_words"))).alias("c"))
-    pairs = shared.join(centre.select("name", "c.b", "c.b_words"), "name").where("a <> b").groupBy("a", "b").agg(F.sum("size").alias("size"), F.max(F.greatest("words", "b_words")).alias("longest"))
-    pairs = settle_table(pairs.where(F.col("size") >= SHARED_PART * F.col("longest")).select("a", "b"))
-    needed = pairs.select("a").union(pairs.select("b")).distinct().join(heads.withColumnRenamed("root", "a"), "a")
-    texts = settle_table(rows.dropDuplicates(["doc_id", "tag"]).join(needed, rows["doc_id"].eqNullSafe(needed["doc_id"]) & (rows["tag"] == needed["tag"])).select("a", "text"))
-    compared = pairs.join(texts, "a").join(texts.withColumnsRenamed({"a": "b", "text": "central_text"}), "b").select("a", "b", "text", "central_text")
-    joined = components(compared.mapInArrow(lambda it: _verified(it, width, similarity), "a long, b long"))
-    groups = small.join(joined.select(F.col("node").alias("root"), F.col("root").alias("whole")), "root", "left").withColumn("whole", F.coalesce("whole", "root"))
     stays = groups.groupBy("whole").agg(F.min(rank).alias("stay"))
     return groups.join(stays, "whole").select("doc_id", "tag", "n", (F.col("doc_id").eqNullSafe(F.col("stay.doc_id")) & (F.col("tag") == F.col("stay.tag"))).alias("keep"))
 

@@ -84,3 +84,48 @@ def test_stages(spark, sf):
     assert ids["mixing"] <= ids["secrets"] and ids["packing"] == ids["mixing"]
     run = corpus_pipeline.run(spark, sf)
     assert sorted(map(tuple, run.drop("sequence_id", "offset", "start", "length", "ids_crc32").distinct().collect())) == sorted(map(tuple, after["packing"].drop("sequence_id", "offset", "start", "length", "ids_crc32").distinct().collect()))
+
+
+def grouped(spark, texts):
+    """What brute force keeps, and what ``keep_one`` keeps."""
+    data = [(i, t, "en", "s", len(t), "x", 1) for i, t in enumerate(texts)]
+    root = list(range(len(texts)))
+
+    def up(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for i, a in enumerate(texts):
+        for j in range(i):
+            if similarity(a, texts[j]) >= 0.8:
+                x, y = sorted((up(i), up(j)))
+                root[y] = x
+    return {up(i) for i in range(len(texts))}, {r.doc_id for r in simhash.keep_one(frame(spark, data)).collect()}
+
+
+def test_no_pair_is_missed_among_hubs_and_short_texts(spark):
+    rng = random.Random(11)
+    texts = []
+    for _ in range(8):
+        template = words(rng, 150, 5000)
+        texts += [f"{template} {words(rng, 12, 5000)}", f"{template} {words(rng, 12, 5000)}"]
+        texts.append(f"{template} {' '.join(words(rng, 150, 5000) for _ in range(4))}")
+    for _ in range(30):
+        short = words(rng, 12, 5000)
+        texts += [short, f"{short} more"]
+        copy = words(rng, 60, 5000).split()
+        edited = [*copy[:30], "edited", *copy[31:]]
+        texts += [" ".join(copy), " ".join(edited)]
+    want, got = grouped(spark, texts)
+    assert got == want and len(want) < len(texts) - 60
+
+
+def test_equal_fingerprints_are_verified(spark):
+    rng = random.Random(12)
+    line = " ".join(f"word{i}" for i in range(11))
+    texts = [f"{' '.join([line] * 1000)} {words(rng, 200, 5000)}" for _ in range(3)]
+    assert len({simhash.fingerprint(t, 5) for t in texts}) == 1
+    texts.append(f"{texts[2]} more")
+    want, got = grouped(spark, texts)
+    assert got == want == {0, 1, 2}
