@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from lodestone.llm.common import settle
+from lodestone.llm.common import settle, shuffle_partitions
 
 #: Fixed values of the contract: weights in turn, the mix's share of all sizes, and how often a source may be repeated.
 WEIGHTS = (3.0, 1.0, 2.0)
@@ -110,15 +110,16 @@ def mix_sources(docs: DataFrame, shards: int = 16, seed: int = 11, share: float
     rows = rows.join(blocks, ["sid", "block"]).withColumn("reached", F.col("before") + F.coalesce(F.sum("size").over(within), F.lit(0)))
     rows = rows.withColumn("part", F.greatest(F.lit(0), F.least(F.col("size"), F.col("partial") - F.col("reached"))))
     rows = settle(rows.select("doc_id", "source", "sid", "size", "salt", "source_size", "target", "passes", "part", "blocks", "rank"))
-    documents = rows.select("doc_id", "source", "size", "source_size", "target", (F.col("passes") * F.col("size") + F.col("part")).alias("taken"))
     # Quotas in blocks: whole passes draw all of a source's blocks, the partial pass those that it reaches.
     reached = dict(blocks.join(F.broadcast(plan), "sid").where("before < partial").groupBy("sid").count().collect())
     quotas = np.array([t[5] * t[4] + reached.get(t[1], 0) for t in table], np.int64)
     dealt = np.cumsum(split_quotas(quotas, shards, seed), axis=0)
     ends = F.broadcast(spark.createDataFrame([(i, dealt[:, i].tolist()) for i in range(len(table))], "sid int, ends array<long>"))  # sources x shards
-    draws = rows.withColumn("pass_no", F.explode(F.sequence(F.lit(0), F.col("passes")))).withColumn("words", F.when(F.col("pass_no") < F.col("passes"), F.col("size")).otherwise(F.col("part"))).where("words > 0").join(ends, "sid")
-    draw = F.col("pass_no") * F.col("blocks") + F.col("rank")
-    draws = draws.withColumn("shard", F.least(F.lit(shards - 1), F.size(F.filter("ends", lambda e: e <= draw))))
+    # Each document's draws, dealt to the shards by the quotas; only what a shard got is taken.
+    draw = lambda p: F.struct(p.alias("pass_no"), F.when(p < F.col("passes"), F.col("size")).otherwise(F.col("part")).alias("words"), F.size(F.filter("ends", lambda e: e <= p * F.col("blocks") + F.col("rank"))).alias("shard"))
+    dealt_rows = rows.join(ends, "sid").withColumn("dealt", F.filter(F.transform(F.sequence(F.lit(0), F.col("passes")), draw), lambda d: (d["words"] > 0) & (d["shard"] < shards)))
+    documents = dealt_rows.select("doc_id", "source", "size", "source_size", "target", F.aggregate("dealt", F.lit(0).cast("long"), lambda n, d: n + d["words"]).alias("taken"))
+    draws = dealt_rows.select("doc_id", "source", "salt", "size", F.inline("dealt"))
     return documents, draws.select("doc_id", "source", "salt", "size", "pass_no", "shard", "words", _digest(seed, "salt", "pass_no").alias("order_key"))
 
 
@@ -127,14 +128,14 @@ def write_mix(draws: DataFrame, path: str) -> None:
     draws.repartition("shard").sortWithinPartitions("shard", "order_key", "doc_id").write.partitionBy("shard").parquet(path)
 
 
-def take_mix(docs: DataFrame, **options) -> DataFrame:
+def take_mix(docs: DataFrame, shards: int = 16, **options) -> DataFrame:
     """The mix itself: each document as often as it is drawn, whole passes unchanged, a cut one reduced to its first words.
 
-    Has the columns of ``docs`` (which has doc_id, text and source; n_chars is renewed for cut texts). Documents that are never drawn go.
+    Partitions hold the shards in turn, each in its shuffled order; a shard may take several partitions. Has the columns of ``docs`` (which has doc_id, text and source; n_chars is renewed for cut texts). Documents that are never drawn go.
     """
     key, ordinal = F.coalesce(F.col("doc_id").cast("long"), F.lit(-1)), "__ordinal"
-    draws = mix_sources(docs, **options)[1]
-    draws = draws.select(F.coalesce("doc_id", F.lit(-1)).alias("__key"), F.col("salt").alias("__salt"), "pass_no", "words", F.col("size").alias("__size"))
+    draws = mix_sources(docs, shards=shards, **options)[1]
+    draws = draws.select(F.coalesce("doc_id", F.lit(-1)).alias("__key"), F.col("salt").alias("__salt"), "pass_no", "words", F.col("size").alias("__size"), F.col("shard").alias("__shard"), F.col("order_key").alias("__order"))
     # Rows that agree in id and text are told apart by their ordinal, so that each is joined to its own draws.
     counted = Window.partitionBy("__key", "__salt", "pass_no").orderBy(F.desc("words"))
     draws = draws.withColumn(ordinal, F.row_number().over(counted)).withColumnsRenamed({"words": "__words", "pass_no": "__pass"})
@@ -147,7 +148,11 @@ def take_mix(docs: DataFrame, **options) -> DataFrame:
     out = out.withColumn("text", F.when(cut, first).otherwise(F.col("text")))
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.when(cut, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
-    return out.select(*docs.columns)
+    # The order key is an even digest, so its first digits cut a shard into parts of like size that follow each other.
+    parts = max(1, shuffle_partitions(docs.sparkSession) // shards)
+    part = F.shiftright(F.conv(F.substr("__order", F.lit(1), F.lit(8)), 16, 10).cast("long") * parts, 32).cast("int")
+    out = out.repartitionById(shards * parts, F.col("__shard") * parts + part)
+    return out.sortWithinPartitions("__shard", "__order", "__key", "__pass").select(*docs.columns)
 
 
 #: What ``mix_sources`` returns first, without the column source, with its default parameters.

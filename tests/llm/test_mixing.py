@@ -67,3 +67,21 @@ def test_written_shards(spark, tmp_path):
     documents, draws = mixing.mix_sources(frame(spark), shards=3)
     mixing.write_mix(draws, str(tmp_path / "mix"))
     assert spark.read.parquet(str(tmp_path / "mix")).groupBy().sum("words").first()[0] == documents.groupBy().sum("taken").first()[0]
+
+
+def test_taken_is_what_the_quotas_deal(spark, monkeypatch):
+    documents, draws = mixing.mix_sources(frame(spark), shards=4)
+    total = documents.groupBy().sum("taken").first()[0]
+    last = draws.where("shard = 3").groupBy().sum("words").first()[0]
+    split = mixing.split_quotas
+    monkeypatch.setattr(mixing, "split_quotas", lambda quotas, shards, seed: split(quotas, shards, seed) * (1 if shards < 4 else np.array([[1], [1], [1], [0]])))
+    fewer = mixing.mix_sources(frame(spark), shards=4)[0].groupBy().sum("taken").first()[0]
+    assert last > 0 and fewer == total - last
+
+
+def test_mix_is_laid_out_by_shard_and_order(spark):
+    data = [(i, f"text{i} a b c", "en", f"s{i % 3}", 1, "x", 1) for i in range(900)]
+    drawn = mixing.mix_sources(frame(spark, data), shards=2)[1].orderBy("shard", "order_key", "doc_id").collect()
+    parts = mixing.take_mix(frame(spark, data), shards=2).select("doc_id").rdd.glom().collect()
+    assert len({r.shard for r in drawn}) == 2 and len(parts) == 4
+    assert [r.doc_id for p in parts for r in p] == [r.doc_id for r in drawn]
