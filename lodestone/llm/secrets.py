@@ -28,14 +28,14 @@ CLASSES = (
     ("base64", frozenset("0123456789abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ+/=_-"), 20, 4.0),
 )
 #: A candidate that matches one of these is no secret: words and numbers joined by dashes, one letter case only, digits only, placeholders.
-ALLOW = tuple(re.compile(p) for p in (r"[A-Za-z]?[a-z]+([_/=-]+[A-Za-z]?[a-z]*)*", r"[A-Z]+([_/=-]+[A-Z]*)*", r"[0-9_/=+-]+", r"[0-9a-fA-F]{8}(-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}", r"(?i).*(example|placeholder|x{6,}|lorem).*"))
+ALLOW = tuple(re.compile(p) for p in (r"[A-Za-z]?[a-z]++(?:[_/=-]++(?:[A-Z]?[a-z]++|[A-Z])?+)*+", r"[A-Z]++(?:[_/=-]++[A-Z]*+)*+", r"[0-9_/=+-]+", r"[0-9a-fA-F]{8}(-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}", r"(?i).*(example|placeholder|x{6,}|lorem).*"))
 
 
 def high_windows(text: str, window: int, least: float) -> Iterator[tuple[int, int]]:
     """Maximal ranges covered by windows of that many characters whose Shannon entropy is at least ``least`` bits."""
     if len(text) < window:
         return
-    term = [c * math.log2(c) if c else 0.0 for c in range(window + 1)]
+    term = [c * math.log2(c) if c else 0.0 for c in range(window + 2)]  # one more enters before one leaves
     counts: dict[str, int] = {}
     total, begun, end = 0.0, -1, -1
     for i, ch in enumerate(text):
