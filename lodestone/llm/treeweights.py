@@ -30,6 +30,7 @@ DEPTH = 5
 HELD_OUT = 10
 BLOCK_BYTES = 8 << 20
 SLICE_BYTES = 1 << 20
+SLICE_ROWS = (1 << 16) - 1
 BLOCKS_PER_SALT = 64
 WORD_BITS = 9
 GRAMS, WORDS = 0, 1
@@ -331,7 +332,8 @@ def _score_block(docs: pa.Table, replies: pa.Table, tokens: int, distinct: int,
         got[spaces[i]].append(unsqueeze(blobs[i], np.float32 if spaces[i] == GRAMS else np.float64))
     values = {s: np.concatenate(v) for s, v in got.items()}
     parts = []
-    for batch in slices(docs.select(["doc_id", "text"]).combine_chunks().to_batches(), limit=SLICE_BYTES):
+    whole = slices(docs.select(["doc_id", "text"]).combine_chunks().to_batches(), limit=SLICE_BYTES)
+    for batch in (b.slice(at, SLICE_ROWS) for b in whole for at in range(0, b.num_rows, SLICE_ROWS)):  # a text's number takes 16 bits
         part = Slice(column(batch, "text").to_pylist())
         pair = np.sort((part.keys << U(16)) | part.doc.astype(np.uint64))
         head = np.flatnonzero(np.append(True, pair[1:] != pair[:-1]))

@@ -116,3 +116,9 @@ def test_probabilities_sum_to_one():
 
 def test_empty_table(spark):
     assert tw.score_documents(frame(spark, [])).count() == 0
+
+
+def test_many_empty_texts_in_one_block(spark):
+    docs = spark.range(70_000).selectExpr("id as doc_id", "cast('' as string) as text").union(spark.createDataFrame([(70_000, "one two")], "doc_id long, text string")).coalesce(1)
+    got = tw.score_documents(docs).groupBy("n_tokens").count().collect()
+    assert {r.n_tokens: r["count"] for r in got} == {1: 70_000, 3: 1}
