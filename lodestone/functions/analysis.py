@@ -1,8 +1,8 @@
 """Turning text into terms, as plain column expressions.
 
 Terms are maximal runs of ASCII letters and digits, DEL and everything beyond ASCII; only ASCII letters are folded to
-upper case. Runs of more than 253 characters are cut there and lose the next character, and a value counts at most
-65,535 terms, on the document and the query side alike.
+upper case. Runs of more than 253 characters are cut there and lose the next character,
+on the document and the query side alike. All terms of a value count, unless a most is asked for.
 """
 
 from __future__ import annotations
@@ -40,12 +40,12 @@ def as_text(c: Column | str, kind: T.DataType) -> Column:
     return F.coalesce(c, F.lit(""))
 
 
-def tokens(c: Column | str) -> Column:
-    """The terms of a string in order; no terms for null."""
+def tokens(c: Column | str, most: int | None = MOST_TERMS) -> Column:
+    """The terms of a string in order, at most so many (None: all); no terms for null."""
     plain = F.array_remove(F.split(fold(F.coalesce(_col(c), F.lit(""))), SEPARATORS), "")
     cut = F.flatten(F.transform(plain, lambda t: F.when(F.length(t) > LONGEST_TERM, F.regexp_extract_all(t, F.lit(_CUT), F.lit(1))).otherwise(F.array(t))))
     whole = F.when(F.exists(plain, lambda t: F.length(t) > LONGEST_TERM), cut).otherwise(plain)
-    return F.slice(whole, 1, MOST_TERMS)
+    return whole if most is None else F.slice(whole, 1, most)
 
 
 def query_terms(text: str) -> list[str]:

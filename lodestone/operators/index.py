@@ -63,7 +63,7 @@ def search_columns(df: DataFrame, names: list[str]) -> list[str]:
 
 def field_tokens(df: DataFrame, id_col: str, fields: list[str]) -> DataFrame:
     """(field, doc_id, dl, terms): one row for each document and field; all fields in one pass over the table."""
-    each = F.array(*(F.struct(F.lit(f.upper()).alias("field"), tokens(as_text(f"`{f}`", df.schema[f].dataType)).alias("terms")) for f in fields))
+    each = F.array(*(F.struct(F.lit(f.upper()).alias("field"), tokens(as_text(f"`{f}`", df.schema[f].dataType), most=None).alias("terms")) for f in fields))
     rows = df.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.explode(each).alias("f"))
     return rows.select("f.field", "doc_id", F.size("f.terms").alias("dl"), "f.terms")
 

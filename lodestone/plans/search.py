@@ -169,7 +169,7 @@ def search(index: Index, texts: dict[str, str], k: int = 10, boosts: dict[str, f
 def batch(index: Index, queries: DataFrame, k: int = 10) -> DataFrame:
     """(query_id, doc_id, rank, score) for a table (query_id, field, text) of queries: all of them in one job, disjunctive BM25."""
     check_k(k)
-    asked = queries.select("query_id", F.upper("field").alias("field"), F.explode(tokens("text")).alias("term")).groupBy("query_id", "field", "term").agg(F.count(F.lit(1)).alias("times"))
+    asked = queries.select("query_id", F.upper("field").alias("field"), F.explode(tokens("text", most=None)).alias("term")).groupBy("query_id", "field", "term").agg(F.count(F.lit(1)).alias("times"))
     known = index.terms.join(F.broadcast(index.stats), "field")
     asked = asked.join(known, ["field", "term"]).select("query_id", "field", "term", "times", scoring.idf(F.col("n_docs"), F.col("df")).alias("weight"), "avg_dl")
     hits = index.postings.select("field", "term", "doc_id", "tf", "dl").join(asked, ["field", "term"])

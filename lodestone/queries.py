@@ -105,7 +105,7 @@ def q_tokenize_stats(spark, sf_dir):
 
 @query(f"SELECT item_id, generate_subscripts(t, 1) - 1 AS pos, unnest(t) AS term FROM (SELECT item_id, {terms_sql('text')} AS t FROM benchmark)")
 def q_token_positions(spark, sf_dir):
-    return table(spark, sf_dir, "benchmark").select("item_id", F.posexplode(tokens("text")).alias("pos", "term")).withColumn("pos", F.col("pos").cast("long"))
+    return table(spark, sf_dir, "benchmark").select("item_id", F.posexplode(tokens("text", most=None)).alias("pos", "term")).withColumn("pos", F.col("pos").cast("long"))
 
 
 @query(f"SELECT term, count(*) AS cf FROM (SELECT unnest({terms_sql('text')}) AS term FROM documents) WHERE octet_length(encode(term)) > length(term) GROUP BY term")
@@ -116,7 +116,7 @@ def q_casefold_ascii(spark, sf_dir):
 @query(f"""WITH long AS (SELECT item_id, replace({fold_sql('text')}, ' ', 'X') AS t FROM benchmark), toks AS (SELECT item_id, unnest(list_filter(regexp_split_to_array(t, '{_SEP}'), lambda x: x <> '')) AS term FROM long)
 SELECT item_id, length(part) AS len, count(*) AS n FROM (SELECT item_id, unnest(regexp_extract_all(term, '(?s)(.{{1,253}}).?', 1)) AS part FROM toks) GROUP BY ALL""")
 def q_long_token_split(spark, sf_dir):
-    rows = table(spark, sf_dir, "benchmark").select("item_id", F.explode(tokens(F.replace("text", F.lit(" "), F.lit("x")))).alias("part"))
+    rows = table(spark, sf_dir, "benchmark").select("item_id", F.explode(tokens(F.replace("text", F.lit(" "), F.lit("x")), most=None)).alias("part"))
     return rows.groupBy("item_id", F.length("part").cast("long").alias("len")).agg(F.count(F.lit(1)).alias("n"))
 
 

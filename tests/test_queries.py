@@ -48,3 +48,15 @@ def test_entry_stands_without_the_corpus_operators(tmp_path):
     code = "import __spark_entry__ as e; q = e.queries(); assert 'q_bm25_or_top10' in q and not any(k.startswith('op') for k in q); print(len(e.oracle_sql()))"
     out = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, capture_output=True, text=True, env=os.environ | {"PYTHONPATH": str(tmp_path)})
     assert out.returncode == 0 and int(out.stdout) == len(ORACLES), out.stderr
+
+
+def test_long_documents_match_sql(spark, tmp_path):
+    text = " ".join(f"t{i % 997}" for i in range(69_999)) + " last"
+    spark.createDataFrame([(1, text), (2, "t1 last word")], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    c = duckdb.connect()
+    c.sql(f"create view documents as select * from '{tmp_path}/documents.parquet/*.parquet'")
+    for name in ("q_tokenize_stats",):
+        df = QUERIES[name](spark, str(tmp_path))
+        rel = c.sql(ORACLES[name])
+        want = sorted((tuple(norm(r[rel.columns.index(n)]) for n in df.columns) for r in rel.fetchall()), key=str)
+        assert sorted((tuple(norm(v) for v in r) for r in df.collect()), key=str) == want and want
