@@ -27,6 +27,8 @@ CLASSES = (
     ("alnum", frozenset("0123456789abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ"), 20, 3.9),
     ("base64", frozenset("0123456789abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ+/=_-"), 20, 4.0),
 )
+#: Maximal runs of each class that fill its window; the lookbehind keeps a failed run from being tried from each of its characters.
+RUNS = tuple(re.compile(rf"(?<![{c}])[{c}]{{{w},}}") for c, w in (("".join(re.escape(x) for x in sorted(chars)), window) for _, chars, window, _ in CLASSES))
 #: A candidate that matches one of these is no secret: words and numbers joined by dashes, one letter case only, digits only, placeholders.
 ALLOW = tuple(re.compile(p) for p in (r"[A-Za-z]?[a-z]++(?:[_/=-]++(?:[A-Z]?[a-z]++|[A-Z])?+)*+", r"[A-Z]++(?:[_/=-]++[A-Z]*+)*+", r"[0-9_/=+-]+", r"[0-9a-fA-F]{8}(-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}", r"(?i).*(example|placeholder|x{6,}|lorem).*"))
 
@@ -59,15 +61,28 @@ def high_windows(text: str, window: int, least: float) -> Iterator[tuple[int, in
 
 
 def entropy_spans(text: str, allow: tuple[re.Pattern, ...] = ALLOW) -> list[tuple[int, int, str]]:
-    """(start, end, kind) of the high-entropy parts of candidate strings; each candidate counts for its narrowest class."""
+    """(start, end, kind) of the high-entropy parts of candidate strings.
+
+    Each maximal run of a class's characters is tested by that class's window and threshold, unless the allow-list takes
+    it. Spans that meet are merged and count for the narrowest class among them.
+    """
     found = []
     for m in CANDIDATE.finditer(text):
         word = m[0]
         if any(a.fullmatch(word) for a in allow):
             continue
-        chars = set(word)
-        name, _, window, least = next(c for c in CLASSES if chars <= c[1])
-        found += [(m.start() + a, m.start() + b, f"entropy_{name}") for a, b in high_windows(word, window, least)]
+        spans = []
+        for rank, ((_, _, window, least), run) in enumerate(zip(CLASSES, RUNS, strict=True)):
+            for r in run.finditer(word):
+                if r[0] == word or not any(a.fullmatch(r[0]) for a in allow):
+                    spans += [(r.start() + a, r.start() + b, rank) for a, b in high_windows(r[0], window, least)]
+        merged: list[list[int]] = []
+        for a, b, rank in sorted(spans):
+            if merged and a <= merged[-1][1]:
+                merged[-1] = [merged[-1][0], max(b, merged[-1][1]), min(rank, merged[-1][2])]
+            else:
+                merged.append([a, b, rank])
+        found += [(m.start() + a, m.start() + b, f"entropy_{CLASSES[rank][0]}") for a, b, rank in merged]
     return found
 
 

@@ -66,3 +66,14 @@ def test_allow_list_takes_rulers_and_slugs():
     for text in (f"Chapter{'=' * 5000}1", f"{'ab-' * 5000}1", f"{'AB_' * 5000}1", f"a{'-' * 5000}1"):
         secrets.secret_spans(text)
     assert time.process_time() - begun < 5
+
+
+def test_keys_glued_to_names():
+    rng = random.Random(7)
+    for glue in "=_/-+":
+        key = "".join(rng.choice("0123456789ABCDEF") for _ in range(64))
+        text = f"SESSION_KEY{glue}{key} and more"
+        covered = {x for a, b, _ in secrets.entropy_spans(text) for x in range(a, b)}
+        assert set(range(12, 12 + 64)) <= covered
+    assert secrets.entropy_spans("0123456789ABCDEF3B7C") == [(0, 20, "entropy_alnum")]
+    assert secrets.entropy_spans("Img_123456789012345678901234567890") == []
