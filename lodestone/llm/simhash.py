@@ -296,7 +296,8 @@ def similar_pairs(pairs: DataFrame, sets: DataFrame, width: int, similarity: flo
     apart = F.aggregate(F.zip_with("sketch", "b_sketch", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda x, y: x + y)
     both = F.col("n") + F.col("b_n")
     near = settle_table(near.where((F.least("n", "b_n") >= similarity * F.greatest("n", "b_n") - 1e-6) & (apart <= (1 - similarity) / (1 + similarity) * both + 1e-6)).select("a", "b"))
-    texts = sets.select("set", "text")
+    needed = settle_table(near.select("a").union(near.select("b")).distinct().toDF("set"))
+    texts = settle_table(sets.select("set", "text").join(needed, "set", "left_semi"))
     compared = near.join(texts.toDF("a", "text"), "a").join(texts.toDF("b", "other_text"), "b").select("a", "b", "text", "other_text")
     return settle_table(compared.mapInArrow(lambda it: _verified(it, width, similarity), "a long, b long"))
 
@@ -312,8 +313,9 @@ def similar_groups(docs: DataFrame, width: int = 5, similarity: float = 0.8, rad
     least id (null ids last), then the least tag. Null and wordless texts are one group.
     """
     rows = keyed_text(docs, id_col, text_col).select("doc_id", F.xxhash64("text").alias("tag"), "text")
-    profile = settle_table(rows.mapInArrow(lambda it: _profiles(it, width), PROFILE))
-    sets = settle_table(profile.select("set", "fp", "n", "sketch", "text").dropDuplicates(["set"]))
+    profile = settle_table(rows.mapInArrow(lambda it: _profiles(it, width), PROFILE).withColumn("row", F.monotonically_increasing_id()))
+    first = settle_table(profile.groupBy("set").agg(F.min("row").alias("row")).select("row"))
+    sets = settle_table(profile.join(first, "row", "left_semi").select("set", "fp", "n", "sketch", "text"))
     heads = settle(sets.groupBy("fp").agg(F.min("set").alias("head")))
     links = link_values(heads.select("fp"), radius)
     alike = sets.select("set", "fp").join(heads, "fp").select(F.col("set").alias("a"), F.col("head").alias("b"))
@@ -321,15 +323,17 @@ def similar_groups(docs: DataFrame, width: int = 5, similarity: float = 0.8, rad
     common = common_shingles(sets, width)
     prefixes = sets.select("set", "text").mapInArrow(lambda it: _prefixes(it, width, similarity, common), PREFIX)
     by_key = Window.partitionBy("key")
-    shared = prefixes.withColumns({"least": F.min("set").over(by_key), "most": F.max("set").over(by_key)}).where("least <> most")
+    shared = prefixes.withColumns({"least": F.min(F.struct("set", "n", "place")).over(by_key), "most": F.max("set").over(by_key)}).where("least.set <> most")
     shared = settle_table(shared.select("key", "set", "n", "place", "least"))
-    close = similar_pairs(alike.union(shared.select("set", "least")), sets, width, similarity)
-    grouped = shared.drop("least").join(components(close).withColumnsRenamed({"node": "set", "root": "whole"}), "set", "left").withColumn("whole", F.coalesce("whole", "set"))
+    fits = lambda n, place, m, at: F.least(n - place, m - at) >= similarity / (1 + similarity) * (n + m) - 1e-6
+    star = shared.where(fits(F.col("n"), F.col("place"), F.col("least.n"), F.col("least.place"))).select("set", "least.set")
+    close = similar_pairs(alike.union(star), sets, width, similarity)
+    known = settle_table(components(close)).withColumnsRenamed({"node": "set", "root": "whole"})
+    grouped = shared.drop("least").join(known, "set", "left").withColumn("whole", F.coalesce("whole", "set"))
     grouped = grouped.withColumns({"least": F.min("whole").over(by_key), "most": F.max("whole").over(by_key)}).where("least <> most")
     grouped = settle_table(grouped.select("key", "set", "n", "place", "whole"))
     a, b = grouped.alias("a"), grouped.alias("b")
-    both, ahead = F.col("a.n") + F.col("b.n"), F.least(F.col("a.n") - F.col("a.place"), F.col("b.n") - F.col("b.place"))
-    further = a.join(b, (F.col("a.key") == F.col("b.key")) & (F.col("a.set") < F.col("b.set")) & (F.col("a.whole") != F.col("b.whole")) & (ahead >= similarity / (1 + similarity) * both - 1e-6))
+    further = a.join(b, (F.col("a.key") == F.col("b.key")) & (F.col("a.set") < F.col("b.set")) & (F.col("a.whole") != F.col("b.whole")) & fits(*(F.col(c) for c in ("a.n", "a.place", "b.n", "b.place"))))
     further = similar_pairs(further.select(F.col("a.set").alias("a"), F.col("b.set").alias("b")), sets, width, similarity)
     joined = components(close.union(further))
     small = profile.groupBy("doc_id", "tag").agg(F.count(F.lit(1)).alias("n"), F.first("set").alias("set"))
