@@ -1,19 +1,21 @@
 """Removal of long repeated strings by a distributed, sampled suffix array.
 
-Every 200-byte window holds one sample point that depends on its bytes alone: the start of the least of its 64-byte names
-(leftmost on ties). Equal windows have equal sample points, so only the suffixes that start there are sorted. A suffix's
-leading tokens are names: first of the 64 bytes at the sample point, then of the whole stretch of text whose windows
-share that point.
-
-Suffixes are range-partitioned by splitters taken from a sample (about one document in 32), so that every bucket is
-small whatever the keys' frequencies: a token that fills several buckets is split by its second token, and equal suffixes
-that fill several are spread over them. A bucket sorts its suffixes by multikey quicksort and compares neighbours; what
-its first and last groups hold goes to the driver (a few rows per bucket), where groups that cross boundaries are compared.
-
-Suffixes with an equal second token repeat as a whole. Of those that share only the first token, one stretch of text for
-each distinct second token meets the others by the first token, and their windows are compared there. A first token that
-has more than MOST_STRETCHES of them isn't gathered: its windows become suffixes of their own and
-pass through the same sort. Names have 2 x 64 bits.
+Every 200-byte window holds one sample point that depends on its bytes alone: where its 64-byte string of least name
+starts (leftmost on ties). Equal windows have their sample point at the same place, so only the suffixes that start at
+sample points are sorted. A suffix's tokens are its leading bytes, eight to a token, then the name of its first 64 bytes,
+then that of the whole stretch of text whose windows share the point.
+
+Suffixes are range-partitioned by splitters taken from a sorted sample (about one document in 32), which compare all
+tokens, so that every bucket is small whatever is frequent: equal leading tokens are split by later ones, and wholly equal
+suffixes that fill several buckets are spread over them. A bucket sorts its suffixes by multikey quicksort and compares
+neighbours. Groups at its ends, which may go on in the next bucket, leave notes; the notes of all buckets are compared as
+a table of their own and answer the rows at the boundaries, bucket by bucket.
+
+Suffixes that agree in all tokens repeat as a whole. Of those that share the first 64 bytes only, one stretch for each
+distinct last token meets the others, and there bytes decide: the stretches are sorted by what follows the sample point
+and, reversed, by what precedes it, neighbours' common prefixes are counted, and a window repeats if some other stretch
+shares enough bytes on both sides. A string of 64 bytes that has more than MOST_STRETCHES of them isn't gathered: its
+windows become suffixes of their own and pass through the same sort.
 
 Texts are shuffled once; only the texts that have such stretches wait for the second comparison.
 """
@@ -25,21 +27,27 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import RollingHash, U, column, keyed_text, mix, settle_table, shuffle_partitions, slices, utf8
+from lodestone.llm.common import RollingHash, U, column, keyed_text, settle_table, shuffle_partitions, slices, utf8
 
 WIDTH = 200
 NAME = 64
-BUCKET_ROWS = 150_000
+#: Suffixes in a bucket, and how many buckets there are at most: a splitter takes 48 bytes in every task.
+BUCKET_ROWS, MOST_BUCKETS = 1 << 18, 1 << 20
 SAMPLE = 32
-#: Stretches with one first token that are compared together, and bytes of stretches in a group of tokens.
+#: Stretches of one first string that are compared together, and bytes of stretches in a group of such strings.
 MOST_STRETCHES = 16_384
 GROUP_BYTES = 2 << 20
+#: Bytes of one long text that numpy holds at a time.
+PIECE = 4 << 20
 #: Stands for a null id in keys; tags tell such rows from rows that have this id.
 NO_ID = -(2**63)
 _PLACE = 30  # bits for a place in one slice of text
+LEAD = 4
+KEYS = [*(f"t{i}" for i in range(LEAD)), "name", "rest"]
 
 
 def sliding_least(values: np.ndarray, width: int) -> np.ndarray:
@@ -56,153 +64,184 @@ def sliding_least(values: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(back[:n], ahead[width - 1 : width - 1 + n])
 
 
+def leading_tokens(raw: np.ndarray, at: np.ndarray) -> list[np.ndarray]:
+    """The first LEAD tokens of the suffixes at these places, as signed numbers in the order of their bytes."""
+    words = raw[at[:, None] + np.arange(8 * LEAD)].view(">u8").astype(np.uint64)
+    return [np.ascontiguousarray(w).view(np.int64) ^ np.int64(NO_ID) for w in words.T]
+
+
+def stretch_names(raw: np.ndarray, start: np.ndarray, end: np.ndarray, left: np.ndarray) -> np.ndarray:
+    """Names of byte ranges, together with where the sample point lies in them."""
+    data, digest = memoryview(raw.tobytes()), xxhash.xxh3_64_intdigest
+    return np.fromiter((digest(data[a:b], s) for a, b, s in zip(start.tolist(), end.tolist(), left.tolist(), strict=True)), np.uint64, len(start)).view(np.int64)
+
+
 def sample_points(raw: np.ndarray, offsets: np.ndarray, width: int = WIDTH, name: int = NAME) -> dict[str, np.ndarray]:
-    """Runs of windows that share a sample point: document, first window's start in it, windows, and the two names."""
-    keys = ("doc", "start", "count", "first", "second")
-    ends = offsets[1:]
-    if len(raw) < width:
-        return {k: np.zeros(0, np.uint64 if k in keys[3:] else np.int64) for k in keys}
-    one, two = RollingHash(raw, 0), RollingHash(raw, 1)
-    names = one.windows(name)
+    """Runs of windows that share a sample point: document, first window's start in it, windows, the point's place in the first one, and the tokens."""
+    plain = ("doc", "start", "count", "left")
+    windows = np.arange(max(0, len(raw) - width + 1))
+    of = np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))[: len(windows)]
+    whole = windows + width <= offsets[1:][of]
+    if not whole.any():
+        return {k: np.zeros(0, np.int64) for k in (*plain, *KEYS)}
+    names = RollingHash(raw).windows(name)
     place = np.arange(len(names), dtype=np.uint64)
     point = (sliding_least(names >> U(_PLACE) << U(_PLACE) | place, width - name + 1) & U((1 << _PLACE) - 1)).astype(np.int64)
-    windows = np.arange(len(point))
-    of = np.repeat(np.arange(len(ends)), np.diff(offsets))[: len(point)]
-    whole = windows + width <= ends[of]
     windows, point, of = windows[whole], point[whole], of[whole]
-    if not len(windows):
-        return sample_points(raw[:0], np.zeros(1, np.int64), width, name)
-    head = np.empty(len(windows), bool)
-    head[0] = True
-    head[1:] = (point[1:] != point[:-1]) | (of[1:] != of[:-1])
+    head = np.append(True, (point[1:] != point[:-1]) | (of[1:] != of[:-1]))
     at = np.flatnonzero(head)
     count = np.diff(at, append=len(windows))
     start, where = windows[at], point[at]
-    second = mix(two.ranges(start, start + count - 1 + width) ^ mix((where - start).astype(np.uint64) + U(1)))
-    return {"doc": of[at], "start": start - offsets[:-1][of[at]], "count": count, "first": names[where], "second": second}
-
-
-def multikey_order(first: np.ndarray, second: np.ndarray) -> np.ndarray:
-    """The order by first and then second key; only ties of the first are looked at again."""
-    order = np.argsort(first, kind="quicksort")
-    k = first[order]
-    tied = np.zeros(len(k), bool)
-    same = k[1:] == k[:-1]
-    tied[1:] |= same
-    tied[:-1] |= same
-    if tied.any():
+    values = [of[at], start - offsets[:-1][of[at]], count, where - start, *leading_tokens(raw, where), names[where].view(np.int64), stretch_names(raw, start, start + count - 1 + width, where - start)]
+    return dict(zip((*plain, *KEYS), values, strict=True))
+
+
+def multikey_order(tokens: list[np.ndarray]) -> np.ndarray:
+    """The order by the first token, then the next; each token is looked at only where all before it are tied."""
+    order = np.argsort(tokens[0], kind="quicksort")
+    same = np.diff(tokens[0][order]) == 0
+    for token in tokens[1:]:
+        if not same.any():
+            break
+        tied = np.flatnonzero(np.append(False, same) | np.append(same, False))
+        group = np.cumsum(~np.append(False, same)[tied])
         sub = order[tied]
-        order[tied] = sub[np.lexsort((second[sub], first[sub]))]
+        sub = sub[np.lexsort((token[sub], group))]
+        order[tied] = sub
+        same[tied[1:] - 1] = (np.diff(tied) == 1) & (np.diff(group) == 0) & (np.diff(token[sub]) == 0)
     return order
 
 
-def leading(first: np.ndarray, second: np.ndarray) -> np.ndarray:
-    """A signed 64-bit key in the order of the leading halves of both tokens."""
-    return ((first & U(0xFFFFFFFF00000000)) | (second >> U(32))).view(np.int64) ^ np.int64(-(2**63))
+def as_strings(keys: list[np.ndarray]) -> np.ndarray:
+    """All tokens of each suffix as one byte string in the same order."""
+    wide = np.column_stack([(np.ascontiguousarray(k) ^ np.int64(NO_ID)).view(np.uint64) for k in keys]).astype(">u8")
+    return wide.view(f"S{8 * len(keys)}").reshape(-1)
+
 
+def place_in_buckets(keys: list[np.ndarray], splitters: np.ndarray) -> np.ndarray:
+    """The bucket of each suffix, ``splitters`` being rows of tokens; those equal to several splitters are spread over the buckets between them."""
+    low, high = np.searchsorted(splitters[:, 0], keys[0], "left"), np.searchsorted(splitters[:, 0], keys[0], "right")
+    tied = np.flatnonzero(low < high)
+    if len(tied):
+        own, cuts = as_strings([k[tied] for k in keys]), as_strings(list(splitters.T))
+        low[tied], high = np.searchsorted(cuts, own, "left"), np.searchsorted(cuts, own, "right")
+        low[tied] += np.arange(len(tied)) % (high - low[tied] + 1)
+    return low
 
-def place_in_buckets(first: np.ndarray, second: np.ndarray, splitters: np.ndarray) -> np.ndarray:
-    """The bucket of each suffix; those equal to several splitters are spread over the buckets between them."""
-    key = leading(first, second)
-    low, high = np.searchsorted(splitters, key, "left"), np.searchsorted(splitters, key, "right")
-    spread = mix(np.arange(len(key), dtype=np.uint64) + first)
-    return low + (spread % (high - low + 1).astype(np.uint64)).astype(np.int64)
 
+_POINTS = ["bucket", *KEYS, "doc_id", "tag", "start", "count", "left"]
+POINTS = "bucket int, " + "".join(f"{k} long, " for k in KEYS) + "doc_id long, tag long, start int, count int, left int"
+KEY_ROWS = ", ".join(f"{k} long" for k in KEYS)
 
-def _points(batches: Iterator[pa.RecordBatch], splitters: np.ndarray | None) -> Iterator[pa.RecordBatch]:
+
+def _points(batches: Iterator[pa.RecordBatch], splitters: np.ndarray | None, width: int) -> Iterator[pa.RecordBatch]:
     for batch in slices(batches, limit=1 << 20):
-        p = sample_points(*utf8(column(batch, "text")))
-        if splitters is None:
-            yield pa.RecordBatch.from_arrays([pa.array(leading(p["first"], p["second"]))], ["key"])
-            continue
-        rows = pa.array(p["doc"])
-        yield pa.RecordBatch.from_arrays([
-            pa.array(place_in_buckets(p["first"], p["second"], splitters).astype(np.int32)), pa.array(p["first"].view(np.int64)), pa.array(p["second"].view(np.int64)),
-            column(batch, "doc_id").take(rows), column(batch, "tag").take(rows), pa.array(p["start"].astype(np.int32)), pa.array(p["count"].astype(np.int32)),
-        ], _POINTS)
+        raw, offsets = utf8(column(batch, "text"))
+        for at in range(0, max(1, len(raw)), PIECE) if batch.num_rows == 1 else (0,):
+            end = min(len(raw), at + PIECE + width - 1) if batch.num_rows == 1 else len(raw)
+            p = sample_points(raw[at:end], np.array([0, end - at]) if batch.num_rows == 1 else offsets, width)
+            if splitters is None:
+                yield pa.RecordBatch.from_arrays([pa.array(p[k]) for k in KEYS], KEYS)
+                continue
+            rows = pa.array(p["doc"])
+            bucket = place_in_buckets([p[k] for k in KEYS], splitters)
+            small = [pa.array(x.astype(np.int32)) for x in (bucket, p["start"] + at, p["count"], p["left"])]
+            yield pa.RecordBatch.from_arrays([small[0], *(pa.array(p[k]) for k in KEYS), column(batch, "doc_id").take(rows), column(batch, "tag").take(rows), *small[1:]], _POINTS)
 
 
-_POINTS = ["bucket", "first", "second", "doc_id", "tag", "start", "count"]
-POINTS = "bucket int, first long, second long, doc_id long, tag long, start int, count int"
-#: kind 0: a suffix that repeats, may repeat or shares its first token; 1: a first token at a boundary with its least and greatest second and how many; 2: a whole suffix at a boundary and its count.
-COMPARED = "kind int, first long, second long, other long, doc_id long, tag long, start int, count int, whole boolean, partly boolean, lead boolean, hot boolean"
+#: kind 0: a suffix that repeats, may repeat or shares its first 64 bytes; 1: a group at a boundary with its least and greatest last token and how many; 2: a whole suffix at a boundary and how often.
+COMPARED = "kind int, bucket int, name long, rest long, other long, doc_id long, tag long, start int, count int, left int, whole boolean, partly boolean, lead boolean, hot boolean, edge boolean"
 
 
 def compare_bucket(table: dict[str, np.ndarray], splitters: np.ndarray, most: int) -> dict[str, np.ndarray]:
-    """Sort one bucket and mark whole repeats, shared first tokens and each distinct suffix's first row."""
-    first, second = table["first"].view(np.uint64), table["second"].view(np.uint64)
-    order = multikey_order(first, second)
-    f, s = first[order], second[order]
-    new_f = np.append(True, f[1:] != f[:-1])
-    new_s = new_f | np.append(True, s[1:] != s[:-1])
+    """Sort one bucket and mark whole repeats, shared first strings and each distinct suffix's first row."""
+    order = multikey_order([table[k] for k in KEYS])
+    keys = np.column_stack([table[k][order] for k in KEYS])
+    new = np.vstack([np.ones(len(KEYS), bool), keys[1:] != keys[:-1]])
+    new_f, new_s = new[:, :-1].any(axis=1), new.any(axis=1)
     suffix, group = np.cumsum(new_s) - 1, np.cumsum(new_f) - 1
     counts = np.bincount(suffix)
     distinct = np.bincount(group[new_s])
     bucket = int(table["bucket"][0])
-    edges = np.array([splitters[i] for i in (bucket - 1, bucket) if 0 <= i < len(splitters)], np.int64)
-    key = leading(f, s)
-    edge_f, edge_s = np.isin(key >> 32, edges >> 32), np.isin(key, edges)
+    edge_f, edge_s = np.zeros((2, len(order)), bool)
+    for i in (bucket - 1, bucket):
+        if 0 <= i < len(splitters):
+            like = keys == splitters[i]
+            edge_f |= like[:, :-1].all(axis=1)
+            edge_s |= like.all(axis=1)
     whole, partly = counts[suffix] > 1, distinct[group] > 1
     kept = np.flatnonzero(whole | partly | edge_f)
-    rows = {"kind": np.zeros(len(kept), np.int32), "first": f[kept], "second": s[kept], "other": np.zeros(len(kept), np.uint64), "whole": whole[kept], "partly": partly[kept], "lead": new_s[kept], "hot": (edge_f | (distinct[group] > most))[kept]}
-    rows |= {c: table[c][order][kept] for c in ("doc_id", "tag", "start", "count")}
+    name, rest = keys[:, -2], keys[:, -1]
+    rows = {"kind": np.zeros(len(kept), np.int32), "name": name[kept], "rest": np.where(edge_f, rest, 0)[kept], "other": np.zeros(len(kept), np.int64)}
+    rows |= {"whole": whole[kept], "partly": partly[kept], "lead": new_s[kept], "hot": (distinct[group] > most)[kept], "edge": edge_f[kept]}
+    rows |= {c: table[c][order][kept] for c in ("doc_id", "tag", "start", "count", "left")}
     begin = np.flatnonzero(new_f)
-    last = np.append(begin[1:], len(f)) - 1
+    last = np.append(begin[1:], len(order)) - 1
     g = np.flatnonzero(edge_f[begin])
     p = np.flatnonzero(new_s & edge_s)
-    notes = {"kind": np.repeat(np.array([1, 2], np.int32), [len(g), len(p)]), "first": np.concatenate([f[begin[g]], f[p]]), "second": np.concatenate([s[begin[g]], s[p]]), "other": np.concatenate([s[last[g]], counts[suffix[p]].astype(np.uint64)])}
     n = len(g) + len(p)
-    notes |= {c: np.zeros(n, rows[c].dtype) for c in ("doc_id", "tag", "start", "count", "whole", "partly", "lead", "hot")}
-    notes["count"][: len(g)] = distinct[g]
-    return {c: np.concatenate([rows[c], notes[c]]) for c in rows}
+    notes = {c: np.zeros(n, x.dtype) for c, x in rows.items()}
+    notes |= {"kind": np.repeat(np.array([1, 2], np.int32), [len(g), len(p)]), "name": np.concatenate([name[begin[g]], name[p]]), "rest": np.concatenate([rest[begin[g]], rest[p]]), "other": np.concatenate([rest[last[g]], rest[p]])}
+    notes["count"] = np.concatenate([distinct[g], counts[suffix[p]]]).astype(np.int32)
+    out = {c: np.concatenate([rows[c], notes[c]]) for c in rows}
+    return out | {"bucket": np.full(len(out["kind"]), bucket, np.int32)}
 
 
 def _compared(splitters: np.ndarray, most: int):
     def one(table: pa.Table) -> pa.Table:
         got = compare_bucket({c: np.asarray(table.column(c)) for c in table.column_names}, splitters, most)
         names = [x.split()[0] for x in COMPARED.split(", ")]
-        return pa.table([pa.array(got[c].view(np.int64) if got[c].dtype == np.uint64 else got[c]) for c in names], names)
+        return pa.table([pa.array(got[c]) for c in names], names)
 
     return one
 
 
+def _every(batches: Iterator[pa.RecordBatch], stride: int) -> Iterator[pa.RecordBatch]:
+    seen = -(stride // 2)
+    for batch in batches:
+        picks = np.arange(-seen % stride, batch.num_rows, stride)
+        seen += batch.num_rows
+        yield batch.take(pa.array(picks))
+
+
 def choose_splitters(sample: DataFrame, scale: int) -> np.ndarray:
-    """Splitters for buckets of about BUCKET_ROWS, from a settled sample of keys that stands for ``scale`` times as many."""
-    n = sample.count() * scale
-    buckets = max(1, -(-n // BUCKET_ROWS))
-    if buckets == 1:
-        return np.zeros(0, np.int64)
-    at = sample.agg(F.percentile_approx("key", [i / buckets for i in range(1, buckets)], 20 * buckets)).first()[0]
-    return np.array(at, np.int64)
+    """Splitters, as rows of tokens, from a settled sample of suffixes that stands for ``scale`` times as many.
+
+    There is a bucket for each BUCKET_ROWS suffixes, at least two for each shuffle partition and at most MOST_BUCKETS; the
+    sample is sorted as a table and only the splitters come to the driver.
+    """
+    n = sample.count()
+    buckets = min(MOST_BUCKETS, n, max(-(-n * scale // BUCKET_ROWS), 2 * shuffle_partitions(sample.sparkSession)))
+    if buckets < 2:
+        return np.zeros((0, len(KEYS)), np.int64)
+    parts, stride = -(-buckets // 8), -(-n // buckets)
+    ordered = sample.repartitionByRange(parts, *KEYS).sortWithinPartitions(*KEYS)
+    picked = ordered.mapInArrow(lambda it: _every(it, stride), KEY_ROWS).toArrow()
+    rows = [np.asarray(picked.column(k)) for k in KEYS]
+    return np.column_stack(rows)[np.lexsort(rows[::-1])]
 
 
 def mark_repeats(points: DataFrame, splitters: np.ndarray) -> DataFrame:
-    """Of suffixes that lie in buckets, those that repeat: first, second, doc_id, tag, start, count, whole, partly, lead, hot."""
-    spark = points.sparkSession
-    parts = max(shuffle_partitions(spark), -(-(len(splitters) + 1) // 2))
-    found = settle_table(points.repartition(parts, "bucket").groupBy("bucket").applyInArrow(_compared(splitters, MOST_STRETCHES), COMPARED))
+    """Of suffixes that lie in buckets, those that repeat: name, doc_id, tag, start, count, left, whole, partly, lead, hot."""
+    buckets = len(splitters) + 1
+    parts = min(buckets, max(shuffle_partitions(points.sparkSession), buckets // 64))
+    dealt = points.withColumn("part", F.floor(F.col("bucket") * F.lit(parts) / F.lit(buckets)).cast("int")).repartitionById(parts, F.col("part"))
+    found = settle_table(dealt.groupBy("part", "bucket").applyInArrow(_compared(splitters, MOST_STRETCHES), COMPARED))
     rows = found.where("kind = 0").drop("kind", "other")
-    notes = found.where("kind > 0").select("kind", "first", "second", "other", "count").collect()  # a few for each bucket
-    least: dict[int, set[int]] = {}
-    total: dict[tuple[int, int], int] = {}
-    sizes: dict[int, int] = {}
-    for kind, first, second, other, count in notes:
-        if kind == 1:
-            sizes[first] = sizes.get(first, 0) + count
-            least.setdefault(first, set()).update((second, other))
-        else:
-            total[first, second] = total.get((first, second), 0) + other
-    shared = [(f, len(s) > 1, sizes[f] > MOST_STRETCHES) for f, s in least.items()]
-    again = [(*p, True) for p, n in total.items() if n > 1]
-    if shared:
-        rows = rows.join(F.broadcast(spark.createDataFrame(shared, "first long, shared boolean, many boolean")), "first", "left").withColumns({"partly": F.col("partly") | F.coalesce("shared", F.lit(False)), "hot": F.coalesce("many", "hot")}).drop("shared", "many")
-    if again:
-        rows = rows.join(F.broadcast(spark.createDataFrame(again, "first long, second long, again boolean")), ["first", "second"], "left").withColumn("whole", F.col("whole") | F.coalesce("again", F.lit(False))).drop("again")
-    return rows.where("whole or partly")
+    if buckets > 1:  # what lies at a boundary asks the notes, each bucket for itself
+        groups, wholes = found.where("kind = 1"), found.where("kind = 2")
+        shared = groups.groupBy("name").agg((F.min("rest") != F.max("other")).alias("shared"), (F.sum("count") > MOST_STRETCHES).alias("many"))
+        again = wholes.groupBy("name", "rest").agg((F.sum("count") > 1).alias("again")).where("again")
+        shared = groups.select("bucket", "name").distinct().join(shared, "name")
+        again = wholes.select("bucket", "name", "rest").distinct().join(again, ["name", "rest"])
+        edge = rows.where("edge").join(shared, ["bucket", "name"], "left").join(again, ["bucket", "name", "rest"], "left")
+        edge = edge.withColumns({"partly": F.col("partly") | F.coalesce("shared", F.lit(False)), "hot": F.coalesce("many", "hot"), "whole": F.col("whole") | F.coalesce("again", F.lit(False))})
+        rows = rows.where("not edge").unionByName(edge.select(*rows.columns))
+    return rows.where("whole or partly").drop("bucket", "rest", "edge")
 
 
 DIGEST = "n_bytes long, n_removed long, n_spans long, kept_sha256 string"
-RESOLVED = f"kind int, doc_id long, tag long, {DIGEST}, text binary, runs binary, first long, second long, start int"
+RESOLVED = f"kind int, doc_id long, tag long, {DIGEST}, text binary, runs binary, start int, left int, {KEY_ROWS}"
 
 
 def digest(text: bytes, starts: np.ndarray, ends: np.ndarray) -> tuple[int, int, int, str, bytes]:
@@ -217,64 +256,116 @@ def digest(text: bytes, starts: np.ndarray, ends: np.ndarray) -> tuple[int, int,
     return len(text), len(text) - len(kept), int((np.diff(gone.astype(np.int8), prepend=np.int8(0)) == 1).sum()), hashlib.sha256(kept).hexdigest(), kept
 
 
+def _nulls(schema: str, n: int, **given: pa.Array) -> pa.RecordBatch:
+    kinds = {"int": pa.int32(), "long": pa.int64(), "string": pa.string(), "binary": pa.binary()}
+    fields = [x.split() for x in schema.split(", ")]
+    return pa.RecordBatch.from_arrays([given[c] if c in given else pa.nulls(n, kinds[k]) for c, k in fields], [c for c, _ in fields])
+
+
 def _resolve(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
     """Finished documents (kind 0), documents that wait (1), and the stretches (2) and windows (3) they wait for."""
-    names = [x.split()[0] for x in RESOLVED.split(", ")]
     for batch in slices(batches, limit=1 << 20):
-        out: dict[str, list] = {c: [] for c in names}
-        stretches: list[tuple[int, int, bytes, int, int]] = []
-        windows: list[tuple[int, int, np.ndarray, np.ndarray, np.ndarray]] = []
+        done, waiting, stretches = [], [], []
         for doc_id, tag, text, found in zip(column(batch, "doc_id").to_pylist(), column(batch, "tag").to_pylist(), column(batch, "text").cast(pa.binary()).to_pylist(), column(batch, "found"), strict=True):
             runs = np.zeros((0, 2), np.int64)
             waits = False
             key = NO_ID if doc_id is None else doc_id
             if found.is_valid:
-                start, count, first, whole, open_, hot = (np.asarray(x.to_numpy(zero_copy_only=False)) for x in found.values.flatten())
+                start, count, left, name, whole, open_, hot = (np.asarray(x.to_numpy(zero_copy_only=False)) for x in found.values.flatten())
                 runs = np.column_stack([start, start + count - 1 + width])[whole].astype(np.int64)
                 waits = bool(open_.any())
                 cold = open_ & ~hot
-                stretches += [(key, tag, text[a : a + n - 1 + width], f, a) for a, n, f in zip(start[cold].tolist(), count[cold].tolist(), first[cold].tolist(), strict=True)]
-                if (open_ & hot).any():
-                    at = np.concatenate([np.arange(a, a + n) for a, n in zip(start[open_ & hot].tolist(), count[open_ & hot].tolist(), strict=True)])
-                    raw = np.frombuffer(text, np.uint8)
-                    pair = [RollingHash(raw, k).ranges(at, at + width).view(np.int64) for k in (0, 1)]
-                    windows.append((key, tag, at.astype(np.int32), *pair))
-            row = (1, doc_id, tag, *[None] * 4, text, runs.tobytes()) if waits else (0, doc_id, tag, *digest(text, runs[:, 0], runs[:, 1])[:4], None, None)
-            for c, x in zip(names, (*row, None, None, None), strict=True):
-                out[c].append(x)
-        kinds = [pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary(), pa.binary(), pa.int64(), pa.int64(), pa.int32()]
-        yield pa.RecordBatch.from_arrays([pa.array(out[c], k) for c, k in zip(names, kinds, strict=True)], names)
+                stretches += [(key, tag, text[a : a + n - 1 + width], a, s, f) for a, n, s, f in zip(start[cold].tolist(), count[cold].tolist(), left[cold].tolist(), name[cold].tolist(), strict=True)]
+                yield from _window_rows(key, tag, np.frombuffer(text, np.uint8), start[open_ & hot], count[open_ & hot], width)
+            if waits:
+                waiting.append((doc_id, tag, text, runs.tobytes()))
+            else:
+                done.append((doc_id, tag, *digest(text, runs[:, 0], runs[:, 1])[:4]))
+        columns = lambda rows, *kinds: (pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True))
+        long, kind = pa.int64(), lambda n, k: pa.array(np.full(n, k, np.int32))
+        if done:
+            given = dict(zip(("doc_id", "tag", "n_bytes", "n_removed", "n_spans", "kept_sha256"), columns(done, long, long, long, long, long, pa.string()), strict=True))
+            yield _nulls(RESOLVED, len(done), kind=kind(len(done), 0), **given)
+        if waiting:
+            given = dict(zip(("doc_id", "tag", "text", "runs"), columns(waiting, long, long, pa.binary(), pa.binary()), strict=True))
+            yield _nulls(RESOLVED, len(waiting), kind=kind(len(waiting), 1), **given)
         if stretches:
-            n = len(stretches)
-            key, tag, text, first, start = zip(*stretches, strict=True)
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(n, 2, np.int32)), pa.array(key, pa.int64()), pa.array(tag, pa.int64()), *(pa.nulls(n, k) for k in kinds[3:7]), pa.array(text, pa.binary()), pa.nulls(n, pa.binary()), pa.array(first, pa.int64()), pa.nulls(n, pa.int64()), pa.array(start, pa.int32())], names)
-        if windows:
-            n = sum(len(w[2]) for w in windows)
-            each = [pa.array(np.full(n, 3, np.int32)), *(pa.array([w[i] for w in windows], pa.int64()).take(pa.array(np.repeat(np.arange(len(windows)), [len(w[2]) for w in windows]))) for i in (0, 1))]
-            last = [pa.array(np.concatenate([w[i] for w in windows])) for i in (3, 4, 2)]
-            yield pa.RecordBatch.from_arrays([*each, *(pa.nulls(n, k) for k in kinds[3:9]), *last], names)
+            given = dict(zip(("doc_id", "tag", "text", "start", "left", "name"), columns(stretches, long, long, pa.binary(), pa.int32(), pa.int32(), long), strict=True))
+            yield _nulls(RESOLVED, len(stretches), kind=kind(len(stretches), 2), **given)
+
+
+def _window_rows(key: int, tag: int, raw: np.ndarray, start: np.ndarray, count: np.ndarray, width: int) -> Iterator[pa.RecordBatch]:
+    """Each window of these stretches as a suffix of its own."""
+    order = np.argsort(start)
+    start, count = start[order], count[order]
+    at = np.repeat(start - (np.cumsum(count) - count), count) + np.arange(int(count.sum()))
+    for i in range(0, len(at), PIECE // 16):
+        some = at[i : i + PIECE // 16].astype(np.int64)
+        base, part = int(some[0]), raw[some[0] : some[-1] + width]
+        own = some - base
+        keys = [*leading_tokens(part, own), RollingHash(part).ranges(own, own + width).view(np.int64), stretch_names(part, own, own + width, np.zeros_like(own))]
+        same = {c: pa.array(np.full(len(own), x)) for c, x in (("doc_id", key), ("tag", tag))}
+        yield _nulls(RESOLVED, len(own), kind=pa.array(np.full(len(own), 3, np.int32)), start=pa.array(some.astype(np.int32)), **same, **dict(zip(KEYS, map(pa.array, keys), strict=True)))
 
 
 RUNS = "doc_id long, tag long, start int, count int"
 
 
+def context_order(name: np.ndarray, context: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The order of rows of bytes within each name, and how many leading bytes each shares with the one before it (-1: another name)."""
+    order = multikey_order([name, *(np.ascontiguousarray(w) for w in context.view(">u8").astype(np.uint64).T)])
+    ordered = context[order]
+    common = np.full(len(order), -1)
+    if len(order) > 1:
+        same = ordered[1:] == ordered[:-1]
+        common[1:] = np.where(same.all(axis=1), context.shape[1], same.argmin(axis=1))
+        common[1:][name[order][1:] != name[order][:-1]] = -1
+    return order, common
+
+
+def shared_windows(raw: np.ndarray, offsets: np.ndarray, left: np.ndarray, name: np.ndarray, width: int) -> np.ndarray:
+    """Whether each window of these stretches is equal to another one, decided by their bytes.
+
+    Equal windows lie alike around their sample points. So at each distance d of the point from the window's start, windows
+    are equal if d bytes before and width - d bytes after the point are; both follow from the common prefixes of neighbours
+    in the order of what comes after the points, and of what comes before them, read backwards.
+    """
+    size = np.diff(offsets)
+    count = size - width + 1
+    point, reach = offsets[:-1] + left, width - NAME
+    pad = lambda n: np.arange(-(-n // 8) * 8)
+    ahead, behind = pad(width), pad(reach)
+    after = np.where(ahead < (size - left)[:, None], raw[np.minimum(point[:, None] + ahead, len(raw) - 1)], 0).astype(np.uint8)
+    before = np.where(behind < left[:, None], raw[np.maximum(point[:, None] - 1 - behind, 0)], 0).astype(np.uint8)
+    (by_after, after_common), (by_before, before_common) = context_order(name, after), context_order(name, before)
+    begin = np.cumsum(count) - count
+    found = np.zeros(int(count.sum()), bool)
+    classes = np.empty((2, len(size)), np.int64)
+    for d in range(reach + 1):
+        rows = np.flatnonzero((d <= left) & (d > left - count))
+        if len(rows) < 2:
+            continue
+        classes[0, by_after] = np.cumsum(after_common < width - d)
+        classes[1, by_before] = np.cumsum(before_common < d)
+        key = classes[0, rows] * (len(size) + 1) + classes[1, rows]
+        order = np.argsort(key)
+        same = np.diff(key[order]) == 0
+        again = rows[order[np.append(False, same) | np.append(same, False)]]
+        found[begin[again] + left[again] - d] = True
+    return found
+
+
 def _compare_stretches(table: pa.Table, width: int) -> pa.Table:
     """Runs of windows of stretches that are equal to another window of the group."""
     raw, offsets = utf8(table.column("text").combine_chunks())
     lengths = np.diff(offsets) - width + 1
     begin = np.cumsum(lengths) - lengths
-    at = np.arange(int(lengths.sum())) + np.repeat(offsets[:-1] - begin, lengths)
-    one, two = (RollingHash(raw, k).ranges(at, at + width) for k in (0, 1))
-    order = multikey_order(one, two)
-    same = (one[order][1:] == one[order][:-1]) & (two[order][1:] == two[order][:-1])
-    again = np.zeros(len(at), bool)
-    again[order[1:]] = same
-    again[order[:-1]] |= same
+    again = shared_windows(raw, offsets, np.asarray(table.column("left")).astype(np.int64), np.asarray(table.column("name")), width)
     flag = again.astype(np.int8)
     heads = np.append(True, flag[1:] != flag[:-1])
     heads[begin] = True
     first = np.flatnonzero(heads)
-    count = np.diff(first, append=len(at))[again[first]]
+    count = np.diff(first, append=len(again))[again[first]]
     first = first[again[first]]
     row = np.searchsorted(begin, first, side="right") - 1
     start = np.asarray(table.column("start"))[row] + first - begin[row]
@@ -294,8 +385,9 @@ def _finish(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.Record
 
 def _bucketed(batches: Iterator[pa.RecordBatch], splitters: np.ndarray) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        first, second = (column(batch, c).to_numpy().view(np.uint64) for c in ("first", "second"))
-        yield pa.RecordBatch.from_arrays([pa.array(place_in_buckets(first, second, splitters).astype(np.int32)), *(column(batch, c) for c in _POINTS[1:-1]), pa.array(np.ones(batch.num_rows, np.int32))], _POINTS)
+        bucket = place_in_buckets([column(batch, k).to_numpy() for k in KEYS], splitters)
+        ones = pa.array(np.ones(batch.num_rows, np.int32))
+        yield pa.RecordBatch.from_arrays([pa.array(bucket.astype(np.int32)), *(column(batch, c) for c in _POINTS[1:-2]), ones, ones], _POINTS)
 
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH) -> DataFrame:
@@ -303,7 +395,8 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     Matches lie within one text; overlaps within a text count. Null and empty texts, and texts shorter than ``width``,
     keep all their bytes. Repeated rows are documents of their own and so repeat each other. Null ids keep their rows;
-    ties don't matter; other columns are ignored; an empty table gives no rows. One text holds less than 2**30 bytes.
+    ties don't matter; other columns are ignored; an empty table gives no rows. A very long text is sampled in pieces that
+    overlap by a window, so its matches are whole.
     """
     if width <= NAME:
         raise ValueError(f"strings must be longer than {NAME} bytes")
@@ -313,23 +406,22 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     key = F.coalesce("doc_id", F.lit(NO_ID))
     same = (key == F.col("its_id")) & (F.col("tag") == F.col("its_tag"))
     long_ = rows.where(F.octet_length("text") >= width).withColumn("doc_id", key)
-    sampled = settle_table(long_.where(F.pmod(F.xxhash64(F.lit(5), "tag"), F.lit(SAMPLE)) == 0).mapInArrow(lambda it: _points(it, None), "key long"))
+    sampled = settle_table(long_.where(F.pmod(F.xxhash64(F.lit(5), "tag"), F.lit(SAMPLE)) == 0).mapInArrow(lambda it: _points(it, None, width), KEY_ROWS))
     splitters = choose_splitters(sampled, SAMPLE)
-    points = long_.mapInArrow(lambda it: _points(it, splitters), POINTS)
+    points = long_.mapInArrow(lambda it: _points(it, splitters, width), POINTS)
     marked = mark_repeats(points, splitters)
-    found = marked.groupBy("doc_id", "tag").agg(F.collect_list(F.struct("start", "count", "first", "whole", (F.col("partly") & F.col("lead")).alias("open"), "hot")).alias("found"))
+    found = marked.groupBy("doc_id", "tag").agg(F.collect_list(F.struct("start", "count", "left", "name", "whole", (F.col("partly") & F.col("lead")).alias("open"), "hot")).alias("found"))
     found = found.withColumnsRenamed({"doc_id": "its_id", "tag": "its_tag"})
     joined = rows.join(found, same, "left").select("doc_id", "tag", "text", "found")
     resolved = settle_table(joined.mapInArrow(lambda it: _resolve(it, width), RESOLVED))
     digests = ["doc_id", *(x.split()[0] for x in DIGEST.split(", "))]
-    stretches = resolved.where("kind = 2").select("doc_id", "tag", "text", "first", "start")
+    stretches = resolved.where("kind = 2").select("doc_id", "tag", "text", "name", "start", "left")
     groups = max(shuffle_partitions(spark), -(-(stretches.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]) // GROUP_BYTES))
-    grouped = stretches.groupBy(F.pmod(F.xxhash64("first"), F.lit(groups)).alias("group"))
+    grouped = stretches.groupBy(F.pmod(F.xxhash64("name"), F.lit(groups)).alias("group"))
     near = grouped.applyInArrow(lambda t: _compare_stretches(t, width), RUNS)
-    windows = resolved.where("kind = 3")
-    keys = windows.where(F.pmod(F.xxhash64(F.lit(5), "tag", "start"), F.lit(SAMPLE)) == 0).mapInArrow(lambda it: (pa.RecordBatch.from_arrays([pa.array(leading(*(column(b, c).to_numpy().view(np.uint64) for c in ("first", "second"))))], ["key"]) for b in it), "key long")
-    second_splitters = choose_splitters(settle_table(keys), SAMPLE)
-    again = mark_repeats(windows.select("first", "second", "doc_id", "tag", "start").mapInArrow(lambda it: _bucketed(it, second_splitters), POINTS), second_splitters).where("whole")
+    windows = resolved.where("kind = 3").select(*KEYS, "doc_id", "tag", "start")
+    second_splitters = choose_splitters(settle_table(windows.where(F.pmod(F.xxhash64(F.lit(5), "tag", "start"), F.lit(SAMPLE)) == 0).select(*KEYS)), SAMPLE)
+    again = mark_repeats(windows.mapInArrow(lambda it: _bucketed(it, second_splitters), POINTS), second_splitters).where("whole")
     runs = near.unionByName(again.select("doc_id", "tag", "start", "count"))
     at = runs.groupBy("doc_id", "tag").agg(F.collect_list(F.struct("start", "count")).alias("at")).withColumnsRenamed({"doc_id": "its_id", "tag": "its_tag"})
     waiting = resolved.where("kind = 1").select("doc_id", "tag", "text", "runs").join(at, same, "left").select("doc_id", "text", "runs", "at")

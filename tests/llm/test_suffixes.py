@@ -71,12 +71,49 @@ def test_equal_windows_have_equal_points():
     p = suffixes.sample_points(raw, offsets)
     assert p["count"].sum() == len(a) + len(b) - 2 * 199
     assert len(p["count"]) < 2.6 * len(raw) / (suffixes.WIDTH - suffixes.NAME + 1)
-    firsts = [set(p["first"][p["doc"] == d].tolist()) for d in (0, 1)]
+    firsts = [set(p["name"][p["doc"] == d].tolist()) for d in (0, 1)]
     assert len(firsts[0] & firsts[1]) >= 5
+    where = offsets[p["doc"]] + p["start"] + p["left"]
+    tokens = sorted(zip(*(p[k].tolist() for k in suffixes.KEYS[: suffixes.LEAD]), (raw[w : w + 32].tobytes() for w in where), strict=True))
+    assert [t[-1] for t in tokens] == sorted(t[-1] for t in tokens)  # tokens order suffixes as their bytes do
 
 
 def test_multikey_order():
     rng = np.random.default_rng(4)
-    f, s = rng.integers(0, 9, 500).astype(np.uint64), rng.integers(0, 9, 500).astype(np.uint64)
-    o = suffixes.multikey_order(f, s)
-    assert [*zip(f[o].tolist(), s[o].tolist(), strict=True)] == sorted(zip(f.tolist(), s.tolist(), strict=True))
+    tokens = [rng.integers(-2, 3, 700) for _ in range(4)]
+    order = suffixes.multikey_order(tokens)
+    assert [*zip(*(t[order].tolist() for t in tokens), strict=True)] == sorted(zip(*(t.tolist() for t in tokens), strict=True))
+
+
+def test_buckets_follow_the_order_and_equal_suffixes_are_spread():
+    rng = np.random.default_rng(5)
+    keys = [rng.integers(-1, 2, 900) for _ in suffixes.KEYS]
+    order = suffixes.multikey_order(keys)
+    splitters = np.column_stack(keys)[order][100::100]
+    splitters[3] = splitters[4] = splitters[5]
+    bucket = suffixes.place_in_buckets(keys, splitters)
+    rows = np.column_stack(keys).tolist()
+    for row, b in zip(rows, bucket.tolist(), strict=True):
+        assert (b == 0 or splitters[b - 1].tolist() <= row) and (b == len(splitters) or row <= splitters[b].tolist())
+    equal = bucket[[r == splitters[4].tolist() for r in rows]]
+    assert len(equal) < 2 or len(set(equal.tolist())) > 1
+
+
+def test_windows_are_compared_by_their_bytes():
+    """Names that agree for different bytes don't matter: a stretch's windows are compared byte by byte."""
+    rng = random.Random(6)
+    common = bytes(rng.randrange(97, 99) for _ in range(400))
+    texts = [common[i : i + 200 + n] for i, n in ((0, 20), (5, 15), (0, 5))] + [bytes(rng.randrange(97, 99) for _ in range(210))]
+    offsets = np.cumsum([0, *map(len, texts)])
+    left = np.array([60, 55, 60, 40])
+    got = suffixes.shared_windows(np.frombuffer(b"".join(texts), np.uint8), offsets, left, np.zeros(4, np.int64), 200)
+    windows = [t[i : i + 200] for t in texts for i in range(len(t) - 199)]
+    assert got.tolist() == [windows.count(w) > 1 for w in windows]
+
+
+@pytest.mark.parametrize("piece", [300, 1000])
+def test_long_texts_are_sampled_in_pieces(spark, monkeypatch, piece):
+    monkeypatch.setattr(suffixes, "PIECE", piece)
+    texts = [*corpus(9)[-8:], "".join(corpus(9))]
+    got = {r.doc_id: tuple(r[1:]) for r in suffixes.remove_repeats(frame(spark, [(i, t, None, None, 0, None, None) for i, t in enumerate(texts)]).repartition(len(texts))).collect()}
+    assert [got[i] for i in range(len(texts))] == naive([t.encode() for t in texts], 200)
