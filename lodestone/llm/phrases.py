@@ -167,27 +167,43 @@ def _edited(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ], names)
 
 
+def _ranged(batches: Iterator[pa.RecordBatch], cuts: np.ndarray, top: int) -> Iterator[pa.RecordBatch]:
+    """Each row with its range by descending id, and again, for the range before it, where it is the first of its range."""
+    names = ["part", "doc_id", "text", "closes"]
+    before = lambda ids: (len(cuts) - np.searchsorted(cuts, ids, "left")).astype(np.int32)
+    for batch in batches:
+        ids = column(batch, "doc_id")
+        known, values = np.asarray(ids.is_valid()), np.asarray(ids.fill_null(top))
+        part = np.where(known, before(values), np.int32(len(cuts)))
+        yield pa.RecordBatch.from_arrays([pa.array(part), ids, column(batch, "text"), pa.array(np.zeros(len(part), bool))], names)
+        least: dict[int, str] = {}
+        for i in np.flatnonzero(known & (np.isin(values, cuts) | (values == top))).tolist():
+            text = column(batch, "text")[i].as_py()
+            least[int(values[i])] = min(text, least.get(int(values[i]), text))
+        if least:
+            heads = np.array(list(least), np.int64)
+            closed = np.where(heads == top, np.int32(len(cuts)), before(heads) - 1)
+            yield pa.RecordBatch.from_arrays([pa.array(closed.astype(np.int32)), pa.array(heads), pa.array(list(least.values()), pa.string()), pa.array(np.ones(len(heads), bool))], names)
+
+
 def edited_neighbours(docs: DataFrame, ranges: int = 0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Fingerprints of each text and of its edited text, whose last half comes from the next document by descending id.
 
     Rows are range-partitioned by quantiles of the ids (``ranges`` of them, four for each shuffle partition by default),
     sorted within, and each range also gets the first row of the next one, so texts are shuffled once and no task sees
     more than its ranges. After the last document comes the first. Null ids are last; equal ids are ordered by text, so
-    repeated rows follow each other. Null texts are empty. Other columns are ignored; an empty table gives no rows.
+    repeated rows follow each other. Null texts are empty, very long ones are parsed whole, one at a time. Other columns are
+    ignored; an empty table gives no rows.
     """
-    spark = docs.sparkSession
     rows = keyed_text(docs, id_col, text_col)
-    partitions = shuffle_partitions(spark)
+    partitions = shuffle_partitions(docs.sparkSession)
     ranges = ranges or 4 * partitions
-    marks = rows.agg(F.count(F.lit(1)).alias("n"), F.max("doc_id").alias("top"), F.percentile_approx("doc_id", [i / ranges for i in range(1, ranges)] or [0.5], 20 * ranges).alias("at")).first()
-    if not marks.n:
-        return spark.createDataFrame([], SCHEMA)
-    cuts = sorted({x for x in marks["at"] or [] if x < marks.top}, reverse=True)
-    part = F.size(F.filter(F.array(*map(F.lit, cuts)), lambda c: F.col("doc_id") <= c)) if cuts else F.lit(0)
-    part = F.when(F.col("doc_id").isNull(), len(cuts)).otherwise(part)
-    # The first row of each range closes the range before it; that of the first closes the last. One row per range.
-    heads = spark.createDataFrame([*((c, k) for k, c in enumerate(cuts)), (marks.top, len(cuts))], "head long, part int").withColumn("closes", F.lit(True))
-    closing = rows.join(F.broadcast(heads), F.col("doc_id").eqNullSafe(F.col("head"))).groupBy("part", "doc_id", "closes").agg(F.min("text").alias("text"))
-    placed = rows.select(part.cast("int").alias("part"), "doc_id", "text", F.lit(False).alias("closes")).unionByName(closing)
+    marks = rows.agg(F.max("doc_id").alias("top"), F.percentile_approx("doc_id", [i / ranges for i in range(1, ranges)] or [0.5], 20 * ranges).alias("at")).first()
+    top = 0 if marks.top is None else marks.top
+    cuts = np.unique(np.array([x for x in marks["at"] or [] if x < top], np.int64))  # a few for each partition
+    placed = rows.mapInArrow(lambda it: _ranged(it, cuts, top), "part int, doc_id long, text string, closes boolean")
+    if marks.top is None:  # rows without ids follow each other alone
+        first = rows.agg(F.min("text").alias("text")).where("text is not null")
+        placed = placed.unionByName(first.select(F.lit(0).alias("part"), F.lit(None).cast("long").alias("doc_id"), "text", F.lit(True).alias("closes")))
     ordered = placed.repartition(partitions, "part").sortWithinPartitions("part", "closes", F.col("doc_id").desc_nulls_last(), "text")
     return ordered.select("doc_id", "text", "closes").mapInArrow(_edited, SCHEMA)
