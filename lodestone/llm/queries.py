@@ -20,7 +20,7 @@ def op1_phrase_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return media.media_columns(_documents(spark, sf_dir), keep_media=False)
+    return media.media_columns(_documents(spark, sf_dir))
 
 
 def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -59,3 +59,33 @@ def test_hash_follows_the_picture():
     other = np.kron(rng.integers(0, 256, (8, 8)), np.ones((16, 8))).astype(np.uint8)
     bits = lambda x, y: (int(media.cosine_hash(x), 16) ^ int(media.cosine_hash(y), 16)).bit_count()
     assert bits(a, b) <= 6 < 16 <= bits(a, other)
+
+
+@pytest.mark.parametrize("lines", [1, 5, 32, 45, 700])
+def test_hash_is_the_cosine_transform_of_the_shrunk_picture(lines):
+    """Against sums written out: area averages on a 32 x 32 grid, then the 8 x 8 lowest coefficients against their median."""
+    rng = np.random.default_rng(lines)
+    picture = rng.integers(0, 256, (lines, 64)).astype(np.uint8)
+    fine = np.repeat(picture.astype(float), 32, axis=0)  # each line is 32 strips, each grid row as many strips as there are lines
+    grid = fine.reshape(32, lines, 32, 2).mean(axis=(1, 3))
+    low = np.array([[sum(grid[y, x] * np.cos(np.pi * (2 * y + 1) * v / 64) * np.cos(np.pi * (2 * x + 1) * u / 64) for y in range(32) for x in range(32)) for u in range(8)] for v in range(8)])
+    want = low.ravel() > np.median(low.ravel()[1:])
+    got = np.unpackbits(np.frombuffer(bytes.fromhex(media.cosine_hash(picture)), np.uint8)).astype(bool)
+    assert (got != want).sum() == 0
+
+
+def test_large_images_are_filtered_in_blocks(monkeypatch):
+    rng = np.random.default_rng(3)
+    for payload in (rng.integers(0, 256, 64 * 50, dtype=np.uint8), np.cumsum(rng.integers(0, 3, 64 * 50), dtype=np.uint8), np.tile(rng.integers(0, 256, 64, dtype=np.uint8), 50)):
+        whole = media.encode_png(payload.tobytes())
+        monkeypatch.setattr(media, "LINES", 7)
+        assert media.decode_png(media.encode_png(payload.tobytes())).tobytes() == payload.tobytes() == media.decode_png(whole).tobytes()
+        monkeypatch.undo()
+
+
+def test_a_broken_image_is_an_error(spark):
+    png = bytearray(media.encode_png(bytes(64)))
+    png[-20] ^= 1
+    table = spark.createDataFrame([(1, 64, png)], media.MEDIA)
+    with pytest.raises(Exception, match="checksum|truncated|not a PNG"):
+        media.describe_media(table).collect()
