@@ -42,6 +42,15 @@ def column(batch: pa.RecordBatch, name: str) -> pa.Array:
     return batch.column(batch.schema.get_field_index(name))
 
 
+_KINDS = {"int": pa.int32(), "long": pa.int64(), "string": pa.string(), "binary": pa.binary()}
+
+
+def partial_batch(schema: str, rows: int, /, **given: pa.Array) -> pa.RecordBatch:
+    """A batch of a schema's columns, null where they aren't given."""
+    fields = [x.split() for x in schema.split(", ")]
+    return pa.RecordBatch.from_arrays([given[c] if c in given else pa.nulls(rows, _KINDS[k]) for c, k in fields], [c for c, _ in fields])
+
+
 def utf8(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """The concatenated bytes of a string column without nulls, and the offsets of its rows (one more than rows)."""
     texts = col.cast(pa.large_binary())

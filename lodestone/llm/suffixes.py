@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import RollingHash, U, column, keyed_text, settle_table, shuffle_partitions, slices, utf8
+from lodestone.llm.common import RollingHash, U, column, keyed_text, partial_batch, settle_table, shuffle_partitions, slices, utf8
 
 WIDTH = 200
 NAME = 64
@@ -256,12 +256,6 @@ def digest(text: bytes, starts: np.ndarray, ends: np.ndarray) -> tuple[int, int,
     return len(text), len(text) - len(kept), int((np.diff(gone.astype(np.int8), prepend=np.int8(0)) == 1).sum()), hashlib.sha256(kept).hexdigest(), kept
 
 
-def _nulls(schema: str, n: int, **given: pa.Array) -> pa.RecordBatch:
-    kinds = {"int": pa.int32(), "long": pa.int64(), "string": pa.string(), "binary": pa.binary()}
-    fields = [x.split() for x in schema.split(", ")]
-    return pa.RecordBatch.from_arrays([given[c] if c in given else pa.nulls(n, kinds[k]) for c, k in fields], [c for c, _ in fields])
-
-
 def _resolve(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
     """Finished documents (kind 0), documents that wait (1), and the stretches (2) and windows (3) they wait for."""
     for batch in slices(batches, limit=1 << 20):
@@ -285,13 +279,13 @@ def _resolve(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.Recor
         long, kind = pa.int64(), lambda n, k: pa.array(np.full(n, k, np.int32))
         if done:
             given = dict(zip(("doc_id", "tag", "n_bytes", "n_removed", "n_spans", "kept_sha256"), columns(done, long, long, long, long, long, pa.string()), strict=True))
-            yield _nulls(RESOLVED, len(done), kind=kind(len(done), 0), **given)
+            yield partial_batch(RESOLVED, len(done), kind=kind(len(done), 0), **given)
         if waiting:
             given = dict(zip(("doc_id", "tag", "text", "runs"), columns(waiting, long, long, pa.binary(), pa.binary()), strict=True))
-            yield _nulls(RESOLVED, len(waiting), kind=kind(len(waiting), 1), **given)
+            yield partial_batch(RESOLVED, len(waiting), kind=kind(len(waiting), 1), **given)
         if stretches:
             given = dict(zip(("doc_id", "tag", "text", "start", "left", "name"), columns(stretches, long, long, pa.binary(), pa.int32(), pa.int32(), long), strict=True))
-            yield _nulls(RESOLVED, len(stretches), kind=kind(len(stretches), 2), **given)
+            yield partial_batch(RESOLVED, len(stretches), kind=kind(len(stretches), 2), **given)
 
 
 def _window_rows(key: int, tag: int, raw: np.ndarray, start: np.ndarray, count: np.ndarray, width: int) -> Iterator[pa.RecordBatch]:
@@ -305,7 +299,7 @@ def _window_rows(key: int, tag: int, raw: np.ndarray, start: np.ndarray, count:
         own = some - base
         keys = [*leading_tokens(part, own), RollingHash(part).ranges(own, own + width).view(np.int64), stretch_names(part, own, own + width, np.zeros_like(own))]
         same = {c: pa.array(np.full(len(own), x)) for c, x in (("doc_id", key), ("tag", tag))}
-        yield _nulls(RESOLVED, len(own), kind=pa.array(np.full(len(own), 3, np.int32)), start=pa.array(some.astype(np.int32)), **same, **dict(zip(KEYS, map(pa.array, keys), strict=True)))
+        yield partial_batch(RESOLVED, len(own), kind=pa.array(np.full(len(own), 3, np.int32)), start=pa.array(some.astype(np.int32)), **same, **dict(zip(KEYS, map(pa.array, keys), strict=True)))
 
 
 RUNS = "doc_id long, tag long, start int, count int"

@@ -3,13 +3,17 @@
 A text is its lower-cased words joined by single spaces, closed by a line feed, as bytes. Each byte is eight binary
 decisions; each decision node has a tree of contexts, the last 0 to DEPTH bytes, with a Krichevsky-Trofimov estimator at
 every context. A context's weighted probability is half its own estimate and half the product of its children's, so
-after counting, every byte's probability mixes the estimates of all depths by their posterior weights.
+after counting, every byte's probability mixes the estimates of all depths by their posterior weights. DEPTH is 5: a byte
+and its context fit one 64-bit key; each depth more would about double what is counted and sent.
 
 Estimates depend on final counts only, so learning is counting: blocks of texts name their distinct byte strings of
-length DEPTH + 1, counts meet by the two bytes before the predicted one (a whole subtree), and the answers go back to the
-blocks. Words of the unigram base go the same way by their hashes. Tables grow with the corpus and are never gathered:
-on the driver are the 256 subtrees of depth one, as fixed-size arrays, and a few totals. Sums over many blocks are taken in
-two steps (a salt per 64 blocks), answers are given per salt, so no group grows with the number of blocks.
+length DEPTH + 1, counts meet by the two bytes before the predicted one (a bucket), and the answers go back to the
+blocks. No group grows with the number of blocks: sums are taken in rounds of MERGED_BLOCKS tables, and the answers of a
+bucket serve ANSWERED_BLOCKS blocks at a time. A merged bucket of more than PIECE_KEYS strings is cut by the third byte;
+pieces are weighed down to depth three each by itself, and combined upwards to their bucket and to the 256 contexts of
+depth one, which alone (fixed-size arrays) come to the driver with a few totals.
+
+Words of the unigram base are plain rows (word, block, count): they are summed, and joined back, by Spark.
 """
 
 from __future__ import annotations
@@ -19,21 +23,25 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+import xxhash
 import zstandard
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import RollingHash, U, column, keyed_text, settle_table, slices
+from lodestone.llm.common import RollingHash, U, column, keyed_text, partial_batch, settle_table, shuffle_partitions, slices
 
 DEPTH = 5
 HELD_OUT = 10
 BLOCK_BYTES = 8 << 20
 SLICE_BYTES = 1 << 20
 SLICE_ROWS = (1 << 16) - 1
-BLOCKS_PER_SALT = 64
-WORD_BITS = 9
-GRAMS, WORDS = 0, 1
+#: Tables of one bucket that are added up in one go, and blocks that one copy of its answers serves.
+MERGED_BLOCKS, ANSWERED_BLOCKS = 64, 1024
+PIECE_KEYS = 1 << 18
+#: Kinds of rows that blocks ask by and are answered by: byte strings of a bucket, words, and the digest of all of both.
+GRAMS, WORDS, DIGEST = 0, 1, 2
 _END = b"\n"
 
 
@@ -112,45 +120,68 @@ def blocks(batches: Iterator[pa.RecordBatch], block_bytes: int) -> Iterator[tupl
         yield block, before, True
 
 
-REQUESTS = "space int, bucket int, block long, keys binary, counts binary"
+REQUESTS = "kind int, bucket int, block long, keys binary, counts binary, word long, n int"
+
 
+def block_digest(keys: np.ndarray, words: np.ndarray) -> int:
+    """What a block asks for: its distinct byte strings and words, in order."""
+    return xxhash.xxh3_64_intdigest(keys.tobytes() + words.tobytes()) - (1 << 63)
 
-def _bucket_rows(space: int, block: int, keys: np.ndarray, counts: np.ndarray) -> Iterator[tuple]:
-    bucket = (keys >> U(8 * (DEPTH - 1) if space == GRAMS else 64 - WORD_BITS)).astype(np.int64)
+
+def _asked(block: int, grams: list[tuple[np.ndarray, np.ndarray]], words: list[tuple[np.ndarray, np.ndarray]]) -> Iterator[pa.RecordBatch]:
+    keys, counts = summed(*(np.concatenate(c) for c in zip(*grams, strict=True)))
+    names, n = summed(*(np.concatenate(c) for c in zip(*words, strict=True)))
+    bucket = (keys >> U(8 * (DEPTH - 1))).astype(np.int32)
     cuts = [*np.flatnonzero(np.diff(bucket, prepend=-1)).tolist(), len(keys)]
-    for a, b in zip(cuts[:-1], cuts[1:], strict=True):
-        yield space, int(bucket[a]), block, deltas(keys[a:b]), squeeze(counts[a:b].astype(np.uint32))
+    ranges = list(zip(cuts[:-1], cuts[1:], strict=True))
+    fixed = lambda x, k, rows: pa.array(np.full(rows, x), k)
+    blobs = [pa.array([f(x[a:b]) for a, b in ranges], pa.binary()) for f, x in ((deltas, keys), (lambda c: squeeze(c.astype(np.uint32)), counts))]
+    yield partial_batch(REQUESTS, len(ranges), kind=fixed(GRAMS, pa.int32(), len(ranges)), bucket=pa.array(bucket[cuts[:-1]]), block=fixed(block, pa.int64(), len(ranges)), keys=blobs[0], counts=blobs[1])
+    if len(names):
+        yield partial_batch(REQUESTS, len(names), kind=fixed(WORDS, pa.int32(), len(names)), block=fixed(block, pa.int64(), len(names)), word=pa.array(names.view(np.int64)), n=pa.array(n.astype(np.int32)))
+    yield partial_batch(REQUESTS, 1, kind=fixed(DIGEST, pa.int32(), 1), block=fixed(block, pa.int64(), 1), word=pa.array([block_digest(keys, names)], pa.int64()))
 
 
 def _requests(batches: Iterator[pa.RecordBatch], block_bytes: int) -> Iterator[pa.RecordBatch]:
-    names = [x.split()[0] for x in REQUESTS.split(", ")]
-    kinds = [pa.int32(), pa.int32(), pa.int64(), pa.binary(), pa.binary()]
-    held: dict[int, list] = {GRAMS: [], WORDS: []}
+    grams, words = [], []
     for block, batch, ends in blocks(batches, block_bytes):
         part = Slice(column(batch, "text").to_pylist())
         train = ~np.array([held_out(d) for d in column(batch, "doc_id").to_pylist()])
-        for space, keys, doc in ((GRAMS, part.keys, part.doc), (WORDS, part.words, part.word_doc)):
+        for held, keys, doc in ((grams, part.keys, part.doc), (words, part.words, part.word_doc)):
             learnt = train[doc]
             a, n = summed(keys[learnt])
             b, _ = summed(keys[~learnt])
-            held[space].append((np.concatenate([a, b]), np.concatenate([n, np.zeros(len(b), np.int64)])))
+            held.append((np.concatenate([a, b]), np.concatenate([n, np.zeros(len(b), np.int64)])))
         if ends:
-            rows = [r for space, parts in held.items() for r in _bucket_rows(space, block, *summed(np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])))]
-            held = {GRAMS: [], WORDS: []}
-            if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names)
+            yield from _asked(block, grams, words)
+            grams, words = [], []
 
 
-MERGED = "space int, bucket int, keys binary, counts binary"
+MERGED = "bucket int, turn int, wide boolean, keys binary, counts binary"
 
 
 def _merged(table: pa.Table) -> pa.Table:
-    keys = np.concatenate([undeltas(x) for x in table.column("keys").to_pylist()])
-    wide = [np.uint64 if len(x) and k else np.uint32 for x, k in zip(table.column("counts").to_pylist(), table.column("wide").to_pylist(), strict=True)]
-    counts = np.concatenate([unsqueeze(x, w).astype(np.int64) for x, w in zip(table.column("counts").to_pylist(), wide, strict=True)])
-    keys, counts = summed(keys, counts)
-    row = (table.column("space")[0].as_py(), table.column("bucket")[0].as_py(), deltas(keys), squeeze(counts.astype(np.uint64)))
-    return pa.table([pa.array([x], k) for x, k in zip(row, (pa.int32(), pa.int32(), pa.binary(), pa.binary()), strict=True)], [x.split()[0] for x in MERGED.split(", ")])
+    """The sums of some tables of one bucket."""
+    parts = [(undeltas(k), unsqueeze(c, np.uint64 if w else np.uint32).astype(np.int64)) for k, c, w in zip(*(table.column(x).to_pylist() for x in ("keys", "counts", "wide")), strict=True)]
+    keys, counts = summed(*(np.concatenate(c) for c in zip(*parts, strict=True)))
+    row = (table.column("bucket")[0].as_py(), table.column("turn")[0].as_py(), True, deltas(keys), squeeze(counts.astype(np.uint64)))
+    kinds = (pa.int32(), pa.int32(), pa.bool_(), pa.binary(), pa.binary())
+    return pa.table([pa.array([x], k) for x, k in zip(row, kinds, strict=True)], [x.split()[0] for x in MERGED.split(", ")])
+
+
+PIECES = "bucket int, piece int, keys binary, counts binary"
+
+
+def _cut(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.RecordBatch]:
+    """Each merged bucket as one piece, or if it is large, one for each byte that comes third before the predicted one."""
+    for batch in batches:
+        for bucket, keys, counts in zip(*(column(batch, c).to_pylist() for c in ("bucket", "keys", "counts")), strict=True):
+            k, n = undeltas(keys), unsqueeze(counts, np.uint64)
+            third = ((k >> U(8 * (DEPTH - 2))) & U(255)).astype(np.int32) if len(k) > most else np.zeros(len(k), np.int32)
+            cuts = [*np.flatnonzero(np.diff(third, prepend=-1)).tolist(), len(k)]
+            ranges = list(zip(cuts[:-1], cuts[1:], strict=True))
+            blobs = [pa.array([f(x[a:b]) for a, b in ranges], pa.binary()) for f, x in ((deltas, k), (squeeze, n))]
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(ranges), bucket, np.int32)), pa.array(third[cuts[:-1]]), *blobs], [x.split()[0] for x in PIECES.split(", ")])
 
 
 def log_gamma(x: np.ndarray) -> np.ndarray:
@@ -192,51 +223,81 @@ class Level:
     def weigh(self, deeper: Level) -> None:
         """Half the own estimate, half the product of the children's."""
         for bit in range(8):
-            parent = (deeper.nodes[bit] >> U(16) << U(8)) | (deeper.nodes[bit] & U(255))
-            below = np.bincount(np.searchsorted(self.nodes[bit], parent), weights=deeper.weighted[bit], minlength=len(self.nodes[bit]))
+            below = np.bincount(np.searchsorted(self.nodes[bit], deeper.parents(bit)), weights=deeper.weighted[bit], minlength=len(self.nodes[bit]))
             self.weighted[bit] = np.logaddexp(self.own[bit], below) - np.log(2)
             self.stop[bit] = np.exp(self.own[bit] - np.log(2) - self.weighted[bit])
 
+    def parents(self, bit: int) -> np.ndarray:
+        return (self.nodes[bit] >> U(16) << U(8)) | (self.nodes[bit] & U(255))
+
 
 def subtree(strings: np.ndarray, counts: np.ndarray, depths: int) -> list[Level]:
-    """Levels from the bucket's own context down; strings are context bytes (nearest first) and the predicted byte."""
+    """Levels from one to ``depths`` bytes of context below a bucket; strings are context bytes (nearest first) and the predicted byte."""
     levels = []
-    for d in range(depths + 1):
+    for d in range(1, depths + 1):
         if d == depths:
             k, n = strings, counts
         else:
             k, n = summed(((strings >> U(8 * (depths + 1 - d))) << U(8)) | (strings & U(255)), counts)
         levels.append(Level(k, n.astype(np.float64)))
-    for d in range(depths - 1, -1, -1):
+    for d in range(depths - 2, -1, -1):
         levels[d].weigh(levels[d + 1])
     return levels
 
 
-def _row_strings(keys: bytes, counts: bytes) -> tuple[np.ndarray, np.ndarray]:
+def _piece_strings(keys: bytes, counts: bytes) -> tuple[np.ndarray, np.ndarray]:
     return undeltas(keys) & U((1 << 8 * (DEPTH - 1)) - 1), unsqueeze(counts, np.uint64).astype(np.int64)
 
 
-TOPS = "near int, counts binary, weighted binary"
+SUMS = "bucket int, piece int, counts binary, below binary"
+
+
+def piece_sums(strings: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """What a piece adds to its bucket: counts by predicted byte, and ln of the weighted probability by node."""
+    top = subtree(strings, counts, DEPTH - 2)[0]
+    below = sum(np.bincount((top.nodes[bit] & U(255)).astype(np.int64), weights=top.weighted[bit], minlength=256) for bit in range(8))
+    return np.bincount((strings & U(255)).astype(np.int64), weights=counts, minlength=256), below
 
 
-def _tops(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of each bucket: the byte before the predicted one, counts by predicted byte, and ln of its weighted probability by node."""
+def _sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        out = []
-        for bucket, keys, counts in zip(*(column(batch, c).to_pylist() for c in ("bucket", "keys", "counts")), strict=True):
-            top = subtree(*_row_strings(keys, counts), DEPTH - 2)[0]
-            flat, weighted = np.zeros(256), np.zeros(256)
-            for bit in range(8):
-                weighted[top.nodes[bit].astype(np.int64)] = top.weighted[bit]
-            last = top.nodes[7].astype(np.int64) & 127
-            flat[2 * last], flat[2 * last + 1] = top.zeros[7], top.ones[7]
-            out.append((bucket >> 8, flat.tobytes(), weighted.tobytes()))
-        if out:
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), (pa.int32(), pa.binary(), pa.binary()), strict=True)], ["near", "counts", "weighted"])
+        out = [[x.tobytes() for x in piece_sums(*_piece_strings(*row))] for row in zip(*(column(batch, c).to_pylist() for c in ("keys", "counts")), strict=True)]
+        yield pa.RecordBatch.from_arrays([column(batch, "bucket"), column(batch, "piece"), *(pa.array([r[i] for r in out], pa.binary()) for i in (0, 1))], [x.split()[0] for x in SUMS.split(", ")])
+
+
+def weigh_nodes(counts: np.ndarray, below: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of contexts (rows) with counts by predicted byte and ln of their children's product by node (heap order): the estimates of a one, the weights of stopping there, ln of the weighted probability."""
+    total = np.zeros((len(counts), 512))
+    total[:, 256:] = counts
+    for node in range(255, 0, -1):
+        total[:, node] = total[:, 2 * node] + total[:, 2 * node + 1]
+    zeros, ones = total[:, 0::2][:, :256].copy(), total[:, 1::2][:, :256].copy()
+    own = log_kt(zeros, ones)
+    weighted = np.logaddexp(own, below) - np.log(2)
+    weighted[:, 0] = 0
+    return (ones + 0.5) / (zeros + ones + 1), np.exp(own - np.log(2) - weighted), weighted
+
+
+CONTEXTS = "bucket int, near int, ones binary, stop binary, counts binary, weighted binary"
+
+
+def _bucket_context(table: pa.Table) -> pa.Table:
+    """The context of a bucket's two bytes, from its at most 256 pieces."""
+    order = np.argsort(np.asarray(table.column("piece")))
+    counts, below = (np.sum([np.frombuffer(table.column(c)[int(i)].as_py()) for i in order], axis=0) for c in ("counts", "below"))
+    ones, stop, weighted = (x[0] for x in weigh_nodes(counts[None], below[None]))
+    bucket = table.column("bucket")[0].as_py()
+    blobs = (squeeze(ones), squeeze(stop), counts.tobytes(), weighted.tobytes())
+    return pa.table([pa.array([bucket], pa.int32()), pa.array([bucket >> 8], pa.int32()), *(pa.array([x], pa.binary()) for x in blobs)], [x.split()[0] for x in CONTEXTS.split(", ")])
+
+
+TOPS = "near int, counts binary, weighted binary"
 
 
 def _top_sums(table: pa.Table) -> pa.Table:
-    both = [np.sum([np.frombuffer(x) for x in table.column(c).to_pylist()], axis=0).tobytes() for c in ("counts", "weighted")]
+    """Of the at most 256 buckets that share their nearest byte."""
+    order = np.argsort(np.asarray(table.column("bucket")))
+    both = [np.sum([np.frombuffer(table.column(c)[int(i)].as_py()) for i in order], axis=0).tobytes() for c in ("counts", "weighted")]
     return pa.table([pa.array([table.column("near")[0].as_py()], pa.int32()), *(pa.array([x], pa.binary()) for x in both)], ["near", "counts", "weighted"])
 
 
@@ -247,29 +308,18 @@ class Crown:
         counts, below = np.zeros((256, 256)), np.zeros((256, 256))
         for near, c, w in rows:
             counts[near], below[near] = np.frombuffer(c), np.frombuffer(w)
-        self.ones1, self.stop1, weighted = self._weigh(counts, below)
-        ones, stop, _ = self._weigh(counts.sum(axis=0)[None], weighted.sum(axis=0)[None])
+        self.ones1, self.stop1, weighted = weigh_nodes(counts, below)
+        ones, stop, _ = weigh_nodes(counts.sum(axis=0)[None], weighted.sum(axis=0)[None])
         self.ones0, self.stop0 = ones[0], stop[0]
 
-    @staticmethod
-    def _weigh(counts: np.ndarray, below: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        total = np.zeros((len(counts), 512))
-        total[:, 256:] = counts
-        for node in range(255, 0, -1):
-            total[:, node] = total[:, 2 * node] + total[:, 2 * node + 1]
-        zeros, ones = total[:, 0::2][:, :256].copy(), total[:, 1::2][:, :256].copy()
-        own = log_kt(zeros, ones)
-        weighted = np.logaddexp(own, below) - np.log(2)
-        weighted[:, 0] = 0
-        return (ones + 0.5) / (zeros + ones + 1), np.exp(own - np.log(2) - weighted), weighted
-
-
-def log10_probabilities(strings: np.ndarray, counts: np.ndarray, near: int, crown: Crown) -> np.ndarray:
-    """log10 of the probability of each string's last byte after the bytes before it."""
-    levels = subtree(strings, counts, DEPTH - 2)
+
+def log10_probabilities(strings: np.ndarray, counts: np.ndarray, near: int, context: tuple[np.ndarray, np.ndarray], crown: Crown) -> np.ndarray:
+    """log10 of the probability of each string's last byte after the bytes before it; ``context`` are the ones and stops of the bucket's own two bytes."""
+    depths = DEPTH - 2
+    levels = subtree(strings, counts, depths)
     out = np.zeros(len(strings))
     nxt = strings & U(255)
-    places = [np.searchsorted(x.strings, ((strings >> U(8 * (DEPTH - 1 - d))) << U(8)) | nxt) for d, x in enumerate(levels[:-1])] + [np.arange(len(strings))]
+    places = [np.searchsorted(x.strings, ((strings >> U(8 * (depths - d))) << U(8)) | nxt) for d, x in enumerate(levels[:-1])] + [np.arange(len(strings))]
     for bit in range(8):
         one = ((nxt >> U(7 - bit)) & U(1)).astype(bool)
         p = np.full(len(strings), 0.5)
@@ -279,44 +329,38 @@ def log10_probabilities(strings: np.ndarray, counts: np.ndarray, near: int, crow
             stop = level.stop[bit][node]
             p = stop * ones[node] + (1 - stop) * p
         heap = (U(1 << bit) | (nxt >> U(8 - bit))).astype(np.int64)
-        p = crown.stop1[near, heap] * crown.ones1[near, heap] + (1 - crown.stop1[near, heap]) * p
-        p = crown.stop0[heap] * crown.ones0[heap] + (1 - crown.stop0[heap]) * p
+        for ones, stop in (context, (crown.ones1[near], crown.stop1[near]), (crown.ones0, crown.stop0)):
+            p = stop[heap] * ones[heap] + (1 - stop[heap]) * p
         out += np.log10(np.where(one, p, 1 - p))
     return out
 
 
-ANSWERS = "space int, bucket int, keys binary, answers binary"
+ANSWERS = "bucket int, piece int, keys binary, answers binary"
 
 
 def _answers(batches: Iterator[pa.RecordBatch], crown: Crown) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        values = []
-        for space, bucket, keys, counts in zip(*(column(batch, c).to_pylist() for c in ("space", "bucket", "keys", "counts")), strict=True):
-            if space == WORDS:
-                values.append(unsqueeze(counts, np.uint64).astype(np.float64).tobytes())
-            else:
-                values.append(log10_probabilities(*_row_strings(keys, counts), bucket >> 8, crown).tobytes())
-        yield pa.RecordBatch.from_arrays([*(column(batch, c) for c in ("space", "bucket", "keys")), pa.array(values, pa.binary())], ["space", "bucket", "keys", "answers"])
+        for i, (bucket, keys, counts, ones, stop) in enumerate(zip(*(column(batch, c).to_pylist() for c in ("bucket", "keys", "counts", "ones", "stop")), strict=True)):
+            found = log10_probabilities(*_piece_strings(keys, counts), bucket >> 8, (unsqueeze(ones, np.float64), unsqueeze(stop, np.float64)), crown)
+            one = batch.slice(i, 1)
+            yield pa.RecordBatch.from_arrays([*(column(one, c) for c in ("bucket", "piece", "keys")), pa.array([squeeze(found.astype(np.float32))], pa.binary())], [x.split()[0] for x in ANSWERS.split(", ")])
 
 
-REPLIES = "block long, space int, bucket int, answers binary"
+REPLIES = "block long, kind int, bucket int, answers binary, word long, n long"
 
 
 def _reply(asked: pa.Table, known: pa.Table) -> pa.Table:
-    keys = undeltas(known.column("keys")[0].as_py())
-    values = np.frombuffer(known.column("answers")[0].as_py())
-    space = known.column("space")[0].as_py()
-    values = values if space == WORDS else values.astype(np.float32)
-    out = [squeeze(values[np.searchsorted(keys, undeltas(x))]) for x in asked.column("keys").to_pylist()]
-    return pa.table([asked.column("block"), asked.column("space"), asked.column("bucket"), pa.array(out, pa.binary())], ["block", "space", "bucket", "answers"])
+    order = np.argsort(np.asarray(known.column("piece"))).tolist()
+    keys = np.concatenate([undeltas(known.column("keys")[i].as_py()) for i in order])
+    values = np.concatenate([unsqueeze(known.column("answers")[i].as_py(), np.float32) for i in order])
+    out = [squeeze(values[np.searchsorted(keys, undeltas(x.as_py()))]) for x in asked.column("keys")]
+    n = asked.num_rows
+    return pa.table([asked.column("block"), pa.array(np.full(n, GRAMS, np.int32)), asked.column("bucket"), pa.array(out, pa.binary()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64())], [x.split()[0] for x in REPLIES.split(", ")])
 
 
 def _placed(batches: Iterator[pa.RecordBatch], block_bytes: int) -> Iterator[pa.RecordBatch]:
-    order = 0
     for block, batch, _ in blocks(batches, block_bytes):
-        n = batch.num_rows
-        yield pa.RecordBatch.from_arrays([pa.array(np.full(n, block)), pa.array(np.arange(order, order + n)), column(batch, "doc_id"), column(batch, "text")], ["block", "place", "doc_id", "text"])
-        order += n
+        yield pa.RecordBatch.from_arrays([pa.array(np.full(batch.num_rows, block)), column(batch, "doc_id"), column(batch, "text")], ["block", "doc_id", "text"])
 
 
 SCORES = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, n_bytes long"
@@ -325,12 +369,13 @@ SCORES = "doc_id long, held_out boolean, n_tokens long, n_known long, train_toke
 def _score_block(docs: pa.Table, replies: pa.Table, tokens: int, distinct: int, trained: int) -> pa.Table:
     names = [x.split()[0] for x in SCORES.split(", ")]
     kinds = [pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.int64()]
-    order = np.lexsort((np.asarray(replies.column("bucket")), np.asarray(replies.column("space"))))
-    got: dict[int, list[np.ndarray]] = {GRAMS: [np.zeros(0)], WORDS: [np.zeros(0)]}
-    spaces, blobs = replies.column("space").to_pylist(), replies.column("answers").to_pylist()
-    for i in order.tolist():
-        got[spaces[i]].append(unsqueeze(blobs[i], np.float32 if spaces[i] == GRAMS else np.float64))
-    values = {s: np.concatenate(v) for s, v in got.items()}
+    replies = replies.sort_by([("bucket", "ascending"), ("word", "ascending")])
+    of = {k: replies.filter(pc.equal(replies.column("kind"), k)) for k in (GRAMS, WORDS, DIGEST)}
+    logs_of = np.concatenate([np.zeros(0, np.float32), *(unsqueeze(x.as_py(), np.float32) for x in of[GRAMS].column("answers"))])
+    known_words = np.asarray(of[WORDS].column("word")).astype(np.int64).view(np.uint64)
+    known_counts = np.asarray(of[WORDS].column("n")).astype(np.float64)
+    by_name = np.argsort(known_words)
+    known_words, known_counts = known_words[by_name], known_counts[by_name]
     parts = []
     whole = slices(docs.select(["doc_id", "text"]).combine_chunks().to_batches(), limit=SLICE_BYTES)
     for batch in (b.slice(at, SLICE_ROWS) for b in whole for at in range(0, b.num_rows, SLICE_ROWS)):  # a text's number takes 16 bits
@@ -343,14 +388,14 @@ def _score_block(docs: pa.Table, replies: pa.Table, tokens: int, distinct: int,
         words, at = np.unique(part.words, return_inverse=True)
         parts.append((column(batch, "doc_id").to_pylist(), part.size, key[new], (np.cumsum(new) - 1).astype(np.int32), doc, count, words, at.astype(np.int32), part.word_doc))
     grams, words = (np.unique(np.concatenate([np.zeros(0, np.uint64), *(p[i] for p in parts)])) for i in (2, 6))
-    if len(grams) != len(values[GRAMS]) or len(words) != len(values[WORDS]):
+    if of[DIGEST].column("word").to_pylist() != [block_digest(grams, words)]:
         raise RuntimeError("the table's blocks differ between passes; settle it before scoring")
     unit, end = np.log10(tokens + 0.1 * (distinct + 1)), np.log10(trained + 0.1)
     out = []
     for ids, size, own, at, doc, count, own_words, word_at, word_doc in parts:
-        logs = values[GRAMS][np.searchsorted(grams, own)].astype(np.float64)
+        logs = logs_of[np.searchsorted(grams, own)].astype(np.float64)
         score = np.bincount(doc, weights=logs[at] * count, minlength=len(ids))
-        known = values[WORDS][np.searchsorted(words, own_words)]
+        known = known_counts[np.searchsorted(known_words, own_words)]
         n = np.bincount(word_doc, minlength=len(ids)) + 1
         base = np.bincount(word_doc, weights=np.log10(known + 0.1)[word_at], minlength=len(ids)) + end - n * unit
         seen = np.bincount(word_doc, weights=(known > 0)[word_at], minlength=len(ids)).astype(np.int64) + (trained > 0)
@@ -362,31 +407,47 @@ def score_documents(docs: DataFrame, block_bytes: int = BLOCK_BYTES, id_col: str
     """One row per document: held_out, n_tokens, n_known, train_tokens, base_score, score, n_bytes (code length per byte is -score * log2(10) / n_bytes).
 
     Null texts are empty: their one token is the end. Null ids count as held out. Ties and repeated rows are rows of
-    their own; other columns are ignored; an empty table gives no rows. The table must read the same way twice, as files
-    do; settle anything else first (a difference is an error, not a wrong score).
+    their own; other columns are ignored; an empty table gives no rows. A very long text is a block of its own and held
+    whole, about a hundred bytes for each of its own. The table must read the same way twice, as files do; settle anything
+    else first (blocks carry a digest of what they ask for, so a difference is an error, not a wrong score).
     """
     spark = docs.sparkSession
     rows = keyed_text(docs, id_col, text_col)
     asked = settle_table(rows.mapInArrow(lambda it: _requests(it, block_bytes), REQUESTS))
     crc = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary"))
     trained = rows.where(crc % HELD_OUT != 0).count()
-    salts = max(1, -(-asked.select("block").distinct().count() // BLOCKS_PER_SALT))
-    asked = asked.withColumn("salt", F.pmod("block", F.lit(salts)).cast("int"))
-    merged = asked.withColumn("wide", F.lit(False)).groupBy("space", "bucket", "salt").applyInArrow(_merged, MERGED)
-    if salts > 1:
-        merged = merged.withColumn("wide", F.lit(True)).groupBy("space", "bucket").applyInArrow(_merged, MERGED)
-    merged = settle_table(merged)
-    totals = merged.where(f"space = {WORDS}").mapInArrow(_word_totals, "n long, v long").agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("v"), F.lit(0))).first()
+    words = asked.where(F.col("kind") == WORDS).select("block", "word", "n")
+    counted = words.groupBy("word").agg(F.sum("n").alias("total"))
+    totals = counted.agg(F.coalesce(F.sum("total"), F.lit(0)), F.count(F.when(F.col("total") > 0, 1))).first()
     tokens, distinct = totals[0] + trained, totals[1] + (trained > 0)
-    tops = merged.where(f"space = {GRAMS}").mapInArrow(_tops, TOPS).groupBy("near").applyInArrow(_top_sums, TOPS)
-    crown = Crown([tuple(r) for r in tops.collect()])  # at most 256 rows of fixed size
-    known = merged.mapInArrow(lambda it: _answers(it, crown), ANSWERS).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    replies = asked.select("space", "bucket", "salt", "block", "keys").groupBy("space", "bucket", "salt").cogroup(known.groupBy("space", "bucket", "salt")).applyInArrow(_reply, REPLIES)
-    placed = rows.mapInArrow(lambda it: _placed(it, block_bytes), "block long, place long, doc_id long, text string")
-    return placed.groupBy("block").cogroup(replies.groupBy("block")).applyInArrow(lambda a, b: _score_block(a, b, tokens, distinct, trained), SCORES)
-
 
-def _word_totals(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        counts = [unsqueeze(x, np.uint64) for x in column(batch, "counts").to_pylist()]
-        yield pa.RecordBatch.from_arrays([pa.array([int(c.sum()) for c in counts], pa.int64()), pa.array([int((c > 0).sum()) for c in counts], pa.int64())], ["n", "v"])
+    grams = asked.where(F.col("kind") == GRAMS).select("bucket", "block", "keys", "counts")
+    marks = asked.where(F.col("kind") == DIGEST).agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.max(F.col("block") % (1 << 24)), F.lit(0)).alias("last")).first()
+    n_blocks = marks.n
+    turns = -(-n_blocks // MERGED_BLOCKS) or 1
+    merged = grams.select("bucket", _turn("block", turns).alias("turn"), F.lit(False).alias("wide"), "keys", "counts").groupBy("bucket", "turn").applyInArrow(_merged, MERGED)
+    while turns > 1:
+        turns = -(-turns // MERGED_BLOCKS)
+        merged = merged.withColumn("turn", F.pmod("turn", F.lit(turns))).groupBy("bucket", "turn").applyInArrow(_merged, MERGED)
+    pieces = settle_table(merged.mapInArrow(lambda it: _cut(it, PIECE_KEYS), PIECES))
+    contexts = settle_table(pieces.mapInArrow(_sums, SUMS).groupBy("bucket").applyInArrow(_bucket_context, CONTEXTS))
+    crown = Crown([tuple(r) for r in contexts.groupBy("near").applyInArrow(_top_sums, TOPS).collect()])  # at most 256 rows of fixed size
+    copies = -(-n_blocks // ANSWERED_BLOCKS) or 1
+    known = pieces.join(contexts.select("bucket", "ones", "stop"), "bucket").mapInArrow(lambda it: _answers(it, crown), ANSWERS)
+    known = known.withColumn("turn", F.explode(F.sequence(F.lit(0), F.lit(copies - 1))))
+    asking = grams.select("bucket", _turn("block", copies).alias("turn"), "block", "keys")
+    replies = asking.groupBy("bucket", "turn").cogroup(known.groupBy("bucket", "turn")).applyInArrow(_reply, REPLIES)
+    none = F.lit(None)
+    told = words.join(counted, "word").select("block", F.lit(WORDS).alias("kind"), none.cast("int").alias("bucket"), none.cast("binary").alias("answers"), "word", F.col("total").alias("n"))
+    digests = asked.where(F.col("kind") == DIGEST).select("block", "kind", none.cast("int").alias("bucket"), none.cast("binary").alias("answers"), "word", none.cast("long").alias("n"))
+    placed = rows.mapInArrow(lambda it: _placed(it, block_bytes), "block long, doc_id long, text string")
+    answered = replies.unionByName(told).unionByName(digests)
+    # Blocks are numbered through, so that every partition gets as many of them as any other.
+    parts = max(shuffle_partitions(spark), n_blocks // 16)
+    number = F.shiftright("block", 24) * (marks.last + 1) + F.col("block") % (1 << 24)
+    even = lambda df: df.withColumn("part", F.pmod(number, F.lit(parts)).cast("int")).repartitionById(parts, F.col("part")).groupBy("part", "block")
+    return even(placed).cogroup(even(answered)).applyInArrow(lambda a, b: _score_block(a, b, tokens, distinct, trained), SCORES)
+
+
+def _turn(block: str, turns: int) -> Column:
+    return F.pmod(F.xxhash64(block), F.lit(turns)).cast("int")

@@ -76,9 +76,10 @@ class PlainTree:
         return total
 
 
-@pytest.mark.parametrize(("block_bytes", "per_salt"), [(16 << 20, 64), (300, 2)])
-def test_scores_match_the_definition(spark, monkeypatch, block_bytes, per_salt):
-    monkeypatch.setattr(tw, "BLOCKS_PER_SALT", per_salt)
+@pytest.mark.parametrize(("block_bytes", "at_once", "piece_keys"), [(16 << 20, 64, 1 << 18), (300, 2, 5)])
+def test_scores_match_the_definition(spark, monkeypatch, block_bytes, at_once, piece_keys):
+    for name, value in (("MERGED_BLOCKS", at_once), ("ANSWERED_BLOCKS", at_once), ("PIECE_KEYS", piece_keys)):
+        monkeypatch.setattr(tw, name, value)
     data = [r if r[1] is None or len(r[1]) < 5000 else (r[0], r[1][:200], *r[2:]) for r in rows(n=25)]
     got = tw.score_documents(frame(spark, data), block_bytes).collect()
     held = lambda d: zlib.crc32(("" if d is None else str(d)).encode()) % 10 == 0
@@ -102,14 +103,10 @@ def test_probabilities_sum_to_one():
     contexts = np.unique(strings >> np.uint64(8))[:3]
     every = (contexts[:, None] << np.uint64(8) | np.arange(256, dtype=np.uint64)[None]).ravel()
     keys, counts = tw.summed(np.concatenate([strings, every]), np.concatenate([rng.integers(1, 9, len(strings)), np.zeros(len(every), np.int64)]))
-    top = tw.subtree(keys, counts, tw.DEPTH - 2)[0]
-    flat, weighted = np.zeros(256), np.zeros(256)
-    for bit in range(8):
-        weighted[top.nodes[bit].astype(int)] = top.weighted[bit]
-    last = top.nodes[7].astype(int) & 127
-    flat[2 * last], flat[2 * last + 1] = top.zeros[7], top.ones[7]
+    flat, below = tw.piece_sums(keys, counts)
+    ones, stop, weighted = (x[0] for x in tw.weigh_nodes(flat[None], below[None]))
     crown = tw.Crown([(101, flat.tobytes(), weighted.tobytes())])
-    p = 10 ** tw.log10_probabilities(keys, counts, 101, crown)
+    p = 10 ** tw.log10_probabilities(keys, counts, 101, (ones, stop), crown)
     for c in contexts:
         assert abs(p[keys >> np.uint64(8) == c].sum() - 1) < 1e-9
 
@@ -122,3 +119,15 @@ def test_many_empty_texts_in_one_block(spark):
     docs = spark.range(70_000).selectExpr("id as doc_id", "cast('' as string) as text").union(spark.createDataFrame([(70_000, "one two")], "doc_id long, text string")).coalesce(1)
     got = tw.score_documents(docs).groupBy("n_tokens").count().collect()
     assert {r.n_tokens: r["count"] for r in got} == {1: 70_000, 3: 1}
+
+
+def test_a_table_that_reads_differently_the_second_time_is_an_error(spark):
+    docs = frame(spark, [(i, f"some text {i}", None, None, 0, None, None) for i in range(20)]).coalesce(1)
+    block = tw._score_block
+    part = tw.Slice(["some text"])
+    keys, words = tw.summed(part.keys)[0], np.unique(part.words)
+    assert tw.block_digest(keys, words) != tw.block_digest(keys[::-1].copy(), words)
+    told = tw.pa.table({"block": [0], "kind": tw.pa.array([tw.DIGEST], tw.pa.int32()), "bucket": tw.pa.nulls(1, tw.pa.int32()), "answers": tw.pa.nulls(1, tw.pa.binary()), "word": [1], "n": tw.pa.nulls(1, tw.pa.int64())})
+    with pytest.raises(RuntimeError, match="differ between passes"):
+        block(tw.pa.table({"block": [0], "doc_id": [1], "text": ["some text"]}), told, 1, 1, 1)
+    assert tw.score_documents(docs).count() == 20
