@@ -30,12 +30,14 @@ def test_targets(seed):
 
 
 def test_quotas_split_exactly():
-    q = np.array([0, 7, 1000, 33, 2 * 10**9], np.int64)
+    q = np.array([0, 7, 1000, 33, 9 * 10**8], np.int64)
     for shards in (1, 2, 7, 16):
         got = mixing.split_quotas(q, shards, 3)
         assert got.shape == (shards, 5) and (got >= 0).all() and (got.sum(axis=0) == q).all()
         assert np.ptp(got.sum(axis=1)) <= shards
         assert (got == mixing.split_quotas(q, shards, 3)).all()
+    with pytest.raises(ValueError, match="at most"):
+        mixing.split_quotas(np.array([10**9], np.int64), 2, 3)
 
 
 def test_table(spark):
@@ -85,3 +87,23 @@ def test_mix_is_laid_out_by_shard_and_order(spark):
     parts = mixing.take_mix(frame(spark, data), shards=2).select("doc_id").rdd.glom().collect()
     assert len({r.shard for r in drawn}) == 2 and len(parts) == 4
     assert [r.doc_id for p in parts for r in p] == [r.doc_id for r in drawn]
+
+
+def test_rows_that_are_alike_are_drawn_as_rows_of_their_own(spark):
+    """One text holds most of a source, so its rows straddle the end of the last pass; others share its id or text only."""
+    data = [(7, "one two three four five", "en", "a", 23, f"{i}", i) for i in range(50)]
+    data += [(7, "one two three four five", "en", "b", 23, "x", 0), (8, "one two three four five", "en", "a", 23, "x", 0), (None, "one two three four five", "en", None, 23, "x", 0)]
+    data += [(i, f"other {i} words here", "en", "b", 9, "x", 1) for i in range(100, 130)]
+    documents, draws = mixing.mix_sources(frame(spark, data), shards=3)
+    taken = {(r.source, r.doc_id): r.n for r in documents.groupBy("source", "doc_id").agg({"taken": "sum"}).withColumnRenamed("sum(taken)", "n").collect()}
+    got = mixing.take_mix(frame(spark, data), shards=3).collect()
+    out = defaultdict(int)
+    for r in got:
+        out[r.source, r.doc_id] += len((r.text or "").split())
+    assert out == {k: n for k, n in taken.items() if n}
+    each = defaultdict(int)
+    for r in got:
+        each[r.doc_id, r.source, r.fingerprint, r.n] += len(r.text.split())
+    assert max(each.values()) <= 10 and not any(c.startswith("__") for c in got[0].asDict())
+    with pytest.raises(ValueError, match="operator's own"):
+        mixing.take_mix(frame(spark, data).withColumnRenamed("n", "__mix_x"))
