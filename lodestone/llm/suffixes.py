@@ -7,15 +7,16 @@ then that of the whole stretch of text whose windows share the point.
 
 Suffixes are range-partitioned by splitters taken from a sorted sample (about one document in 32), which compare all
 tokens, so that every bucket is small whatever is frequent: equal leading tokens are split by later ones, and wholly equal
-suffixes that fill several buckets are spread over them. A bucket sorts its suffixes by multikey quicksort and compares
-neighbours. Groups at its ends, which may go on in the next bucket, leave notes; the notes of all buckets are compared as
-a table of their own and answer the rows at the boundaries, bucket by bucket.
+suffixes that fill several buckets are spread over them. A bucket sorts its suffixes by multikey quicksort, compares
+neighbours, and compares across its boundaries: a splitter is a suffix of the text itself, so what is equal to a splitter
+that was drawn twice repeats whichever bucket it lies in, and what shares its first 64 bytes with a splitter may go on
+beyond the boundary and is passed on to a second sort, window by window.
 
 Suffixes that agree in all tokens repeat as a whole. Of those that share the first 64 bytes only, one stretch for each
 distinct last token meets the others, and there bytes decide: the stretches are sorted by what follows the sample point
 and, reversed, by what precedes it, neighbours' common prefixes are counted, and a window repeats if some other stretch
-shares enough bytes on both sides. A string of 64 bytes that has more than MOST_STRETCHES of them isn't gathered: its
-windows become suffixes of their own and pass through the same sort.
+shares enough bytes on both sides. A string of 64 bytes that lies at a boundary or has more than MOST_STRETCHES of them
+isn't gathered: its windows become suffixes of their own and pass through the same sort, where only whole ones count.
 
 Texts are shuffled once; only the texts that have such stretches wait for the second comparison.
 """
@@ -119,13 +120,14 @@ def as_strings(keys: list[np.ndarray]) -> np.ndarray:
 
 
 def place_in_buckets(keys: list[np.ndarray], splitters: np.ndarray) -> np.ndarray:
-    """The bucket of each suffix, ``splitters`` being rows of tokens; those equal to several splitters are spread over the buckets between them."""
+    """The bucket of each suffix, ``splitters`` being rows of tokens; those equal to several splitters are spread over the buckets around them."""
     low, high = np.searchsorted(splitters[:, 0], keys[0], "left"), np.searchsorted(splitters[:, 0], keys[0], "right")
     tied = np.flatnonzero(low < high)
     if len(tied):
         own, cuts = as_strings([k[tied] for k in keys]), as_strings(list(splitters.T))
         low[tied], high = np.searchsorted(cuts, own, "left"), np.searchsorted(cuts, own, "right")
-        low[tied] += np.arange(len(tied)) % (high - low[tied] + 1)
+        several = high - low[tied] > 1
+        low[tied] += np.where(several, np.arange(len(tied)) % (high - low[tied] + 1), 0)
     return low
 
 
@@ -149,42 +151,29 @@ def _points(batches: Iterator[pa.RecordBatch], splitters: np.ndarray | None, wid
             yield pa.RecordBatch.from_arrays([small[0], *(pa.array(p[k]) for k in KEYS), column(batch, "doc_id").take(rows), column(batch, "tag").take(rows), *small[1:]], _POINTS)
 
 
-#: kind 0: a suffix that repeats, may repeat or shares its first 64 bytes; 1: a group at a boundary with its least and greatest last token and how many; 2: a whole suffix at a boundary and how often.
-COMPARED = "kind int, bucket int, name long, rest long, other long, doc_id long, tag long, start int, count int, left int, whole boolean, partly boolean, lead boolean, hot boolean, edge boolean"
+COMPARED = "name long, doc_id long, tag long, start int, count int, left int, whole boolean, partly boolean, lead boolean, hot boolean"
 
 
 def compare_bucket(table: dict[str, np.ndarray], splitters: np.ndarray, most: int) -> dict[str, np.ndarray]:
-    """Sort one bucket and mark whole repeats, shared first strings and each distinct suffix's first row."""
+    """Sort one bucket, compare neighbours and the splitters at its ends: the suffixes that repeat as a whole, or share their first 64 bytes, with each distinct one's first row."""
     order = multikey_order([table[k] for k in KEYS])
     keys = np.column_stack([table[k][order] for k in KEYS])
     new = np.vstack([np.ones(len(KEYS), bool), keys[1:] != keys[:-1]])
     new_f, new_s = new[:, :-1].any(axis=1), new.any(axis=1)
     suffix, group = np.cumsum(new_s) - 1, np.cumsum(new_f) - 1
-    counts = np.bincount(suffix)
     distinct = np.bincount(group[new_s])
+    whole, edge = np.bincount(suffix)[suffix] > 1, np.zeros(len(order), bool)
     bucket = int(table["bucket"][0])
-    edge_f, edge_s = np.zeros((2, len(order)), bool)
     for i in (bucket - 1, bucket):
         if 0 <= i < len(splitters):
             like = keys == splitters[i]
-            edge_f |= like[:, :-1].all(axis=1)
-            edge_s |= like.all(axis=1)
-    whole, partly = counts[suffix] > 1, distinct[group] > 1
-    kept = np.flatnonzero(whole | partly | edge_f)
-    name, rest = keys[:, -2], keys[:, -1]
-    rows = {"kind": np.zeros(len(kept), np.int32), "name": name[kept], "rest": np.where(edge_f, rest, 0)[kept], "other": np.zeros(len(kept), np.int64)}
-    rows |= {"whole": whole[kept], "partly": partly[kept], "lead": new_s[kept], "hot": (distinct[group] > most)[kept], "edge": edge_f[kept]}
-    rows |= {c: table[c][order][kept] for c in ("doc_id", "tag", "start", "count", "left")}
-    begin = np.flatnonzero(new_f)
-    last = np.append(begin[1:], len(order)) - 1
-    g = np.flatnonzero(edge_f[begin])
-    p = np.flatnonzero(new_s & edge_s)
-    n = len(g) + len(p)
-    notes = {c: np.zeros(n, x.dtype) for c, x in rows.items()}
-    notes |= {"kind": np.repeat(np.array([1, 2], np.int32), [len(g), len(p)]), "name": np.concatenate([name[begin[g]], name[p]]), "rest": np.concatenate([rest[begin[g]], rest[p]]), "other": np.concatenate([rest[last[g]], rest[p]])}
-    notes["count"] = np.concatenate([distinct[g], counts[suffix[p]]]).astype(np.int32)
-    out = {c: np.concatenate([rows[c], notes[c]]) for c in rows}
-    return out | {"bucket": np.full(len(out["kind"]), bucket, np.int32)}
+            edge |= like[:, :-1].all(axis=1)
+            if (splitters[max(0, i - 1) : i + 2] == splitters[i]).all(axis=1).sum() > 1:
+                whole |= like.all(axis=1)
+    partly = edge | (distinct[group] > 1)
+    kept = np.flatnonzero(whole | partly)
+    out = {"name": keys[kept, -2], **{c: table[c][order][kept] for c in ("doc_id", "tag", "start", "count", "left")}}
+    return out | {"whole": whole[kept], "partly": partly[kept], "lead": new_s[kept], "hot": (edge | (distinct[group] > most))[kept]}
 
 
 def _compared(splitters: np.ndarray, most: int):
@@ -215,29 +204,19 @@ def choose_splitters(sample: DataFrame, scale: int) -> np.ndarray:
     if buckets < 2:
         return np.zeros((0, len(KEYS)), np.int64)
     parts, stride = -(-buckets // 8), -(-n // buckets)
-    ordered = sample.repartitionByRange(parts, *KEYS).sortWithinPartitions(*KEYS)
-    picked = ordered.mapInArrow(lambda it: _every(it, stride), KEY_ROWS).toArrow()
+    keys = [*KEYS, "nth"]  # equal suffixes are spread, too
+    ordered = sample.withColumn("nth", F.monotonically_increasing_id()).repartitionByRange(parts, *keys).sortWithinPartitions(*keys)
+    picked = ordered.select(*KEYS).mapInArrow(lambda it: _every(it, stride), KEY_ROWS).toArrow()
     rows = [np.asarray(picked.column(k)) for k in KEYS]
     return np.column_stack(rows)[np.lexsort(rows[::-1])]
 
 
 def mark_repeats(points: DataFrame, splitters: np.ndarray) -> DataFrame:
-    """Of suffixes that lie in buckets, those that repeat: name, doc_id, tag, start, count, left, whole, partly, lead, hot."""
+    """Of suffixes that lie in buckets, those that repeat or may: name, doc_id, tag, start, count, left, whole, partly, lead, hot."""
     buckets = len(splitters) + 1
     parts = min(buckets, max(shuffle_partitions(points.sparkSession), buckets // 64))
     dealt = points.withColumn("part", F.floor(F.col("bucket") * F.lit(parts) / F.lit(buckets)).cast("int")).repartitionById(parts, F.col("part"))
-    found = settle_table(dealt.groupBy("part", "bucket").applyInArrow(_compared(splitters, MOST_STRETCHES), COMPARED))
-    rows = found.where("kind = 0").drop("kind", "other")
-    if buckets > 1:  # what lies at a boundary asks the notes, each bucket for itself
-        groups, wholes = found.where("kind = 1"), found.where("kind = 2")
-        shared = groups.groupBy("name").agg((F.min("rest") != F.max("other")).alias("shared"), (F.sum("count") > MOST_STRETCHES).alias("many"))
-        again = wholes.groupBy("name", "rest").agg((F.sum("count") > 1).alias("again")).where("again")
-        shared = groups.select("bucket", "name").distinct().join(shared, "name")
-        again = wholes.select("bucket", "name", "rest").distinct().join(again, ["name", "rest"])
-        edge = rows.where("edge").join(shared, ["bucket", "name"], "left").join(again, ["bucket", "name", "rest"], "left")
-        edge = edge.withColumns({"partly": F.col("partly") | F.coalesce("shared", F.lit(False)), "hot": F.coalesce("many", "hot"), "whole": F.col("whole") | F.coalesce("again", F.lit(False))})
-        rows = rows.where("not edge").unionByName(edge.select(*rows.columns))
-    return rows.where("whole or partly").drop("bucket", "rest", "edge")
+    return dealt.groupBy("part", "bucket").applyInArrow(_compared(splitters, MOST_STRETCHES), COMPARED)
 
 
 DIGEST = "n_bytes long, n_removed long, n_spans long, kept_sha256 string"

@@ -95,8 +95,20 @@ def test_buckets_follow_the_order_and_equal_suffixes_are_spread():
     rows = np.column_stack(keys).tolist()
     for row, b in zip(rows, bucket.tolist(), strict=True):
         assert (b == 0 or splitters[b - 1].tolist() <= row) and (b == len(splitters) or row <= splitters[b].tolist())
-    equal = bucket[[r == splitters[4].tolist() for r in rows]]
-    assert len(equal) < 2 or len(set(equal.tolist())) > 1
+    drawn = splitters.tolist()
+    for cut in drawn:
+        equal = {b for r, b in zip(rows, bucket.tolist(), strict=True) if r == cut}
+        assert len(equal) == 1 if drawn.count(cut) == 1 else equal <= set(range(drawn.index(cut), drawn.index(cut) + drawn.count(cut) + 1))
+
+
+def test_buckets_know_what_goes_on_beyond_their_boundaries():
+    """Of three buckets, the suffixes of the middle one that are equal to a splitter drawn twice, or begin like a splitter."""
+    low, twice, high = [0] * 5 + [1], [1] * 6, [2] * 6
+    splitters = np.array([low, twice, twice, high])
+    rows = np.array([[1] * 5 + [0], twice, [1, 1, 1, 1, 0, 9]])
+    table = {k: rows[:, i] for i, k in enumerate(suffixes.KEYS)} | {c: np.arange(3) for c in ("doc_id", "tag", "start", "count", "left")} | {"bucket": np.full(3, 1)}
+    got = suffixes.compare_bucket(table, splitters, 10)
+    assert sorted(zip(got["doc_id"].tolist(), got["whole"].tolist(), got["hot"].tolist(), strict=True)) == [(0, False, True), (1, True, True)]
 
 
 def test_windows_are_compared_by_their_bytes():
