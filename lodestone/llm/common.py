@@ -61,10 +61,13 @@ def utf8(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that the cluster shares, from ``spark.checkpoint.dir``; one of our own only where none is set, as in tests."""
+    """The folder that the cluster shares, from ``spark.checkpoint.dir``; a folder of our own only where none is set in local mode, as in tests."""
     sc = spark.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-"))
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if not folder and not sc.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="spark-"))
     return sc._jsc.sc().getCheckpointDir().get()
 
 
@@ -74,13 +77,26 @@ def settle(df: DataFrame, eager: bool = True) -> DataFrame:
     return df.checkpoint(eager)
 
 
-def settle_table(df: DataFrame) -> DataFrame:
-    """Cut the lineage with a Parquet table in the shared folder, for what is large: columns are compressed and pruned when read."""
+def settle_table(df: DataFrame, paths: list[str] | None = None) -> DataFrame:
+    """Cut the lineage with a Parquet table in the shared folder, for what is large: columns are compressed and pruned when read.
+
+    The table's path is added to ``paths``, for ``clear_tables``.
+    """
     path = f"{shared_folder(df.sparkSession)}/{uuid.uuid4().hex}"
     df.write.parquet(path)
+    if paths is not None:
+        paths.append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def clear_tables(spark: SparkSession, paths: list[str]) -> None:
+    """Remove settled tables that nothing reads any more."""
+    for path in paths:
+        folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+        folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+    paths.clear()
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

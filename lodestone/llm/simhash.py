@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from lodestone.llm.common import U, column, keyed_text, settle, settle_table, slices
+from lodestone.llm.common import U, clear_tables, column, keyed_text, settle, settle_table, slices
 
 SEED = 42
 RADIUS = 2
@@ -121,8 +121,17 @@ def _bucket_links(batches: Iterator[pa.RecordBatch], radius: int, segments: int)
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(src)), pa.array(np.concatenate(dst))], ["a", "b"])
 
 
-def link_values(values: DataFrame, radius: int = RADIUS, segments: int = SEGMENTS, max_bucket: int = MAX_BUCKET) -> DataFrame:
-    """Links (a, b) among the distinct values of column ``fp``, enough to connect all that are within ``radius`` bits."""
+def segments_for(n: int, radius: int = RADIUS) -> int:
+    """Segments whose keys are long enough that n random values fill buckets by a quarter of ``MAX_BUCKET`` at most, 32 beyond that."""
+    return next((m for m in (SEGMENTS, 16) if n <= MAX_BUCKET // 4 << chain_key_length(radius, m) * 64 // m), 32)
+
+
+def link_values(values: DataFrame, radius: int = RADIUS, segments: int | None = None, max_bucket: int = MAX_BUCKET) -> DataFrame:
+    """Links (a, b) among the distinct values of column ``fp``, enough to connect all that are within ``radius`` bits.
+
+    Without ``segments``, their number follows from that of the values: longer keys for more of them.
+    """
+    segments = segments or segments_for(values.count(), radius)
     if 64 % segments or radius not in (1, 2):
         raise ValueError("segments must divide 64, and the exact way for large buckets serves a radius of 1 or 2")
     width, chain = 64 // segments, chain_key_length(radius, segments)
@@ -176,12 +185,12 @@ def components(links: DataFrame, max_rounds: int = 60) -> DataFrame:
     raise RuntimeError("links didn't settle")
 
 
-def near_duplicates(docs: DataFrame, width: int = 3, radius: int = RADIUS, segments: int = SEGMENTS, max_bucket: int = MAX_BUCKET, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def near_duplicates(docs: DataFrame, width: int = 3, radius: int = RADIUS, segments: int | None = None, max_bucket: int = MAX_BUCKET, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, fingerprint, component_id): documents linked by chains of fingerprints within ``radius`` bits.
 
-    Null and wordless texts have fingerprint zero and are linked like any other. Null ids keep their rows; the component
-    of rows that all have null ids is null. Repeated rows and ties stay, one row out for each row in. Other columns are
-    ignored. An empty table gives no rows.
+    Null and wordless texts have fingerprint zero and are linked like any other; a very long text is held whole, with eight
+    bytes for each of its shingles. Null ids keep their rows; the component of rows that all have null ids is null.
+    Repeated rows and ties stay, one row out for each row in. Other columns are ignored. An empty table gives no rows.
     """
     rows = settle(fingerprints(docs, width, id_col, text_col))
     values = settle(rows.groupBy("fp").agg(F.min("doc_id").alias("least")))
@@ -210,7 +219,11 @@ def shingle_array(text: str, width: int) -> np.ndarray:
     return np.sort(np.fromiter(found, np.uint64, len(found)))
 
 
-PROFILE = "doc_id long, tag long, set long, fp long, n long, sketch array<long>, text string"
+def set_name(own: np.ndarray) -> int:
+    return xxhash.xxh64_intdigest(own.tobytes(), SEED) - (1 << 63)
+
+
+PROFILE = "doc_id long, tag long, set long, fp long, n long, sketch array<long>"
 
 
 def _profiles(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
@@ -220,24 +233,36 @@ def _profiles(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.Reco
         names, sizes, sketches = [], [], np.zeros((len(texts), SKETCH_WORDS), np.int64)
         for i, text in enumerate(texts):
             own = shingle_array(text, width)
-            names.append(xxhash.xxh64_intdigest(own.tobytes(), SEED))
+            names.append(set_name(own))
             sizes.append(len(own))
             odd = np.bincount((own % U(64 * SKETCH_WORDS)).astype(np.int64), minlength=64 * SKETCH_WORDS) & 1
             sketches[i] = np.packbits(odd.astype(bool), bitorder="little").view(np.int64)
         offsets = pa.array(np.arange(len(texts) + 1, dtype=np.int32) * SKETCH_WORDS)
-        values = [column(batch, "doc_id"), column(batch, "tag"), pa.array(np.array(names, np.uint64).view(np.int64)), pa.array(fps), pa.array(sizes, pa.int64()), pa.ListArray.from_arrays(offsets, pa.array(sketches.ravel())), column(batch, "text")]
+        values = [column(batch, "doc_id"), column(batch, "tag"), pa.array(np.array(names, np.int64)), pa.array(fps), pa.array(sizes, pa.int64()), pa.ListArray.from_arrays(offsets, pa.array(sketches.ravel()))]
         yield pa.RecordBatch.from_arrays(values, [x.split()[0] for x in PROFILE.split(", ")])
 
 
-def _shingles(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
+def _each_once(batches: Iterator[pa.RecordBatch]) -> Iterator[list[str]]:
+    """The different texts of a task, by slices."""
+    seen: set[int] = set()
     for batch in slices(batches):
-        own = np.concatenate([shingle_array(t, width) for t in column(batch, "text").to_pylist()])
+        texts = []
+        for tag, text in zip(column(batch, "tag").to_pylist(), column(batch, "text").to_pylist(), strict=True):
+            if tag not in seen:
+                seen.add(tag)
+                texts.append(text)
+        yield texts
+
+
+def _shingles(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
+    for texts in _each_once(batches):
+        own = np.concatenate([np.zeros(0, np.uint64), *(shingle_array(t, width) for t in texts)])
         yield pa.RecordBatch.from_arrays([pa.array(own.view(np.int64))], ["shingle"])
 
 
-def common_shingles(sets: DataFrame, width: int) -> np.ndarray:
-    """The most frequent shingles of a sample, rarest first. They only order prefixes: results don't depend on the choice."""
-    sampled = sets.where(F.pmod("set", F.lit(SAMPLE)) == 0).select("text").mapInArrow(lambda it: _shingles(it, width), "shingle long")
+def common_shingles(rows: DataFrame, width: int) -> np.ndarray:
+    """The most frequent shingles of a sample of texts, rarest first. They only order prefixes: results don't depend on the choice."""
+    sampled = rows.where(F.pmod("tag", F.lit(SAMPLE)) == 0).select("tag", "text").mapInArrow(lambda it: _shingles(it, width), "shingle long")
     counts = sampled.groupBy("shingle").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= SAMPLE_LEAST)
     top = counts.orderBy(F.desc("n"), "shingle").limit(MAX_COMMON).collect()
     return np.array([r.shingle for r in reversed(top)], np.int64).view(np.uint64)
@@ -254,12 +279,13 @@ def prefix_length(n: int, similarity: float) -> int:
 def _prefixes(batches: Iterator[pa.RecordBatch], width: int, similarity: float, common: np.ndarray) -> Iterator[pa.RecordBatch]:
     rank = np.argsort(common)
     known = common[rank]
-    for batch in slices(batches):
+    for texts in _each_once(batches):
         keys, sets, sizes, places = [], [], [], []
-        for name, text in zip(column(batch, "set").to_pylist(), column(batch, "text").to_pylist(), strict=True):
+        for text in texts:
             own = shingle_array(text, width)
             if not len(own):
                 continue
+            name = set_name(own)
             if len(known):
                 at = np.minimum(np.searchsorted(known, own), len(known) - 1)
                 own = own[np.argsort(np.where(known[at] == own, rank[at] + 1, 0), kind="stable")]
@@ -285,7 +311,16 @@ def _verified(batches: Iterator[pa.RecordBatch], width: int, similarity: float)
         yield pa.RecordBatch.from_arrays([column(batch, "a"), column(batch, "b")], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
 
-def similar_pairs(pairs: DataFrame, sets: DataFrame, width: int, similarity: float) -> DataFrame:
+#: Rows of ids and tags up to which such a table is broadcast, some 20 MB; a larger one meets the texts in a shuffle.
+BROADCAST_ROWS = 500_000
+
+
+def _sized(df: DataFrame) -> DataFrame:
+    """A settled table of ids and tags, broadcast if it is small."""
+    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+
+
+def similar_pairs(pairs: DataFrame, sets: DataFrame, rows: DataFrame, width: int, similarity: float, paths: list[str]) -> DataFrame:
     """Those of the pairs (a, b) of sets whose exact Jaccard similarity is high enough.
 
     Sketches differ in at most as many bits as sets in shingles, so they spare most texts the way without losing a pair.
@@ -295,11 +330,13 @@ def similar_pairs(pairs: DataFrame, sets: DataFrame, width: int, similarity: flo
     near = near.join(small.toDF("a", "n", "sketch"), "a").join(small.toDF("b", "b_n", "b_sketch"), "b")
     apart = F.aggregate(F.zip_with("sketch", "b_sketch", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda x, y: x + y)
     both = F.col("n") + F.col("b_n")
-    near = settle_table(near.where((F.least("n", "b_n") >= similarity * F.greatest("n", "b_n") - 1e-6) & (apart <= (1 - similarity) / (1 + similarity) * both + 1e-6)).select("a", "b"))
-    needed = settle_table(near.select("a").union(near.select("b")).distinct().toDF("set"))
-    texts = settle_table(sets.select("set", "text").join(needed, "set", "left_semi"))
+    near = settle_table(near.where((F.least("n", "b_n") >= similarity * F.greatest("n", "b_n") - 1e-6) & (apart <= (1 - similarity) / (1 + similarity) * both + 1e-6)).select("a", "b"), paths)
+    needed = near.select("a").union(near.select("b")).distinct().toDF("set").join(sets.select("set", F.col("doc_id").alias("its_id"), F.col("tag").alias("its_tag")), "set")
+    needed = _sized(settle_table(needed, paths))
+    found = rows.join(needed, F.col("doc_id").eqNullSafe(F.col("its_id")) & (F.col("tag") == F.col("its_tag")))
+    texts = settle_table(found.select("set", "text").dropDuplicates(["set"]), paths)
     compared = near.join(texts.toDF("a", "text"), "a").join(texts.toDF("b", "other_text"), "b").select("a", "b", "text", "other_text")
-    return settle_table(compared.mapInArrow(lambda it: _verified(it, width, similarity), "a long, b long"))
+    return settle_table(compared.mapInArrow(lambda it: _verified(it, width, similarity), "a long, b long"), paths)
 
 
 def similar_groups(docs: DataFrame, width: int = 5, similarity: float = 0.8, radius: int = RADIUS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -309,44 +346,58 @@ def similar_groups(docs: DataFrame, width: int = 5, similarity: float = 0.8, rad
     every link is verified, and no pair is missed. Two similar sets have a shingle in common among the first
     ``prefix_length`` of each, in any one order of all shingles; the common ones come last. A first round compares the sets
     within ``radius`` bits of each other by their SimHash, and each set with one other for every such shingle; a second
-    one all that share a shingle and aren't in one group yet. One row of each group stays: the
-    least id (null ids last), then the least tag. Null and wordless texts are one group.
+    one all that share a shingle and aren't in one group yet. One row of each group stays: the least id (null ids last),
+    then the least tag. Null and wordless texts are one group. A very long text is held whole, with its shingles. Ties and
+    repeated rows are rows of one group; other columns are ignored; an empty table gives no rows.
+
+    Texts stay where they are, but for those of candidate pairs; profiles and prefixes, which move, hold hashes only.
     """
+    paths: list[str] = []
     rows = keyed_text(docs, id_col, text_col).select("doc_id", F.xxhash64("text").alias("tag"), "text")
-    profile = settle_table(rows.mapInArrow(lambda it: _profiles(it, width), PROFILE).withColumn("row", F.monotonically_increasing_id()))
-    first = settle_table(profile.groupBy("set").agg(F.min("row").alias("row")).select("row"))
-    sets = settle_table(profile.join(first, "row", "left_semi").select("set", "fp", "n", "sketch", "text"))
+    profile = settle_table(rows.mapInArrow(lambda it: _profiles(it, width), PROFILE), paths)
+    sets = settle_table(profile.dropDuplicates(["set"]), paths)
     heads = settle(sets.groupBy("fp").agg(F.min("set").alias("head")))
     links = link_values(heads.select("fp"), radius)
     alike = sets.select("set", "fp").join(heads, "fp").select(F.col("set").alias("a"), F.col("head").alias("b"))
     alike = alike.union(links.join(heads.toDF("a", "head_a"), "a").join(heads.toDF("b", "head_b"), "b").select("head_a", "head_b"))
-    common = common_shingles(sets, width)
-    prefixes = sets.select("set", "text").mapInArrow(lambda it: _prefixes(it, width, similarity, common), PREFIX)
+    common = common_shingles(rows, width)
+    prefixes = rows.select("tag", "text").mapInArrow(lambda it: _prefixes(it, width, similarity, common), PREFIX)
     by_key = Window.partitionBy("key")
     shared = prefixes.withColumns({"least": F.min(F.struct("set", "n", "place")).over(by_key), "most": F.max("set").over(by_key)}).where("least.set <> most")
-    shared = settle_table(shared.select("key", "set", "n", "place", "least"))
+    shared = settle_table(shared.select("key", "set", "n", "place", "least").dropDuplicates(["key", "set"]), paths)
     fits = lambda n, place, m, at: F.least(n - place, m - at) >= similarity / (1 + similarity) * (n + m) - 1e-6
     star = shared.where(fits(F.col("n"), F.col("place"), F.col("least.n"), F.col("least.place"))).select("set", "least.set")
-    close = similar_pairs(alike.union(star), sets, width, similarity)
-    known = settle_table(components(close)).withColumnsRenamed({"node": "set", "root": "whole"})
+    close = similar_pairs(alike.union(star), sets, rows, width, similarity, paths)
+    known = settle_table(components(close), paths).withColumnsRenamed({"node": "set", "root": "whole"})
     grouped = shared.drop("least").join(known, "set", "left").withColumn("whole", F.coalesce("whole", "set"))
     grouped = grouped.withColumns({"least": F.min("whole").over(by_key), "most": F.max("whole").over(by_key)}).where("least <> most")
-    grouped = settle_table(grouped.select("key", "set", "n", "place", "whole"))
+    grouped = settle_table(grouped.select("key", "set", "n", "place", "whole"), paths)
     a, b = grouped.alias("a"), grouped.alias("b")
     further = a.join(b, (F.col("a.key") == F.col("b.key")) & (F.col("a.set") < F.col("b.set")) & (F.col("a.whole") != F.col("b.whole")) & fits(*(F.col(c) for c in ("a.n", "a.place", "b.n", "b.place"))))
-    further = similar_pairs(further.select(F.col("a.set").alias("a"), F.col("b.set").alias("b")), sets, width, similarity)
+    further = similar_pairs(further.select(F.col("a.set").alias("a"), F.col("b.set").alias("b")), sets, rows, width, similarity, paths)
     joined = components(close.union(further))
     small = profile.groupBy("doc_id", "tag").agg(F.count(F.lit(1)).alias("n"), F.first("set").alias("set"))
-    groups = settle_table(small.join(joined.select(F.col("node").alias("set"), F.col("root").alias("whole")), "set", "left").withColumn("whole", F.coalesce("whole", "set")))
+    groups = small.join(joined.select(F.col("node").alias("set"), F.col("root").alias("whole")), "set", "left").withColumn("whole", F.coalesce("whole", "set"))
+    groups = settle_table(groups.select("doc_id", "tag", "n", "whole"), paths)
     rank = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "tag")
     stays = groups.groupBy("whole").agg(F.min(rank).alias("stay"))
-    return groups.join(stays, "whole").select("doc_id", "tag", "n", (F.col("doc_id").eqNullSafe(F.col("stay.doc_id")) & (F.col("tag") == F.col("stay.tag"))).alias("keep"))
+    out = settle_table(groups.join(stays, "whole").select("doc_id", "tag", "n", (F.col("doc_id").eqNullSafe(F.col("stay.doc_id")) & (F.col("tag") == F.col("stay.tag"))).alias("keep")))
+    clear_tables(docs.sparkSession, paths)
+    return out
 
 
 def keep_one(docs: DataFrame, width: int = 5, similarity: float = 0.8, radius: int = RADIUS) -> DataFrame:
-    """The table without near-duplicates: of each group of ``similar_groups`` one row stays, whole and unchanged."""
-    stays = similar_groups(docs, width, similarity, radius).where("keep").select(F.col("doc_id").alias("__id"), F.col("tag").alias("__tag"), F.col("n").alias("__n"))
-    tag = F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit("")))
-    kept = docs.withColumn("__tag_", tag).join(stays, F.col("doc_id").cast("long").eqNullSafe(F.col("__id")) & (F.col("__tag_") == F.col("__tag")))
-    once, more = kept.where("__n = 1"), kept.where("__n > 1").dropDuplicates(["__id", "__tag"])
-    return once.unionByName(more).select(*docs.columns)
+    """The table without near-duplicates: of each group of ``similar_groups`` one row stays, whole and unchanged.
+
+    Of repeated rows that stay one is kept, whichever comes first. Nulls, empty and very long texts and an empty table are
+    as in ``similar_groups``. All columns are kept; names that begin with __near are an error.
+    """
+    if any(c.startswith("__near") for c in docs.columns):
+        raise ValueError("columns named __near... are the operator's own")
+    groups = similar_groups(docs, width, similarity, radius)
+    key = lambda df: df.select(F.col("doc_id").alias("__near_id"), F.col("tag").alias("__near_tag"))
+    gone, repeated = key(groups.where("not keep or n > 1")), key(groups.where("keep and n > 1"))
+    rows = docs.withColumns({"__near_own_id": F.col("doc_id").cast("long"), "__near_own_tag": F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit("")))})
+    same = F.col("__near_own_id").eqNullSafe(F.col("__near_id")) & (F.col("__near_own_tag") == F.col("__near_tag"))
+    once, more = rows.join(_sized(gone), same, "left_anti"), rows.join(_sized(repeated), same, "left_semi")
+    return once.unionByName(more.dropDuplicates(["__near_own_id", "__near_own_tag"])).select(*docs.columns)

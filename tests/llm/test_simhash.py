@@ -82,3 +82,10 @@ def test_filter_keeps_all_true_pairs():
     values = np.unique(base ^ (np.uint64(1) << rng.integers(0, 30, 200, dtype=np.uint64)) ^ (np.uint64(1) << rng.integers(0, 30, 200, dtype=np.uint64)))
     i, j = simhash.pigeonring_pairs(values, 0, 2, 8)
     assert (np.bitwise_count(values[i] ^ values[j]) <= 2).all()
+
+
+def test_segments_widen_with_the_number_of_values():
+    assert simhash.segments_for(10) == simhash.segments_for(2**31) == 8 and simhash.segments_for(2**32) == 16 and simhash.segments_for(2**40) == 32
+    for n in (10, 2**32, 2**35):
+        m = simhash.segments_for(n)
+        assert n >> simhash.chain_key_length(2, m) * 64 // m <= simhash.MAX_BUCKET // 4
