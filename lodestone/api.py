@@ -13,9 +13,10 @@ from pyspark.sql import functions as F
 from lodestone.functions import scoring
 from lodestone.operators import suggest
 from lodestone.operators.index import Index, build
+from lodestone.operators.progress import Progress, watched
 from lodestone.plans import search as plans
 from lodestone.plans import store
-from lodestone.sources import frame_source, numbered, read_source
+from lodestone.sources import frame_source, numbered, read_source, settled
 
 RESULTS_PER_REQUEST = 10
 
@@ -27,6 +28,7 @@ class SearchIndex:
         self.spark = spark
         self.index: Index | None = None
         self.source = ""
+        self.progress: Progress | None = None
 
     @classmethod
     def from_file(cls, spark: SparkSession, path: str, columns: list[str]) -> SearchIndex:
@@ -47,16 +49,27 @@ class SearchIndex:
         return self.index_frame(read_source(self.spark, path), columns)
 
     def index_frame(self, frame, columns: list[str], id_col: str | None = None) -> SearchIndex:
-        """A Spark, pandas, Arrow or Polars frame; rows are numbered in order unless ``id_col`` names their id."""
+        """A Spark, pandas, Arrow or Polars frame; rows are numbered in order unless ``id_col`` names their id.
+
+        A numbered table is written to the shared folder, so that every later use has the same numbers.
+        """
         df = frame_source(self.spark, frame)
-        self.index = build(df if id_col else numbered(df), columns, id_col or "DOC_ID")
+        own = id_col.upper() if id_col else "DOC_ID" if "DOC_ID" in df.columns else None
+        self.index = build(df if own else settled(numbered(df), "documents"), columns, own or "DOC_ID")
         return self
 
     def persist(self) -> SearchIndex:
-        """Keep the index's tables in the executors' memory and disk: build once, query often."""
-        self._built.persist()
+        """Keep the index's tables in the executors' memory and disk: build once, query often. ``progress`` tells how far that is."""
+        with watched(self.spark) as self.progress:
+            index = self._built.persist()
+            for table in (index.postings, index.terms, index.stats):
+                table.count()
         return self
 
+    def n_docs(self) -> int:
+        """Documents in the index."""
+        return max((r.n_docs for r in self._built.statistics().values()), default=0)
+
     def save(self, path: str | None = None) -> str:
         path = path or store.default_path(self.source)
         store.save(self._built, path, self.source)

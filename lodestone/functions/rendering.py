@@ -23,15 +23,6 @@ def _plain(words: str) -> list[str]:
     return [w for w in (re.sub("[^a-z0-9]", "", t.lower()) for t in words.split()[:MOST_HIGHLIGHTS]) if w]
 
 
-def highlight_words(c: Column, query: str) -> Column:
-    """The text with each of the first six query words marked, ignoring case; for words that don't overlap each other."""
-    words = _plain(query)
-    if not words:
-        return escape_html(c)
-    pattern = "(?i)(" + "|".join(sorted(words, key=lambda w: (-len(w), w))) + ")"
-    return F.regexp_replace(escape_html(c), pattern, f"{OPEN}$1{CLOSE}")
-
-
 def mark(text: str | None, words: list[str]) -> str | None:
     """Exact highlighting: matches over letters and digits alone, overlapping and touching ranges merged, the rest escaped."""
     if text is None:
@@ -58,8 +49,10 @@ def mark(text: str | None, words: list[str]) -> str | None:
 
 
 def highlight(c: Column, query: str) -> Column:
-    """Exact highlighting with merged ranges, an Arrow UDF over the few rows of a result."""
+    """Exact highlighting with merged ranges, an Arrow UDF over the few rows of a result; without words the text is only escaped."""
     words = _plain(query)
+    if not words:
+        return escape_html(c)
     return F.pandas_udf(lambda s: pd.Series([mark(t, words) for t in s], dtype=object), "string")(c)
 
 

@@ -1,4 +1,4 @@
-"""Retrieval quality: precision, recall, average precision and nDCG at k, and percentiles."""
+"""Retrieval quality: precision, recall, average precision and nDCG at k, documents that hold a passage, and percentiles."""
 
 from __future__ import annotations
 
@@ -6,6 +6,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from lodestone.functions.analysis import LONGEST_TERM, tokens
+from lodestone.operators.index import Index
+from lodestone.sources import settled
+
 
 def judged(run: DataFrame, qrels: DataFrame, k: int) -> DataFrame:
     """Per query of ``qrels`` (query_id, doc_id, grade): the four measures of ``run`` (query_id, doc_id, rank from 1)."""
@@ -31,13 +35,50 @@ def metrics(run: DataFrame, qrels: DataFrame, k: int) -> DataFrame:
     return judged(run, qrels, k).agg(F.count(F.lit(1)).alias("n_queries"), *(F.round(F.avg(c), 6).alias(n) for c, n in names.items()))
 
 
+def containing(index: Index, field: str, passages: DataFrame) -> DataFrame:
+    """(query_id, doc_id): the documents whose ``field`` holds a passage of (query_id, text), letter for letter.
+
+    All but the first and last term of a passage stand as whole terms in such a document, so the rarest of them proposes
+    documents by its postings, and only those are searched. A passage of fewer than three terms, or with one that is as
+    long as terms get, has no such term and is searched for in all documents.
+    """
+    name = next(f for f in index.fields if f.upper() == field.upper())
+    words = passages.select("query_id", F.col("text").alias("passage"), tokens("text", most=None).alias("terms"))
+    sure = (F.size("terms") > 2) & ~F.exists("terms", lambda t: F.length(t) >= LONGEST_TERM)
+    known = index.terms.where(F.col("field") == field.upper()).select("term", "df")
+    inner = words.where(sure).select("query_id", "passage", F.explode(F.array_distinct(F.expr("slice(terms, 2, size(terms) - 2)"))).alias("term"))
+    order = F.struct(F.coalesce("df", F.lit(0)).alias("df"), "term")
+    rarest = inner.join(known, "term", "left").groupBy("query_id", "passage").agg(F.min(order).alias("r")).where("r.df > 0")
+    post = index.postings.where(F.col("field") == field.upper()).select("term", "doc_id")
+    proposed = rarest.select("query_id", "passage", F.col("r.term").alias("term")).join(post, "term").select("query_id", "passage", "doc_id")
+    documents = index.documents.select(F.col(f"`{index.id_col}`").cast("long").alias("doc_id"), F.col(f"`{name}`").alias("whole"))
+    found = proposed.join(documents, "doc_id")
+    short = words.where(~sure).select("query_id", "passage")
+    if not short.isEmpty():
+        found = found.unionByName(documents.join(short, F.col("whole").contains(F.col("passage"))))
+    return found.where(F.col("whole").contains(F.col("passage"))).select("query_id", "doc_id")
+
+
+#: Ranges of values that are summed up before ranks are counted within each.
+SPANS = 1024
+
+
 def nearest_ranks(df: DataFrame, column: str, parts: int = 100) -> DataFrame:
-    """(p, value) for p of 0 to parts-1: the value at place p * floor(n / parts) in order; nothing for fewer rows than parts.
+    """(p, value) for p of 0 to parts-1: the value of a number column at place p * floor(n / parts) in order; nothing for fewer rows than parts.
 
-    Values are counted first, so what one task orders is the distinct values; meant for columns of bounded variety, like lengths.
+    Values are counted first. Running counts are taken over SPANS ranges of values, then within each range.
     """
-    counts = df.where(F.col(column).isNotNull()).groupBy(F.col(column).alias("value")).agg(F.count(F.lit(1)).alias("n"))
-    upto = counts.withColumn("upto", F.sum("n").over(Window.orderBy("value")))
-    total = df.agg(F.floor(F.count(column) / parts).alias("step"))
-    places = df.sparkSession.range(parts).withColumnRenamed("id", "p").crossJoin(F.broadcast(total)).where("step > 0").select("p", (F.col("p") * F.col("step")).alias("place"))
-    return upto.join(F.broadcast(places), (F.col("upto") - F.col("n") <= F.col("place")) & (F.col("place") < F.col("upto"))).select("p", "value")
+    value = F.col(column)
+    counts = settled(df.where(value.isNotNull()).groupBy(value.alias("value")).agg(F.count(F.lit(1)).alias("n")), "counts")
+    all_ = counts.agg(F.min("value").cast("double").alias("low"), F.max("value").cast("double").alias("high"), F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first()
+    step = all_.n // parts
+    if not step:
+        return counts.select(F.lit(0).cast("long").alias("p"), "value").limit(0)
+    width = (all_.high - all_.low) / SPANS or 1.0
+    counts = counts.withColumn("span", F.floor((F.col("value") - all_.low) / width))
+    sums = counts.groupBy("span").agg(F.sum("n").alias("in_span"))  # SPANS + 1 rows
+    before = sums.select("span", (F.sum("in_span").over(Window.orderBy("span")) - F.col("in_span")).alias("before"))
+    within = F.sum("n").over(Window.partitionBy("span").orderBy("value"))
+    placed = counts.withColumn("upto", within).join(F.broadcast(before), "span").withColumn("upto", F.col("upto") + F.col("before"))
+    first, last = F.ceil((F.col("upto") - F.col("n")) / step), F.least(F.ceil(F.col("upto") / step), F.lit(parts)) - 1
+    return placed.where(first <= last).select(F.explode(F.sequence(first, last)).alias("p"), "value")

@@ -42,7 +42,7 @@ class Index:
         """Keep the tables; rows are sorted by term within partitions, so cached batches without a query's terms are skipped."""
         self.postings = self.postings.sortWithinPartitions("field", "term", "doc_id").persist()
         self.terms = term_table(self.postings).sortWithinPartitions("field", "term").persist()
-        self.stats = self.stats.persist()
+        self.stats = field_stats(self.documents, self.fields, self.terms).persist()
         return self
 
     def statistics(self) -> dict[str, Row]:
@@ -105,9 +105,16 @@ def term_table(post: DataFrame) -> DataFrame:
     return post.groupBy("field", "term").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("cf"))
 
 
-def field_stats(lengths: DataFrame) -> DataFrame:
-    """Documents without terms count in both figures."""
-    return lengths.groupBy("field").agg(F.count(F.lit(1)).alias("n_docs"), F.avg("dl").alias("avg_dl"))
+def field_stats(df: DataFrame, fields: list[str], terms: DataFrame) -> DataFrame:
+    """(field, n_docs, avg_dl) from the number of rows and the terms' counts; documents without terms count in both figures."""
+    rows = df.agg(F.count(F.lit(1)).alias("n_docs")).where("n_docs > 0").select("n_docs", F.explode(F.array(*(F.lit(f.upper()) for f in fields))).alias("field"))
+    totals = terms.groupBy("field").agg(F.sum("cf").alias("total"))
+    return rows.join(totals, "field", "left").select("field", "n_docs", (F.coalesce("total", F.lit(0)) / F.col("n_docs")).alias("avg_dl"))
+
+
+def lengths(df: DataFrame, id_col: str, fields: list[str]) -> DataFrame:
+    """(field, doc_id, dl) of every document, without terms too."""
+    return field_tokens(spread(df.select(id_col, *[f for f in fields if f != id_col])), id_col, fields).select("field", "doc_id", "dl")
 
 
 def build(df: DataFrame, fields: list[str], id_col: str) -> Index:
@@ -116,8 +123,8 @@ def build(df: DataFrame, fields: list[str], id_col: str) -> Index:
     (id_col,) = search_columns(df, [id_col])
     rows = field_tokens(spread(df.select(id_col, *[f for f in fields if f != id_col])), id_col, fields)
     post = postings(rows)
-    lengths = rows.select("field", "doc_id", "dl")
-    return Index(df, id_col, fields, post, term_table(post), lengths, field_stats(lengths))
+    terms = term_table(post)
+    return Index(df, id_col, fields, post, terms, rows.select("field", "doc_id", "dl"), field_stats(df, fields, terms))
 
 
 def block_maxima(post: DataFrame, block: int = BLOCK, span: int = 1 << 16) -> DataFrame:

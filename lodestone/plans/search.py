@@ -15,11 +15,13 @@ from itertools import pairwise
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from lodestone.functions import scoring
 from lodestone.functions.analysis import query_terms, tokens
 from lodestone.operators.index import ColumnNotFound, Index
+from lodestone.sources import settled
 
 MOST_RESULTS = 1000
 
@@ -124,24 +126,21 @@ def scores(index: Index, query: Query, mode: str = "or", how: str = "bm25", phra
     if first_place:
         times = weights.column(lambda f, v: F.lit(v[0]))
         score = score + F.when(F.array_contains("positions", 0), F.lit(scoring.FIRST_PLACE_BONUS) * times).otherwise(0.0)
-    out = hits.groupBy("doc_id").agg(F.sum(score).alias("score"), F.count(F.lit(1)).alias("matched"))
+    places, pairs = adjacent_pairs(query) if phrases else ([], F.lit(0))
+    out = hits.groupBy("doc_id").agg(F.sum(score).alias("score"), F.count(F.lit(1)).alias("matched"), *places)
     if mode == "and":
         out = out.where(F.col("matched") == len(query.weights))
-    out = out.drop("matched")
-    if phrases and query.pairs:
-        found = adjacent_pairs(index, query)
-        out = out.join(found, "doc_id", "left").withColumn("score", F.col("score") * F.pow(F.lit(scoring.PHRASE_FACTOR), F.coalesce("pairs", F.lit(0)))).drop("pairs")
-    return out.where("score > 0")
+    return out.select("doc_id", (F.col("score") * F.pow(F.lit(scoring.PHRASE_FACTOR), pairs)).alias("score") if places else "score").where("score > 0")
 
 
-def adjacent_pairs(index: Index, query: Query) -> DataFrame:
-    """(doc_id, pairs): how often neighbouring query terms stand next to each other, once for each equal pair of the query."""
-    spark = index.postings.sparkSession
-    pairs = spark.createDataFrame([(f, a, b, n) for (f, a, b), n in query.pairs.items()], "field string, term string, next_term string, times int")
-    places = matching(index, query).select("field", "doc_id", "term", F.explode("positions").alias("pos"))
-    w = Window.partitionBy("field", "doc_id").orderBy("pos")
-    following = places.withColumns({"next_term": F.lead("term").over(w), "next_pos": F.lead("pos").over(w)}).where("next_pos = pos + 1")
-    return following.join(F.broadcast(pairs), ["field", "term", "next_term"]).groupBy("doc_id").agg(F.sum("times").alias("pairs"))
+def adjacent_pairs(query: Query) -> tuple[list[Column], Column]:
+    """The places of the terms of neighbouring pairs, as sums by document, and how often such pairs stand next to each other, once for each equal pair of the query."""
+    known = sorted({(f, t) for f, a, b in query.pairs for t in (a, b)})
+    name = {key: f"__at{i}" for i, key in enumerate(known)}
+    places = [F.first(F.when((F.col("field") == f) & (F.col("term") == t), F.col("positions")), ignorenulls=True).alias(name[f, t]) for f, t in known]
+    next_to = lambda a, b: F.coalesce(F.array_size(F.array_intersect(F.transform(a, lambda p: p + 1), b)), F.lit(0))
+    each = [n * next_to(F.col(name[f, a]), F.col(name[f, b])) for (f, a, b), n in query.pairs.items()]
+    return places, reduce(Column.__add__, each, F.lit(0))
 
 
 def top(scored: DataFrame, k: int) -> DataFrame:
@@ -154,26 +153,68 @@ def search_ids(index: Index, texts: dict[str, str], k: int = 10, boosts: dict[st
     return top(scores(index, parse(index, texts, boosts), **options), k)
 
 
+#: Values up to which Spark pushes a list down to a scan as such, and not as its range.
+PUSHED = 10
+
+
 def fetch(index: Index, best: DataFrame, columns: list[str] | None = None) -> DataFrame:
-    """All source columns (but one named SCORE) of ranked documents, and the score; the k hits are broadcast to the table."""
-    hits = best.select(F.col("doc_id").alias("__hit"), F.col("score").alias("__score"))
-    rows = index.documents.join(F.broadcast(hits), F.col(f"`{index.id_col}`").cast("long") == F.col("__hit"))
+    """All source columns (but one named SCORE) of ranked documents, and the score.
+
+    The hits, at most MOST_RESULTS, are collected: their ids are literals of the scan, which skips row groups without them.
+    """
+    hits = [(r.doc_id, r.score) for r in best.select("doc_id", "score").collect() if r.doc_id is not None]
+    ids = sorted(d for d, _ in hits)
+    plain = isinstance(index.documents.schema[index.id_col].dataType, T.IntegralType)
+    own = F.col(f"`{index.id_col}`") if plain else F.col(f"`{index.id_col}`").cast("long")
+    wanted = reduce(Column.__or__, (own.isin(ids[i : i + PUSHED]) for i in range(0, len(ids), PUSHED)), F.lit(False))
+    found = F.broadcast(index.documents.sparkSession.createDataFrame(hits, "__hit long, __score double"))
+    rows = index.documents.where(wanted).join(found, own == F.col("__hit"))
     names = columns or [c for c in index.documents.columns if c.upper() != "SCORE"]
-    return rows.orderBy(F.desc("__score"), "__hit").select(*(F.col(f"`{c}`") for c in names), F.col("__score").alias("SCORE"))
+    ranked = rows.select(*(F.col(f"`{c}`") for c in names), F.col("__score").alias("SCORE"), "__hit").orderBy(F.desc("SCORE"), "__hit")
+    return ranked.limit(MOST_RESULTS).drop("__hit")  # each task sorts its own few rows
 
 
 def search(index: Index, texts: dict[str, str], k: int = 10, boosts: dict[str, float] | None = None, **options) -> DataFrame:
     return fetch(index, search_ids(index, texts, k, boosts, **options))
 
 
+#: Postings that a query's weightiest terms should have in all, for the first guess at its k-th best score, by result.
+GUESS = 4
+
+
 def batch(index: Index, queries: DataFrame, k: int = 10) -> DataFrame:
-    """(query_id, doc_id, rank, score) for a table (query_id, field, text) of queries: all of them in one job, disjunctive BM25."""
+    """(query_id, doc_id, rank, score) for a table (query_id, field, text) of queries: all of them at once, disjunctive BM25.
+
+    No table of all documents that share any word with a query is made. Each term has a bound, its best score in any
+    document. A query's weightiest terms give k documents and so a score that the k-th best reaches at least. Terms whose
+    bounds together stay below it can't lift a document alone, so only the others propose documents; of those, the ones that
+    could still reach the score meet the remaining terms. Nothing that belongs to the k best is lost.
+    """
     check_k(k)
+    post = index.postings.select("field", "term", "doc_id", "tf", "dl")
     asked = queries.select("query_id", F.upper("field").alias("field"), F.explode(tokens("text", most=None)).alias("term")).groupBy("query_id", "field", "term").agg(F.count(F.lit(1)).alias("times"))
-    known = index.terms.join(F.broadcast(index.stats), "field")
-    asked = asked.join(known, ["field", "term"]).select("query_id", "field", "term", "times", scoring.idf(F.col("n_docs"), F.col("df")).alias("weight"), "avg_dl")
-    hits = index.postings.select("field", "term", "doc_id", "tf", "dl").join(asked, ["field", "term"])
-    each = F.col("times") * scoring.bm25(F.col("tf"), F.col("dl"), F.col("avg_dl"), F.col("weight"))
-    scored = hits.groupBy("query_id", "doc_id").agg(F.sum(each).alias("score")).where("score > 0")
-    ranked = Window.partitionBy("query_id").orderBy(F.desc("score"), "doc_id")
-    return scored.withColumn("score", scoring.rounded(F.col("score"))).withColumn("rank", F.row_number().over(ranked)).where(F.col("rank") <= k).select("query_id", "doc_id", "rank", "score")
+    asked = asked.join(index.terms.join(F.broadcast(index.stats), "field"), ["field", "term"])  # a row of statistics for each indexed column
+    asked = asked.select("query_id", "field", "term", "df", "avg_dl", (F.col("times") * scoring.idf(F.col("n_docs"), F.col("df"))).alias("weight"))
+    share = scoring.bm25(F.col("tf"), F.col("dl"), F.col("avg_dl"), F.lit(1.0))
+    peaks = post.join(asked.select("field", "term", "avg_dl").distinct(), ["field", "term"]).groupBy("field", "term").agg(F.max(share).alias("peak"))
+    own = Window.partitionBy("query_id")
+    falling = own.orderBy(F.desc("bound"), "field", "term").rowsBetween(Window.unboundedPreceding, -1)
+    rising = own.orderBy("bound", "field", "term").rowsBetween(Window.unboundedPreceding, 0)
+    asked = asked.join(peaks, ["field", "term"]).withColumn("bound", F.col("weight") * F.col("peak"))
+    asked = settled(asked.withColumns({"seen": F.coalesce(F.sum("df").over(falling), F.lit(0)), "below": F.sum("bound").over(rising)}), "asked")
+
+    def scored(terms: DataFrame) -> DataFrame:
+        hits = post.join(terms.select("query_id", "field", "term", "avg_dl", "weight"), ["field", "term"])
+        return hits.groupBy("query_id", "doc_id").agg(F.sum(F.col("weight") * share).alias("score"))
+
+    ranked = own.orderBy(F.desc("score"), "doc_id")
+    guess = scored(asked.where(F.col("seen") < GUESS * k)).withColumn("rank", F.row_number().over(ranked)).where(F.col("rank") <= k)
+    guess = guess.groupBy("query_id").agg(F.min(F.when(F.col("rank") == k, F.col("score"))).alias("least"))
+    asked = asked.join(guess, "query_id", "left").withColumn("least", F.coalesce("least", F.lit(0.0)) - 1e-5)  # scores are rounded to 1e-6
+    asked = settled(asked.withColumn("proposes", F.col("below") >= F.col("least")), "asked")
+    rest = asked.groupBy("query_id").agg(F.max("least").alias("least"), F.coalesce(F.sum(F.when(~F.col("proposes"), F.col("bound"))), F.lit(0.0)).alias("more"))
+    found = scored(asked.where("proposes")).join(rest, "query_id").where(F.col("score") + F.col("more") >= F.col("least")).select("query_id", "doc_id", "score")
+    waiting = found.select("query_id", "doc_id").join(asked.where("not proposes").select("query_id", "field", "term", "avg_dl", "weight"), "query_id")
+    more = waiting.join(post, ["field", "term", "doc_id"]).groupBy("query_id", "doc_id").agg(F.sum(F.col("weight") * share).alias("more"))
+    out = found.join(more, ["query_id", "doc_id"], "left").withColumn("score", scoring.rounded(F.col("score") + F.coalesce("more", F.lit(0.0)))).where("score > 0")
+    return out.withColumn("rank", F.row_number().over(ranked)).where(F.col("rank") <= k).select("query_id", "doc_id", "rank", "score")

@@ -1,6 +1,7 @@
-"""An index on disk: five Parquet tables and a description.
+"""An index on disk: four Parquet tables and a description.
 
-Postings lie below their field, range-sorted by term in small row groups, so a query reads the row groups of its terms.
+Postings lie below their field, range-sorted by term, and documents range-sorted by id, both in small row groups: a query
+reads the row groups of its terms, and of its results. Documents are tokenised once; their lengths stand in the postings.
 """
 
 from __future__ import annotations
@@ -12,9 +13,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestone.functions import scoring
-from lodestone.operators.index import Index
+from lodestone.operators.index import Index, field_stats, lengths
 
-TABLES = ("documents", "postings", "terms", "doc_len", "stats")
+TABLES = ("documents", "postings", "terms", "stats")
 
 
 def default_path(source: str, root: str = "lodestone_data") -> str:
@@ -25,15 +26,15 @@ def default_path(source: str, root: str = "lodestone_data") -> str:
 def save(index: Index, path: str, source: str = "", row_group_bytes: int = 4 << 20) -> None:
     """Write all tables, replacing what lies there. Terms and statistics are counted from the written postings."""
     spark = index.documents.sparkSession
-    index.documents.write.mode("overwrite").option("compression", "zstd").parquet(f"{path}/documents")
+    by_id = index.documents.repartitionByRange(F.col(f"`{index.id_col}`")).sortWithinPartitions(F.col(f"`{index.id_col}`"))
+    by_id.write.mode("overwrite").option("compression", "zstd").option("parquet.block.size", row_group_bytes).parquet(f"{path}/documents")
     ordered = index.postings.repartitionByRange("field", "term", "doc_id").sortWithinPartitions("field", "term", "doc_id")
     ordered.write.mode("overwrite").option("compression", "zstd").option("parquet.block.size", row_group_bytes).partitionBy("field").parquet(f"{path}/postings")
     written = spark.read.parquet(f"{path}/postings")
     by_term = written.groupBy("field", "term").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("cf"))
     by_term.repartitionByRange("field", "term").sortWithinPartitions("field", "term").write.mode("overwrite").partitionBy("field").parquet(f"{path}/terms")
-    index.doc_len.write.mode("overwrite").parquet(f"{path}/doc_len")
-    lengths = spark.read.parquet(f"{path}/doc_len")
-    lengths.groupBy("field").agg(F.count(F.lit(1)).alias("n_docs"), F.avg("dl").alias("avg_dl")).coalesce(1).write.mode("overwrite").parquet(f"{path}/stats")
+    counted = field_stats(spark.read.parquet(f"{path}/documents"), index.fields, spark.read.parquet(f"{path}/terms"))
+    counted.coalesce(1).write.mode("overwrite").parquet(f"{path}/stats")
     meta = {"source": source, "id_col": index.id_col, "columns": index.documents.columns, "search_columns": index.fields, "k1": scoring.K1, "b": scoring.B}
     spark.createDataFrame([(json.dumps(meta),)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/meta")
 
@@ -44,4 +45,5 @@ def load(spark: SparkSession, path: str) -> Index:
     def table(name: str) -> DataFrame:
         return spark.read.parquet(f"{path}/{name}")
 
-    return Index(table("documents"), meta["id_col"], meta["search_columns"], table("postings"), table("terms"), table("doc_len"), table("stats"))
+    documents, id_col, fields = table("documents"), meta["id_col"], meta["search_columns"]
+    return Index(documents, id_col, fields, table("postings"), table("terms"), lengths(documents, id_col, fields), table("stats"))

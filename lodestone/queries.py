@@ -2,20 +2,21 @@
 
 from __future__ import annotations
 
+import json
 import weakref
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.api import details, json_rows, search_first
-from lodestone.functions import rendering, scoring
+from lodestone.api import SearchIndex, details, json_rows, search_first
+from lodestone.functions import rendering, scoring, sets
 from lodestone.functions.analysis import LOWER, tokens
 from lodestone.operators import evaluate, suggest
 from lodestone.operators.index import Index, block_maxima, build
 from lodestone.plans import search as plans
 from lodestone.plans import store
-from lodestone.sources import frame_source, json_keys, numbered, parquet_metadata, read_source, row_at, scratch, to_csv
+from lodestone.sources import csv_fields, frame_source, json_keys, numbered, parquet_metadata, parquet_row_groups, read_source, row_at, scratch, to_csv
 from lodestone.streaming.incremental import index_stream, open_segments
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -285,11 +286,19 @@ ideal AS (SELECT query_id, count(*) AS n_rel, sum(CASE WHEN i <= 10 THEN 1 / log
 got AS (SELECT query_id, count(*) AS found, sum(nth * 1.0 / rank) AS ps, sum(1 / log2(rank + 1)) AS dcg FROM (SELECT query_id, rank, row_number() OVER (PARTITION BY query_id ORDER BY rank) AS nth FROM run JOIN qrels USING (query_id, doc_id)) GROUP BY ALL)
 SELECT count(*) AS n_queries, round(avg(coalesce(found, 0) / 10.0), 6) AS p_at_k, round(avg(coalesce(found, 0) * 1.0 / n_rel), 6) AS recall_at_k, round(avg(coalesce(ps, 0) / n_rel), 6) AS map_at_k, round(avg(coalesce(dcg, 0) / idcg), 6) AS ndcg_at_k FROM ideal LEFT JOIN got USING (query_id)""")
 def q_eval_metrics(spark, sf_dir):
-    items = table(spark, sf_dir, "benchmark")  # a stated query set: every item is looked for in every document
-    rel = table(spark, sf_dir, "documents").select("doc_id", "text").join(F.broadcast(items.withColumnRenamed("text", "passage")), F.col("text").contains(F.col("passage"))).select(F.col("item_id").alias("query_id"), "doc_id", F.lit(1).alias("grade"))
+    items = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), "text")
+    rel = evaluate.containing(documents(spark, sf_dir), "text", items).withColumn("grade", F.lit(1))
     return evaluate.metrics(_run(spark, sf_dir), rel, 10)
 
 
+@query("SELECT item_id AS query_id, doc_id FROM benchmark b JOIN documents d ON contains(d.text, b.text) UNION ALL SELECT item_id + 100000, doc_id FROM benchmark b JOIN documents d ON contains(d.text, substr(b.text, 4, 30)) UNION ALL SELECT -1, doc_id FROM documents WHERE contains(text, 'he i')")
+def q_containing(spark, sf_dir):
+    items = table(spark, sf_dir, "benchmark")
+    asked = items.select(F.col("item_id").alias("query_id"), "text").union(items.select(F.col("item_id") + 100000, F.substring("text", 4, 30)))
+    asked = asked.union(spark.createDataFrame([(-1, "he i")], "query_id long, text string"))
+    return evaluate.containing(documents(spark, sf_dir), "text", asked)
+
+
 # --- dictionaries --------------------------------------------------------------------------------------------------
 
 _VOCABULARY = f"WITH {index_sql('documents', 'doc_id', TEXT)}, voc AS (SELECT term AS key, df AS score FROM dfs)"
@@ -433,9 +442,22 @@ def q_streamed_index_search(spark, sf_dir):
 # --- texts of results, and small operators ---------------------------------------------------------------------------
 
 
-@query("""SELECT item_id, regexp_replace(replace(replace(replace(replace(replace(text, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&quot;'), '''', '&#39;'), '(?i)(ing|the)', '<span class="highlight">\\1</span>', 'g') AS html FROM benchmark""")
+_MARKED = "'R&D <b>gthe</b> in-g: ' || text || ' \"thing\" it''s'"
+
+
+@query(f"""WITH texts AS (SELECT item_id, {_MARKED} AS t FROM benchmark),
+chars AS (SELECT item_id, i, substring(t, CAST(i AS BIGINT), 1) AS c FROM texts, unnest(range(1, length(t) + 1)) u(i)),
+kept AS (SELECT item_id, i, lower(c) AS c, row_number() OVER (PARTITION BY item_id ORDER BY i) AS k FROM chars WHERE regexp_full_match(lower(c), '[a-z0-9]')),
+flat AS (SELECT item_id, string_agg(c, '' ORDER BY k) AS f FROM kept GROUP BY item_id),
+hits AS (SELECT item_id, k, length(w) AS n FROM flat, unnest(range(1, length(f) + 1)) u(k), (VALUES ('the'), ('thi'), ('ing')) v(w) WHERE substring(f, CAST(k AS BIGINT), length(w)) = w),
+ranges AS (SELECT h.item_id, a.i AS a, b.i AS b FROM hits h JOIN kept a ON a.item_id = h.item_id AND a.k = h.k JOIN kept b ON b.item_id = h.item_id AND b.k = h.k + h.n - 1),
+inside AS (SELECT DISTINCT item_id, i FROM ranges, unnest(range(a, b + 1)) u(i)),
+marked AS (SELECT c.item_id, c.i, c.c, m.i IS NOT NULL AS m FROM chars c LEFT JOIN inside m ON m.item_id = c.item_id AND m.i = c.i),
+edges AS (SELECT *, coalesce(lag(m) OVER w, false) AS before, coalesce(lead(m) OVER w, false) AS after FROM marked WINDOW w AS (PARTITION BY item_id ORDER BY i))
+SELECT item_id, string_agg((CASE WHEN m AND NOT before THEN '<span class="highlight">' ELSE '' END) || (CASE c WHEN '&' THEN '&amp;' WHEN '<' THEN '&lt;' WHEN '>' THEN '&gt;' WHEN '"' THEN '&quot;' WHEN '''' THEN '&#x27;' ELSE c END) || (CASE WHEN m AND NOT after THEN '</span>' ELSE '' END), '' ORDER BY i) AS html FROM edges GROUP BY item_id""")
 def q_highlight(spark, sf_dir):
-    return table(spark, sf_dir, "benchmark").select("item_id", rendering.highlight_words(F.col("text"), "The ing!").alias("html"))
+    text = F.concat(F.lit("R&D <b>gthe</b> in-g: "), "text", F.lit(' "thing" it\'s'))
+    return table(spark, sf_dir, "benchmark").select("item_id", rendering.highlight(text, "The thi! ing").alias("html"))
 
 
 @query("""SELECT page_id, url_decode(replace(regexp_extract(s, 'q=([^&]*)', 1), '+', ' ')) AS q, url_decode(replace(regexp_extract(s, 'title=([^&]*)', 1), '+', ' ')) AS title FROM (SELECT page_id, 'title=' || replace(url, '/', '%2F') || '&q=under+my+skin%21' AS s FROM pages)""")
@@ -452,15 +474,72 @@ def q_percentiles_dl(spark, sf_dir):
 
 @query("SELECT user_id, count(DISTINCT event_type) AS kinds FROM events GROUP BY user_id")
 def q_distinct_ids(spark, sf_dir):
-    return table(spark, sf_dir, "events").select("user_id", "event_type").dropDuplicates().groupBy("user_id").agg(F.count(F.lit(1)).alias("kinds"))
+    return sets.distinct_members(table(spark, sf_dir, "events"), "user_id", "event_type").withColumnRenamed("n", "kinds")
 
 
-@query("SELECT event_id, contains(props, '7') AS has, (event_id & 8) <> 0 AS bit FROM events")
+@query("SELECT event_id, contains(props, '7') AS has, (event_id & 8) <> 0 AS bit, event_id | 4 AS with_bit, event_id & ~2 AS without_bit FROM events")
 def q_contains_and_bits(spark, sf_dir):
-    return table(spark, sf_dir, "events").select("event_id", F.col("props").contains("7").alias("has"), (F.col("event_id").bitwiseAND(F.lit(8)) != 0).alias("bit"))
+    i = F.col("event_id")
+    return table(spark, sf_dir, "events").select("event_id", sets.contains(F.col("props"), "7").alias("has"), sets.bit_is_set(i, 3).alias("bit"), sets.with_bit(i, 2).alias("with_bit"), sets.without_bit(i, 1).alias("without_bit"))
 
 
-@query("SELECT conv_id, string_agg(CAST(turn AS VARCHAR), ',' ORDER BY turn) AS turns FROM conversations GROUP BY ALL")
+@query("SELECT conv_id, string_agg(CAST(turn AS VARCHAR), ',' ORDER BY turn DESC, role DESC) AS turns, string_agg(role, ',' ORDER BY turn DESC, role DESC) AS roles FROM conversations GROUP BY ALL")
 def q_sorted_arrays(spark, sf_dir):
-    got = table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.sort_array(F.collect_list("turn")).alias("t"))
-    return got.select("conv_id", F.array_join(F.transform("t", lambda x: x.cast("string")), ",").alias("turns"))
+    got = sets.sorted_arrays(table(spark, sf_dir, "conversations"), "conv_id", "turn", "role", descending=True)
+    return got.select("conv_id", F.array_join(F.transform("turn", lambda x: x.cast("string")), ",").alias("turns"), F.array_join("role", ",").alias("roles"))
+
+
+@query("SELECT p_partkey AS row_no, p_name AS name, p_type AS kind, CAST(p_size AS VARCHAR) AS size FROM part")
+def q_csv_fields(spark, sf_dir):
+    quoted = lambda c: F.concat(F.lit('"'), F.replace(F.col(c), F.lit('"'), F.lit('""')), F.lit('"'))
+    record = F.concat_ws(",", quoted("p_name"), quoted("p_type"), F.col("p_size").cast("string"))
+    return table(spark, sf_dir, "part").select(F.col("p_partkey").alias("row_no"), csv_fields(record, ["name", "kind", "size"]).alias("f")).select("row_no", "f.*")
+
+
+@query("SELECT count(*) AS n, true AS grouped FROM orders")
+def q_row_groups(spark, sf_dir):
+    return parquet_row_groups(spark, f"{sf_dir}/orders.parquet").agg(F.sum("rows").alias("n"), (F.count(F.lit(1)) > 0).alias("grouped"))
+
+
+# --- the index as one object -----------------------------------------------------------------------------------------
+
+
+def _facade(spark, sf_dir) -> SearchIndex:
+    kept = _built.setdefault(spark, {})
+    if (sf_dir, "facade") not in kept:
+        kept[sf_dir, "facade"] = SearchIndex.from_dataframe(spark, table(spark, sf_dir, "part"), ["p_name", "P_TYPE"], "p_partkey").persist()
+    return kept[sf_dir, "facade"]
+
+
+_AS_TEXT = ", ".join(f'CAST(d.{c} AS VARCHAR) AS "{c.upper()}"' for c in ("p_partkey", "p_name", "p_type", "p_size"))
+
+
+@query(search_sql("part", "p_partkey", PART, COLD, k=15, select=", ".join(f'd.{c} AS "{c.upper()}"' for c in _PART_COLUMNS) + ', best.score AS "SCORE"') + _PART_JOIN)
+def q_facade_query(spark, sf_dir):
+    return _facade(spark, sf_dir).query(COLD_TEXTS, {"P_NAME": 2.0}, 15)
+
+
+@query(search_sql("part", "p_partkey", PART, COLD, k=15))
+def q_facade_ids(spark, sf_dir):
+    """From a saved index that is opened again."""
+    saved = _facade(spark, sf_dir).save(scratch(spark, "facade"))
+    return SearchIndex.load(spark, saved).query_ids(COLD_TEXTS, {"p_name": 2.0}, 15)
+
+
+@query(search_sql("part", "p_partkey", PART, [("P_NAME", "COLD", 1.0), ("P_NAME", "WIDGET", 1.0)], select=f"{_AS_TEXT}, printf('%.4f', round(best.score, 4)) AS \"SCORE\"") + _PART_JOIN)
+def q_facade_json(spark, sf_dir):
+    """The service's answer to a query string, taken apart again."""
+    answer = json.loads(_facade(spark, sf_dir).search_json("P_NAME=cold+wid%67et&SCORE=9"))["results"]
+    names = ("P_PARTKEY", "P_NAME", "P_TYPE", "P_SIZE", "SCORE")
+    return spark.createDataFrame([tuple(r[n] for n in names) for r in answer], ", ".join(f"{n} string" for n in names))
+
+
+@query("SELECT row_number() OVER () - 1 AS i, upper(column_name) AS name, column_name IN ('p_name', 'p_type') AS searched, (SELECT count(*) FROM part) AS n_docs FROM (DESCRIBE part)")
+def q_facade_columns(spark, sf_dir):
+    index = _facade(spark, sf_dir)
+    return spark.createDataFrame([(i, n, n in index.search_columns(), index.n_docs()) for i, n in enumerate(index.columns())], "i long, name string, searched boolean, n_docs long")
+
+
+@query(f"WITH {index_sql('part', 'p_partkey', {'p_name': 'p_name'})} SELECT term AS key, df AS score FROM dfs WHERE starts_with(term, 'W') ORDER BY score DESC, key LIMIT 3")
+def q_facade_suggest(spark, sf_dir):
+    return _facade(spark, sf_dir).suggest("p_name", "w", 3)

@@ -1,5 +1,18 @@
 """Reading tables from files and frames."""
 
-from lodestone.sources.readers import column_names, frame_source, json_keys, numbered, parquet_metadata, read_source, row_at, scratch, to_csv
+from lodestone.sources.readers import (
+    column_names,
+    csv_fields,
+    frame_source,
+    json_keys,
+    numbered,
+    parquet_metadata,
+    parquet_row_groups,
+    read_source,
+    row_at,
+    scratch,
+    settled,
+    to_csv,
+)
 
-__all__ = ["column_names", "frame_source", "json_keys", "numbered", "parquet_metadata", "read_source", "row_at", "scratch", "to_csv"]
+__all__ = ["column_names", "csv_fields", "frame_source", "json_keys", "numbered", "parquet_metadata", "parquet_row_groups", "read_source", "row_at", "scratch", "settled", "to_csv"]

@@ -11,13 +11,23 @@ from pyspark.sql.window import Window
 
 
 def scratch(spark: SparkSession, name: str) -> str:
-    """A new path in the folder that the cluster shares (spark.checkpoint.dir; a folder of our own where none is set)."""
+    """A new path in the folder that the cluster shares (spark.checkpoint.dir; a folder of our own where none is set in local mode)."""
     sc = spark.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-"))
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if not folder and not sc.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="spark-"))
     return f"{sc._jsc.sc().getCheckpointDir().get()}/{name}-{uuid.uuid4().hex}"
 
 
+def settled(df: DataFrame, name: str) -> DataFrame:
+    """The table as written to the shared folder, so that it is computed once and reads alike every time."""
+    path = scratch(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def upper_names(df: DataFrame) -> DataFrame:
     names = [n.upper() if n.isascii() else "".join(c.upper() if c.isascii() else c for c in n) for n in df.columns]
     if len(set(names)) < len(names):
@@ -26,10 +36,13 @@ def upper_names(df: DataFrame) -> DataFrame:
 
 
 def read_source(spark: SparkSession, path: str, upper: bool = True) -> DataFrame:
-    """A .csv (header, RFC 4180 quoting, line breaks inside quotes), .json (one object a line) or .parquet file."""
+    """A .csv (header, RFC 4180 quoting, line breaks inside quotes), .json (one object a line) or .parquet file.
+
+    A CSV file is split among tasks, unless a quoted field in it spans lines.
+    """
     suffix = path.rstrip("/").rsplit(".", 1)[-1].lower()
     if suffix == "csv":
-        df = spark.read.csv(path, header=True, quote='"', escape='"', multiLine=True)
+        df = spark.read.csv(path, header=True, quote='"', escape='"', multiLine=quotes_span_lines(spark, path))
     elif suffix == "json":
         df = spark.read.json(path, primitivesAsString=True)
     elif suffix == "parquet":
@@ -39,6 +52,18 @@ def read_source(spark: SparkSession, path: str, upper: bool = True) -> DataFrame
     return upper_names(df) if upper else df
 
 
+def quotes_span_lines(spark: SparkSession, path: str) -> bool:
+    """Whether a line has an odd number of quotes: then a field goes on in the next one."""
+    quotes = F.length("value") - F.length(F.replace("value", F.lit('"'), F.lit("")))
+    return not spark.read.text(path).where(quotes % 2 == 1).isEmpty()
+
+
+def csv_fields(record: Column | str, names: list[str]) -> Column:
+    """A column of single CSV records as structs of strings, by the rules of ``read_source``."""
+    schema = ", ".join(f"`{n}` string" for n in names)
+    return F.from_csv(record, schema, {"quote": '"', "escape": '"'})
+
+
 def frame_source(spark: SparkSession, frame) -> DataFrame:
     """A Spark, pandas, Arrow or Polars frame, with upper-cased names."""
     if not isinstance(frame, DataFrame):
@@ -75,10 +100,26 @@ def parquet_metadata(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path).groupBy(F.col("_metadata.file_name").alias("file")).agg(F.count(F.lit(1)).alias("rows"), F.max("_metadata.file_size").alias("bytes"))
 
 
+def parquet_row_groups(spark: SparkSession, path: str) -> DataFrame:
+    """(row_group, rows, bytes) of one Parquet file, from its footer alone."""
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    source = jvm.org.apache.parquet.hadoop.util.HadoopInputFile.fromPath(jvm.org.apache.hadoop.fs.Path(path), conf)
+    reader = jvm.org.apache.parquet.hadoop.ParquetFileReader.open(source)
+    try:
+        groups = [(i, g.getRowCount(), g.getTotalByteSize()) for i, g in enumerate(reader.getRowGroups())]
+    finally:
+        reader.close()
+    return spark.createDataFrame(groups, "row_group int, rows long, bytes long")
+
+
 def row_at(spark: SparkSession, path: str, index: int) -> DataFrame:
-    """The row at a place of a one-file Parquet table."""
+    """The row at a place of a Parquet table, whose files follow each other by path; only that row's file is read for it."""
     df = spark.read.parquet(path)
-    return df.where(F.col("_metadata.row_index") == index).select(*df.columns)
+    sizes = df.groupBy(F.col("_metadata.file_path").alias("file")).agg(F.count(F.lit(1)).alias("n"))
+    upto = F.sum("n").over(Window.orderBy("file"))  # one row for each file
+    found = sizes.select("file", (upto - F.col("n")).alias("before"), upto.alias("upto")).where((F.col("before") <= index) & (F.col("upto") > index)).first()
+    here = (F.col("_metadata.file_path") == found.file) & (F.col("_metadata.row_index") == index - found.before) if found else F.lit(False)
+    return df.where(here).select(*df.columns)
 
 
 def to_csv(df: DataFrame, path: str) -> None:

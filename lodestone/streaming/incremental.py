@@ -1,6 +1,6 @@
 """Extension beyond a one-off build: new files become segments of postings through Structured Streaming.
 
-A segment holds postings and lengths only; document frequencies and averages are summed over all segments when the index
+A segment holds documents and postings only; document frequencies and averages are summed over all segments when the index
 is opened, so a batch that is replayed after a failure overwrites its own segment and changes nothing else.
 """
 
@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import StructType
 
-from lodestone.operators.index import Index, build, field_stats, term_table
+from lodestone.operators.index import Index, build, field_stats, lengths, term_table
 
 
 def index_stream(spark: SparkSession, source: str, schema: StructType, fields: list[str], id_col: str, path: str, checkpoint: str) -> StreamingQuery:
@@ -20,12 +20,12 @@ def index_stream(spark: SparkSession, source: str, schema: StructType, fields: l
         part = build(batch, fields, id_col)
         batch.write.mode("overwrite").parquet(f"{path}/documents/segment={number}")
         part.postings.write.mode("overwrite").parquet(f"{path}/postings/segment={number}")
-        part.doc_len.write.mode("overwrite").parquet(f"{path}/doc_len/segment={number}")
 
     stream = spark.readStream.schema(schema).parquet(source)
     return stream.writeStream.foreachBatch(segment).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
 def open_segments(spark: SparkSession, path: str, fields: list[str], id_col: str) -> Index:
-    documents, post, lengths = (spark.read.parquet(f"{path}/{t}").drop("segment") for t in ("documents", "postings", "doc_len"))
-    return Index(documents, id_col, fields, post, term_table(post), lengths, field_stats(lengths))
+    documents, post = (spark.read.parquet(f"{path}/{t}").drop("segment") for t in ("documents", "postings"))
+    terms = term_table(post)
+    return Index(documents, id_col, fields, post, terms, lengths(documents, id_col, fields), field_stats(documents, fields, terms))

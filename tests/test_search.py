@@ -142,6 +142,57 @@ def test_batch_matches_single_queries(golden, spark):
     assert got == {1: ask(golden, "under my skin", 3), 2: ask(golden, "night skin", 3)}
 
 
+@pytest.mark.parametrize("seed", range(3))
+def test_batch_matches_single_queries_where_terms_are_pruned(spark, seed, monkeypatch):
+    monkeypatch.setattr(search, "GUESS", 1)
+    rng = random.Random(seed)
+    weights = [1 / (i + 1) for i in range(60)]
+    line = lambda m: " ".join(rng.choices([f"w{i}" for i in range(60)], weights, k=m))
+    index = build(spark.createDataFrame([(i, line(rng.randrange(1, 30))) for i in range(300)], "id long, text string"), ["text"], "id").persist()
+    texts = [line(rng.randrange(1, 12)) for _ in range(12)]
+    got = {}
+    asked = spark.createDataFrame([*((i, "text", t) for i, t in enumerate(texts))], "query_id int, field string, text string")
+    for r in search.batch(index, asked, 3).orderBy("query_id", "rank").collect():
+        got.setdefault(r.query_id, []).append((r.doc_id, r.score))
+    for i, t in enumerate(texts):
+        want = ask(index, t, 3)
+        assert [d for d, _ in got[i]] == [d for d, _ in want] and all(abs(a - b) < 1e-5 for (_, a), (_, b) in zip(got[i], want, strict=True))
+
+
+def scanned(df, name="numOutputRows"):
+    """The rows that the plan's file scans gave."""
+    df.collect()
+    todo, total = [df._jdf.queryExecution().executedPlan()], 0
+    while todo:
+        node = todo.pop()
+        if node.nodeName() == "AdaptiveSparkPlan":
+            node = node.executedPlan()
+        if "QueryStage" in node.nodeName():
+            node = node.plan()
+        if node.nodeName().startswith("Scan parquet"):
+            total += node.metrics().apply(name).value()
+        todo += [node.children().apply(i) for i in range(node.children().size())]
+    return total
+
+
+def test_fetch_reads_few_row_groups(spark, tmp_path):
+    """Saved documents lie in order of id in small row groups; the ids of the results skip those without them."""
+    data = spark.range(40_000).selectExpr("39999 - id as id", "concat('common ', sha2(cast(id as string), 256), if(id % 9000 = 5, ' rare', '')) as text")
+    store.save(build(data, ["text"], "id"), str(tmp_path / "big"), row_group_bytes=1 << 16)
+    index = store.load(spark, str(tmp_path / "big"))
+    rows = search.search(index, {"text": "rare"}, 5)
+    assert "In(id, [" in rows._jdf.queryExecution().toString() and "rangepartitioning" not in rows._jdf.queryExecution().executedPlan().toString()
+    assert sorted(r.id for r in rows.collect()) == sorted(39999 - i for i in range(5, 40_000, 9000))
+    assert scanned(rows) < 20_000
+    many = search.search(index, {"text": "common"}, 50)
+    assert len(many.collect()) == 50 and [r.SCORE for r in many.collect()] == sorted((r.SCORE for r in many.collect()), reverse=True)
+
+
+def test_phrases_need_one_pass(golden, spark):
+    plan = search.search_ids(golden, {"text": "under my skin"}, phrases=True)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning(doc_id") == 1 and "Window" not in plan and "SortMergeJoin" not in plan
+
+
 def test_fetch_drops_a_source_column_named_score(spark):
     index = build(spark.createDataFrame([(1, "x y", 5), (2, "x", 6)], "id long, t string, score int"), ["t"], "id")
     rows = search.search(index, {"t": "x"})

@@ -1,5 +1,6 @@
 import json
 import math
+import random
 import threading
 import urllib.request
 
@@ -7,9 +8,10 @@ import pytest
 from pyspark.sql import functions as F
 
 from lodestone.api import SearchIndex, details, json_rows, search_first, serve
-from lodestone.functions import rendering
+from lodestone.functions import rendering, sets
 from lodestone.operators import evaluate, suggest
 from lodestone.operators.index import block_maxima, build
+from lodestone.operators.progress import watched
 
 #: The dictionary of the prefix tests, in insertion order (key, value, score).
 WORDS = [
@@ -52,7 +54,8 @@ def test_highlighting():
 def test_highlight_columns(spark):
     df = spark.createDataFrame([("the Theme",), (None,)], "t string")
     assert [r[0] for r in df.select(rendering.highlight(F.col("t"), "THE!")).collect()][0].count("highlight") == 2
-    assert df.select(rendering.highlight_words(F.col("t"), "the")).first()[0].count("highlight") == 2
+    assert spark.createDataFrame([("salt & pepper",)], "t string").select(rendering.highlight(F.col("t"), "amp")).first()[0] == "salt &amp; pepper"
+    assert spark.createDataFrame([("<a>",)], "t string").select(rendering.highlight(F.col("t"), "!?")).first()[0] == "&lt;a&gt;"
 
 
 def test_query_strings(spark):
@@ -77,6 +80,43 @@ def test_nearest_ranks(spark):
     assert evaluate.nearest_ranks(df.limit(20), "v").count() == 0
 
 
+def test_nearest_ranks_of_any_spread(spark):
+    rng = random.Random(4)
+    values = [rng.choice([0, 1, 5, 10**6, rng.randrange(10**5)]) for _ in range(5000)]
+    got = evaluate.nearest_ranks(spark.createDataFrame([(v,) for v in [*values, None]], "v long").repartition(5), "v", 100)
+    assert {r.p: r.value for r in got.collect()} == {p: sorted(values)[p * 50] for p in range(100)}
+
+
+def test_containing_is_plain_containment(spark):
+    rng = random.Random(5)
+    line = lambda n: "".join(rng.choice(["ab", "cd", "e", " ", ", ", "Ab", "é"]) for _ in range(n))
+    texts = [line(60) for _ in range(40)] + ["", "x" * 700 + " tail end here"]
+    index = build(spark.createDataFrame([*enumerate(texts), (99, None)], "id long, t string"), ["t"], "id").persist()
+    asked = [t[a : a + n] for t in texts[:20] for a, n in ((3, 25), (10, 4), (0, 40))] + ["zz yy xx", "x" * 300 + " tail end", "", None, "ab"]
+    got = evaluate.containing(index, "T", spark.createDataFrame([*enumerate(asked)], "query_id int, text string")).collect()
+    assert sorted(map(tuple, got)) == sorted((q, d) for q, p in enumerate(asked) if p is not None for d, t in enumerate(texts) if p in t)
+
+
+def test_progress(spark):
+    with watched(spark) as progress:
+        assert progress.fraction() == 0.0
+        spark.range(1000).repartition(3).count()
+    done, all_ = progress.tasks()
+    assert done == all_ >= 3 and progress.fraction() == 1.0
+    spark.range(10).repartition(2).count()
+    assert progress.tasks() == (done, all_)
+
+
+def test_sets(spark):
+    df = spark.createDataFrame([(1, 3, "c"), (1, 1, "a"), (1, 3, "b"), (2, None, None)], "k int, v int, w string")
+    assert {r.k: (r.v, r.w) for r in sets.sorted_arrays(df, "k", "v", "w").collect()} == {1: ([1, 3, 3], ["a", "b", "c"]), 2: ([None], [None])}
+    assert {r.k: r.v for r in sets.sorted_arrays(df, "k", "v", descending=True).collect()}[1] == [3, 3, 1]
+    assert {r.k: r.n for r in sets.distinct_members(df, "k", "v").collect()} == {1: 2, 2: 1}
+    assert {r.v: r.first for r in sets.first_occurrences(df, "v", "k").collect()} == {1: 1, 3: 1, None: 2}
+    bits = df.select(sets.bit_is_set(F.col("v"), 1), sets.with_bit(F.col("v"), 2), sets.without_bit(F.col("v"), 0)).collect()
+    assert [tuple(r) for r in bits] == [(True, 7, 2), (False, 5, 0), (True, 7, 2), (None, None, None)]
+
+
 def test_block_maxima(spark):
     index = build(spark.createDataFrame([(i, "x " * (i % 7 + 1)) for i in range(130)], "id long, t string"), ["t"], "id")
     for span in (1 << 16, 10, 1):

@@ -79,3 +79,29 @@ def test_stream_of_files(spark, tmp_path):
     whole = build(data, ["text"], "id")
     q = {"text": "word1 common"}
     assert search.search_ids(index, q, 20).collect() == search.search_ids(whole, q, 20).collect()
+
+
+def test_csv_is_split_unless_quotes_span_lines(spark, tmp_path):
+    plain, spanning = tmp_path / "p.csv", tmp_path / "s.csv"
+    plain.write_text('id,t\n1,"a ""b"", c"\n2,"x"\n')
+    spanning.write_text('id,t\n1,"a\nb"\n2,c\n')
+    assert not sources.readers.quotes_span_lines(spark, str(plain)) and sources.readers.quotes_span_lines(spark, str(spanning))
+    assert [r.T for r in sources.read_source(spark, str(plain)).collect()] == ['a "b", c', "x"]
+    assert [r.T for r in sources.read_source(spark, str(spanning)).collect()] == ["a\nb", "c"]
+
+
+def test_csv_fields(spark):
+    df = spark.createDataFrame([('1,"a ""b"", c",',), ("2,x,y",), (None,)], "r string")
+    got = [r.f and tuple(r.f) for r in df.select(sources.csv_fields(F.col("r"), ["a", "b b", "c"]).alias("f")).collect()]
+    assert got[:2] == [("1", 'a "b", c', None), ("2", "x", "y")] and got[2] is None
+
+
+def test_rows_by_place_and_row_groups(spark, tmp_path):
+    path = str(tmp_path / "many")
+    spark.range(50).repartition(4).write.parquet(path)
+    files = sorted(f for f in (tmp_path / "many").iterdir() if f.suffix == ".parquet")
+    order = [r.id for f in files for r in spark.read.parquet(str(f)).collect()]
+    assert [sources.row_at(spark, path, i).first().id for i in (0, 17, 49)] == [order[i] for i in (0, 17, 49)]
+    assert sources.row_at(spark, path, 50).count() == 0
+    groups = sources.parquet_row_groups(spark, str(files[0])).collect()
+    assert [g.row_group for g in groups] == list(range(len(groups))) and sum(g.rows for g in groups) == spark.read.parquet(str(files[0])).count()
