@@ -2,12 +2,13 @@
 
 Four base patterns and a few looser ones propose spans. Five labelers (format, checksum, gazetteer, context, boundary)
 vote yes, no or nothing on each. Expectation-maximisation over the counts of vote patterns estimates each labeler's
-reliability without labels; its posteriors train a logistic span classifier. Base spans always stay, other candidates
-where the classifier says so.
+reliability without labels; its posteriors train a logistic span classifier, which besides the votes sees the text: the
+word before a span, what follows it, its length and its separators. Base spans always stay, other candidates where the
+classifier says so.
 
 Texts are read once and never shuffled: what leaves the scan is, per match, the length of the gap before it, the match and
-a few characters around it; positions are running sums over those. The vote patterns are a bounded table (kinds x votes x
-length classes), so both fits run on the driver whatever the size of the corpus.
+a few characters around it; positions are running sums over those. All features have few values, so the table of their
+combinations is bounded, and both fits run on the driver whatever the size of the corpus.
 
 The patterns are the contract's with possessive repeats and a guard that skips starts inside a run in which an earlier
 start has failed: the same leftmost matches, in linear time and without deep recursion.
@@ -20,6 +21,7 @@ import math
 import operator
 from collections.abc import Iterable
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -44,11 +46,20 @@ KINDS = (*BASE, *LOOSE)
 NEEDS = {"email": ("@",), "phone": ("+",), "masked_email": ("(at)", "[at]"), "person": ("Mr. ", "Mrs. ", "Ms. ", "Dr. ", "Prof. ")}
 BEFORE, AFTER = 40, 1
 OCTETS = r"^0*(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])(?:\.0*(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])){3}$"
-#: Gazetteers: top-level domains, calling codes, card issuers' prefixes, given names.
-TLDS = r"(?i)\.(com|org|net|edu|gov|info|io|de|fr|es|it|uk|eu|ch|at|be|nl|us|ca)$"
-CODES = r"^\+(1|30|31|32|33|34|36|39|41|43|44|45|46|47|48|49|52|54|55|61|81|86|91)[^0-9]?"
-ISSUERS = r"^(4|5[1-5]|2[2-7]|3[47]|6(011|5))"
-NAMES = r"\. (Anna|Maria|Peter|Paul|John|James|Mary|Laura|Jean|Marie|Carlos|Juan|Hans|Klaus|David|Sarah|Thomas|Michael)\b"
+#: Fixed values, by the rules that give them. Country domains have two letters; the others are listed.
+TLDS = r"(?i)\.([a-z]{2}|com|org|net|edu|gov|mil|int|info|biz|name|pro|mobi|aero|coop|museum|jobs|travel|tel|cat|asia|post|xxx|app|dev|blog|shop|store|site|online|tech|cloud|email|news|club|live|world|life|group|agency|company|academy|health|design|digital|media|studio|systems|solutions|services|center|support|network|press|wiki|xyz|top|bank|law|art|eco)$"
+#: The country codes of telephone numbers, as the numbering plan divides its nine zones.
+CODES = r"^\+(?:1|7|2(?:[07]|[1-689][0-9])|3(?:[0-469]|[578][0-9])|4(?:[013-9]|2[0-9])|5(?:[1-8]|[09][0-9])|6(?:[0-6]|[789][0-9])|8(?:[1246]|[035789][0-9])|9(?:[0-58]|[679][0-9]))"
+#: First digits of card numbers by issuer.
+ISSUERS = r"^(?:4|5[0-8]|2(?:22[1-9]|2[3-9]|[3-6]|7[01]|720)|3(?:0[0-59]|[4-9])|6(?:011|4[4-9]|5|2|3|7))"
+#: Common given names of English, German, Spanish and French speakers.
+NAMES = tuple(
+    "Adam Alan Albert Alejandro Alexander Alice Amanda Amelie Amy Ana Andrea Andreas Andrew Angela Anja Anna Anne Anthony Antoine Antonio Barbara Benjamin Bernd Betty Brenda Brian Camille Carl Carlos Carmen Carol Caroline Catherine Charles Charlotte Christian "
+    "Christine Christopher Claire Claudia Cristina Daniel David Deborah Diego Dieter Donald Donna Dorothy Edward Elena Elizabeth Emily Emma Eric Eva Felix Fernando Francisco Francois Frank Frederic Gabriel George Gerard Gloria Gregory Guillaume Hannah Hans "
+    "Heather Heike Heinz Helen Henry Hugo Isabel Jack Jacob Jacques James Jan Jane Janet Jason Javier Jean Jennifer Jessica Joan John Jonas Jorge Jose Joseph Joshua Juan Julia Julie Karen Karin Karl Katharina Katherine Kenneth Kevin Klaus Laura Lea Leon Linda "
+    "Lisa Louis Lucas Lucia Luis Lukas Manuel Margaret Maria Marie Mark Markus Martin Mary Mathieu Matthew Maximilian Melissa Michael Michel Miguel Monika Nancy Nathalie Nicolas Nicole Olivier Pablo Pamela Patricia Patrick Paul Pedro Peter Petra Philippe "
+    "Pierre Rachel Raul Rebecca Richard Robert Rosa Ruth Sabine Samuel Sandra Sarah Sebastian Sergio Sofia Sophie Stefan Stephanie Stephen Steven Susan Teresa Thomas Timothy Ursula Uwe Valerie Victor Vincent Walter Werner William Wolfgang".split()
+)
 FOR = r"(?i)(e-?mail|mail|contact|phone|tel|call|fax|mobile|card|visa|credit|iban|account|ip|host|server|addr\w*|write to|reach)\W*$"
 AGAINST = r"(?i)(version|release|v|order|invoice|isbn|doi|serial|part|no|nr|id|page|section)[\W]*$"
 LABELERS = ("format", "checksum", "gazetteer", "context", "boundary")
@@ -89,7 +100,7 @@ def luhn(digits: Column) -> Column:
     return F.aggregate(each, F.lit(0), lambda a, x: a + x) % 10 == 0
 
 
-def _voted(items: DataFrame) -> DataFrame:
+def _voted(items: DataFrame, names: tuple[str, ...]) -> DataFrame:
     """Positions, validity and votes of each match."""
     running = Window.partitionBy("uid", "kind").orderBy("ordinal").rowsBetween(Window.unboundedPreceding, 0)
     size = F.length("match")
@@ -105,18 +116,25 @@ def _voted(items: DataFrame) -> DataFrame:
     vote = lambda test, otherwise=no: F.when(test, yes).otherwise(otherwise)
     m = F.col("match")
     edge = r"[A-Za-z0-9]"
+    word = F.lower(F.regexp_extract("before", r"([A-Za-z]+)[^A-Za-z]{0,4}$", 1))
+    gaps = F.regexp_replace("match", "[A-Za-z0-9]+", "")
     return rows.withColumns({
         "v_format": F.when(F.col("base"), yes).when(is_(*LOOSE), none).otherwise(no),
         "v_checksum": F.when(is_("card", "plain_card"), vote(F.col("luhn"))).when(is_("ip"), vote(F.col("base") & ~m.startswith("0"))).when(is_("email"), vote(m.rlike(r"\.[A-Za-z]{2,6}$"))).when(is_("phone", "local_phone"), vote(m.rlike(r"[0-9]{3}\)?[\x20.-][0-9]{3}[\x20.-][0-9]{4}$"), none)).otherwise(none),
-        "v_gazetteer": F.when(is_("card", "plain_card"), vote(F.col("digits").rlike(ISSUERS))).when(is_("ip"), F.when(m.rlike(r"^(10|127|192\.168|0)\."), no).otherwise(none)).when(is_("email", "masked_email"), vote(m.rlike(TLDS), none)).when(is_("phone"), vote(m.rlike(CODES), none)).when(is_("person"), vote(m.rlike(NAMES), none)).otherwise(none),
+        "v_gazetteer": F.when(is_("card", "plain_card"), vote(F.col("digits").rlike(ISSUERS))).when(is_("ip"), F.when(m.rlike(r"^(10|127|192\.168|0)\."), no).otherwise(none)).when(is_("email", "masked_email"), vote(m.rlike(TLDS), none)).when(is_("phone"), vote(m.rlike(CODES))).when(is_("person"), vote(F.regexp_extract("match", r"\. ([A-Z][a-z]+)", 1).isin(*names), none)).otherwise(none),
         "v_context": F.when(F.col("before").rlike(AGAINST), no).otherwise(vote(F.col("before").rlike(FOR), none)),
         "v_boundary": F.when(F.right(F.col("before"), F.lit(1)).rlike(edge) | F.col("after").rlike(edge), no).otherwise(yes),
         "size_class": F.least(F.lit(3), F.floor(size / 12)).cast("int"),
+        "word": F.when(word == "", 0).otherwise(1 + F.pmod(F.xxhash64(word), F.lit(CLASSES["word"] - 1))).cast("int"),
+        "next": F.when(F.col("after").rlike("[A-Za-z]"), 1).when(F.col("after").rlike("[0-9]"), 2).when(F.col("after").rlike(r"[^\s]"), 3).otherwise(0),
+        "gaps": F.when(gaps == "", 0).when(gaps.rlike(r"^ +$"), 1).when(gaps.rlike("^-+$"), 2).otherwise(3),
     })
 
 
 VOTES = [f"v_{x}" for x in LABELERS]
-PATTERN = ["kind", *VOTES, "size_class"]
+#: What the classifier sees of the text, and how many values each has: length, the word before (by hash; 0: none), what follows, separators.
+CLASSES = {"size_class": 4, "word": 16, "next": 4, "gaps": 4}
+PATTERN = ["kind", *VOTES, *CLASSES]
 
 
 def estimate_reliabilities(patterns: Iterable[tuple[tuple[int, ...], int]], rounds: int = 60) -> tuple[list[list[list[float]]], dict[tuple[int, ...], float], float]:
@@ -149,46 +167,49 @@ def estimate_reliabilities(patterns: Iterable[tuple[tuple[int, ...], int]], roun
     return chance, post, prior
 
 
-def _features(key: tuple[int, ...]) -> list[int]:
-    """Positions of a pattern's ones: its kind, every vote, its length class, and the constant."""
-    kind, *votes, size = key
-    return [kind, *(len(KINDS) + 3 * i + v + 1 for i, v in enumerate(votes)), len(KINDS) + 3 * len(votes) + size, len(KINDS) + 3 * len(votes) + 4]
+def _features(keys: list[tuple[int, ...]]) -> np.ndarray:
+    """Positions of each pattern's ones: its kind, every vote, every class of its text, and the constant."""
+    sizes = np.array([len(KINDS), *[3] * len(VOTES), *CLASSES.values(), 1])
+    values = np.array([[*k, 0] for k in keys], np.int64).reshape(-1, len(sizes))
+    values[:, 1 : 1 + len(VOTES)] += 1
+    return values + np.cumsum(sizes) - sizes
 
 
 def train_span_classifier(counts: dict[tuple[int, ...], int], post: dict[tuple[int, ...], float], rounds: int = 400) -> dict[tuple[int, ...], float]:
     """Logistic regression of the posteriors on a span's features; the probability of every pattern seen."""
-    total = sum(counts.values()) or 1
-    weights = [0.0] * (len(KINDS) + 3 * len(LABELERS) + 5)
-    rows = [(_features(k), n / total, post[k[1:-1]]) for k, n in counts.items()]
-    prob = lambda f: 1 / (1 + math.exp(-max(-30.0, min(30.0, sum(weights[i] for i in f)))))
+    if not counts:
+        return {}
+    ones = _features(list(counts))
+    share = np.array(list(counts.values()), float)
+    share /= share.sum()
+    target = np.array([post[k[1 : 1 + len(VOTES)]] for k in counts])
+    weights = np.zeros(ones.max() + 1)
+    prob = lambda: 1 / (1 + np.exp(-np.clip(weights[ones].sum(axis=1), -30, 30)))
     for _ in range(rounds):
-        grad = [1e-4 * w for w in weights]
-        for f, share, target in rows:
-            d = share * (prob(f) - target)
-            for i in f:
-                grad[i] += d
-        weights = [w - 1.0 * g for w, g in zip(weights, grad, strict=True)]
-    return {k: prob(_features(k)) for k in counts}
+        slope = np.repeat(share * (prob() - target), ones.shape[1])
+        weights = weights - np.bincount(ones.ravel(), weights=slope, minlength=len(weights)) - 1e-4 * weights
+    return dict(zip(counts, prob().tolist(), strict=True))
 
 
-def span_candidates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
+def span_candidates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", names: tuple[str, ...] = NAMES) -> tuple[DataFrame, DataFrame]:
     """(every row's uid and doc_id, with its items; all matches with position, votes, ``base`` and ``probability``)."""
     rows = settle(_matches(docs, id_col, text_col))
-    voted = settle(_voted(rows.select("uid", F.explode("items").alias("i")).select("uid", "i.*")).drop("before", "after", "gap", "digits", "luhn"))
-    table = {tuple(r[:-1]): r[-1] for r in voted.groupBy(*PATTERN).count().collect()}  # bounded: kinds x votes x length classes
-    _, post, _ = estimate_reliabilities((k[1:-1], n) for k, n in table.items())
+    voted = settle(_voted(rows.select("uid", F.explode("items").alias("i")).select("uid", "i.*"), names).drop("before", "after", "gap", "digits", "luhn"))
+    table = {tuple(r[:-1]): r[-1] for r in voted.groupBy(*PATTERN).count().collect()}  # bounded: kinds x votes x classes
+    _, post, _ = estimate_reliabilities((k[1 : 1 + len(VOTES)], n) for k, n in table.items())
     probability = train_span_classifier(table, post)
     scores = docs.sparkSession.createDataFrame([(*k, p) for k, p in sorted(probability.items())], ", ".join(f"{c} int" for c in PATTERN) + ", probability double")
     return rows, voted.join(F.broadcast(scores), PATTERN)  # no larger than the table of patterns
 
 
-def personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: float = 0.5) -> DataFrame:
+def personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: float = 0.5, names: tuple[str, ...] = NAMES) -> DataFrame:
     """One row per document: counts of the base kinds, the digest of the base spans, and all spans.
 
-    Added spans never overlap base ones. Null texts are empty and have no spans. Null ids, ties and repeated rows stay,
-    one row out for each row in; other columns are ignored; an empty table gives no rows.
+    Added spans never overlap base ones; added ones may overlap each other. Null and empty texts have no spans; very long
+    ones are searched whole, in time that grows with their length. Null ids, ties and repeated rows stay, one row out for
+    each row in; other columns are ignored; an empty table gives no rows. ``names`` is the gazetteer of given names.
     """
-    rows, spans = span_candidates(docs, id_col, text_col)
+    rows, spans = span_candidates(docs, id_col, text_col, names)
     span = F.struct("start", "kind", "end")
     count = lambda kind: F.count(F.when(F.col("base") & (F.col("kind") == KINDS.index(kind)), 1)).alias(f"n_{kind}")
     by_doc = spans.groupBy("uid").agg(

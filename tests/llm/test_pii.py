@@ -73,3 +73,42 @@ def test_reliabilities_recover_planted_ones():
 def test_luhn_expression(spark):
     got = spark.createDataFrame([(f"{i:012d}",) for i in range(0, 5000, 7)], "d string").withColumn("ok", pii.luhn(F.col("d"))).collect()
     assert all(r.ok == luhn(r.d) for r in got)
+
+
+def test_added_spans_are_what_the_method_says(spark):
+    """Candidates against plain search, and the result against the candidates' probabilities."""
+    rng = random.Random(3)
+    bits = ["Mr. John Doe", "Dr. Xyz", "mail: ", "anna (at) web (dot) org", "(212) 555-0142", "call 212-555-0199", "4111111111111111", "1234567890123", "a@b.co", "10.1.2.300", "10.1.2.3", "+49 170 1234567", " ", ", ", "order ", "x", "é"]
+    texts = ["".join(rng.choice(bits) for _ in range(rng.randrange(9))) for _ in range(300)]
+    data = [(i, t, None, None, 0, None, None) for i, t in enumerate(texts)]
+    rows_, spans = pii.span_candidates(frame(spark, data))
+    of = {r.uid: r.doc_id for r in rows_.select("uid", "doc_id").collect()}
+    found = spans.select("uid", "kind", "start", "end", "base", "probability").collect()
+    plain = lambda p: p.replace("|\\G", "").replace("++", "+")
+    want = {(i, k, m.start(), m.end()) for k, p in pii.LOOSE.items() for i, t in enumerate(texts) for m in re.finditer(plain(p), t)}
+    got = {(of[r.uid], pii.KINDS[r.kind], r.start, r.end) for r in found if pii.KINDS[r.kind] in pii.LOOSE}
+    assert got == want and len({k for _, k, _, _ in want}) == 4
+    kept = {}
+    for r in sorted(found, key=lambda r: (r.start, r.kind)):
+        base = [b for b in found if b.uid == r.uid and b.base]
+        if r.base or (r.probability >= 0.5 and not any(b.start < r.end and r.start < b.end for b in base)):
+            kept.setdefault(of[r.uid], []).append(f"{pii.KINDS[r.kind]}:{r.start}:{r.end}")
+    result = {r.doc_id: r.spans for r in pii.personal_data(frame(spark, data)).collect()}
+    assert result == {i: ",".join(kept.get(i, [])) for i in range(len(texts))}
+
+
+def test_classifier_uses_the_text():
+    """Spans of the same votes are told apart by what their likes in the same surroundings got."""
+    plain = (4, 0, 0, 0, 0, 1)
+    known = {(4, 0, 0, 0, 1, 1, 0, 3, 0, 0): 300, (4, 0, -1, -1, -1, 1, 0, 7, 0, 0): 300, (*plain, 0, 3, 0, 0): 20, (*plain, 0, 7, 0, 0): 20}
+    post = {(0, 0, 0, 1, 1): 0.95, (0, -1, -1, -1, 1): 0.05, (0, 0, 0, 0, 1): 0.5}
+    got = pii.train_span_classifier(known, post)
+    assert got[*plain, 0, 3, 0, 0] > got[*plain, 0, 7, 0, 0] + 0.05
+
+
+def test_gazetteers():
+    codes = re.compile(pii.CODES)
+    assert all(codes.match(x) for x in ("+1 212", "+49", "+351 2", "+44", "+7", "+886", "+972")) and not any(codes.match(x) for x in ("+0", "+10"[:2].replace("1", "0"), "49"))
+    issuers = re.compile(pii.ISSUERS)
+    assert all(issuers.match(x) for x in ("4111", "5500", "2221", "2720", "3400", "6011", "3530")) and not any(issuers.match(x) for x in ("1234", "9000", "2220", "2721", "0000"))
+    assert re.search(pii.TLDS, "a@b.co") and re.search(pii.TLDS, "a@b.museum") and not re.search(pii.TLDS, "a@b.local")
