@@ -7,13 +7,12 @@ after counting, every byte's probability mixes the estimates of all depths by th
 and its context fit one 64-bit key; each depth more would about double what is counted and sent.
 
 Estimates depend on final counts only, so learning is counting: blocks of texts name their distinct byte strings of
-length DEPTH + 1, counts meet by the two bytes before the predicted one (a bucket), and the answers go back to the
-blocks. No group grows with the number of blocks: sums are taken in rounds of MERGED_BLOCKS tables, and the answers of a
-bucket serve ANSWERED_BLOCKS blocks at a time. A merged bucket of more than PIECE_KEYS strings is cut by the third byte;
-pieces are weighed down to depth three each by itself, and combined upwards to their bucket and to the 256 contexts of
-depth one, which alone (fixed-size arrays) come to the driver with a few totals.
-
-Words of the unigram base are plain rows (word, block, count): they are summed, and joined back, by Spark.
+length DEPTH + 1 and their words, by buckets (the two bytes before the predicted one; the first bits of a word's name).
+Counts go up a tree: the tables of up to MERGED_NODES nodes are added up into one, until one node is left; words get finer
+buckets at every level. Answers go down the same tree, each node giving its children what they named. So no group grows
+with the corpus, and no answer is sent where nobody asked. At the top a bucket of more than PIECE_KEYS strings is cut by the
+third byte; pieces are weighed down to depth three each by itself, and combined upwards to their bucket and to the 256
+contexts of depth one, which alone (fixed-size arrays) come to the driver with a few totals.
 """
 
 from __future__ import annotations
@@ -23,24 +22,23 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 import xxhash
 import zstandard
 from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import RollingHash, U, column, keyed_text, partial_batch, settle_table, shuffle_partitions, slices
+from lodestone.llm.common import RollingHash, U, column, keyed_text, settle_table, shuffle_partitions, slices
 
 DEPTH = 5
 HELD_OUT = 10
 BLOCK_BYTES = 8 << 20
 SLICE_BYTES = 1 << 20
 SLICE_ROWS = (1 << 16) - 1
-#: Tables of one bucket that are added up in one go, and blocks that one copy of its answers serves.
-MERGED_BLOCKS, ANSWERED_BLOCKS = 64, 1024
-PIECE_KEYS = 1 << 18
-#: Kinds of rows that blocks ask by and are answered by: byte strings of a bucket, words, and the digest of all of both.
+#: Nodes whose tables are added up in one go, and strings of a bucket that are weighed together.
+MERGED_NODES, PIECE_KEYS = 256, 1 << 18
+#: Bits of a word's name that choose its bucket at the leaves, and more of them at each level above.
+WORD_BITS, FINER_BITS = 9, 8
 GRAMS, WORDS, DIGEST = 0, 1, 2
 _END = b"\n"
 
@@ -120,7 +118,7 @@ def blocks(batches: Iterator[pa.RecordBatch], block_bytes: int) -> Iterator[tupl
         yield block, before, True
 
 
-REQUESTS = "kind int, bucket int, block long, keys binary, counts binary, word long, n int"
+NODES = "space int, bucket long, node long, keys binary, counts binary"
 
 
 def block_digest(keys: np.ndarray, words: np.ndarray) -> int:
@@ -128,45 +126,49 @@ def block_digest(keys: np.ndarray, words: np.ndarray) -> int:
     return xxhash.xxh3_64_intdigest(keys.tobytes() + words.tobytes()) - (1 << 63)
 
 
-def _asked(block: int, grams: list[tuple[np.ndarray, np.ndarray]], words: list[tuple[np.ndarray, np.ndarray]]) -> Iterator[pa.RecordBatch]:
-    keys, counts = summed(*(np.concatenate(c) for c in zip(*grams, strict=True)))
-    names, n = summed(*(np.concatenate(c) for c in zip(*words, strict=True)))
-    bucket = (keys >> U(8 * (DEPTH - 1))).astype(np.int32)
+def _node_rows(space: int, node: int, level: int, keys: np.ndarray, counts: np.ndarray) -> Iterator[tuple]:
+    """A node's table of distinct keys in order, by buckets."""
+    bits = 8 * (DEPTH - 1) if space == GRAMS else 64 - min(40, WORD_BITS + FINER_BITS * level)
+    bucket = (keys >> U(bits)).astype(np.int64)
     cuts = [*np.flatnonzero(np.diff(bucket, prepend=-1)).tolist(), len(keys)]
-    ranges = list(zip(cuts[:-1], cuts[1:], strict=True))
-    fixed = lambda x, k, rows: pa.array(np.full(rows, x), k)
-    blobs = [pa.array([f(x[a:b]) for a, b in ranges], pa.binary()) for f, x in ((deltas, keys), (lambda c: squeeze(c.astype(np.uint32)), counts))]
-    yield partial_batch(REQUESTS, len(ranges), kind=fixed(GRAMS, pa.int32(), len(ranges)), bucket=pa.array(bucket[cuts[:-1]]), block=fixed(block, pa.int64(), len(ranges)), keys=blobs[0], counts=blobs[1])
-    if len(names):
-        yield partial_batch(REQUESTS, len(names), kind=fixed(WORDS, pa.int32(), len(names)), block=fixed(block, pa.int64(), len(names)), word=pa.array(names.view(np.int64)), n=pa.array(n.astype(np.int32)))
-    yield partial_batch(REQUESTS, 1, kind=fixed(DIGEST, pa.int32(), 1), block=fixed(block, pa.int64(), 1), word=pa.array([block_digest(keys, names)], pa.int64()))
+    for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+        yield space, int(bucket[a]), node, deltas(keys[a:b]), squeeze(counts[a:b].astype(np.uint64))
+
+
+def _columns(rows: list[tuple], schema: str) -> pa.RecordBatch:
+    kinds = {"int": pa.int32(), "long": pa.int64(), "binary": pa.binary()}
+    fields = [x.split() for x in schema.split(", ")]
+    return pa.RecordBatch.from_arrays([pa.array(c, kinds[k]) for c, (_, k) in zip(zip(*rows, strict=True) if rows else [()] * len(fields), fields, strict=True)], [c for c, _ in fields])
 
 
 def _requests(batches: Iterator[pa.RecordBatch], block_bytes: int) -> Iterator[pa.RecordBatch]:
-    grams, words = [], []
+    held: dict[int, list] = {GRAMS: [], WORDS: []}
     for block, batch, ends in blocks(batches, block_bytes):
         part = Slice(column(batch, "text").to_pylist())
         train = ~np.array([held_out(d) for d in column(batch, "doc_id").to_pylist()])
-        for held, keys, doc in ((grams, part.keys, part.doc), (words, part.words, part.word_doc)):
+        for space, keys, doc in ((GRAMS, part.keys, part.doc), (WORDS, part.words, part.word_doc)):
             learnt = train[doc]
             a, n = summed(keys[learnt])
             b, _ = summed(keys[~learnt])
-            held.append((np.concatenate([a, b]), np.concatenate([n, np.zeros(len(b), np.int64)])))
+            held[space].append((np.concatenate([a, b]), np.concatenate([n, np.zeros(len(b), np.int64)])))
         if ends:
-            yield from _asked(block, grams, words)
-            grams, words = [], []
-
+            tables = {space: summed(*(np.concatenate(c) for c in zip(*parts, strict=True))) for space, parts in held.items()}
+            rows = [r for space, table in tables.items() for r in _node_rows(space, block, 0, *table)]
+            yield _columns([*rows, (DIGEST, block_digest(tables[GRAMS][0], tables[WORDS][0]), block, None, None)], NODES)
+            held = {GRAMS: [], WORDS: []}
 
-MERGED = "bucket int, turn int, wide boolean, keys binary, counts binary"
 
-
-def _merged(table: pa.Table) -> pa.Table:
-    """The sums of some tables of one bucket."""
-    parts = [(undeltas(k), unsqueeze(c, np.uint64 if w else np.uint32).astype(np.int64)) for k, c, w in zip(*(table.column(x).to_pylist() for x in ("keys", "counts", "wide")), strict=True)]
-    keys, counts = summed(*(np.concatenate(c) for c in zip(*parts, strict=True)))
-    row = (table.column("bucket")[0].as_py(), table.column("turn")[0].as_py(), True, deltas(keys), squeeze(counts.astype(np.uint64)))
-    kinds = (pa.int32(), pa.int32(), pa.bool_(), pa.binary(), pa.binary())
-    return pa.table([pa.array([x], k) for x, k in zip(row, kinds, strict=True)], [x.split()[0] for x in MERGED.split(", ")])
+def _merged(table: pa.Table, level: int) -> pa.Table:
+    """The sums of some nodes' tables of one bucket, as a table of their parent; one after the other is added."""
+    keys, counts = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+    waiting: list[tuple[np.ndarray, np.ndarray]] = []
+    for k, c in zip(table.column("keys"), table.column("counts"), strict=True):
+        waiting.append((undeltas(k.as_py()), unsqueeze(c.as_py(), np.uint64).astype(np.int64)))
+        if sum(len(w[0]) for w in waiting) > max(len(keys), 1 << 16):
+            keys, counts = summed(*(np.concatenate(x) for x in zip((keys, counts), *waiting, strict=True)))
+            waiting = []
+    keys, counts = summed(*(np.concatenate(x) for x in zip((keys, counts), *waiting, strict=True)))
+    return pa.Table.from_batches([_columns(list(_node_rows(table.column("space")[0].as_py(), table.column("up")[0].as_py(), level, keys, counts)), NODES)])
 
 
 PIECES = "bucket int, piece int, keys binary, counts binary"
@@ -335,27 +337,22 @@ def log10_probabilities(strings: np.ndarray, counts: np.ndarray, near: int, cont
     return out
 
 
-ANSWERS = "bucket int, piece int, keys binary, answers binary"
+ANSWERS = "space int, bucket long, node long, keys binary, answers binary"
 
 
 def _answers(batches: Iterator[pa.RecordBatch], crown: Crown) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for i, (bucket, keys, counts, ones, stop) in enumerate(zip(*(column(batch, c).to_pylist() for c in ("bucket", "keys", "counts", "ones", "stop")), strict=True)):
+        for bucket, keys, counts, ones, stop in zip(*(column(batch, c).to_pylist() for c in ("bucket", "keys", "counts", "ones", "stop")), strict=True):
             found = log10_probabilities(*_piece_strings(keys, counts), bucket >> 8, (unsqueeze(ones, np.float64), unsqueeze(stop, np.float64)), crown)
-            one = batch.slice(i, 1)
-            yield pa.RecordBatch.from_arrays([*(column(one, c) for c in ("bucket", "piece", "keys")), pa.array([squeeze(found.astype(np.float32))], pa.binary())], [x.split()[0] for x in ANSWERS.split(", ")])
-
-
-REPLIES = "block long, kind int, bucket int, answers binary, word long, n long"
+            yield _columns([(GRAMS, bucket, 0, keys, squeeze(found))], ANSWERS)
 
 
 def _reply(asked: pa.Table, known: pa.Table) -> pa.Table:
-    order = np.argsort(np.asarray(known.column("piece"))).tolist()
-    keys = np.concatenate([undeltas(known.column("keys")[i].as_py()) for i in order])
-    values = np.concatenate([unsqueeze(known.column("answers")[i].as_py(), np.float32) for i in order])
-    out = [squeeze(values[np.searchsorted(keys, undeltas(x.as_py()))]) for x in asked.column("keys")]
-    n = asked.num_rows
-    return pa.table([asked.column("block"), pa.array(np.full(n, GRAMS, np.int32)), asked.column("bucket"), pa.array(out, pa.binary()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64())], [x.split()[0] for x in REPLIES.split(", ")])
+    """What a node knows of one bucket, for each of its children as far as they named it; answers are 64-bit words of either space."""
+    parts = sorted(((undeltas(k.as_py()), unsqueeze(v.as_py(), np.uint64)) for k, v in zip(known.column("keys"), known.column("answers"), strict=True)), key=lambda x: int(x[0][0]))
+    keys, values = (np.concatenate(x) for x in zip(*parts, strict=True))
+    rows = [(space, bucket, node, k, squeeze(values[np.searchsorted(keys, undeltas(k))])) for space, bucket, node, k in zip(*(asked.column(c).to_pylist() for c in ("space", "bucket", "node", "keys")), strict=True)]
+    return pa.Table.from_batches([_columns(rows, ANSWERS)])
 
 
 def _placed(batches: Iterator[pa.RecordBatch], block_bytes: int) -> Iterator[pa.RecordBatch]:
@@ -369,13 +366,11 @@ SCORES = "doc_id long, held_out boolean, n_tokens long, n_known long, train_toke
 def _score_block(docs: pa.Table, replies: pa.Table, tokens: int, distinct: int, trained: int) -> pa.Table:
     names = [x.split()[0] for x in SCORES.split(", ")]
     kinds = [pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.int64()]
-    replies = replies.sort_by([("bucket", "ascending"), ("word", "ascending")])
-    of = {k: replies.filter(pc.equal(replies.column("kind"), k)) for k in (GRAMS, WORDS, DIGEST)}
-    logs_of = np.concatenate([np.zeros(0, np.float32), *(unsqueeze(x.as_py(), np.float32) for x in of[GRAMS].column("answers"))])
-    known_words = np.asarray(of[WORDS].column("word")).astype(np.int64).view(np.uint64)
-    known_counts = np.asarray(of[WORDS].column("n")).astype(np.float64)
-    by_name = np.argsort(known_words)
-    known_words, known_counts = known_words[by_name], known_counts[by_name]
+    replies = replies.sort_by([("space", "ascending"), ("bucket", "ascending")])
+    told: dict[int, list[np.ndarray]] = {GRAMS: [np.zeros(0)], WORDS: [np.zeros(0)], DIGEST: []}
+    for space, bucket, answers in zip(*(replies.column(c).to_pylist() for c in ("space", "bucket", "answers")), strict=True):
+        told[space].append(bucket if space == DIGEST else unsqueeze(answers, np.float64 if space == GRAMS else np.uint64).astype(np.float32 if space == GRAMS else np.float64))
+    logs_of, known_counts = np.concatenate(told[GRAMS]), np.concatenate(told[WORDS])
     parts = []
     whole = slices(docs.select(["doc_id", "text"]).combine_chunks().to_batches(), limit=SLICE_BYTES)
     for batch in (b.slice(at, SLICE_ROWS) for b in whole for at in range(0, b.num_rows, SLICE_ROWS)):  # a text's number takes 16 bits
@@ -388,14 +383,14 @@ def _score_block(docs: pa.Table, replies: pa.Table, tokens: int, distinct: int,
         words, at = np.unique(part.words, return_inverse=True)
         parts.append((column(batch, "doc_id").to_pylist(), part.size, key[new], (np.cumsum(new) - 1).astype(np.int32), doc, count, words, at.astype(np.int32), part.word_doc))
     grams, words = (np.unique(np.concatenate([np.zeros(0, np.uint64), *(p[i] for p in parts)])) for i in (2, 6))
-    if of[DIGEST].column("word").to_pylist() != [block_digest(grams, words)]:
+    if told[DIGEST] != [block_digest(grams, words)]:
         raise RuntimeError("the table's blocks differ between passes; settle it before scoring")
     unit, end = np.log10(tokens + 0.1 * (distinct + 1)), np.log10(trained + 0.1)
     out = []
     for ids, size, own, at, doc, count, own_words, word_at, word_doc in parts:
         logs = logs_of[np.searchsorted(grams, own)].astype(np.float64)
         score = np.bincount(doc, weights=logs[at] * count, minlength=len(ids))
-        known = known_counts[np.searchsorted(known_words, own_words)]
+        known = known_counts[np.searchsorted(words, own_words)]
         n = np.bincount(word_doc, minlength=len(ids)) + 1
         base = np.bincount(word_doc, weights=np.log10(known + 0.1)[word_at], minlength=len(ids)) + end - n * unit
         seen = np.bincount(word_doc, weights=(known > 0)[word_at], minlength=len(ids)).astype(np.int64) + (trained > 0)
@@ -413,41 +408,53 @@ def score_documents(docs: DataFrame, block_bytes: int = BLOCK_BYTES, id_col: str
     """
     spark = docs.sparkSession
     rows = keyed_text(docs, id_col, text_col)
-    asked = settle_table(rows.mapInArrow(lambda it: _requests(it, block_bytes), REQUESTS))
+    leaves = settle_table(rows.mapInArrow(lambda it: _requests(it, block_bytes), NODES))
     crc = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary"))
     trained = rows.where(crc % HELD_OUT != 0).count()
-    words = asked.where(F.col("kind") == WORDS).select("block", "word", "n")
-    counted = words.groupBy("word").agg(F.sum("n").alias("total"))
-    totals = counted.agg(F.coalesce(F.sum("total"), F.lit(0)), F.count(F.when(F.col("total") > 0, 1))).first()
+    digests = leaves.where(F.col("space") == DIGEST)
+    marks = digests.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.max(F.col("node") % (1 << 24)), F.lit(0)).alias("last")).first()
+    levels, widths = [leaves.where(F.col("space") != DIGEST)], [marks.n]
+    while widths[-1] > 1 or len(levels) == 1:
+        widths.append(-(-widths[-1] // MERGED_NODES) or 1)
+        levels.append(settle_table(_merge(_upwards(levels[-1], widths[-1]), len(levels))))
+    top = levels[-1]
+    words = top.where(F.col("space") == WORDS)
+    totals = words.mapInArrow(_word_totals, "n long, v long").agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("v"), F.lit(0))).first()
     tokens, distinct = totals[0] + trained, totals[1] + (trained > 0)
-
-    grams = asked.where(F.col("kind") == GRAMS).select("bucket", "block", "keys", "counts")
-    marks = asked.where(F.col("kind") == DIGEST).agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.max(F.col("block") % (1 << 24)), F.lit(0)).alias("last")).first()
-    n_blocks = marks.n
-    turns = -(-n_blocks // MERGED_BLOCKS) or 1
-    merged = grams.select("bucket", _turn("block", turns).alias("turn"), F.lit(False).alias("wide"), "keys", "counts").groupBy("bucket", "turn").applyInArrow(_merged, MERGED)
-    while turns > 1:
-        turns = -(-turns // MERGED_BLOCKS)
-        merged = merged.withColumn("turn", F.pmod("turn", F.lit(turns))).groupBy("bucket", "turn").applyInArrow(_merged, MERGED)
-    pieces = settle_table(merged.mapInArrow(lambda it: _cut(it, PIECE_KEYS), PIECES))
+    pieces = settle_table(top.where(F.col("space") == GRAMS).mapInArrow(lambda it: _cut(it, PIECE_KEYS), PIECES))
     contexts = settle_table(pieces.mapInArrow(_sums, SUMS).groupBy("bucket").applyInArrow(_bucket_context, CONTEXTS))
     crown = Crown([tuple(r) for r in contexts.groupBy("near").applyInArrow(_top_sums, TOPS).collect()])  # at most 256 rows of fixed size
-    copies = -(-n_blocks // ANSWERED_BLOCKS) or 1
-    known = pieces.join(contexts.select("bucket", "ones", "stop"), "bucket").mapInArrow(lambda it: _answers(it, crown), ANSWERS)
-    known = known.withColumn("turn", F.explode(F.sequence(F.lit(0), F.lit(copies - 1))))
-    asking = grams.select("bucket", _turn("block", copies).alias("turn"), "block", "keys")
-    replies = asking.groupBy("bucket", "turn").cogroup(known.groupBy("bucket", "turn")).applyInArrow(_reply, REPLIES)
-    none = F.lit(None)
-    told = words.join(counted, "word").select("block", F.lit(WORDS).alias("kind"), none.cast("int").alias("bucket"), none.cast("binary").alias("answers"), "word", F.col("total").alias("n"))
-    digests = asked.where(F.col("kind") == DIGEST).select("block", "kind", none.cast("int").alias("bucket"), none.cast("binary").alias("answers"), "word", none.cast("long").alias("n"))
+    known = settle_table(pieces.join(contexts.select("bucket", "ones", "stop"), "bucket").mapInArrow(lambda it: _answers(it, crown), ANSWERS))
+    known = known.unionByName(words.withColumnRenamed("counts", "answers"))
+    for level in range(len(levels) - 2, -1, -1):
+        asking = _upwards(levels[level], widths[level + 1]).select("space", "bucket", "up", "node", "keys")
+        coarse = F.when(F.col("space") == WORDS, F.shiftright("bucket", _finer(level))).otherwise(F.col("bucket"))
+        telling = known.select("space", coarse.alias("bucket"), F.col("node").alias("up"), "keys", "answers")
+        known = asking.groupBy("space", "bucket", "up").cogroup(telling.groupBy("space", "bucket", "up")).applyInArrow(_reply, ANSWERS)
+    answered = known.drop("keys").unionByName(digests.select("space", "bucket", "node", F.lit(None).cast("binary").alias("answers"))).withColumnRenamed("node", "block")
     placed = rows.mapInArrow(lambda it: _placed(it, block_bytes), "block long, doc_id long, text string")
-    answered = replies.unionByName(told).unionByName(digests)
     # Blocks are numbered through, so that every partition gets as many of them as any other.
-    parts = max(shuffle_partitions(spark), n_blocks // 16)
+    parts = max(shuffle_partitions(spark), marks.n // 16)
     number = F.shiftright("block", 24) * (marks.last + 1) + F.col("block") % (1 << 24)
     even = lambda df: df.withColumn("part", F.pmod(number, F.lit(parts)).cast("int")).repartitionById(parts, F.col("part")).groupBy("part", "block")
     return even(placed).cogroup(even(answered)).applyInArrow(lambda a, b: _score_block(a, b, tokens, distinct, trained), SCORES)
 
 
-def _turn(block: str, turns: int) -> Column:
-    return F.pmod(F.xxhash64(block), F.lit(turns)).cast("int")
+def _finer(level: int) -> int:
+    """By how many bits words' buckets at the next level are finer."""
+    return min(40, WORD_BITS + FINER_BITS * (level + 1)) - min(40, WORD_BITS + FINER_BITS * level)
+
+
+def _upwards(nodes: DataFrame, width: int) -> DataFrame:
+    """Each node with its parent, one of so many."""
+    return nodes.withColumn("up", F.pmod(F.xxhash64("node"), F.lit(width)).cast("long"))
+
+
+def _merge(nodes: DataFrame, level: int) -> DataFrame:
+    return nodes.groupBy("space", "bucket", "up").applyInArrow(lambda t: _merged(t, level), NODES)
+
+
+def _word_totals(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        counts = [unsqueeze(x, np.uint64) for x in column(batch, "counts").to_pylist()]
+        yield pa.RecordBatch.from_arrays([pa.array([int(c.sum()) for c in counts], pa.int64()), pa.array([int((c > 0).sum()) for c in counts], pa.int64())], ["n", "v"])

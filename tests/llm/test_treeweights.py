@@ -78,7 +78,7 @@ class PlainTree:
 
 @pytest.mark.parametrize(("block_bytes", "at_once", "piece_keys"), [(16 << 20, 64, 1 << 18), (300, 2, 5)])
 def test_scores_match_the_definition(spark, monkeypatch, block_bytes, at_once, piece_keys):
-    for name, value in (("MERGED_BLOCKS", at_once), ("ANSWERED_BLOCKS", at_once), ("PIECE_KEYS", piece_keys)):
+    for name, value in (("MERGED_NODES", at_once), ("PIECE_KEYS", piece_keys)):
         monkeypatch.setattr(tw, name, value)
     data = [r if r[1] is None or len(r[1]) < 5000 else (r[0], r[1][:200], *r[2:]) for r in rows(n=25)]
     got = tw.score_documents(frame(spark, data), block_bytes).collect()
@@ -127,7 +127,7 @@ def test_a_table_that_reads_differently_the_second_time_is_an_error(spark):
     part = tw.Slice(["some text"])
     keys, words = tw.summed(part.keys)[0], np.unique(part.words)
     assert tw.block_digest(keys, words) != tw.block_digest(keys[::-1].copy(), words)
-    told = tw.pa.table({"block": [0], "kind": tw.pa.array([tw.DIGEST], tw.pa.int32()), "bucket": tw.pa.nulls(1, tw.pa.int32()), "answers": tw.pa.nulls(1, tw.pa.binary()), "word": [1], "n": tw.pa.nulls(1, tw.pa.int64())})
+    told = tw.pa.table({"block": [0], "space": tw.pa.array([tw.DIGEST], tw.pa.int32()), "bucket": [1], "answers": tw.pa.nulls(1, tw.pa.binary())})
     with pytest.raises(RuntimeError, match="differ between passes"):
         block(tw.pa.table({"block": [0], "doc_id": [1], "text": ["some text"]}), told, 1, 1, 1)
     assert tw.score_documents(docs).count() == 20
