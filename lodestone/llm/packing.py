@@ -239,7 +239,8 @@ def pack_documents(docs: DataFrame, tokenizer: str, block_tokens: int = 4 << 20,
     """One row for each piece of a document in a sequence; ``keep_ids`` adds the piece's ids.
 
     ``tokenizer`` is the path of a tokenizer file that every executor can read. Null and empty texts have the end id
-    alone. Null ids, ties and repeated rows are packed like any other row; other columns are ignored; an empty table
+    alone; a very long text is cut into many pieces, and its ids (four bytes each) are held whole while its block is packed.
+    Null ids, ties and repeated rows are packed like any other row; other columns are ignored; an empty table
     gives no rows. Sequence ids are unique but not consecutive: the split's number above, a count within it below.
     """
     return keyed_text(docs, id_col, text_col).mapInArrow(lambda it: _rows(it, tokenizer, block_tokens, keep_ids), SCHEMA + (", ids array<int>" if keep_ids else ""))

@@ -135,7 +135,7 @@ def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 def fingerprint_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, fingerprint), one row for each row in, without a shuffle.
 
-    Null and empty texts have the fingerprint of all-empty slots. Null ids, ties and repeated rows pass through, other
+    Null and empty texts have the fingerprint of all-empty slots; very long ones are parsed whole, one at a time. Null ids, ties and repeated rows pass through, other
     columns are ignored, an empty table gives no rows.
     """
     return keyed_text(docs, id_col, text_col).mapInArrow(_fingerprints, "doc_id long, fingerprint string")

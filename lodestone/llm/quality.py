@@ -4,6 +4,10 @@ Every line is good or bad; its evidence is its own shape and the shapes of the l
 two states joins neighbours. Forward-backward marginals, weighted by the lines' lengths, give the document's share of
 good text, which a logistic curve turns into the probability of label 1.
 
+Labels are of documents, states of lines. The chain is fitted as if every line had its document's label, so it sees few
+moves between states. Refinements, none by default, then put its own marginals, pulled towards that label, in the labels'
+place, so that good lines in bad documents are learnt as such; where documents are of one kind throughout, that costs accuracy.
+
 The chain is fitted on at most ``max_labelled`` labelled documents (the bound is a parameter; they are chosen by a hash of
 the id) whose line shapes, not texts, come to the driver. Scoring is one pass over whole texts without a shuffle: many
 documents advance together, line by line, in numpy.
@@ -155,25 +159,35 @@ class Model:
         return out
 
 
-def fit(lines: Lines, labels: np.ndarray, rounds: int = 300, l2: float = 1e-3) -> Model:
-    """Maximum conditional likelihood of the lines' labels, a line having its document's, by Adam; then the curve by Newton steps."""
+#: How strongly a document's label pulls its lines, in log-odds of good.
+PULL = 2.0
+
+
+def fit(lines: Lines, labels: np.ndarray, rounds: int = 200, l2: float = 1e-3, refinements: int = 0) -> Model:
+    """Maximum conditional likelihood of the lines' states, by Adam; then the curve by Newton steps.
+
+    States are the documents' labels at first; each refinement replaces them by their posteriors under the model and the
+    labels' pull (expectation-maximisation), for a quarter of the rounds.
+    """
     prior = float((labels.sum() + 1) / (len(labels) + 2))
     x, y = with_neighbours(lines), np.repeat(labels, np.diff(lines.first)).astype(float)
     dim = x.shape[1]
     theta = np.zeros(dim + 4)
-    m, v = np.zeros_like(theta), np.zeros_like(theta)
     if not len(y) or labels.min() == labels.max():
         return Model(theta[:dim], theta[dim:].reshape(2, 2), 0.0, math.log(prior / (1 - prior)), prior)
     inner = np.ones(len(y), bool)
     inner[lines.first[:-1][np.diff(lines.first) > 0]] = False
-    state = y.astype(int)
-    seen = np.zeros((2, 2))
-    np.add.at(seen, (state[np.flatnonzero(inner) - 1], state[inner]), 1)
-    for k in range(1, rounds + 1):
-        p, moves, _ = marginals(x @ theta[:dim], theta[dim:].reshape(2, 2), lines.first)
-        grad = np.concatenate([x.T @ (p - y), (moves - seen).ravel()]) / len(y) + l2 * theta
-        m, v = 0.9 * m + 0.1 * grad, 0.99 * v + 0.01 * grad * grad
-        theta -= 0.1 * (m / (1 - 0.9**k)) / (np.sqrt(v / (1 - 0.99**k)) + 1e-8)
+    states, seen = y, np.zeros((2, 2))
+    np.add.at(seen, (y.astype(int)[np.flatnonzero(inner) - 1], y.astype(int)[inner]), 1)
+    for stage in range(1 + refinements):
+        if stage:
+            states, seen, _ = marginals(x @ theta[:dim] + PULL * (2 * y - 1), theta[dim:].reshape(2, 2), lines.first)
+        m, v = np.zeros_like(theta), np.zeros_like(theta)
+        for k in range(1, (rounds // 4 if stage else rounds) + 1):
+            p, moves, _ = marginals(x @ theta[:dim], theta[dim:].reshape(2, 2), lines.first)
+            grad = np.concatenate([x.T @ (p - states), (moves - seen).ravel()]) / len(y) + l2 * theta
+            m, v = 0.9 * m + 0.1 * grad, 0.99 * v + 0.01 * grad * grad
+            theta -= 0.1 * (m / (1 - 0.9**k)) / (np.sqrt(v / (1 - 0.99**k)) + 1e-8)
     model = Model(theta[:dim].copy(), theta[dim:].reshape(2, 2).copy(), 1.0, 0.0, prior)
     good, _, _ = marginals(x @ model.weights, model.switch, lines.first)
     full = np.flatnonzero(np.diff(lines.first) > 0)
@@ -236,7 +250,12 @@ def with_quality(docs: DataFrame, model: Model, name: str = "quality_score") ->
 
 
 def score_documents(docs: DataFrame, labels: DataFrame, max_labelled: int = 5000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, held_out, score, predicted) for every row; null texts are empty, null ids keep their rows, other columns are ignored."""
+    """(doc_id, held_out, score, predicted) for every row.
+
+    Null and blank texts have the labels' prior, null ids keep their rows; very long texts are scored whole, one at a time.
+    Repeated rows and ties are scored alike, one row out for each row in. Other columns are ignored; an empty table gives
+    no rows.
+    """
     model = train(docs, labels, max_labelled, id_col=id_col, text_col=text_col)
     scored = with_quality(keyed_text(docs, id_col, text_col), model, "score")
     return scored.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))

@@ -121,8 +121,8 @@ def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def secret_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document with counts and spans (code points, end exclusive).
 
-    Null texts are empty and have no spans. Null ids, ties and repeated rows pass through one for one; other columns are
-    ignored; an empty table gives an empty result.
+    Null and empty texts have no spans; very long ones are scanned whole, in time that grows with their length. Null ids,
+    ties and repeated rows pass through one for one; other columns are ignored; an empty table gives an empty result.
     """
     return keyed_text(docs, id_col, text_col).mapInArrow(_rows, SCHEMA)
 
@@ -141,5 +141,9 @@ def _masked(batches: Iterator[pa.RecordBatch], mask: str) -> Iterator[pa.RecordB
 
 
 def mask_secrets(docs: DataFrame, mask: str = "<SECRET>") -> DataFrame:
-    """The same table with every secret in column ``text`` replaced by ``mask`` (overlapping spans by one); null texts stay null."""
+    """The same table with every secret in column ``text`` replaced by ``mask`` (overlapping spans by one).
+
+    Null texts stay null, empty ones empty; very long ones are masked whole. Rows, ties, repeats and all other columns stay
+    as they are, whatever their names; an empty table stays empty.
+    """
     return docs.mapInArrow(lambda it: _masked(it, mask), docs.schema)

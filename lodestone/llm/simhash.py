@@ -345,8 +345,9 @@ def similar_groups(docs: DataFrame, width: int = 5, similarity: float = 0.8, rad
     Groups are the components of all pairs of texts whose sets of word shingles have at least that Jaccard similarity;
     every link is verified, and no pair is missed. Two similar sets have a shingle in common among the first
     ``prefix_length`` of each, in any one order of all shingles; the common ones come last. A first round compares the sets
-    within ``radius`` bits of each other by their SimHash, and each set with one other for every such shingle; a second
-    one all that share a shingle and aren't in one group yet. One row of each group stays: the least id (null ids last),
+    within ``radius`` bits of each other by their SimHash, and for every such shingle each set with one other: where the
+    fewest rarer shingles precede it, which is the text of a group that the others are edits of. A second one compares
+    all that share a shingle and aren't in one group yet. One row of each group stays: the least id (null ids last),
     then the least tag. Null and wordless texts are one group. A very long text is held whole, with its shingles. Ties and
     repeated rows are rows of one group; other columns are ignored; an empty table gives no rows.
 
@@ -363,7 +364,7 @@ def similar_groups(docs: DataFrame, width: int = 5, similarity: float = 0.8, rad
     common = common_shingles(rows, width)
     prefixes = rows.select("tag", "text").mapInArrow(lambda it: _prefixes(it, width, similarity, common), PREFIX)
     by_key = Window.partitionBy("key")
-    shared = prefixes.withColumns({"least": F.min(F.struct("set", "n", "place")).over(by_key), "most": F.max("set").over(by_key)}).where("least.set <> most")
+    shared = prefixes.withColumns({"least": F.min(F.struct("place", "set", "n")).over(by_key), "low": F.min("set").over(by_key), "most": F.max("set").over(by_key)}).where("low <> most")
     shared = settle_table(shared.select("key", "set", "n", "place", "least").dropDuplicates(["key", "set"]), paths)
     fits = lambda n, place, m, at: F.least(n - place, m - at) >= similarity / (1 + similarity) * (n + m) - 1e-6
     star = shared.where(fits(F.col("n"), F.col("place"), F.col("least.n"), F.col("least.place"))).select("set", "least.set")

@@ -10,13 +10,14 @@ tokens, so that every bucket is small whatever is frequent: equal leading tokens
 suffixes that fill several buckets are spread over them. A bucket sorts its suffixes by multikey quicksort, compares
 neighbours, and compares across its boundaries: a splitter is a suffix of the text itself, so what is equal to a splitter
 that was drawn twice repeats whichever bucket it lies in, and what shares its first 64 bytes with a splitter may go on
-beyond the boundary and is passed on to a second sort, window by window.
+beyond the boundary and is passed on to the second comparison.
 
 Suffixes that agree in all tokens repeat as a whole. Of those that share the first 64 bytes only, one stretch for each
 distinct last token meets the others, and there bytes decide: the stretches are sorted by what follows the sample point
 and, reversed, by what precedes it, neighbours' common prefixes are counted, and a window repeats if some other stretch
-shares enough bytes on both sides. A string of 64 bytes that lies at a boundary or has more than MOST_STRETCHES of them
-isn't gathered: its windows become suffixes of their own and pass through the same sort, where only whole ones count.
+shares enough bytes on both sides. A string of 64 bytes that has more than MOST_STRETCHES of them (or may have, lying in
+several buckets) isn't gathered: its windows become suffixes of their own and pass through the same sort, where only whole
+ones count.
 
 Texts are shuffled once; only the texts that have such stretches wait for the second comparison.
 """
@@ -154,31 +155,38 @@ def _points(batches: Iterator[pa.RecordBatch], splitters: np.ndarray | None, wid
 COMPARED = "name long, doc_id long, tag long, start int, count int, left int, whole boolean, partly boolean, lead boolean, hot boolean"
 
 
-def compare_bucket(table: dict[str, np.ndarray], splitters: np.ndarray, most: int) -> dict[str, np.ndarray]:
-    """Sort one bucket, compare neighbours and the splitters at its ends: the suffixes that repeat as a whole, or share their first 64 bytes, with each distinct one's first row."""
+def compare_bucket(table: dict[str, np.ndarray], splitters: np.ndarray, most: int, usual: int) -> dict[str, np.ndarray]:
+    """Sort one bucket, compare neighbours and the splitters at its ends: the suffixes that repeat as a whole, or share their first 64 bytes, with each distinct one's first row.
+
+    ``usual`` is how many suffixes a bucket has. What several buckets hold of one first string is taken for as many suffixes
+    as they may have, so that all of them decide alike whether it has more than ``most``.
+    """
     order = multikey_order([table[k] for k in KEYS])
     keys = np.column_stack([table[k][order] for k in KEYS])
     new = np.vstack([np.ones(len(KEYS), bool), keys[1:] != keys[:-1]])
     new_f, new_s = new[:, :-1].any(axis=1), new.any(axis=1)
     suffix, group = np.cumsum(new_s) - 1, np.cumsum(new_f) - 1
     distinct = np.bincount(group[new_s])
-    whole, edge = np.bincount(suffix)[suffix] > 1, np.zeros(len(order), bool)
+    whole, edge, hot = np.bincount(suffix)[suffix] > 1, np.zeros(len(order), bool), np.zeros(len(order), bool)
     bucket = int(table["bucket"][0])
     for i in (bucket - 1, bucket):
         if 0 <= i < len(splitters):
             like = keys == splitters[i]
-            edge |= like[:, :-1].all(axis=1)
+            begins = like[:, :-1].all(axis=1)
+            edge |= begins
+            if 2 * usual * (1 + int((splitters[:, :-1] == splitters[i, :-1]).all(axis=1).sum())) > most:
+                hot |= begins
             if (splitters[max(0, i - 1) : i + 2] == splitters[i]).all(axis=1).sum() > 1:
                 whole |= like.all(axis=1)
     partly = edge | (distinct[group] > 1)
     kept = np.flatnonzero(whole | partly)
     out = {"name": keys[kept, -2], **{c: table[c][order][kept] for c in ("doc_id", "tag", "start", "count", "left")}}
-    return out | {"whole": whole[kept], "partly": partly[kept], "lead": new_s[kept], "hot": (edge | (distinct[group] > most))[kept]}
+    return out | {"whole": whole[kept], "partly": partly[kept], "lead": new_s[kept], "hot": (hot | ~edge & (distinct[group] > most))[kept]}
 
 
-def _compared(splitters: np.ndarray, most: int):
+def _compared(splitters: np.ndarray, most: int, usual: int):
     def one(table: pa.Table) -> pa.Table:
-        got = compare_bucket({c: np.asarray(table.column(c)) for c in table.column_names}, splitters, most)
+        got = compare_bucket({c: np.asarray(table.column(c)) for c in table.column_names}, splitters, most, usual)
         names = [x.split()[0] for x in COMPARED.split(", ")]
         return pa.table([pa.array(got[c]) for c in names], names)
 
@@ -193,8 +201,8 @@ def _every(batches: Iterator[pa.RecordBatch], stride: int) -> Iterator[pa.Record
         yield batch.take(pa.array(picks))
 
 
-def choose_splitters(sample: DataFrame, scale: int) -> np.ndarray:
-    """Splitters, as rows of tokens, from a settled sample of suffixes that stands for ``scale`` times as many.
+def choose_splitters(sample: DataFrame, scale: int) -> tuple[np.ndarray, int]:
+    """Splitters, as rows of tokens, from a settled sample of suffixes that stands for ``scale`` times as many, and how many those are for each bucket.
 
     There is a bucket for each BUCKET_ROWS suffixes, at least two for each shuffle partition and at most MOST_BUCKETS; the
     sample is sorted as a table and only the splitters come to the driver.
@@ -202,21 +210,21 @@ def choose_splitters(sample: DataFrame, scale: int) -> np.ndarray:
     n = sample.count()
     buckets = min(MOST_BUCKETS, n, max(-(-n * scale // BUCKET_ROWS), 2 * shuffle_partitions(sample.sparkSession)))
     if buckets < 2:
-        return np.zeros((0, len(KEYS)), np.int64)
+        return np.zeros((0, len(KEYS)), np.int64), n * scale
     parts, stride = -(-buckets // 8), -(-n // buckets)
     keys = [*KEYS, "nth"]  # equal suffixes are spread, too
     ordered = sample.withColumn("nth", F.monotonically_increasing_id()).repartitionByRange(parts, *keys).sortWithinPartitions(*keys)
     picked = ordered.select(*KEYS).mapInArrow(lambda it: _every(it, stride), KEY_ROWS).toArrow()
     rows = [np.asarray(picked.column(k)) for k in KEYS]
-    return np.column_stack(rows)[np.lexsort(rows[::-1])]
+    return np.column_stack(rows)[np.lexsort(rows[::-1])], stride * scale
 
 
-def mark_repeats(points: DataFrame, splitters: np.ndarray) -> DataFrame:
+def mark_repeats(points: DataFrame, splitters: np.ndarray, usual: int) -> DataFrame:
     """Of suffixes that lie in buckets, those that repeat or may: name, doc_id, tag, start, count, left, whole, partly, lead, hot."""
     buckets = len(splitters) + 1
     parts = min(buckets, max(shuffle_partitions(points.sparkSession), buckets // 64))
     dealt = points.withColumn("part", F.floor(F.col("bucket") * F.lit(parts) / F.lit(buckets)).cast("int")).repartitionById(parts, F.col("part"))
-    return dealt.groupBy("part", "bucket").applyInArrow(_compared(splitters, MOST_STRETCHES), COMPARED)
+    return dealt.groupBy("part", "bucket").applyInArrow(_compared(splitters, MOST_STRETCHES, usual), COMPARED)
 
 
 DIGEST = "n_bytes long, n_removed long, n_spans long, kept_sha256 string"
@@ -380,9 +388,9 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     same = (key == F.col("its_id")) & (F.col("tag") == F.col("its_tag"))
     long_ = rows.where(F.octet_length("text") >= width).withColumn("doc_id", key)
     sampled = settle_table(long_.where(F.pmod(F.xxhash64(F.lit(5), "tag"), F.lit(SAMPLE)) == 0).mapInArrow(lambda it: _points(it, None, width), KEY_ROWS))
-    splitters = choose_splitters(sampled, SAMPLE)
+    splitters, usual = choose_splitters(sampled, SAMPLE)
     points = long_.mapInArrow(lambda it: _points(it, splitters, width), POINTS)
-    marked = mark_repeats(points, splitters)
+    marked = mark_repeats(points, splitters, usual)
     found = marked.groupBy("doc_id", "tag").agg(F.collect_list(F.struct("start", "count", "left", "name", "whole", (F.col("partly") & F.col("lead")).alias("open"), "hot")).alias("found"))
     found = found.withColumnsRenamed({"doc_id": "its_id", "tag": "its_tag"})
     joined = rows.join(found, same, "left").select("doc_id", "tag", "text", "found")
@@ -393,8 +401,8 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     grouped = stretches.groupBy(F.pmod(F.xxhash64("name"), F.lit(groups)).alias("group"))
     near = grouped.applyInArrow(lambda t: _compare_stretches(t, width), RUNS)
     windows = resolved.where("kind = 3").select(*KEYS, "doc_id", "tag", "start")
-    second_splitters = choose_splitters(settle_table(windows.where(F.pmod(F.xxhash64(F.lit(5), "tag", "start"), F.lit(SAMPLE)) == 0).select(*KEYS)), SAMPLE)
-    again = mark_repeats(windows.mapInArrow(lambda it: _bucketed(it, second_splitters), POINTS), second_splitters).where("whole")
+    second_splitters, second_usual = choose_splitters(settle_table(windows.where(F.pmod(F.xxhash64(F.lit(5), "tag", "start"), F.lit(SAMPLE)) == 0).select(*KEYS)), SAMPLE)
+    again = mark_repeats(windows.mapInArrow(lambda it: _bucketed(it, second_splitters), POINTS), second_splitters, second_usual).where("whole")
     runs = near.unionByName(again.select("doc_id", "tag", "start", "count"))
     at = runs.groupBy("doc_id", "tag").agg(F.collect_list(F.struct("start", "count")).alias("at")).withColumnsRenamed({"doc_id": "its_id", "tag": "its_tag"})
     waiting = resolved.where("kind = 1").select("doc_id", "tag", "text", "runs").join(at, same, "left").select("doc_id", "text", "runs", "at")

@@ -84,3 +84,23 @@ def test_awkward_tables(spark):
         quality.with_quality(frame(spark), quality.train(frame(spark), labels), "text")
     kept = quality.with_quality(frame(spark), quality.train(frame(spark), labels), "q")
     assert kept.columns == [*frame(spark).columns, "q"] and kept.where(F.col("text").isNull()).count() >= 1
+
+
+def test_mixed_documents_teach_their_lines(spark):
+    """Labels are of documents, but half the lines of a bad document are like those of good ones."""
+    rng = np.random.default_rng(2)
+    good = lambda: " ".join("".join(rng.choice(list("abcdefgh"), 5)) for _ in range(12)).capitalize() + "."
+    bad = lambda: "|".join("#$%{}=_"[rng.integers(7)] * 3 for _ in range(20))
+    texts, labels = [], []
+    for i in range(120):
+        labels.append(i % 2)
+        texts.append("\n".join(good() if labels[-1] or j < 6 else bad() for j in range(12)))
+    lines = shapes(texts)
+    truth = np.array([not t.startswith(("#", "$", "%", "{", "}", "=", "_")) for x in texts for t in x.split("\n")])
+    right = []
+    for refinements in (0, 4):
+        model = quality.fit(lines, np.array(labels), refinements=refinements)
+        p, _, _ = quality.marginals(quality.with_neighbours(lines) @ model.weights, model.switch, lines.first)
+        right.append(((p >= 0.5) == truth).mean())
+        assert ((model.scores(lines) >= 0.5) == np.array(labels).astype(bool)).mean() > 0.95
+    assert right[1] >= right[0]

@@ -107,8 +107,9 @@ def test_buckets_know_what_goes_on_beyond_their_boundaries():
     splitters = np.array([low, twice, twice, high])
     rows = np.array([[1] * 5 + [0], twice, [1, 1, 1, 1, 0, 9]])
     table = {k: rows[:, i] for i, k in enumerate(suffixes.KEYS)} | {c: np.arange(3) for c in ("doc_id", "tag", "start", "count", "left")} | {"bucket": np.full(3, 1)}
-    got = suffixes.compare_bucket(table, splitters, 10)
-    assert sorted(zip(got["doc_id"].tolist(), got["whole"].tolist(), got["hot"].tolist(), strict=True)) == [(0, False, True), (1, True, True)]
+    for most in (5, 6):  # two splitters begin so, for buckets of one row or two
+        got = suffixes.compare_bucket(table, splitters, most, 1)
+        assert sorted(zip(got["doc_id"].tolist(), got["whole"].tolist(), got["partly"].tolist(), got["hot"].tolist(), strict=True)) == [(0, False, True, most < 6), (1, True, True, most < 6)]
 
 
 def test_windows_are_compared_by_their_bytes():
