@@ -9,7 +9,7 @@ and its context fit one 64-bit key; each depth more would about double what is c
 Estimates depend on final counts only, so learning is counting: blocks of texts name their distinct byte strings of
 length DEPTH + 1 and their words, by buckets (the two bytes before the predicted one; the first bits of a word's name).
 Counts go up a tree: the tables of up to MERGED_NODES nodes are added up into one, until one node is left; words get finer
-buckets at every level. Answers go down the same tree, each node giving its children what they named. So no group grows
+buckets at a level where theirs would become large. Answers go down the same tree, each node giving its children what they named. So no group grows
 with the corpus, and no answer is sent where nobody asked. At the top a bucket of more than PIECE_KEYS strings is cut by the
 third byte; pieces are weighed down to depth three each by itself, and combined upwards to their bucket and to the 256
 contexts of depth one, which alone (fixed-size arrays) come to the driver with a few totals.
@@ -36,9 +36,9 @@ BLOCK_BYTES = 8 << 20
 SLICE_BYTES = 1 << 20
 SLICE_ROWS = (1 << 16) - 1
 #: Nodes whose tables are added up in one go, and strings of a bucket that are weighed together.
-MERGED_NODES, PIECE_KEYS = 256, 1 << 18
-#: Bits of a word's name that choose its bucket at the leaves, and more of them at each level above.
-WORD_BITS, FINER_BITS = 9, 8
+MERGED_NODES, PIECE_KEYS = 32, 1 << 18
+#: Bits of a word's name that choose its bucket at the leaves, how many more a finer level has, and bytes of one bucket in MERGED_NODES nodes that call for it.
+WORD_BITS, FINER_BITS, BUCKET_BYTES = 9, 5, 8 << 20
 GRAMS, WORDS, DIGEST = 0, 1, 2
 _END = b"\n"
 
@@ -126,10 +126,9 @@ def block_digest(keys: np.ndarray, words: np.ndarray) -> int:
     return xxhash.xxh3_64_intdigest(keys.tobytes() + words.tobytes()) - (1 << 63)
 
 
-def _node_rows(space: int, node: int, level: int, keys: np.ndarray, counts: np.ndarray) -> Iterator[tuple]:
+def _node_rows(space: int, node: int, word_bits: int, keys: np.ndarray, counts: np.ndarray) -> Iterator[tuple]:
     """A node's table of distinct keys in order, by buckets."""
-    bits = 8 * (DEPTH - 1) if space == GRAMS else 64 - min(40, WORD_BITS + FINER_BITS * level)
-    bucket = (keys >> U(bits)).astype(np.int64)
+    bucket = (keys >> U(8 * (DEPTH - 1) if space == GRAMS else 64 - word_bits)).astype(np.int64)
     cuts = [*np.flatnonzero(np.diff(bucket, prepend=-1)).tolist(), len(keys)]
     for a, b in zip(cuts[:-1], cuts[1:], strict=True):
         yield space, int(bucket[a]), node, deltas(keys[a:b]), squeeze(counts[a:b].astype(np.uint64))
@@ -153,12 +152,12 @@ def _requests(batches: Iterator[pa.RecordBatch], block_bytes: int) -> Iterator[p
             held[space].append((np.concatenate([a, b]), np.concatenate([n, np.zeros(len(b), np.int64)])))
         if ends:
             tables = {space: summed(*(np.concatenate(c) for c in zip(*parts, strict=True))) for space, parts in held.items()}
-            rows = [r for space, table in tables.items() for r in _node_rows(space, block, 0, *table)]
+            rows = [r for space, table in tables.items() for r in _node_rows(space, block, WORD_BITS, *table)]
             yield _columns([*rows, (DIGEST, block_digest(tables[GRAMS][0], tables[WORDS][0]), block, None, None)], NODES)
             held = {GRAMS: [], WORDS: []}
 
 
-def _merged(table: pa.Table, level: int) -> pa.Table:
+def _merged(table: pa.Table, word_bits: int) -> pa.Table:
     """The sums of some nodes' tables of one bucket, as a table of their parent; one after the other is added."""
     keys, counts = np.zeros(0, np.uint64), np.zeros(0, np.int64)
     waiting: list[tuple[np.ndarray, np.ndarray]] = []
@@ -168,7 +167,7 @@ def _merged(table: pa.Table, level: int) -> pa.Table:
             keys, counts = summed(*(np.concatenate(x) for x in zip((keys, counts), *waiting, strict=True)))
             waiting = []
     keys, counts = summed(*(np.concatenate(x) for x in zip((keys, counts), *waiting, strict=True)))
-    return pa.Table.from_batches([_columns(list(_node_rows(table.column("space")[0].as_py(), table.column("up")[0].as_py(), level, keys, counts)), NODES)])
+    return pa.Table.from_batches([_columns(list(_node_rows(table.column("space")[0].as_py(), table.column("up")[0].as_py(), word_bits, keys, counts)), NODES)])
 
 
 PIECES = "bucket int, piece int, keys binary, counts binary"
@@ -413,10 +412,12 @@ def score_documents(docs: DataFrame, block_bytes: int = BLOCK_BYTES, id_col: str
     trained = rows.where(crc % HELD_OUT != 0).count()
     digests = leaves.where(F.col("space") == DIGEST)
     marks = digests.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.max(F.col("node") % (1 << 24)), F.lit(0)).alias("last")).first()
-    levels, widths = [leaves.where(F.col("space") != DIGEST)], [marks.n]
+    levels, widths, bits = [leaves.where(F.col("space") != DIGEST)], [marks.n], [WORD_BITS]
     while widths[-1] > 1 or len(levels) == 1:
+        largest = levels[-1].where(F.col("space") == WORDS).agg(F.max(F.octet_length("keys"))).first()[0] or 0
+        bits.append(min(bits[-1] + FINER_BITS, 40) if largest * MERGED_NODES > BUCKET_BYTES else bits[-1])
         widths.append(-(-widths[-1] // MERGED_NODES) or 1)
-        levels.append(settle_table(_merge(_upwards(levels[-1], widths[-1]), len(levels))))
+        levels.append(settle_table(_merge(_upwards(levels[-1], widths[-1]), bits[-1])))
     top = levels[-1]
     words = top.where(F.col("space") == WORDS)
     totals = words.mapInArrow(_word_totals, "n long, v long").agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("v"), F.lit(0))).first()
@@ -428,7 +429,7 @@ def score_documents(docs: DataFrame, block_bytes: int = BLOCK_BYTES, id_col: str
     known = known.unionByName(words.withColumnRenamed("counts", "answers"))
     for level in range(len(levels) - 2, -1, -1):
         asking = _upwards(levels[level], widths[level + 1]).select("space", "bucket", "up", "node", "keys")
-        coarse = F.when(F.col("space") == WORDS, F.shiftright("bucket", _finer(level))).otherwise(F.col("bucket"))
+        coarse = F.when(F.col("space") == WORDS, F.shiftright("bucket", bits[level + 1] - bits[level])).otherwise(F.col("bucket"))
         telling = known.select("space", coarse.alias("bucket"), F.col("node").alias("up"), "keys", "answers")
         known = asking.groupBy("space", "bucket", "up").cogroup(telling.groupBy("space", "bucket", "up")).applyInArrow(_reply, ANSWERS)
     answered = known.drop("keys").unionByName(digests.select("space", "bucket", "node", F.lit(None).cast("binary").alias("answers"))).withColumnRenamed("node", "block")
@@ -440,18 +441,13 @@ def score_documents(docs: DataFrame, block_bytes: int = BLOCK_BYTES, id_col: str
     return even(placed).cogroup(even(answered)).applyInArrow(lambda a, b: _score_block(a, b, tokens, distinct, trained), SCORES)
 
 
-def _finer(level: int) -> int:
-    """By how many bits words' buckets at the next level are finer."""
-    return min(40, WORD_BITS + FINER_BITS * (level + 1)) - min(40, WORD_BITS + FINER_BITS * level)
-
-
 def _upwards(nodes: DataFrame, width: int) -> DataFrame:
     """Each node with its parent, one of so many."""
     return nodes.withColumn("up", F.pmod(F.xxhash64("node"), F.lit(width)).cast("long"))
 
 
-def _merge(nodes: DataFrame, level: int) -> DataFrame:
-    return nodes.groupBy("space", "bucket", "up").applyInArrow(lambda t: _merged(t, level), NODES)
+def _merge(nodes: DataFrame, word_bits: int) -> DataFrame:
+    return nodes.groupBy("space", "bucket", "up").applyInArrow(lambda t: _merged(t, word_bits), NODES)
 
 
 def _word_totals(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

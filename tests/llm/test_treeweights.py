@@ -78,7 +78,7 @@ class PlainTree:
 
 @pytest.mark.parametrize(("block_bytes", "at_once", "piece_keys"), [(16 << 20, 64, 1 << 18), (300, 2, 5)])
 def test_scores_match_the_definition(spark, monkeypatch, block_bytes, at_once, piece_keys):
-    for name, value in (("MERGED_NODES", at_once), ("PIECE_KEYS", piece_keys)):
+    for name, value in (("MERGED_NODES", at_once), ("PIECE_KEYS", piece_keys), ("BUCKET_BYTES", 10 if at_once == 2 else 8 << 20)):
         monkeypatch.setattr(tw, name, value)
     data = [r if r[1] is None or len(r[1]) < 5000 else (r[0], r[1][:200], *r[2:]) for r in rows(n=25)]
     got = tw.score_documents(frame(spark, data), block_bytes).collect()
