@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from lodestone.llm.common import RollingHash, column, keyed_text, slices, utf8
+from lodestone.llm.common import RollingHash, bound_batches, column, keyed_text, slices, utf8
 
 #: Byte classes whose shares describe a line.
 _BYTES = np.arange(256)
@@ -246,7 +246,7 @@ def with_quality(docs: DataFrame, model: Model, name: str = "quality_score") ->
     if name in docs.columns:
         raise ValueError(f"{name} is taken")
     schema = StructType([*docs.schema.fields, StructField(name, DoubleType())])
-    return docs.mapInArrow(lambda it: _scored(it, model, name), schema)
+    return bound_batches(docs).mapInArrow(lambda it: _scored(it, model, name), schema)
 
 
 def score_documents(docs: DataFrame, labels: DataFrame, max_labelled: int = 5000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -14,7 +14,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from lodestone.llm.common import column, keyed_text, slices
+from lodestone.llm.common import bound_batches, column, keyed_text, slices
 
 ASSIGN = re.compile(r"(password|passwd|secret|token|api_?key)[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)", re.I | re.A)
 ACCESS = re.compile(r"AKIA[A-Z0-9]{16,}")
@@ -146,4 +146,4 @@ def mask_secrets(docs: DataFrame, mask: str = "<SECRET>") -> DataFrame:
     Null texts stay null, empty ones empty; very long ones are masked whole. Rows, ties, repeats and all other columns stay
     as they are, whatever their names; an empty table stays empty.
     """
-    return docs.mapInArrow(lambda it: _masked(it, mask), docs.schema)
+    return bound_batches(docs).mapInArrow(lambda it: _masked(it, mask), docs.schema)

@@ -104,3 +104,22 @@ def test_mixed_documents_teach_their_lines(spark):
         right.append(((p >= 0.5) == truth).mean())
         assert ((model.scores(lines) >= 0.5) == np.array(labels).astype(bool)).mean() > 0.95
     assert right[1] >= right[0]
+
+
+def test_scores_match_enumeration(spark):
+    """A document's score from all ways to label its lines, written out."""
+    rng = np.random.default_rng(5)
+    texts = ["One line here.\nAnother line!\n||| {} ||", "x", "A b c.\n\n a b\nlast one", "", None]
+    lines = shapes([t or "" for t in texts])
+    near = quality.with_neighbours(lines)
+    model = quality.Model(rng.normal(size=near.shape[1]), rng.normal(size=(2, 2)), 3.0, -1.0, 0.25)
+    want = []
+    for a, b in itertools.pairwise(lines.first):
+        if a == b:
+            want.append(0.25)
+            continue
+        good, _, _ = by_enumeration((near[a:b] @ model.weights).tolist(), model.switch)
+        share = np.dot(good, lines.length[a:b]) / lines.length[a:b].sum()
+        want.append(1 / (1 + math.exp(-(3.0 * share - 1.0))))
+    got = quality.with_quality(spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, text string"), model, "q").collect()
+    assert np.allclose([r.q for r in sorted(got, key=lambda r: r.i)], want)

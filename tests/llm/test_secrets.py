@@ -77,3 +77,42 @@ def test_keys_glued_to_names():
         assert set(range(12, 12 + 64)) <= covered
     assert secrets.entropy_spans("0123456789ABCDEF3B7C") == [(0, 20, "entropy_alnum")]
     assert secrets.entropy_spans("Img_123456789012345678901234567890") == []
+
+
+def test_entropy_spans_match_a_plain_scan():
+    """Every window of every maximal run of every class, in candidates that the allow-list leaves."""
+    rng = random.Random(8)
+    bits = ["0123456789abcdef", "ABCDEF0123", "0" * 40, "a" * 30, "-" * 25, "=" * 3, "_", "/", KEY, KEY[::-1], "deadbeef", " ", "é", "word", "Some-Slug", "9f86d081884c7d65"]
+    for _ in range(300):
+        text = "".join(rng.choice(bits) for _ in range(rng.randrange(10)))
+        want = set()
+        for m in re.finditer(r"[A-Za-z0-9+/_=-]{20,}", text):
+            if any(a.fullmatch(m[0]) for a in secrets.ALLOW):
+                continue
+            for _, chars, window, least in secrets.CLASSES:
+                at = 0
+                while at < len(m[0]):
+                    end = at
+                    while end < len(m[0]) and m[0][end] in chars:
+                        end += 1
+                    run = m[0][at:end]
+                    if run == m[0] or not any(a.fullmatch(run) for a in secrets.ALLOW):
+                        for i in range(len(run) - window + 1):
+                            h = -sum(c / window * math.log2(c / window) for c in Counter(run[i : i + window]).values())
+                            if h >= least - 1e-9:
+                                want |= set(range(m.start() + at + i, m.start() + at + i + window))
+                    at = end + 1
+        spans = secrets.entropy_spans(text)
+        assert {x for a, b, _ in spans for x in range(a, b)} == want, text
+        assert all(b < c for (_, b, _), (c, _, _) in zip(spans, spans[1:]))
+
+
+def test_runs_of_one_character_of_every_class_and_length():
+    for ch in "0aAzZ9+/=_-":
+        for n in (19, 20, 21, 24, 25, 48, 1000):
+            for text in (ch * n, f"key {ch * n}f", f"{KEY}{ch * n}", f"x{ch * n}{KEY}"):
+                secrets.secret_spans(text)
+    begun = time.process_time()
+    for text in ("-" * 100_000, "a" + "-" * 100_000 + "1", "=" * 100_000 + KEY, "0" * 100_000):
+        secrets.secret_spans(text)
+    assert time.process_time() - begun < 20
