@@ -33,7 +33,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import RollingHash, U, column, keyed_text, partial_batch, settle_table, shuffle_partitions, slices, utf8
+from lodestone.llm.common import RollingHash, U, clear_tables, column, keyed_text, partial_batch, settle_table, shuffle_partitions, slices, utf8
 
 WIDTH = 200
 NAME = 64
@@ -219,12 +219,12 @@ def choose_splitters(sample: DataFrame, scale: int) -> tuple[np.ndarray, int]:
     return np.column_stack(rows)[np.lexsort(rows[::-1])], stride * scale
 
 
-def mark_repeats(points: DataFrame, splitters: np.ndarray, usual: int) -> DataFrame:
-    """Of suffixes that lie in buckets, those that repeat or may: name, doc_id, tag, start, count, left, whole, partly, lead, hot."""
+def mark_repeats(points: DataFrame, splitters: np.ndarray, usual: int, paths: list[str]) -> DataFrame:
+    """Of suffixes that lie in buckets, those that repeat or may: name, doc_id, tag, start, count, left, whole, partly, lead, hot. They are settled, which ends the shuffle of all suffixes."""
     buckets = len(splitters) + 1
     parts = min(buckets, max(shuffle_partitions(points.sparkSession), buckets // 64))
     dealt = points.withColumn("part", F.floor(F.col("bucket") * F.lit(parts) / F.lit(buckets)).cast("int")).repartitionById(parts, F.col("part"))
-    return dealt.groupBy("part", "bucket").applyInArrow(_compared(splitters, MOST_STRETCHES, usual), COMPARED)
+    return settle_table(dealt.groupBy("part", "bucket").applyInArrow(_compared(splitters, MOST_STRETCHES, usual), COMPARED), paths)
 
 
 DIGEST = "n_bytes long, n_removed long, n_spans long, kept_sha256 string"
@@ -381,20 +381,21 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """
     if width <= NAME:
         raise ValueError(f"strings must be longer than {NAME} bytes")
-    spark = docs.sparkSession
+    spark, paths = docs.sparkSession, []
     # Rows that agree in id and text get the same answer, so the pair serves as their key.
     rows = keyed_text(docs, id_col, text_col).select("doc_id", F.xxhash64(F.lit(3), "doc_id", "text").alias("tag"), "text")
     key = F.coalesce("doc_id", F.lit(NO_ID))
     same = (key == F.col("its_id")) & (F.col("tag") == F.col("its_tag"))
     long_ = rows.where(F.octet_length("text") >= width).withColumn("doc_id", key)
-    sampled = settle_table(long_.where(F.pmod(F.xxhash64(F.lit(5), "tag"), F.lit(SAMPLE)) == 0).mapInArrow(lambda it: _points(it, None, width), KEY_ROWS))
+    sampled = settle_table(long_.where(F.pmod(F.xxhash64(F.lit(5), "tag"), F.lit(SAMPLE)) == 0).mapInArrow(lambda it: _points(it, None, width), KEY_ROWS), paths)
     splitters, usual = choose_splitters(sampled, SAMPLE)
     points = long_.mapInArrow(lambda it: _points(it, splitters, width), POINTS)
-    marked = mark_repeats(points, splitters, usual)
+    marked = mark_repeats(points, splitters, usual, paths)
     found = marked.groupBy("doc_id", "tag").agg(F.collect_list(F.struct("start", "count", "left", "name", "whole", (F.col("partly") & F.col("lead")).alias("open"), "hot")).alias("found"))
     found = found.withColumnsRenamed({"doc_id": "its_id", "tag": "its_tag"})
     joined = rows.join(found, same, "left").select("doc_id", "tag", "text", "found")
     resolved = settle_table(joined.mapInArrow(lambda it: _resolve(it, width), RESOLVED))
+    clear_tables(spark, paths)
     digests = ["doc_id", *(x.split()[0] for x in DIGEST.split(", "))]
     stretches = resolved.where("kind = 2").select("doc_id", "tag", "text", "name", "start", "left")
     groups = max(shuffle_partitions(spark), -(-(stretches.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]) // GROUP_BYTES))
@@ -402,7 +403,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     near = grouped.applyInArrow(lambda t: _compare_stretches(t, width), RUNS)
     windows = resolved.where("kind = 3").select(*KEYS, "doc_id", "tag", "start")
     second_splitters, second_usual = choose_splitters(settle_table(windows.where(F.pmod(F.xxhash64(F.lit(5), "tag", "start"), F.lit(SAMPLE)) == 0).select(*KEYS)), SAMPLE)
-    again = mark_repeats(windows.mapInArrow(lambda it: _bucketed(it, second_splitters), POINTS), second_splitters, second_usual).where("whole")
+    again = mark_repeats(windows.mapInArrow(lambda it: _bucketed(it, second_splitters), POINTS), second_splitters, second_usual, []).where("whole")
     runs = near.unionByName(again.select("doc_id", "tag", "start", "count"))
     at = runs.groupBy("doc_id", "tag").agg(F.collect_list(F.struct("start", "count")).alias("at")).withColumnsRenamed({"doc_id": "its_id", "tag": "its_tag"})
     waiting = resolved.where("kind = 1").select("doc_id", "tag", "text", "runs").join(at, same, "left").select("doc_id", "text", "runs", "at")
