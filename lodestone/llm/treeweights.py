@@ -343,12 +343,13 @@ def _answers(batches: Iterator[pa.RecordBatch], crown: Crown) -> Iterator[pa.Rec
     for batch in batches:
         for bucket, keys, counts, ones, stop in zip(*(column(batch, c).to_pylist() for c in ("bucket", "keys", "counts", "ones", "stop")), strict=True):
             found = log10_probabilities(*_piece_strings(keys, counts), bucket >> 8, (unsqueeze(ones, np.float64), unsqueeze(stop, np.float64)), crown)
-            yield _columns([(GRAMS, bucket, 0, keys, squeeze(found))], ANSWERS)
+            yield _columns([(GRAMS, bucket, 0, keys, squeeze(found.astype(np.float32)))], ANSWERS)
 
 
 def _reply(asked: pa.Table, known: pa.Table) -> pa.Table:
-    """What a node knows of one bucket, for each of its children as far as they named it; answers are 64-bit words of either space."""
-    parts = sorted(((undeltas(k.as_py()), unsqueeze(v.as_py(), np.uint64)) for k, v in zip(known.column("keys"), known.column("answers"), strict=True)), key=lambda x: int(x[0][0]))
+    """What a node knows of one bucket, for each of its children as far as they named it: logarithms in 32 bits, or counts in 64."""
+    kind = np.float32 if known.column("space")[0].as_py() == GRAMS else np.uint64
+    parts = sorted(((undeltas(k.as_py()), unsqueeze(v.as_py(), kind)) for k, v in zip(known.column("keys"), known.column("answers"), strict=True)), key=lambda x: int(x[0][0]))
     keys, values = (np.concatenate(x) for x in zip(*parts, strict=True))
     rows = [(space, bucket, node, k, squeeze(values[np.searchsorted(keys, undeltas(k))])) for space, bucket, node, k in zip(*(asked.column(c).to_pylist() for c in ("space", "bucket", "node", "keys")), strict=True)]
     return pa.Table.from_batches([_columns(rows, ANSWERS)])
@@ -366,9 +367,9 @@ def _score_block(docs: pa.Table, replies: pa.Table, tokens: int, distinct: int,
     names = [x.split()[0] for x in SCORES.split(", ")]
     kinds = [pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.int64()]
     replies = replies.sort_by([("space", "ascending"), ("bucket", "ascending")])
-    told: dict[int, list[np.ndarray]] = {GRAMS: [np.zeros(0)], WORDS: [np.zeros(0)], DIGEST: []}
+    told: dict[int, list[np.ndarray]] = {GRAMS: [np.zeros(0, np.float32)], WORDS: [np.zeros(0)], DIGEST: []}
     for space, bucket, answers in zip(*(replies.column(c).to_pylist() for c in ("space", "bucket", "answers")), strict=True):
-        told[space].append(bucket if space == DIGEST else unsqueeze(answers, np.float64 if space == GRAMS else np.uint64).astype(np.float32 if space == GRAMS else np.float64))
+        told[space].append(bucket if space == DIGEST else unsqueeze(answers, np.float32) if space == GRAMS else unsqueeze(answers, np.uint64).astype(np.float64))
     logs_of, known_counts = np.concatenate(told[GRAMS]), np.concatenate(told[WORDS])
     parts = []
     whole = slices(docs.select(["doc_id", "text"]).combine_chunks().to_batches(), limit=SLICE_BYTES)
