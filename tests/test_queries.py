@@ -50,6 +50,13 @@ def test_entry_stands_without_the_corpus_operators(tmp_path):
     assert out.returncode == 0 and int(out.stdout) == len(ORACLES), out.stderr
 
 
+def test_entry_stands_without_a_library_of_the_corpus_operators():
+    code = "import sys; sys.modules['zstandard'] = None; import __spark_entry__ as e; assert 'q_bm25_or_top10' in e.queries() and 'pipeline' not in e.queries()"
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    out = subprocess.run([sys.executable, "-c", code], cwd=root, capture_output=True, text=True)
+    assert out.returncode == 0, out.stderr
+
+
 def test_long_documents_match_sql(spark, tmp_path):
     text = " ".join(f"t{i % 997}" for i in range(69_999)) + " last"
     spark.createDataFrame([(1, text), (2, "t1 last word")], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
