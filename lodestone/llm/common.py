@@ -110,6 +110,12 @@ def clear_tables(spark: SparkSession, paths: list[str]) -> None:
     paths.clear()
 
 
+def gather(df: DataFrame, rows: int, each: int = 50_000) -> DataFrame:
+    """A table of at most so many rows in as many partitions as they need, where a shuffle would give it more: small tables aren't many small files."""
+    parts = max(1, -(-rows // each))
+    return df.coalesce(parts) if parts < shuffle_partitions(df.sparkSession) else df
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from lodestone.llm.common import U, clear_tables, column, keyed_text, settle, settle_table, slices
+from lodestone.llm.common import U, clear_tables, column, gather, keyed_text, settle, settle_table, slices
 
 SEED = 42
 RADIUS = 2
@@ -170,6 +170,7 @@ def components(links: DataFrame, max_rounds: int = 60) -> DataFrame:
     Links are first shrunk to forests inside their partitions. Every round is settled in the shared folder.
     """
     edges = settle(links.mapInArrow(_shrink, "a long, b long").distinct())
+    n = edges.count()
     for _ in range(max_rounds):
         both = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
@@ -177,7 +178,7 @@ def components(links: DataFrame, max_rounds: int = 60) -> DataFrame:
         down = large.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b")
         low = down.groupBy("a").agg(F.min("b").alias("m"))
         small = down.join(low, "a").select(F.explode(F.array(F.struct("a", F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("e")).select("e.a", "e.b").where("a <> b").distinct()
-        new = settle(small)
+        new = settle(gather(small, 2 * n))
         roots = new.select(F.col("b").alias("a")).distinct()
         if new.count() == new.select("a").distinct().count() and new.join(roots, "a", "left_semi").isEmpty():
             return new.select(F.col("a").alias("node"), F.col("b").alias("root")).union(roots.select(F.col("a").alias("node"), F.col("a").alias("root")))
@@ -320,23 +321,27 @@ def _sized(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
 
 
-def similar_pairs(pairs: DataFrame, sets: DataFrame, rows: DataFrame, width: int, similarity: float, paths: list[str]) -> DataFrame:
-    """Those of the pairs (a, b) of sets whose exact Jaccard similarity is high enough.
+def similar_pairs(pairs: DataFrame, most: int | None, sets: DataFrame, rows: DataFrame, width: int, similarity: float, paths: list[str]) -> DataFrame:
+    """Those of the pairs (a, b) of sets, of which there are at most so many if that is known, whose exact Jaccard similarity is high enough.
 
     Sketches differ in at most as many bits as sets in shingles, so they spare most texts the way without losing a pair.
     """
     small = sets.select("set", "n", "sketch")
     near = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a <> b").distinct()
+    if most is None:
+        near = settle_table(near, paths)
+        most = near.count()
     near = near.join(small.toDF("a", "n", "sketch"), "a").join(small.toDF("b", "b_n", "b_sketch"), "b")
     apart = F.aggregate(F.zip_with("sketch", "b_sketch", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda x, y: x + y)
     both = F.col("n") + F.col("b_n")
-    near = settle_table(near.where((F.least("n", "b_n") >= similarity * F.greatest("n", "b_n") - 1e-6) & (apart <= (1 - similarity) / (1 + similarity) * both + 1e-6)).select("a", "b"), paths)
+    near = settle_table(gather(near.where((F.least("n", "b_n") >= similarity * F.greatest("n", "b_n") - 1e-6) & (apart <= (1 - similarity) / (1 + similarity) * both + 1e-6)).select("a", "b"), most), paths)
     needed = near.select("a").union(near.select("b")).distinct().toDF("set").join(sets.select("set", F.col("doc_id").alias("its_id"), F.col("tag").alias("its_tag")), "set")
-    needed = _sized(settle_table(needed, paths))
+    most = near.count()
+    needed = _sized(settle_table(gather(needed, 2 * most), paths))
     found = rows.join(needed, F.col("doc_id").eqNullSafe(F.col("its_id")) & (F.col("tag") == F.col("its_tag")))
-    texts = settle_table(found.select("set", "text").dropDuplicates(["set"]), paths)
+    texts = settle_table(gather(found.select("set", "text").dropDuplicates(["set"]), 2 * most, 5_000), paths)
     compared = near.join(texts.toDF("a", "text"), "a").join(texts.toDF("b", "other_text"), "b").select("a", "b", "text", "other_text")
-    return settle_table(compared.mapInArrow(lambda it: _verified(it, width, similarity), "a long, b long"), paths)
+    return settle_table(gather(compared, most, 5_000).mapInArrow(lambda it: _verified(it, width, similarity), "a long, b long"), paths)
 
 
 def similar_groups(docs: DataFrame, width: int = 5, similarity: float = 0.8, radius: int = RADIUS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -356,8 +361,9 @@ def similar_groups(docs: DataFrame, width: int = 5, similarity: float = 0.8, rad
     paths: list[str] = []
     rows = keyed_text(docs, id_col, text_col).select("doc_id", F.xxhash64("text").alias("tag"), "text")
     profile = settle_table(rows.mapInArrow(lambda it: _profiles(it, width), PROFILE), paths)
-    sets = settle_table(profile.dropDuplicates(["set"]), paths)
-    heads = settle(sets.groupBy("fp").agg(F.min("set").alias("head")))
+    n_rows = profile.count()
+    sets = settle_table(gather(profile.dropDuplicates(["set"]), n_rows), paths)
+    heads = settle(gather(sets.groupBy("fp").agg(F.min("set").alias("head")), n_rows))
     links = link_values(heads.select("fp"), radius)
     alike = sets.select("set", "fp").join(heads, "fp").select(F.col("set").alias("a"), F.col("head").alias("b"))
     alike = alike.union(links.join(heads.toDF("a", "head_a"), "a").join(heads.toDF("b", "head_b"), "b").select("head_a", "head_b"))
@@ -368,21 +374,23 @@ def similar_groups(docs: DataFrame, width: int = 5, similarity: float = 0.8, rad
     shared = settle_table(shared.select("key", "set", "n", "place", "least").dropDuplicates(["key", "set"]), paths)
     fits = lambda n, place, m, at: F.least(n - place, m - at) >= similarity / (1 + similarity) * (n + m) - 1e-6
     star = shared.where(fits(F.col("n"), F.col("place"), F.col("least.n"), F.col("least.place"))).select("set", "least.set")
-    close = similar_pairs(alike.union(star), sets, rows, width, similarity, paths)
-    known = settle_table(components(close), paths).withColumnsRenamed({"node": "set", "root": "whole"})
+    n_shared = shared.count()
+    close = similar_pairs(alike.union(star), n_shared + 2 * n_rows, sets, rows, width, similarity, paths)
+    known = settle_table(gather(components(close), 2 * n_rows), paths).withColumnsRenamed({"node": "set", "root": "whole"})
     grouped = shared.drop("least").join(known, "set", "left").withColumn("whole", F.coalesce("whole", "set"))
     grouped = grouped.withColumns({"least": F.min("whole").over(by_key), "most": F.max("whole").over(by_key)}).where("least <> most")
-    grouped = settle_table(grouped.select("key", "set", "n", "place", "whole"), paths)
+    grouped = settle_table(gather(grouped.select("key", "set", "n", "place", "whole"), n_shared), paths)
     a, b = grouped.alias("a"), grouped.alias("b")
     further = a.join(b, (F.col("a.key") == F.col("b.key")) & (F.col("a.set") < F.col("b.set")) & (F.col("a.whole") != F.col("b.whole")) & fits(*(F.col(c) for c in ("a.n", "a.place", "b.n", "b.place"))))
-    further = similar_pairs(further.select(F.col("a.set").alias("a"), F.col("b.set").alias("b")), sets, rows, width, similarity, paths)
+    further = similar_pairs(further.select(F.col("a.set").alias("a"), F.col("b.set").alias("b")), None, sets, rows, width, similarity, paths)
     joined = components(close.union(further))
     small = profile.groupBy("doc_id", "tag").agg(F.count(F.lit(1)).alias("n"), F.first("set").alias("set"))
     groups = small.join(joined.select(F.col("node").alias("set"), F.col("root").alias("whole")), "set", "left").withColumn("whole", F.coalesce("whole", "set"))
-    groups = settle_table(groups.select("doc_id", "tag", "n", "whole"), paths)
+    groups = settle_table(gather(groups.select("doc_id", "tag", "n", "whole"), n_rows), paths)
     rank = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "tag")
     stays = groups.groupBy("whole").agg(F.min(rank).alias("stay"))
-    out = settle_table(groups.join(stays, "whole").select("doc_id", "tag", "n", (F.col("doc_id").eqNullSafe(F.col("stay.doc_id")) & (F.col("tag") == F.col("stay.tag"))).alias("keep")))
+    kept = groups.join(stays, "whole").select("doc_id", "tag", "n", (F.col("doc_id").eqNullSafe(F.col("stay.doc_id")) & (F.col("tag") == F.col("stay.tag"))).alias("keep"))
+    out = settle_table(gather(kept, n_rows))
     clear_tables(docs.sparkSession, paths)
     return out
 
