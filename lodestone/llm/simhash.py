@@ -339,9 +339,9 @@ def similar_pairs(pairs: DataFrame, most: int | None, sets: DataFrame, rows: Dat
     most = near.count()
     needed = _sized(settle_table(gather(needed, 2 * most), paths))
     found = rows.join(needed, F.col("doc_id").eqNullSafe(F.col("its_id")) & (F.col("tag") == F.col("its_tag")))
-    texts = settle_table(gather(found.select("set", "text").dropDuplicates(["set"]), 2 * most, 5_000), paths)
+    texts = settle_table(gather(found.select("set", "text").dropDuplicates(["set"]), 2 * most, 2_000), paths)
     compared = near.join(texts.toDF("a", "text"), "a").join(texts.toDF("b", "other_text"), "b").select("a", "b", "text", "other_text")
-    return settle_table(gather(compared, most, 5_000).mapInArrow(lambda it: _verified(it, width, similarity), "a long, b long"), paths)
+    return settle_table(gather(compared, most, 2_000).mapInArrow(lambda it: _verified(it, width, similarity), "a long, b long"), paths)
 
 
 def similar_groups(docs: DataFrame, width: int = 5, similarity: float = 0.8, radius: int = RADIUS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
