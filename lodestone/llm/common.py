@@ -12,22 +12,12 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lodestone.sources import bound_batches
+
 #: Code units of text that one numpy pass holds at a time (a longer single text is a slice of its own).
 SLICE = 1 << 20
 
 
-#: Rows of a batch that Spark sends to Python, unless the session says otherwise: Spark's default of 10,000 whole texts can fill an executor.
-BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch", 10_000, 1_000
-
-
-def bound_batches(docs: DataFrame) -> DataFrame:
-    """The same table; its session now sends texts in smaller batches, if it had Spark's default."""
-    name, default, rows = BATCH_ROWS
-    if int(docs.sparkSession.conf.get(name)) == default:
-        docs.sparkSession.conf.set(name, rows)
-    return docs
-
-
 def keyed_text(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The two columns an operator reads, as (doc_id, text); null texts become empty, other columns are left out."""
     bound_batches(docs)

@@ -49,7 +49,7 @@ def containing(index: Index, field: str, passages: DataFrame) -> DataFrame:
     inner = words.where(sure).select("query_id", "passage", F.explode(F.array_distinct(F.expr("slice(terms, 2, size(terms) - 2)"))).alias("term"))
     order = F.struct(F.coalesce("df", F.lit(0)).alias("df"), "term")
     rarest = inner.join(known, "term", "left").groupBy("query_id", "passage").agg(F.min(order).alias("r")).where("r.df > 0")
-    post = index.postings.where(F.col("field") == field.upper()).select("term", "doc_id")
+    post = index.hits().where(F.col("field") == field.upper()).select("term", "doc_id")
     proposed = rarest.select("query_id", "passage", F.col("r.term").alias("term")).join(post, "term").select("query_id", "passage", "doc_id")
     documents = index.documents.select(F.col(f"`{index.id_col}`").cast("long").alias("doc_id"), F.col(f"`{name}`").alias("whole"))
     found = proposed.join(documents, "doc_id")

@@ -73,8 +73,8 @@ def term_filter(query: Query) -> Column:
     return reduce(Column.__or__, clauses) if clauses else F.lit(False)
 
 
-def matching(index: Index, query: Query) -> DataFrame:
-    return index.postings.where(term_filter(query))
+def matching(index: Index, query: Query, positions: bool = True) -> DataFrame:
+    return (index.postings if positions else index.hits()).where(term_filter(query))
 
 
 @dataclass
@@ -119,7 +119,7 @@ def scores(index: Index, query: Query, mode: str = "or", how: str = "bm25", phra
     weights = query_weights(index, query)
     if how == "auto":
         how = "tfidf" if weights.iterators == 1 else "bm25"
-    hits = matching(index, query)
+    hits = matching(index, query, phrases or first_place)
     weight = weights.column(lambda f, v: F.lit(v[0] * v[1]))
     average = reduce(lambda c, f: c.when(F.col("field") == f, F.lit(weights.avg_dl[f])), sorted(weights.avg_dl), F.when(F.lit(False), F.lit(0.0)))
     score = scoring.bm25(F.col("tf"), F.col("dl"), average, weight) if how == "bm25" else scoring.tfidf(F.col("tf"), weight)
@@ -191,7 +191,7 @@ def batch(index: Index, queries: DataFrame, k: int = 10) -> DataFrame:
     could still reach the score meet the remaining terms. Nothing that belongs to the k best is lost.
     """
     check_k(k)
-    post = index.postings.select("field", "term", "doc_id", "tf", "dl")
+    post = index.hits()
     asked = queries.select("query_id", F.upper("field").alias("field"), F.explode(tokens("text", most=None)).alias("term")).groupBy("query_id", "field", "term").agg(F.count(F.lit(1)).alias("times"))
     asked = asked.join(index.terms.join(F.broadcast(index.stats), "field"), ["field", "term"])  # a row of statistics for each indexed column
     asked = asked.select("query_id", "field", "term", "df", "avg_dl", (F.col("times") * scoring.idf(F.col("n_docs"), F.col("df"))).alias("weight"))

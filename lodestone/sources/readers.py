@@ -21,10 +21,22 @@ def scratch(spark: SparkSession, name: str) -> str:
     return f"{sc._jsc.sc().getCheckpointDir().get()}/{name}-{uuid.uuid4().hex}"
 
 
-def settled(df: DataFrame, name: str) -> DataFrame:
+#: Rows of a batch that Spark sends to Python, unless the session says otherwise: Spark's default of 10,000 whole texts can fill an executor.
+BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch", 10_000, 1_000
+
+
+def bound_batches(docs: DataFrame) -> DataFrame:
+    """The same table; its session now sends texts in smaller batches, if it had Spark's default."""
+    name, default, rows = BATCH_ROWS
+    if int(docs.sparkSession.conf.get(name)) == default:
+        docs.sparkSession.conf.set(name, rows)
+    return docs
+
+
+def settled(df: DataFrame, name: str, options: dict | None = None) -> DataFrame:
     """The table as written to the shared folder, so that it is computed once and reads alike every time."""
     path = scratch(df.sparkSession, name)
-    df.write.parquet(path)
+    df.write.options(**(options or {})).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
