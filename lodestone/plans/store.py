@@ -25,7 +25,7 @@ def default_path(source: str, root: str = "lodestone_data") -> str:
 
 def save(index: Index, path: str, source: str = "", row_group_bytes: int = 4 << 20) -> None:
     """Write all tables, replacing what lies there. Terms and statistics are counted from the written postings."""
-    spark = index.documents.sparkSession
+    spark = index.settle().documents.sparkSession
     by_id = index.documents.repartitionByRange(F.col(f"`{index.id_col}`")).sortWithinPartitions(F.col(f"`{index.id_col}`"))
     by_id.write.mode("overwrite").option("compression", "zstd").option("parquet.block.size", row_group_bytes).parquet(f"{path}/documents")
     ordered = index.postings.repartitionByRange("field", "term", "doc_id").sortWithinPartitions("field", "term", "doc_id")
