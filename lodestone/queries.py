@@ -126,7 +126,7 @@ def q_long_token_split(spark, sf_dir):
 
 @query(f"WITH {index_sql('documents', 'doc_id', TEXT)} SELECT term, doc_id, tf FROM tf WHERE term IN ('THE', 'IN', 'ATSHSH', 'ZEBRA')")
 def q_term_freq(spark, sf_dir):
-    return documents(spark, sf_dir).postings.where(F.col("term").isin("THE", "IN", "ATSHSH", "ZEBRA")).select("term", "doc_id", F.col("tf").cast("long"))
+    return documents(spark, sf_dir).hits().where(F.col("term").isin("THE", "IN", "ATSHSH", "ZEBRA")).select("term", "doc_id", F.col("tf").cast("long"))
 
 
 @query(f"WITH {index_sql('documents', 'doc_id', TEXT)} SELECT term, df, cf FROM dfs ORDER BY df DESC, term LIMIT 100")
@@ -143,7 +143,7 @@ def q_field_stats(spark, sf_dir):
 @query(f"""WITH {index_sql('documents', 'doc_id', TEXT)}, numbered AS (SELECT field, term, doc_id, tf, dl, (row_number() OVER (PARTITION BY field, term ORDER BY doc_id) - 1) // 64 AS block FROM tf JOIN lens USING (field, doc_id))
 SELECT term, block, max(tf) AS max_tf, max(doc_id) AS max_doc_id, arg_min(dl, (-tf, dl)) AS max_tf_dl FROM numbered GROUP BY ALL""")
 def q_block_maxima(spark, sf_dir):
-    got = block_maxima(documents(spark, sf_dir).postings)
+    got = block_maxima(documents(spark, sf_dir).hits())
     return got.select("term", F.col("block").cast("long"), F.col("max_tf").cast("long"), "max_doc_id", F.col("max_tf_dl").cast("long"))
 
 
