@@ -399,7 +399,7 @@ def _round_trip(spark, sf_dir, kind: str) -> DataFrame:
         to_csv(docs, path)
     else:
         docs.write.json(path, ignoreNullFields=False)
-    return plans.search_ids(build(read_source(spark, path), ["text"], "DOC_ID"), {"text": "the in atshsh"})
+    return plans.search_ids(build(read_source(spark, path), ["text"], "DOC_ID").settle(), {"text": "the in atshsh"})
 
 
 @query(search_sql("documents", "doc_id", TEXT, WORDS3))
