@@ -8,6 +8,7 @@ length table, however large the corpus is.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -32,7 +33,7 @@ class ColumnNotFound(ValueError):
 class Index:
     """documents (DOC_ID and every source column), postings (field, term, doc_id, tf, dl, positions), terms (field, term, df, cf), doc_len (field, doc_id, dl), stats (field, n_docs, avg_dl).
 
-    ``packed`` holds the same postings by chunks, as PACKED says; a saved index has none.
+    ``packed`` holds the same postings by chunks, as PACKED says; a saved index has none. A text's postings lie in one chunk.
     """
 
     documents: DataFrame
@@ -100,7 +101,7 @@ ROW_GROUP_BYTES = 4 << 20
 #: Bytes of text that are split at a time, and terms of a chunk of packed postings; a longer single text is a chunk of its own.
 SLICE, CHUNK = 1 << 21, 1 << 21
 
-PACKED = "field string, term string, df int, cf long, doc_ids array<long>, tfs array<int>, dls array<int>, positions array<array<int>>"
+PACKED = "field string, term string, df int, cf long, doc_ids array<long>, tfs array<int>, dls array<int>, positions array<array<int>>, chunk long"
 LENGTHS = "field string, doc_id long, dl int"
 
 #: By byte: what belongs to a term, and its upper case. The terms are those of functions.analysis.tokens.
@@ -158,6 +159,11 @@ def _lists(values: pa.Array, heads: np.ndarray) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(np.append(heads, len(values)).astype(np.int32)), values)
 
 
+def _chunk_name(ids: np.ndarray) -> np.int64:
+    """A chunk's name: a hash of its documents' ids, so that a task that runs again gives the same one."""
+    return np.frombuffer(hashlib.blake2b(ids.tobytes(), digest_size=8).digest(), np.int64)[0]
+
+
 def _pack(parts: list[tuple[pa.Array, pa.Array, pa.Array, np.ndarray]]) -> pa.RecordBatch:
     """A chunk of (fields, ids, terms, number of terms by row) as PACKED rows, by field and term."""
     fields = pa.concat_arrays([p[0] for p in parts]).dictionary_encode()
@@ -192,6 +198,7 @@ def _pack(parts: list[tuple[pa.Array, pa.Array, pa.Array, np.ndarray]]) -> pa.Re
         _lists(pa.array(tf), top),
         _lists(pa.array(size[doc].astype(np.int32)), top),
         _lists(_lists(pa.array(at), head), top),
+        pa.array(np.full(len(top), _chunk_name(ids))),
     ]
     return pa.RecordBatch.from_arrays(columns, [x.split()[0] for x in PACKED.split(", ")])
 

@@ -13,6 +13,9 @@ from dataclasses import dataclass
 from functools import reduce
 from itertools import pairwise
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -20,7 +23,7 @@ from pyspark.sql.window import Window
 
 from lodestone.functions import scoring
 from lodestone.functions.analysis import query_terms, tokens
-from lodestone.operators.index import ColumnNotFound, Index
+from lodestone.operators.index import CHUNK, ColumnNotFound, Index
 from lodestone.sources import settled
 
 MOST_RESULTS = 1000
@@ -178,43 +181,91 @@ def search(index: Index, texts: dict[str, str], k: int = 10, boosts: dict[str, f
     return fetch(index, search_ids(index, texts, k, boosts, **options))
 
 
-#: Postings that a query's weightiest terms should have in all, for the first guess at its k-th best score, by result.
+#: Once a guess at scores; ranking by chunks needs none, and it has no effect any more.
 GUESS = 4
+#: Pairs of a query and a term that one group of the batch holds at most, and that are broadcast at most.
+PAIRS, BROADCAST_PAIRS = 1 << 20, 1 << 17
 
 
 def batch(index: Index, queries: DataFrame, k: int = 10) -> DataFrame:
     """(query_id, doc_id, rank, score) for a table (query_id, field, text) of queries: all of them at once, disjunctive BM25.
 
-    No table of all documents that share any word with a query is made. Each term has a bound, its best score in any
-    document. A query's weightiest terms give k documents and so a score that the k-th best reaches at least. Terms whose
-    bounds together stay below it can't lift a document alone, so only the others propose documents; of those, the ones that
-    could still reach the score meet the remaining terms. Nothing that belongs to the k best is lost.
+    Every matching document gets its exact score, but no table of queries and documents is made: the postings of the queries'
+    terms are grouped, packed, by chunks of documents, and each chunk gives the k best of every query. Queries are cut into
+    blocks of about PAIRS terms, each of which meets all chunks. Queries without an id have no result.
     """
     check_k(k)
-    post = index.hits()
-    asked = queries.select("query_id", F.upper("field").alias("field"), F.explode(tokens("text", most=None)).alias("term")).groupBy("query_id", "field", "term").agg(F.count(F.lit(1)).alias("times"))
+    asked = queries.where(F.col("query_id").isNotNull()).select("query_id", F.upper("field").alias("field"), F.explode(tokens("text", most=None)).alias("term"))
+    asked = asked.groupBy("query_id", "field", "term").agg(F.count(F.lit(1)).alias("times"))
     asked = asked.join(index.terms.join(F.broadcast(index.stats), "field"), ["field", "term"])  # a row of statistics for each indexed column
-    asked = asked.select("query_id", "field", "term", "df", "avg_dl", (F.col("times") * scoring.idf(F.col("n_docs"), F.col("df"))).alias("weight"))
-    share = scoring.bm25(F.col("tf"), F.col("dl"), F.col("avg_dl"), F.lit(1.0))
-    peaks = post.join(asked.select("field", "term", "avg_dl").distinct(), ["field", "term"]).groupBy("field", "term").agg(F.max(share).alias("peak"))
-    own = Window.partitionBy("query_id")
-    falling = own.orderBy(F.desc("bound"), "field", "term").rowsBetween(Window.unboundedPreceding, -1)
-    rising = own.orderBy("bound", "field", "term").rowsBetween(Window.unboundedPreceding, 0)
-    asked = asked.join(peaks, ["field", "term"]).withColumn("bound", F.col("weight") * F.col("peak"))
-    asked = settled(asked.withColumns({"seen": F.coalesce(F.sum("df").over(falling), F.lit(0)), "below": F.sum("bound").over(rising)}), "asked")
-
-    def scored(terms: DataFrame) -> DataFrame:
-        hits = post.join(terms.select("query_id", "field", "term", "avg_dl", "weight"), ["field", "term"])
-        return hits.groupBy("query_id", "doc_id").agg(F.sum(F.col("weight") * share).alias("score"))
-
-    ranked = own.orderBy(F.desc("score"), "doc_id")
-    guess = scored(asked.where(F.col("seen") < GUESS * k)).withColumn("rank", F.row_number().over(ranked)).where(F.col("rank") <= k)
-    guess = guess.groupBy("query_id").agg(F.min(F.when(F.col("rank") == k, F.col("score"))).alias("least"))
-    asked = asked.join(guess, "query_id", "left").withColumn("least", F.coalesce("least", F.lit(0.0)) - 1e-5)  # scores are rounded to 1e-6
-    asked = settled(asked.withColumn("proposes", F.col("below") >= F.col("least")), "asked")
-    rest = asked.groupBy("query_id").agg(F.max("least").alias("least"), F.coalesce(F.sum(F.when(~F.col("proposes"), F.col("bound"))), F.lit(0.0)).alias("more"))
-    found = scored(asked.where("proposes")).join(rest, "query_id").where(F.col("score") + F.col("more") >= F.col("least")).select("query_id", "doc_id", "score")
-    waiting = found.select("query_id", "doc_id").join(asked.where("not proposes").select("query_id", "field", "term", "avg_dl", "weight"), "query_id")
-    more = waiting.join(post, ["field", "term", "doc_id"]).groupBy("query_id", "doc_id").agg(F.sum(F.col("weight") * share).alias("more"))
-    out = found.join(more, ["query_id", "doc_id"], "left").withColumn("score", scoring.rounded(F.col("score") + F.coalesce("more", F.lit(0.0)))).where("score > 0")
+    asked = settled(asked.select("query_id", "field", "term", "df", "avg_dl", (F.col("times") * scoring.idf(F.col("n_docs"), F.col("df"))).alias("weight")), "asked")
+    pairs = asked.count()
+    block = F.pmod(F.xxhash64(F.col("query_id").cast("string")), F.lit(-(-pairs // PAIRS) or 1)).alias("block")
+    by_term = asked.groupBy(block, "field", "term").agg(F.first("avg_dl").alias("avg_dl"), F.collect_list("query_id").alias("queries"), F.collect_list("weight").alias("weights"))
+    chunks = chunked(index, asked.select("field", "term", "df").distinct())
+    rows = chunks.join(F.broadcast(by_term) if pairs <= BROADCAST_PAIRS else by_term, ["field", "term"])
+    kind = asked.schema["query_id"].dataType
+
+    def best(group: pa.Table) -> pa.Table:
+        return best_of_chunk(group, k)
+
+    result = T.StructType([T.StructField("query_id", kind), T.StructField("doc_id", T.LongType()), T.StructField("score", T.DoubleType())])
+    out = rows.groupBy("chunk", "block").applyInArrow(best, result)
+    ranked = Window.partitionBy("query_id").orderBy(F.desc("score"), "doc_id")
     return out.withColumn("rank", F.row_number().over(ranked)).where(F.col("rank") <= k).select("query_id", "doc_id", "rank", "score")
+
+
+def chunked(index: Index, terms: DataFrame) -> DataFrame:
+    """(chunk, field, term, doc_ids, tfs, dls): packed postings of at least these terms, with all of a document in one chunk.
+
+    The chunks are the index's own if it has one field, as a document is one text then; else its ids are dealt out to
+    as many chunks as the terms' postings need.
+    """
+    if index.packed is not None and len(index.fields) == 1:
+        return index.packed.select("chunk", "field", "term", "doc_ids", "tfs", "dls")
+    n = -(-(terms.agg(F.sum("df")).first()[0] or 0) // CHUNK) or 1
+    chunk = F.pmod(F.xxhash64("doc_id"), F.lit(n)).alias("chunk")
+    rows = index.hits().join(terms.select("field", "term"), ["field", "term"], "left_semi")
+    rows = rows.groupBy(chunk, "field", "term").agg(F.collect_list(F.struct("doc_id", F.col("tf").cast("int").alias("tf"), F.col("dl").cast("int").alias("dl"))).alias("p"))
+    return rows.select("chunk", "field", "term", F.col("p.doc_id").alias("doc_ids"), F.col("p.tf").alias("tfs"), F.col("p.dl").alias("dls"))
+
+
+def best_of_chunk(rows: pa.Table, k: int) -> pa.Table:
+    """(query_id, doc_id, score): the k best documents of a chunk for each query, scores rounded to six decimals, equal ones by id.
+
+    A row is a term's postings (doc_ids, tfs, dls) with its queries and their weights. Scores are summed up query by query,
+    in order of field and term, so that equal texts have equal scores.
+    """
+    rows = rows.combine_chunks()
+    size = pc.list_value_length(rows["doc_ids"]).to_numpy()
+    flat = lambda name: pc.list_flatten(rows[name]).combine_chunks()
+    docs, place = np.unique(flat("doc_ids").to_numpy(zero_copy_only=False), return_inverse=True)
+    tf, dl = (flat(name).to_numpy().astype(np.float64) for name in ("tfs", "dls"))
+    share = scoring.bm25(tf, dl, np.repeat(rows["avg_dl"].to_numpy(), size), 1.0)
+    end = np.cumsum(size)
+    begin = end - size
+    query = flat("queries").dictionary_encode()
+    code, weight = query.indices.to_numpy(), flat("weights").to_numpy()
+    of = np.repeat(np.arange(len(size)), pc.list_value_length(rows["queries"]).to_numpy())
+    turn = np.empty(len(size), np.int64)
+    turn[pc.sort_indices(rows.select(["field", "term"]), [("field", "ascending"), ("term", "ascending")]).to_numpy()] = np.arange(len(size))
+    order = np.lexsort((turn[of], code))
+    code, of, weight = code[order], of[order], weight[order]
+    heads = np.append(np.flatnonzero(np.append(True, code[1:] != code[:-1])), len(code)) if len(code) else np.zeros(1, np.int64)
+    codes, ids, scores = [], [], []
+    for a, b in pairwise(heads.tolist()):
+        spans = [(slice(begin[r], end[r]), w) for r, w in zip(of[a:b].tolist(), weight[a:b].tolist(), strict=True)]
+        total = np.bincount(np.concatenate([place[s] for s, _ in spans]), np.concatenate([w * share[s] for s, w in spans]), len(docs))
+        found = np.flatnonzero(total > 0)
+        score = np.floor(total[found] * 1e6 + 0.5) / 1e6
+        if len(found) > k:
+            edge = np.partition(score, len(found) - k)[len(found) - k]
+            above = np.flatnonzero(score > edge)
+            kept = np.append(above, np.flatnonzero(score == edge)[: k - len(above)])
+            found, score = found[kept], score[kept]
+        codes.append(np.full(len(found), code[a]))
+        ids.append(docs[found])
+        scores.append(score)
+    join = lambda parts, kind: np.concatenate(parts) if parts else np.zeros(0, kind)
+    columns = [query.dictionary.take(pa.array(join(codes, np.int32))), pa.array(join(ids, np.int64), pa.int64()), pa.array(join(scores, np.float64))]
+    return pa.Table.from_arrays(columns, ["query_id", "doc_id", "score"])

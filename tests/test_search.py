@@ -4,6 +4,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from lodestone.operators import index as built
 from lodestone.operators.index import ColumnNotFound, build
 from lodestone.plans import search, store
 
@@ -159,6 +160,42 @@ def test_batch_matches_single_queries_where_terms_are_pruned(spark, seed, monkey
         assert [d for d, _ in got[i]] == [d for d, _ in want] and all(abs(a - b) < 1e-5 for (_, a), (_, b) in zip(got[i], want, strict=True))
 
 
+@pytest.mark.parametrize("chunk", [1, 40, 1 << 21])
+def test_batch_ranks_within_chunks_and_shuffles_no_single_postings(spark, monkeypatch, tmp_path, chunk):
+    """Packed postings go to their chunk's group; saved indexes and those of several fields are dealt out by id; equal texts go by id."""
+    monkeypatch.setattr(built, "CHUNK", chunk)
+    monkeypatch.setattr(search, "CHUNK", chunk)
+    rng = random.Random(chunk)
+    line = lambda m: " ".join(f"w{int(rng.expovariate(0.3))}" for _ in range(m))
+    data = [(i, "w1 w2 w1" if i % 3 == 0 else line(rng.randrange(0, 20)), line(rng.randrange(3))) for i in range(120)]
+    one = build(spark.createDataFrame(data, "id long, t string, u string"), ["t"], "id").settle()
+    store.save(one, str(tmp_path / "one"))
+    two = build(one.documents, ["t", "u"], "id").settle()
+    texts = {"a": "w1", "b": "w2 w1 w7 w2", "c": "w0 w3 w5 w8 zebra", "d": "zebra", "e": ""}
+    for index, fields in ((one, ["t"]), (store.load(spark, str(tmp_path / "one")), ["t"]), (two, ["t", "u"])):
+        asked = spark.createDataFrame([*((q, f, t) for q, t in texts.items() for f in fields), (None, "t", "w1")], "query_id string, field string, text string")
+        run = search.batch(index, asked, 5)
+        if index is one:
+            plan = run._jdf.queryExecution().executedPlan().toString()
+            assert "Generate" not in plan and "doc_id" not in "".join(x for x in plan.splitlines() if "Exchange hashpartitioning" in x)
+        got = {}
+        for r in run.orderBy("query_id", "rank").collect():
+            got.setdefault(r.query_id, []).append((r.doc_id, r.rank, r.score))
+        for q in texts:
+            want = [(r.doc_id, i + 1, r.score) for i, r in enumerate(search.search_ids(index, dict.fromkeys(fields, texts[q]), 5).collect())]
+            assert [x[:2] for x in got.pop(q, [])] == [x[:2] for x in want]
+        assert not got
+
+
+def test_batch_cuts_queries_into_blocks(spark, golden, monkeypatch):
+    asked = spark.createDataFrame([(i, "text", "under my skin") for i in range(20)], "query_id int, field string, text string")
+    monkeypatch.setattr(search, "PAIRS", 7)
+    monkeypatch.setattr(search, "BROADCAST_PAIRS", 0)
+    want = ask(golden, "under my skin", 2)
+    got = sorted((r.query_id, r["rank"], r.doc_id, r.score) for r in search.batch(golden, asked, 2).collect())
+    assert got == [(i, n + 1, d, s) for i in range(20) for n, (d, s) in enumerate(want)]
+
+
 def scanned(df, name="numOutputRows"):
     """The rows that the plan's file scans gave."""
     df.collect()
