@@ -143,7 +143,7 @@ def _cut(terms: pa.Array, count: np.ndarray, long: np.ndarray) -> tuple[pa.Array
     return pa.concat_arrays([*out, terms.slice(done)]), np.diff(upto[rows])
 
 
-def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Batches of at most SLICE bytes of text, or one row."""
     for batch in batches:
         ends = np.cumsum(pc.binary_length(batch.column("text")).fill_null(0).to_numpy(zero_copy_only=False), dtype=np.int64)
@@ -205,7 +205,7 @@ def _pack(parts: list[tuple[pa.Array, pa.Array, pa.Array, np.ndarray]]) -> pa.Re
 
 def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     parts, held = [], 0
-    for batch in _slices(batches):
+    for batch in slices(batches):
         terms, size = split_terms(batch.column("text"))
         if parts and held + len(terms) > CHUNK:
             yield _pack(parts)
@@ -219,7 +219,7 @@ def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _lengths(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in _slices(batches):
+    for batch in slices(batches):
         _, size = split_terms(batch.column("text"))
         yield pa.RecordBatch.from_arrays([batch.column("field"), batch.column("doc_id"), pa.array(size.astype(np.int32))], ["field", "doc_id", "dl"])
 

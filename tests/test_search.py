@@ -4,7 +4,6 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from lodestone.operators import index as built
 from lodestone.operators.index import ColumnNotFound, build
 from lodestone.plans import search, store
 
@@ -163,7 +162,6 @@ def test_batch_matches_single_queries_where_terms_are_pruned(spark, seed, monkey
 @pytest.mark.parametrize("chunk", [1, 40, 1 << 21])
 def test_batch_ranks_within_chunks_and_shuffles_no_single_postings(spark, monkeypatch, tmp_path, chunk):
     """Packed postings go to their chunk's group; saved indexes and those of several fields are dealt out by id; equal texts go by id."""
-    monkeypatch.setattr(built, "CHUNK", chunk)
     monkeypatch.setattr(search, "CHUNK", chunk)
     rng = random.Random(chunk)
     line = lambda m: " ".join(f"w{int(rng.expovariate(0.3))}" for _ in range(m))

@@ -97,6 +97,26 @@ def test_containing_is_plain_containment(spark):
     assert sorted(map(tuple, got)) == sorted((q, d) for q, p in enumerate(asked) if p is not None for d, t in enumerate(texts) if p in t)
 
 
+def test_containing_shuffles_no_texts(spark, monkeypatch):
+    """Texts are searched where they are read; more passages than a task may hold are joined, with the same rows."""
+    texts = [None, "", *(f"é {i % 7} common b{i % 5} ñandú {i % 3}, end" for i in range(60)), "x common b1 ñandú 1"]
+    index = build(spark.createDataFrame([*enumerate(texts)], "id long, t string"), ["t"], "id").persist()
+    asked = ["common b1 ñandú 1", "COMMON b1 ñandú", "é 3 common b", "common b2 ñandú 2, e", "2 common zebra b1", "common b1 ñandú 1"]
+    passages = spark.createDataFrame([(str(i), t) for i, t in enumerate(asked)], "query_id string, text string")
+    want = sorted((str(q), i) for q, a in enumerate(asked) for i, t in enumerate(texts) if t and a in t)
+    monkeypatch.setattr("lodestone.operators.evaluate.HELD_PASSAGES", 5, raising=False)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        found = evaluate.containing(index, "t", passages)
+        assert "Exchange hashpartitioning(doc_id" not in found._jdf.queryExecution().executedPlan().toString()
+        assert sorted(tuple(r) for r in found.collect()) == want
+        monkeypatch.setattr("lodestone.operators.evaluate.HELD_PASSAGES", 0)
+        assert sorted(tuple(r) for r in evaluate.containing(index, "t", passages).collect()) == want
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+
 def test_progress(spark):
     with watched(spark) as progress:
         assert progress.fraction() == 0.0
