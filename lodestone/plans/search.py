@@ -192,7 +192,8 @@ def batch(index: Index, queries: DataFrame, k: int = 10) -> DataFrame:
 
     Every matching document gets its exact score, but no table of queries and documents is made: the postings of the queries'
     terms are grouped, packed, by chunks of documents, and each chunk gives the k best of every query. Queries are cut into
-    blocks of about PAIRS terms, each of which meets all chunks. Queries without an id have no result.
+    blocks of about PAIRS terms, each of which meets all chunks. Queries without an id have no result; ids of documents are
+    taken to be unique (rows that share one may be ranked apart).
     """
     check_k(k)
     asked = queries.where(F.col("query_id").isNotNull()).select("query_id", F.upper("field").alias("field"), F.explode(tokens("text", most=None)).alias("term"))
