@@ -51,3 +51,28 @@ def test_a_kept_index_reads_only_the_files_of_its_terms(spark):
     assert spark.catalog.clearCache() is None  # postings are kept nevertheless
     assert "MapInArrow" not in search.scores(index, search.parse(index, {"t": "a"}))._jdf.queryExecution().toString()
     assert [(r.doc_id, r.tf, r.dl, r.positions) for r in index.postings.where(F.col("term") == "A").collect()] == [(1, 2, 3, [0, 2])]
+
+
+def test_a_query_reads_only_the_row_groups_of_its_terms(spark, monkeypatch):
+    """What a task reads is counted: of a chunk in many row groups, those that hold the query's terms."""
+    monkeypatch.setattr(built, "ROW_GROUP_BYTES", 1 << 14)
+    many = F.concat_ws(" ", F.transform(F.sequence(F.lit(0), F.lit(99)), lambda i: F.concat(F.lit("w"), F.pmod(F.xxhash64("id", i), F.lit(20_000)))))
+    index = build(spark.range(0, 2000, 1, 1).select("id", F.concat(F.lit("the cat "), many).alias("t")), ["t"], "id").persist()
+    sc = spark.sparkContext
+
+    def read(name, rows):
+        sc.setJobGroup(name, name)
+        got = rows.count()
+        sc.setLocalProperty("spark.jobGroup.id", None)
+        sc._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+        stages = {s for j in sc.statusTracker().getJobIdsForGroup(name) for s in sc.statusTracker().getJobInfo(j).stageIds}
+        done = [sc._jsc.sc().statusStore().lastStageAttempt(s) for s in stages]
+        return got, sum(s.inputRecords() for s in done)
+
+    terms = index.packed.count()
+    query = search.parse(index, {"t": "the cat"})
+    found, some = read("some", search.matching(index, query, positions=False))
+    postings, every = read("every", index.hits())
+    assert found == 4000 and postings > 190_000
+    assert every == terms > 19_000
+    assert 2 <= some < terms / 4
